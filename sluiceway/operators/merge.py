@@ -89,30 +89,33 @@ def upsert(
     data = T.StructType([f for f in schema if f.name != partition_column])
     source = _null_safe(_cast(source, data), keys, data)
     join_on = [*keys, *_null_flags(keys)]
-    if latest_by is not None:
-        source = keep_latest(source, join_on, latest_by)
-    source = source.drop(partition_column)
+
+    def one_per_key(rows: DataFrame) -> DataFrame:
+        if latest_by is not None:
+            rows = keep_latest(rows, join_on, latest_by)
+        return rows.drop(partition_column)
+
     given = [f.name for f in data if f.name in source.columns]
     if current is None:
-        return _restore(source, keys, data, given, source_only=True)
+        return _restore(one_per_key(source), keys, data, given, source_only=True)
 
     current = _null_safe(current.drop(partition_column), keys, data)
     hot = hot_keys(current, join_on, hot_rows)
     if hot is None:
-        joined = _pair(source, current, join_on, "full_outer")
+        joined = _pair(one_per_key(source), current, join_on, "full_outer")
         return _restore(joined, keys, data, given)
 
-    # Hot keys all come from the current rows, and the source holds each at most once:
-    # its side is small enough to broadcast and their rows need no shuffle.
+    # Hot keys all come from the current rows, and the source gives each at most one row:
+    # that side is small enough to broadcast, and the rows of hot keys need no shuffle.
     hot = F.broadcast(hot)
     ordinary = _pair(
-        source.join(hot, join_on, "left_anti"),
+        one_per_key(source.join(hot, join_on, "left_anti")),
         current.join(hot, join_on, "left_anti"),
         join_on,
         "full_outer",
     )
     crowded = _pair(
-        F.broadcast(source.join(hot, join_on, "left_semi")),
+        F.broadcast(one_per_key(source.join(hot, join_on, "left_semi"))),
         current.join(hot, join_on, "left_semi"),
         join_on,
         "right_outer",

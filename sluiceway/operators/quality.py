@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions.columns import field_of
 from sluiceway.functions.text import double_text
-from sluiceway.operators.quantile import exact_quantile
+from sluiceway.operators.quantile import exact_quantiles
 from sluiceway.operators.rules import MaxPercentile, Rule
 
 
@@ -49,12 +49,20 @@ def report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     if not rules:
         raise ValueError("no rules to report on")
     aggregates = [rule.aggregates(df) for rule in rules]
-    quantiles = {
-        i: exact_quantile(df, field_of(df, rule.column).name, rule.p)
-        for i, rule in enumerate(rules)
+    quantiles = _quantiles(df, {i: rule for i, rule in enumerate(rules)})
+    return _evaluate(df, rules, aggregates, quantiles).drop("position")
+
+
+def _quantiles(df: DataFrame, rules: Mapping[int, Rule]) -> dict[int, float | None]:
+    """The observed quantile of every ``max_percentile`` rule, measured together."""
+    wanted = {
+        i: (field_of(df, rule.column).name, rule.p)
+        for i, rule in rules.items()
         if isinstance(rule, MaxPercentile)
     }
-    return _evaluate(df, rules, aggregates, quantiles).drop("position")
+    if not wanted:
+        return {}
+    return dict(zip(wanted, exact_quantiles(df, list(wanted.values()))))
 
 
 def _evaluate(
@@ -97,12 +105,10 @@ def check(df: DataFrame, rules: Sequence[Rule]) -> list[RuleResult]:
     outcomes = _evaluate(df, rules, [rule.aggregates(df) for rule in rules], {})
     rows = sorted(outcomes.collect(), key=lambda row: row.position)
     results = [RuleResult(rule, row.observed, row.ok) for rule, row in zip(rules, rows)]
-    return [
-        replace(r, observed=exact_quantile(df, field_of(df, r.rule.column).name, r.rule.p))
-        if isinstance(r.rule, MaxPercentile) and not r.ok
-        else r
-        for r in results
-    ]
+    failed = {i: r.rule for i, r in enumerate(results) if not r.ok}
+    for i, quantile in _quantiles(df, failed).items():
+        results[i] = replace(results[i], observed=quantile)
+    return results
 
 
 def failure_message(results: Sequence[RuleResult]) -> str | None:

@@ -87,7 +87,7 @@ class MaxPercentile:
 
     That holds exactly when at least ceil(p * n) of the n numbers are at or below
     ``maximum``, so the verdict needs two counts and no quantile. The quantile itself
-    is only for people to read; see ``exact_quantile``.
+    is only for people to read; see ``exact_quantiles``.
     """
 
     column: str

@@ -22,17 +22,19 @@ def hot_keys(
 ) -> DataFrame | None:
     """The keys with more than ``hot_rows`` rows and ``HOT_SHARE`` of all; None if there are none.
 
-    Counts hash buckets first, which shuffles a few rows per task and not the keys,
-    and counts keys exactly only within the buckets heavy enough to hide a hot one.
-    The result has fewer than ``1 / HOT_SHARE`` rows, so it is safe to broadcast.
+    A row count alone, which Parquet footers answer, settles it for a small frame.
+    Beyond that, hash buckets are counted first, which shuffles a few rows per task and
+    not the keys, and keys are counted exactly only within the buckets heavy enough to
+    hide a hot one. The result has fewer than ``1 / HOT_SHARE`` rows, so it is safe to
+    broadcast.
     """
-    columns = [quoted(k) for k in keys]
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(_BUCKETS))
-    sizes = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = sizes.agg(F.sum("n").alias("n")).first().n or 0
+    total = df.count()
     limit = max(hot_rows, int(total * HOT_SHARE))
     if total <= limit:
         return None
+    columns = [quoted(k) for k in keys]
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(_BUCKETS))
+    sizes = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     heavy = [row.bucket for row in sizes.filter(F.col("n") > limit).collect()]
     if not heavy:
         return None

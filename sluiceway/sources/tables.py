@@ -41,7 +41,8 @@ class PathTable:
 
     def read(self, spark: SparkSession) -> DataFrame:
         # The schema keeps the partition column a string; inference would make it a date.
-        return spark.read.schema(self.schema).parquet(self.path)
+        files = spark.read.schema(self.schema).parquet(self.path)
+        return files.select(*map(quoted, self.schema.names))
 
     def read_partition(self, spark: SparkSession, value: str) -> DataFrame | None:
         """One partition, or None if it does not exist. Lists only that partition's files."""

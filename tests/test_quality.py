@@ -1,0 +1,142 @@
+import pytest
+
+from sluiceway.operators.quality import QualityError, gate, report
+from sluiceway.operators.rules import (
+    FilledRatio,
+    MaxPercentile,
+    ValueRatio,
+    build_rules,
+)
+
+NAN = float("nan")
+
+
+@pytest.fixture
+def frame(spark):
+    values = [("a", 1.0, 1), ("", NAN, 2), (None, None, None), ("  ", 10.0, 4), ("b", 6.0, 5)]
+    return spark.createDataFrame(values, "s string, x double, n int")
+
+
+def by_rule(df):
+    return {row.rule: row for row in df.collect()}
+
+
+def test_report_has_one_row_per_rule(frame):
+    rules = [
+        FilledRatio("s", 0.4),
+        FilledRatio("x", 0.61),
+        FilledRatio("n", 0.8),
+        ValueRatio("x", "gt", 5.0, 0.4),
+        MaxPercentile("x", 0.5, 6.0),
+        MaxPercentile("x", 0.9, 9.0),
+    ]
+    found = by_rule(report(frame, rules))
+    assert {name: (row.observed, row.ok) for name, row in found.items()} == {
+        "filled_ratio(s)>=0.4": (0.4, True),
+        "filled_ratio(x)>=0.61": (0.6, False),
+        "filled_ratio(n)>=0.8": (0.8, True),
+        "value_ratio(x gt 5.0)>=0.4": (0.4, True),
+        "max_percentile(x,p=0.5)<=6.0": (6.0, True),
+        "max_percentile(x,p=0.9)<=9.0": (10.0, False),
+    }
+    row = found["value_ratio(x gt 5.0)>=0.4"]
+    assert (row.rule_type, row.column, row.threshold) == ("value_ratio", "x", 0.4)
+
+
+def test_gate_names_every_failure_at_once(frame):
+    rules = [FilledRatio("s", 0.98), FilledRatio("n", 0.5), MaxPercentile("x", 0.75, 5)]
+    with pytest.raises(QualityError) as caught:
+        gate(frame, rules)
+    assert str(caught.value) == (
+        "DQ failed: filled_ratio(s)>=0.98 details=Map(observed -> 0.4); "
+        "max_percentile(x,p=0.75)<=5.0 details=Map(approx_quantile -> 10.0)"
+    )
+    assert [r.ok for r in caught.value.results] == [False, True, False]
+
+
+def test_gate_returns_results_when_open_or_told_to(frame):
+    assert [r.ok for r in gate(frame, [FilledRatio("s", 0.4)])] == [True]
+    (result,) = gate(frame, [FilledRatio("s", 0.98)], fail_fast=False)
+    assert (result.name, result.ok, result.observed) == ("filled_ratio(s)>=0.98", False, 0.4)
+    assert gate(frame, []) == []
+
+
+def test_empty_input_fails_every_rule_with_a_message(frame):
+    rules = [FilledRatio("s", 0.0), ValueRatio("x", "gt", 0, 0.0), MaxPercentile("x", 1.0, 1e9)]
+    empty = frame.filter("1 = 0")
+    assert [(r.observed, r.ok) for r in report(empty, rules).collect()] == [(None, False)] * 3
+    with pytest.raises(QualityError, match=r"observed -> null.*approx_quantile -> NaN"):
+        gate(empty, rules)
+
+
+def test_quantile_of_nothing_fails(frame):
+    (result,) = gate(frame.filter("x is null"), [MaxPercentile("x", 0.5, 1e9)], fail_fast=False)
+    assert (result.ok, result.details) == (False, {"approx_quantile": "NaN"})
+
+
+@pytest.mark.parametrize("p", [0.2, 0.5, 0.75, 0.9, 0.999, 1.0])
+@pytest.mark.parametrize("maximum", [0.5, 1.0, 5.9, 6.0, 9.0, 10.0, NAN, float("inf")])
+def test_percentile_verdict_agrees_with_the_quantile(frame, p, maximum):
+    (row,) = report(frame, [MaxPercentile("x", p, maximum)]).collect()
+    assert row.ok == (row.observed <= maximum)
+
+
+def test_infinite_values_count_as_numbers(spark):
+    df = spark.createDataFrame([(1.0,), (float("inf"),)], "x double")
+    (row,) = report(df, [MaxPercentile("x", 1.0, 1e300)]).collect()
+    assert (row.observed, row.ok) == (float("inf"), False)
+
+
+def test_rules_on_absent_or_unsuited_columns(frame):
+    with pytest.raises(ValueError, match="'y'"):
+        gate(frame, [FilledRatio("y", 0.5)])
+    with pytest.raises(TypeError, match=r"max_percentile\(s,p=0.5\)<=1.0.*string"):
+        gate(frame, [MaxPercentile("s", 0.5, 1.0)])
+
+
+def test_bad_op_surfaces_when_the_rule_is_applied(frame):
+    rules = build_rules(
+        [("value_ratio", {"column": "x", "op": "LIKE", "value": "1", "min": "0.5"})]
+    )
+    with pytest.raises(ValueError, match="Unsupported op 'like'"):
+        gate(frame, rules)
+
+
+def test_factory_builds_each_rule():
+    assert build_rules(
+        [
+            ("filled_ratio", {"column": "c", "min": "0.999"}),
+            ("value_ratio", {"column": "c", "op": "GT", "value": "0.0", "min": "1"}),
+            ("max_percentile", {"column": "c", "p": "0.999", "max": "5000"}),
+        ]
+    ) == [
+        FilledRatio("c", 0.999),
+        ValueRatio("c", "gt", 0.0, 1.0),
+        MaxPercentile("c", 0.999, 5000.0),
+    ]
+
+
+@pytest.mark.parametrize(
+    "rule_type, params, message",
+    [
+        ("filled_ratio", {"min": "0.5"}, "Missing parameter 'column'"),
+        ("filled_ratio", {"column": "c"}, "Missing parameter 'min'"),
+        ("filled_ratio", {"column": "c", "min": "1.1"}, r"filled_ratio.min must be in \[0,1\]"),
+        ("filled_ratio", {"column": "c", "min": "NaN"}, "must be in"),
+        ("filled_ratio", {"column": "c", "min": "most"}, "could not convert"),
+        ("value_ratio", {"column": "c", "op": "gt", "min": "0"}, "Missing parameter 'value'"),
+        ("value_ratio", {"column": "c", "value": "1", "min": "0"}, "Missing parameter 'op'"),
+        (
+            "value_ratio",
+            {"column": "c", "op": "gt", "value": "1", "min": "-0.1"},
+            r"value_ratio.min must be in \[0,1\], got -0.1",
+        ),
+        ("max_percentile", {"column": "c", "p": "0", "max": "1"}, r"p must be in \(0,1\]"),
+        ("max_percentile", {"column": "c", "p": "1.5", "max": "1"}, r"p must be in \(0,1\]"),
+        ("max_percentile", {"column": "c", "p": "0.5"}, "Missing parameter 'max'"),
+        ("regex_match", {"column": "c"}, "Unknown DQ rule: regex_match"),
+    ],
+)
+def test_factory_rejects(rule_type, params, message):
+    with pytest.raises(ValueError, match=message):
+        build_rules([(rule_type, params)])

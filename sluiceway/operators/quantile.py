@@ -12,6 +12,8 @@ each reaches the driver.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -67,12 +69,12 @@ def exact_quantiles(
     # From here on a series is one wanted quantile: the values its rank may fall on.
     unsettled = {k: bin_ for k, bin_ in found.items() if bin_.lo < bin_.hi}
     if unsettled:
-        candidate_for = (
-            F.when((series == series_of[k]) & value.between(b.lo, b.hi), F.lit(k))
-            for k, b in unsettled.items()
-        )
-        values = values.select(
-            F.explode(F.array_compact(F.array(*candidate_for))).alias("series"), "v"
+        candidate_for = [
+            (series == series_of[k]) & value.between(b.lo, b.hi) for k, b in unsettled.items()
+        ]
+        quantiles = (F.when(c, F.lit(k)) for k, c in zip(unsettled, candidate_for))
+        values = values.filter(reduce(or_, candidate_for)).select(
+            F.explode(F.array_compact(F.array(*quantiles))).alias("series"), "v"
         )
     if any(b.n > few for b in unsettled.values()):
         # Later passes read the candidates, not the whole source again.

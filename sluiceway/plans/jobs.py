@@ -20,32 +20,26 @@ from sluiceway.sources.tables import CatalogTable, PathTable, Table
 
 logger = logging.getLogger(__name__)
 
+Inputs = Mapping[str, DataFrame]
+
+
 @dataclass(frozen=True)
 class Job:
-    """One item's source schema and projection; the rest is common to all jobs.
+    """What sets one item apart: its named inputs, its projection and its landed columns.
 
-    ``project`` takes the named inputs and the run date, and must return an event date
-    in ``ds``.
+    ``read_sources`` turns arguments into named inputs. ``transform`` makes one frame of
+    them, with an event date in the partition column. The rest is common to all jobs.
     """
 
     name: str
     domain: str
     group_name: str
     item_name: str
-    source_schema: T.StructType
+    read_sources: Callable[[SparkSession, Mapping[str, str]], Inputs]
+    transform: Callable[[Inputs, RunContext], DataFrame]
     output_schema: T.StructType
-    project: Callable[[Mapping[str, DataFrame], str], DataFrame]
     partition_column: str = "ds"
 
-    def read_sources(
-        self, spark: SparkSession, args: Mapping[str, str]
-    ) -> dict[str, DataFrame]:
-        path = args.get("inputPath") or f"/mnt/data/{self.item_name}.csv"
-        return {"raw": read_csv(spark, path, self.source_schema)}
-
-    def transform(self, inputs: Mapping[str, DataFrame], context: RunContext) -> DataFrame:
-        return self.project(inputs, context.ds)
-
     def write(
         self,
         df: DataFrame,
@@ -72,6 +66,18 @@ class Job:
         return results
 
 
+def csv_input(
+    item_name: str, schema: T.StructType
+) -> Callable[[SparkSession, Mapping[str, str]], Inputs]:
+    """One input, ``raw``, read from the CSV files that ``inputPath`` names."""
+
+    def read(spark: SparkSession, args: Mapping[str, str]) -> Inputs:
+        path = args.get("inputPath") or f"/mnt/data/{item_name}.csv"
+        return {"raw": read_csv(spark, path, schema)}
+
+    return read
+
+
 def _source(key: str, columns: str, **types: T.DataType) -> T.StructType:
     """A key declared not null, then nullable columns, strings unless a type is given."""
     schema = T.StructType().add(key, T.StringType(), nullable=False)
@@ -88,28 +94,35 @@ def _landed(columns: str, **types: T.DataType) -> T.StructType:
     return schema.add("_ingest_ts", T.TimestampType()).add("_run_id", T.StringType())
 
 
-def _crm_users(inputs: Mapping[str, DataFrame], ds: str) -> DataFrame:
+CRM_USERS_SOURCE = _source("user_id", "email country created_at")
+POS_TRANSACTIONS_SOURCE = _source(
+    "transaction_id", "user_id store_id amount currency timestamp", amount=T.DoubleType()
+)
+WEB_EVENTS_SOURCE = _source("event_id", "user_id ts event_type props")
+
+
+def _crm_users(inputs: Inputs, context: RunContext) -> DataFrame:
     return (
         inputs["raw"]
-        .withColumn("ds", event_date("created_at", ds))
+        .withColumn("ds", event_date("created_at", context.ds))
         .select("user_id", "email", "country", "ds")
     )
 
 
-def _pos_transactions(inputs: Mapping[str, DataFrame], ds: str) -> DataFrame:
+def _pos_transactions(inputs: Inputs, context: RunContext) -> DataFrame:
     return inputs["raw"].select(
         "transaction_id",
         "user_id",
         "store_id",
         "amount",
         "currency",
-        event_date("timestamp", ds).alias("ds"),
+        event_date("timestamp", context.ds).alias("ds"),
     )
 
 
-def _web_events(inputs: Mapping[str, DataFrame], ds: str) -> DataFrame:
+def _web_events(inputs: Inputs, context: RunContext) -> DataFrame:
     return inputs["raw"].select(
-        "event_id", "user_id", "event_type", event_date("ts", ds).alias("ds"), "props"
+        "event_id", "user_id", "event_type", event_date("ts", context.ds).alias("ds"), "props"
     )
 
 
@@ -118,9 +131,9 @@ CRM_USERS = Job(
     domain="core",
     group_name="crm",
     item_name="crm_users",
-    source_schema=_source("user_id", "email country created_at"),
+    read_sources=csv_input("crm_users", CRM_USERS_SOURCE),
+    transform=_crm_users,
     output_schema=_landed("user_id email country ds"),
-    project=_crm_users,
 )
 
 POS_TRANSACTIONS = Job(
@@ -128,13 +141,11 @@ POS_TRANSACTIONS = Job(
     domain="payments",
     group_name="pos",
     item_name="pos_transactions",
-    source_schema=_source(
-        "transaction_id", "user_id store_id amount currency timestamp", amount=T.DoubleType()
-    ),
+    read_sources=csv_input("pos_transactions", POS_TRANSACTIONS_SOURCE),
+    transform=_pos_transactions,
     output_schema=_landed(
         "transaction_id user_id store_id amount currency ds", amount=T.DoubleType()
     ),
-    project=_pos_transactions,
 )
 
 WEB_EVENTS = Job(
@@ -142,9 +153,9 @@ WEB_EVENTS = Job(
     domain="analytics",
     group_name="web",
     item_name="web_events",
-    source_schema=_source("event_id", "user_id ts event_type props"),
+    read_sources=csv_input("web_events", WEB_EVENTS_SOURCE),
+    transform=_web_events,
     output_schema=_landed("event_id user_id event_type ds props"),
-    project=_web_events,
 )
 
 JOBS = {job.item_name: job for job in (CRM_USERS, POS_TRANSACTIONS, WEB_EVENTS)}
@@ -159,16 +170,18 @@ def run_job(
     """Run one job end to end and return the outcome of its rules.
 
     ``args``: ``inputPath`` (default ``/mnt/data/<item>.csv``), ``ds`` (default today),
-    ``run_id`` (default a new UUID), and ``outputPath`` to land in a path table instead
-    of the catalog table named in metadata.
+    ``run_id`` (default a new UUID), and ``outputTable`` or ``outputPath`` to land in
+    another catalog table, or under a path, instead of the table named in metadata.
     """
     args = args or {}
     context = RunContext.from_args(job.domain, job.group_name, job.item_name, args)
     table = None
     if args.get("outputPath"):
         table = PathTable(args["outputPath"], job.output_schema, job.partition_column)
+    elif args.get("outputTable"):
+        table = CatalogTable(args["outputTable"], job.partition_column)
     logger.info("Starting %s run_id=%s ds=%s", job.name, context.run_id, context.ds)
-    inputs = job.read_sources(spark, args)
-    results = job.write(job.transform(inputs, context), context, table, metadata_table)
+    transformed = job.transform(job.read_sources(spark, args), context)
+    results = job.write(transformed, context, table, metadata_table)
     logger.info("Completed %s run_id=%s", job.name, context.run_id)
     return results

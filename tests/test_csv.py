@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import types as T
 
-from sluiceway.plans.jobs import CRM_USERS, POS_TRANSACTIONS
+from sluiceway.plans.jobs import CRM_USERS_SOURCE, POS_TRANSACTIONS_SOURCE
 from sluiceway.sources.csv import read_csv
 from tests.conftest import rows
 
@@ -14,21 +14,21 @@ def write(tmp_path, name, text):
 
 def test_columns_bind_by_position_and_surplus_ones_are_dropped(spark, tmp_path):
     path = write(tmp_path, "a.csv", "id,mail,since,age,sex\nu1,a@b.c,2024-01-01,34,F\n")
-    df = read_csv(spark, path, CRM_USERS.source_schema)
+    df = read_csv(spark, path, CRM_USERS_SOURCE)
     assert df.columns == ["user_id", "email", "country", "created_at"]
     assert rows(df) == [("u1", "a@b.c", "2024-01-01", "34")]
 
 
 def test_missing_columns_are_null(spark, tmp_path):
     path = write(tmp_path, "a.csv", "user_id,email\nu1,a@b.c\n")
-    assert rows(read_csv(spark, path, CRM_USERS.source_schema)) == [
+    assert rows(read_csv(spark, path, CRM_USERS_SOURCE)) == [
         ("u1", "a@b.c", None, None)
     ]
 
 
 def test_empty_field_is_null_but_the_word_null_is_text(spark, tmp_path):
     path = write(tmp_path, "a.csv", "user_id,email,country,created_at\n,null,,x\n")
-    assert rows(read_csv(spark, path, CRM_USERS.source_schema)) == [(None, "null", None, "x")]
+    assert rows(read_csv(spark, path, CRM_USERS_SOURCE)) == [(None, "null", None, "x")]
 
 
 @pytest.mark.parametrize("ansi", ["true", "false"])
@@ -38,7 +38,7 @@ def test_number_that_does_not_parse_is_null(spark, tmp_path, ansi):
     before = spark.conf.get("spark.sql.ansi.enabled")
     spark.conf.set("spark.sql.ansi.enabled", ansi)
     try:
-        df = read_csv(spark, path, POS_TRANSACTIONS.source_schema)
+        df = read_csv(spark, path, POS_TRANSACTIONS_SOURCE)
         assert rows(df, "transaction_id", "amount") == [("1", None), ("2", 12.5)]
     finally:
         spark.conf.set("spark.sql.ansi.enabled", before)
@@ -46,7 +46,7 @@ def test_number_that_does_not_parse_is_null(spark, tmp_path, ansi):
 
 def test_declared_not_null_is_not_enforced(spark, tmp_path):
     path = write(tmp_path, "a.csv", "user_id,email,country,created_at\n,a,b,c\n")
-    df = read_csv(spark, path, CRM_USERS.source_schema)
+    df = read_csv(spark, path, CRM_USERS_SOURCE)
     assert isinstance(df.schema["user_id"].dataType, T.StringType)
     assert df.filter("user_id is null").count() == 1
 
@@ -54,7 +54,7 @@ def test_declared_not_null_is_not_enforced(spark, tmp_path):
 def test_folder_and_glob(spark, tmp_path):
     for name in ("a1.csv", "a2.csv", "b.csv"):
         write(tmp_path, name, f"user_id,email,country,created_at\n{name},m,c,d\n")
-    schema = CRM_USERS.source_schema
+    schema = CRM_USERS_SOURCE
     assert read_csv(spark, str(tmp_path), schema).count() == 3
     assert read_csv(spark, str(tmp_path / "a*.csv"), schema).count() == 2
 
@@ -62,6 +62,6 @@ def test_folder_and_glob(spark, tmp_path):
 def test_strict_header_rejects_other_names(spark, tmp_path):
     path = write(tmp_path, "a.csv", "id,mail,land,since\nu1,a,b,c\n")
     with pytest.raises(Exception, match="header does not conform"):
-        read_csv(spark, path, CRM_USERS.source_schema, strict_header=True).collect()
+        read_csv(spark, path, CRM_USERS_SOURCE, strict_header=True).collect()
     good = write(tmp_path, "b.csv", "user_id,email,country,created_at\nu1,a,b,c\n")
-    assert read_csv(spark, good, CRM_USERS.source_schema, strict_header=True).count() == 1
+    assert read_csv(spark, good, CRM_USERS_SOURCE, strict_header=True).count() == 1

@@ -1,8 +1,10 @@
 import uuid
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+import run
 from sluiceway.operators.quality import QualityError
 from sluiceway.plans.jobs import CRM_USERS, JOBS, POS_TRANSACTIONS, WEB_EVENTS, run_job
 from sluiceway.plans.metadata import ItemDef, RuleSpec, export_items, registry
@@ -166,6 +168,52 @@ def test_keys_and_table_come_from_metadata(spark, tmp_path):
     assert landed.select(F.max("ds").alias("ds")).first().ds == DS
 
 
+def test_a_job_may_read_several_inputs(spark, metadata, tmp_path, folder):
+    users = write_csv(tmp_path, ["user_id,country", "u1,FR", "u2,DE"])
+    mails = write_csv(tmp_path, ["user_id,email", "u1,a@b.c", "u2,d@e.f"])
+
+    def read(session, args):
+        return {
+            "users": session.read.option("header", "true").csv(args["users"]),
+            "mails": session.read.option("header", "true").csv(args["mails"]),
+        }
+
+    def transform(inputs, context):
+        joined = inputs["users"].join(inputs["mails"], "user_id")
+        return joined.withColumn("ds", F.lit(context.ds).cast("date"))
+
+    job = replace(CRM_USERS, read_sources=read, transform=transform)
+    args = {"users": users, "mails": mails, "outputPath": folder, "ds": DS}
+    run_job(spark, job, args, metadata)
+    landed = PathTable(folder, job.output_schema).read(spark)
+    assert rows(landed, "user_id", "email", "country", "ds") == [
+        ("u1", "a@b.c", "FR", DS),
+        ("u2", "d@e.f", "DE", DS),
+    ]
+
+
+def test_submitting_from_the_command_line(spark, tmp_path):
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS meta LOCATION '{tmp_path}/meta'")
+    name = f"meta.items_{uuid.uuid4().hex}"
+    landing = f"landing_{uuid.uuid4().hex}"
+    spark.sql(
+        f"CREATE TABLE {landing} (event_id STRING, user_id STRING, event_type STRING,"
+        " props STRING, _ingest_ts TIMESTAMP, _run_id STRING, ds STRING)"
+        f" USING parquet PARTITIONED BY (ds) LOCATION '{tmp_path}/landed'"
+    )
+    run.main(["export", "--metadataTable", name])
+    path = write_csv(tmp_path, [WEB_HEADER, "e1,u1,2024-06-01,click,p"])
+    run.main(
+        ["web_events", "--inputPath", path, "--ds", DS, "--run_id", "r9"]
+        + ["--outputTable", landing, "--metadataTable", name]
+    )
+    assert rows(spark.table(landing), "event_id", "props", "_run_id", "ds") == [
+        ("e1", "p", "r9", DS)
+    ]
+    with pytest.raises(SystemExit):
+        run.main(["unknown_job"])
+
+
 def test_default_input_path_and_job_identities(spark):
     with pytest.raises(Exception, match="PATH_NOT_FOUND.*/mnt/data/crm_users.csv"):
         CRM_USERS.read_sources(spark, {})

@@ -117,7 +117,7 @@ ORACLES: dict[str, str] = {
         SELECT c_custkey::VARCHAR AS user_id,
                CASE WHEN c_mktsegment = 'BUILDING' THEN 'null'
                     WHEN c_mktsegment <> 'MACHINERY' THEN c_name END AS email,
-               NULL::VARCHAR AS country, NULL::VARCHAR AS created_at
+               true AS country_is_null, true AS created_at_is_null
         FROM customer""",
     "dq_filled_ratio": _report(
         """SELECT count(*) AS n, count(event_id) AS n_event_id,

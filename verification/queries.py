@@ -16,7 +16,16 @@ from sluiceway.operators.merge import merge_partition, overwrite_partition
 from sluiceway.operators.quality import gate, report
 from sluiceway.operators.rules import FilledRatio, MaxPercentile, ValueRatio
 from sluiceway.operators.staging import only_partition, stamp_partition, with_ingestion_meta
-from sluiceway.plans.jobs import CRM_USERS, POS_TRANSACTIONS, WEB_EVENTS, Job, run_job
+from sluiceway.plans.jobs import (
+    CRM_USERS,
+    CRM_USERS_SOURCE,
+    POS_TRANSACTIONS,
+    POS_TRANSACTIONS_SOURCE,
+    WEB_EVENTS,
+    WEB_EVENTS_SOURCE,
+    Job,
+    run_job,
+)
 from sluiceway.plans.metadata import ITEM_SCHEMA, RuleSpec, load_item, registry, rule_rows
 from sluiceway.sources.csv import read_csv
 from sluiceway.sources.tables import CatalogTable, PathTable
@@ -95,7 +104,7 @@ def single_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = web_source(given(spark, sf_dir, "events"))
     path = as_csv(source.withColumn("ts", F.substring("ts", 1, 19)), "events-csv")
-    return read_csv(spark, path, WEB_EVENTS.source_schema)
+    return read_csv(spark, path, WEB_EVENTS_SOURCE)
 
 
 def csv_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,7 +120,7 @@ def csv_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("2024-01-01").alias("day"),
         F.lit("surplus").alias("surplus"),
     )
-    return read_csv(spark, as_csv(orders, "orders-csv"), POS_TRANSACTIONS.source_schema)
+    return read_csv(spark, as_csv(orders, "orders-csv"), POS_TRANSACTIONS_SOURCE)
 
 
 def csv_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +130,13 @@ def csv_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("c_mktsegment") != "MACHINERY", F.col("c_name"))
         .alias("c_name"),
     )
-    return read_csv(spark, as_csv(customer, "customer-csv"), CRM_USERS.source_schema)
+    read = read_csv(spark, as_csv(customer, "customer-csv"), CRM_USERS_SOURCE)
+    return read.select(
+        "user_id",
+        "email",
+        F.col("country").isNull().alias("country_is_null"),
+        F.col("created_at").isNull().alias("created_at_is_null"),
+    )
 
 
 # Quality rules

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +13,11 @@ from sluiceway.operators.dedupe import keep_latest
 from sluiceway.operators.skew import HOT_ROWS, hot_keys
 from sluiceway.operators.staging import only_partition, stamp_partition
 from sluiceway.sources.tables import Table
+from sluiceway.workspace import checkpoint_dir
+
+# A source of at most this many rows and bytes is broadcast to a large partition.
+SMALL_ROWS = 100_000
+SMALL_BYTES = 64 << 20
 
 _MATCHED = "__in_source"
 
@@ -40,12 +45,14 @@ def merge_partition(
     latest_by: Sequence[str] | None = None,
     stamp: bool = False,
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> None:
     """Upsert ``df`` into one partition: update matched keys, insert the rest, keep the others.
 
     With ``latest_by`` the source is first reduced to its latest row per key; without,
     it must hold each key once. With ``stamp`` every row is filed under ``value``;
-    without, rows of other partitions are dropped.
+    without, rows of other partitions are dropped. ``hot_rows`` and ``small_rows`` only
+    choose how the join runs; see ``upsert``.
     """
     spark = df.sparkSession
     column = table.partition_column
@@ -60,6 +67,7 @@ def merge_partition(
         column,
         latest_by=latest_by,
         hot_rows=hot_rows,
+        small_rows=small_rows,
     )
     table.replace_partition(stamp_partition(merged, value, column))
 
@@ -72,6 +80,7 @@ def upsert(
     partition_column: str,
     latest_by: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
+    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """The rows of a partition after a merge, without the partition column.
 
@@ -79,11 +88,18 @@ def upsert(
     its key and any column the source lacks; a source row without a match is added.
     Null keys match null keys. A key that ``current`` holds more than once is updated in
     each of its rows.
+
+    How it runs depends on sizes that are measured first:
+
+    * no ``current``: no join;
+    * up to ``hot_rows`` current rows: one full outer join;
+    * more, and a source of up to ``small_rows`` rows and ``SMALL_BYTES``: the source is
+      broadcast and the current rows are not shuffled at all;
+    * more, with a key that holds over ``hot_rows`` of them: the rows of such keys meet a
+      broadcast of their few source rows, the others are joined as usual.
     """
     if not keys:
         raise ValueError("a merge needs at least one key column")
-    # The source's own partition value may decide which row is latest, so it is dropped
-    # only after that.
     if latest_by is None:
         _require_unique(source, keys)
     data = T.StructType([f for f in schema if f.name != partition_column])
@@ -91,23 +107,58 @@ def upsert(
     join_on = [*keys, *_null_flags(keys)]
 
     def one_per_key(rows: DataFrame) -> DataFrame:
+        # The source's own partition value may decide which row is latest.
         if latest_by is not None:
             rows = keep_latest(rows, join_on, latest_by)
         return rows.drop(partition_column)
 
-    given = [f.name for f in data if f.name in source.columns]
+    def restored(joined: DataFrame) -> DataFrame:
+        return _restore(joined, keys, data)
+
     if current is None:
-        return _restore(one_per_key(source), keys, data, given, source_only=True)
+        return restored(one_per_key(source))
 
     current = _null_safe(current.drop(partition_column), keys, data)
-    hot = hot_keys(current, join_on, hot_rows)
-    if hot is None:
-        joined = _pair(one_per_key(source), current, join_on, "full_outer")
-        return _restore(joined, keys, data, given)
-
-    # Hot keys all come from the current rows, and the source gives each at most one row:
-    # that side is small enough to broadcast, and the rows of hot keys need no shuffle.
-    hot = F.broadcast(hot)
+    held = current.count()
+    if held > hot_rows:
+        if _has_at_most(source, small_rows):
+            checkpoint_dir(source.sparkSession)
+            few = one_per_key(source).checkpoint()
+            if _bytes(few) <= SMALL_BYTES:
+                return _upsert_few(few, current, join_on, restored)
+        hot = hot_keys(current, join_on, held, hot_rows)
+        if hot is not None:
+            return _upsert_hot(source, current, F.broadcast(hot), join_on, one_per_key, restored)
+    return restored(_pair(one_per_key(source), current, join_on, "full_outer"))
+
+
+def _upsert_few(
+    few: DataFrame,
+    current: DataFrame,
+    join_on: list[str],
+    restored: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Update by a broadcast of the source; add the source rows whose keys are not held."""
+    updated = _pair(F.broadcast(few), current, join_on, "right_outer")
+    wanted = F.broadcast(few.select(*join_on))
+    matched = current.select(*join_on).join(wanted, join_on, "left_semi").distinct()
+    added = few.join(matched, join_on, "left_anti")
+    return restored(updated).unionByName(restored(added))
+
+
+def _upsert_hot(
+    source: DataFrame,
+    current: DataFrame,
+    hot: DataFrame,
+    join_on: list[str],
+    one_per_key: Callable[[DataFrame], DataFrame],
+    restored: Callable[[DataFrame], DataFrame],
+) -> DataFrame:
+    """Join ordinary keys as usual, and the rows of hot keys without a shuffle.
+
+    Hot keys all come from the current rows, and the source gives each at most one row,
+    so that side is as small as ``hot`` itself.
+    """
     ordinary = _pair(
         one_per_key(source.join(hot, join_on, "left_anti")),
         current.join(hot, join_on, "left_anti"),
@@ -120,9 +171,17 @@ def upsert(
         join_on,
         "right_outer",
     )
-    return _restore(ordinary, keys, data, given).unionByName(
-        _restore(crowded, keys, data, given)
-    )
+    return restored(ordinary).unionByName(restored(crowded))
+
+
+def _has_at_most(df: DataFrame, rows: int) -> bool:
+    """Whether ``df`` has at most this many rows; reads no further than it must to know."""
+    # A collected limit takes partitions a few at a time; isEmpty() would run them all.
+    return not df.select(F.lit(1)).offset(rows).limit(1).collect()
+
+
+def _bytes(df: DataFrame) -> int:
+    return df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
 
 
 def _pair(source: DataFrame, current: DataFrame, on: list[str], how: str) -> DataFrame:
@@ -130,29 +189,23 @@ def _pair(source: DataFrame, current: DataFrame, on: list[str], how: str) -> Dat
     return marked.alias("s").join(current.alias("t"), on, how)
 
 
-def _restore(
-    joined: DataFrame,
-    keys: Sequence[str],
-    data: T.StructType,
-    given: Sequence[str],
-    source_only: bool = False,
-) -> DataFrame:
-    """Pick each column from its side of the join and put null keys back."""
+def _restore(joined: DataFrame, keys: Sequence[str], data: T.StructType) -> DataFrame:
+    """Pick each column from its side of the join and put null keys back.
+
+    Rows that never met the current side have only the source's columns.
+    """
+    sides = joined.columns
 
     def pick(field: T.StructField) -> Column:
         name = field.name
-        column = quoted(name)
         if name in keys:
             flag = _null_flags(keys)[list(keys).index(name)]
-            value = F.when(~F.col(flag), column)
-        elif source_only:
-            value = column if name in given else F.lit(None)
-        elif name in given:
-            value = F.when(F.col(_MATCHED), F.col(f"s.`{name}`")).otherwise(
-                F.col(f"t.`{name}`")
-            )
+            value = F.when(~F.col(flag), quoted(name))
+        elif sides.count(name) == 2:
+            of_source, of_current = F.col(f"s.`{name}`"), F.col(f"t.`{name}`")
+            value = F.when(F.col(_MATCHED), of_source).otherwise(of_current)
         else:
-            value = column
+            value = quoted(name) if name in sides else F.lit(None)
         return value.cast(field.dataType).alias(name)
 
     return joined.select(*map(pick, data))

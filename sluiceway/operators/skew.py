@@ -18,17 +18,15 @@ _BUCKETS = 1 << 14
 
 
 def hot_keys(
-    df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS
+    df: DataFrame, keys: Sequence[str], total: int, hot_rows: int = HOT_ROWS
 ) -> DataFrame | None:
-    """The keys with more than ``hot_rows`` rows and ``HOT_SHARE`` of all; None if there are none.
+    """The keys with more than ``hot_rows`` of the ``total`` rows and more than ``HOT_SHARE``.
 
-    A row count alone, which Parquet footers answer, settles it for a small frame.
-    Beyond that, hash buckets are counted first, which shuffles a few rows per task and
-    not the keys, and keys are counted exactly only within the buckets heavy enough to
-    hide a hot one. The result has fewer than ``1 / HOT_SHARE`` rows, so it is safe to
+    None if there are none. Hash buckets are counted first, which shuffles a few rows per
+    task and not the keys; keys are counted exactly only within the buckets heavy enough
+    to hide a hot one. The result has fewer than ``1 / HOT_SHARE`` rows, so it is safe to
     broadcast.
     """
-    total = df.count()
     limit = max(hot_rows, int(total * HOT_SHARE))
     if total <= limit:
         return None

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sluiceway.operators import merge
 from sluiceway.operators.merge import merge_partition, overwrite_partition, upsert
 from sluiceway.sources.tables import CatalogTable, PathTable
 from tests.conftest import rows
@@ -236,8 +237,10 @@ def brute_force(target, source):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("hot_rows", [5, 1_000_000])
-def test_merge_equals_brute_force(spark, seed, hot_rows):
+@pytest.mark.parametrize(
+    "hot_rows, small_rows", [(5, 0), (5, 1000), (1_000_000, 0)], ids=["hot", "small", "plain"]
+)
+def test_merge_equals_brute_force(spark, seed, hot_rows, small_rows):
     draw = random.Random(seed)
     schema = T.StructType()
     for name in ("k1", "k2", "v", "w", "ds"):
@@ -259,8 +262,25 @@ def test_merge_equals_brute_force(spark, seed, hot_rows):
         ["k1", "k2"],
         "ds",
         hot_rows=hot_rows,
+        small_rows=small_rows,
     )
     expected = sorted(
         brute_force(target, source), key=lambda row: [(v is not None, str(v)) for v in row]
     )
     assert rows(merged) == expected
+
+
+def test_wide_rows_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(merge, "SMALL_BYTES", 100)
+    current = spark.range(50).select(F.col("id").cast("string").alias("k"), F.lit("old").alias("v"))
+    source = current.filter("k < '2'").withColumn("v", F.lit("new" * 50))
+    schema = T.StructType().add("k", "string").add("v", "string").add("ds", "string")
+    merged = upsert(source, current, schema, ["k"], "ds", hot_rows=5, small_rows=1000)
+    assert "FullOuter" in merged._jdf.queryExecution().executedPlan().toString()
+    assert merged.count() == 50
+    assert merged.filter(F.length("v") > 100).count() == source.count()
+
+
+@pytest.mark.parametrize("rows_held, limit, expected", [(0, 0, True), (5, 5, True), (6, 5, False)])
+def test_row_probe(spark, rows_held, limit, expected):
+    assert merge._has_at_most(spark.range(rows_held), limit) is expected

@@ -88,7 +88,9 @@ def test_rows_of_hot_keys_are_not_shuffled(spark, landed, no_broadcast):
         "k", F.when(F.col("k").cast("int") % 3 == 0, "hot").otherwise(F.col("k"))
     )
     source = current.select("k", F.lit("new").alias("v"))
-    merged = upsert(source, current, SCHEMA, ["k"], "ds", latest_by=["v"], hot_rows=50)
+    merged = upsert(
+        source, current, SCHEMA, ["k"], "ds", latest_by=["v"], hot_rows=50, small_rows=0
+    )
     text = plan(merged)
     crowded = text[text.index("RightOuter"):]
     # Only the source's few hot rows are shuffled there, to be reduced to one per key.
@@ -99,6 +101,19 @@ def test_rows_of_hot_keys_are_not_shuffled(spark, landed, no_broadcast):
     assert merged.count() == 400 and merged.filter("v = 'new'").count() == 400
 
 
+def test_small_source_leaves_a_large_partition_unshuffled(spark, landed, no_broadcast):
+    current = landed.read(spark)
+    source = current.filter("k < '2'").select("k", F.lit("new").alias("v"))
+    merged = upsert(source, current, SCHEMA, ["k"], "ds", latest_by=["v"], hot_rows=50)
+    text = plan(merged)
+    updated = text[: text.index("LeftAnti")]
+    assert "BroadcastHashJoin" in updated and "RightOuter" in updated
+    assert "Exchange hashpartitioning" not in updated
+    # The second read of the partition takes the keys alone.
+    assert "ReadSchema: struct<k:string>" in text
+    assert merged.count() == 400 and merged.filter("v = 'new'").count() == source.count()
+
+
 def test_reading_one_partition_lists_only_its_files(spark, landed):
     partition = landed.read_partition(spark, "2024-01-01")
     assert all("/ds=2024-01-01/" in f for f in partition.inputFiles())

@@ -221,6 +221,13 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT DISTINCT -actor - 1, NULL, 'added', 'run', '{DS}' FROM e
         WHERE actor IS NOT NULL""",
+    "merge_few_corrections": f"""
+        SELECT event_id, event_type,
+               CASE WHEN ts::DATE = DATE '2024-01-05' THEN -value ELSE value END AS value,
+               '{DS}' AS ds FROM events
+        UNION ALL
+        SELECT -event_id - 1, NULL, value, '{DS}' FROM events
+        WHERE ts::DATE = DATE '2024-01-05'""",
     "web_events_job": f"""
         SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id,
                CASE WHEN props = '{{"k": 1}}' THEN event_type ELSE 'late' END AS event_type,

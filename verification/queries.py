@@ -381,6 +381,26 @@ def merge_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         DS,
         latest_by=["tag"],
         hot_rows=held.count() // 8,
+        small_rows=0,
+    )
+    return table.read(spark)
+
+
+def merge_few_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One day's events, corrected, and their copies under new keys, against all events."""
+    events = given(spark, sf_dir, "events")
+    table = _path_table(spark, "event_id bigint, event_type string, value double")
+    held = events.select("event_id", "event_type", "value")
+    table.replace_partition(stamp_partition(held, DS))
+    day = events.filter(F.to_date("ts") == F.lit("2024-01-05")).select("event_id", "value")
+    corrected = day.withColumn("value", -F.col("value"))
+    copied = day.withColumn("event_id", -F.col("event_id") - 1)
+    merge_partition(
+        stamp_partition(corrected.unionByName(copied), DS),
+        table,
+        ["event_id"],
+        DS,
+        hot_rows=held.count() // 8,
     )
     return table.read(spark)
 
@@ -470,6 +490,7 @@ QUERIES: dict[str, Query] = {
         merge_rerun,
         merge_catalog_partition,
         merge_hot_key,
+        merge_few_corrections,
         web_events_job,
         pos_transactions_job,
         crm_users_job,

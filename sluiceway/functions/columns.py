@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,13 @@ def field_of(df: DataFrame, name: str) -> T.StructField:
     return found[0]
 
 
+def spelled_like(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Rename columns that differ from one of ``names`` in case alone."""
+    spelling = {name.lower(): name for name in names}
+    renamed = {c: spelling.get(c.lower(), c) for c in df.columns if c not in names}
+    return df.withColumnsRenamed(renamed)
+
+
 def event_date(column: str, ds: str) -> Column:
     """Date part of a date string; the run date where it is missing or not a date.
 

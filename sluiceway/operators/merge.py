@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.functions.columns import quoted
+from sluiceway.functions.columns import quoted, spelled_like
 from sluiceway.operators.dedupe import keep_latest
 from sluiceway.operators.skew import HOT_ROWS, hot_keys
-from sluiceway.operators.staging import only_partition, stamp_partition
+from sluiceway.operators.staging import only_partition
 from sluiceway.sources.tables import Table
 from sluiceway.workspace import checkpoint_dir
 
@@ -29,12 +29,12 @@ def overwrite_partition(df: DataFrame, table: Table, value: str) -> None:
     no rows to write, the partition stays as it is.
     """
     schema = table.columns(df.sparkSession)
+    df = _in_table_terms(df, schema)
     absent = [n for n in schema.names if n not in df.columns]
-    _reject_unknown(df, schema)
     if absent:
         raise ValueError(f"columns missing from the source: {absent}")
     rows = only_partition(df, value, table.partition_column)
-    table.replace_partition(_conform(rows, schema, table.partition_column, value))
+    table.replace_partition(_filed_under(_cast(rows, schema), value, table, schema))
 
 
 def merge_partition(
@@ -57,7 +57,7 @@ def merge_partition(
     spark = df.sparkSession
     column = table.partition_column
     schema = table.columns(spark)
-    _reject_unknown(df, schema)
+    df = _in_table_terms(df, schema)
     source = df if stamp else only_partition(df, value, column)
     merged = upsert(
         source,
@@ -69,7 +69,7 @@ def merge_partition(
         hot_rows=hot_rows,
         small_rows=small_rows,
     )
-    table.replace_partition(stamp_partition(merged, value, column))
+    table.replace_partition(_filed_under(merged, value, table, schema))
 
 
 def upsert(
@@ -98,8 +98,7 @@ def upsert(
     * more, with a key that holds over ``hot_rows`` of them: the rows of such keys meet a
       broadcast of their few source rows, the others are joined as usual.
     """
-    if not keys:
-        raise ValueError("a merge needs at least one key column")
+    keys = _row_keys(keys, schema, partition_column)
     if latest_by is None:
         _require_unique(source, keys)
     data = T.StructType([f for f in schema if f.name != partition_column])
@@ -253,10 +252,28 @@ def _require_unique(df: DataFrame, keys: Sequence[str]) -> None:
         raise ValueError(f"the source of a merge holds key {key} more than once")
 
 
-def _reject_unknown(df: DataFrame, schema: T.StructType) -> None:
+def _row_keys(
+    keys: Sequence[str], schema: T.StructType, partition_column: str
+) -> list[str]:
+    """The keys as the table spells them; within one partition its column adds nothing."""
+    spelling = {name.lower(): name for name in schema.names}
+    unknown = [k for k in keys if k.lower() not in spelling]
+    if unknown:
+        raise ValueError(f"key columns the table does not have: {unknown}")
+    found = dict.fromkeys(spelling[k.lower()] for k in keys)
+    found.pop(partition_column, None)
+    if not found:
+        raise ValueError("a merge needs at least one key column besides the partition")
+    return list(found)
+
+
+def _in_table_terms(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Spell columns as the table does; raise on any it does not have."""
+    df = spelled_like(df, schema.names)
     unknown = [c for c in df.columns if c not in schema.names]
     if unknown:
         raise ValueError(f"columns the table does not have: {unknown}")
+    return df
 
 
 def _cast(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -267,7 +284,7 @@ def _cast(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def _conform(
-    df: DataFrame, schema: T.StructType, partition_column: str, value: str
-) -> DataFrame:
-    return stamp_partition(_cast(df, schema), value, partition_column)
+def _filed_under(df: DataFrame, value: str, table: Table, schema: T.StructType) -> DataFrame:
+    """Set the partition column, a constant, so that the write needs no sort by it."""
+    column = table.partition_column
+    return df.withColumn(column, F.lit(value).cast(schema[column].dataType))

@@ -180,6 +180,42 @@ def test_merge_without_keys_or_with_unknown_columns(spark, table):
         merge_partition(extra, table, ["k"], DAY)
 
 
+def test_names_match_whatever_their_case(spark, table):
+    table.replace_partition(frame(spark, [("a", "1", "x", DAY)]))
+    source = frame(spark, [("a", "2", DAY)], "K string, V string, DS string")
+    merge_partition(source, table, ["K"], DAY)
+    assert rows(table.read(spark)) == [("a", "2", "x", DAY)]
+    with pytest.raises(ValueError, match="id"):
+        merge_partition(source, table, ["id"], DAY)
+
+
+def test_partition_column_among_the_keys_adds_nothing(spark, table):
+    table.replace_partition(frame(spark, [("a", "1", "x", DAY)]))
+    source = frame(spark, [("a", "2", DAY)], "k string, v string, ds string")
+    merge_partition(source, table, ["k", "ds", "k"], DAY)
+    assert rows(table.read(spark)) == [("a", "2", "x", DAY)]
+    with pytest.raises(ValueError, match="besides the partition"):
+        merge_partition(source, table, ["ds"], DAY)
+
+
+def test_date_partition_column_and_dotted_names(spark, tmp_path):
+    spark.sql(
+        "CREATE TABLE dated (`k.x` BIGINT, v STRING, ds DATE) USING parquet"
+        f" PARTITIONED BY (ds) LOCATION '{tmp_path}/dated'"
+    )
+    try:
+        table = CatalogTable("dated")
+        source = spark.sql(f"select 1 as `k.x`, 'a' as v, date'{DAY}' as ds")
+        merge_partition(source, table, ["k.x"], DAY)
+        merge_partition(source.withColumn("v", F.lit("b")), table, ["k.x"], DAY)
+        overwrite_partition(table.read(spark), table, DAY)
+        assert rows(table.read(spark).withColumn("ds", F.col("ds").cast("string"))) == [
+            (1, "b", DAY)
+        ]
+    finally:
+        spark.sql("DROP TABLE dated")
+
+
 def test_empty_source_and_empty_target(spark, table):
     merge_partition(frame(spark, []), table, ["k"], DAY)
     assert rows(table.read(spark)) == []

@@ -10,6 +10,13 @@ from pyspark.sql import types as T
 
 from sluiceway.functions.columns import quoted, spelled_like
 from sluiceway.operators.dedupe import keep_latest
+from sluiceway.operators.keys import (
+    null_flags,
+    null_safe,
+    nullable_key,
+    require_unique,
+    row_keys,
+)
 from sluiceway.operators.skew import HOT_ROWS, hot_keys
 from sluiceway.operators.staging import only_partition
 from sluiceway.sources.tables import Table
@@ -98,12 +105,12 @@ def upsert(
     * more, with a key that holds over ``hot_rows`` of them: the rows of such keys meet a
       broadcast of their few source rows, the others are joined as usual.
     """
-    keys = _row_keys(keys, schema, partition_column)
+    keys = row_keys(keys, schema, partition_column)
     if latest_by is None:
-        _require_unique(source, keys)
+        require_unique(source, keys)
     data = T.StructType([f for f in schema if f.name != partition_column])
-    source = _null_safe(_cast(source, data), keys, data)
-    join_on = [*keys, *_null_flags(keys)]
+    source = null_safe(_cast(source, data), keys, data)
+    join_on = [*keys, *null_flags(keys)]
 
     def one_per_key(rows: DataFrame) -> DataFrame:
         # The source's own partition value may decide which row is latest.
@@ -117,7 +124,7 @@ def upsert(
     if current is None:
         return restored(one_per_key(source))
 
-    current = _null_safe(current.drop(partition_column), keys, data)
+    current = null_safe(current.drop(partition_column), keys, data)
     held = current.count()
     if held > hot_rows:
         if _has_at_most(source, small_rows):
@@ -198,8 +205,7 @@ def _restore(joined: DataFrame, keys: Sequence[str], data: T.StructType) -> Data
     def pick(field: T.StructField) -> Column:
         name = field.name
         if name in keys:
-            flag = _null_flags(keys)[list(keys).index(name)]
-            value = F.when(~F.col(flag), quoted(name))
+            value = nullable_key(name, keys)
         elif sides.count(name) == 2:
             of_source, of_current = F.col(f"s.`{name}`"), F.col(f"t.`{name}`")
             value = F.when(F.col(_MATCHED), of_source).otherwise(of_current)
@@ -210,63 +216,6 @@ def _restore(joined: DataFrame, keys: Sequence[str], data: T.StructType) -> Data
     return joined.select(*map(pick, data))
 
 
-def _null_flags(keys: Sequence[str]) -> list[str]:
-    return [f"__null_{i}" for i in range(len(keys))]
-
-
-def _null_safe(df: DataFrame, keys: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Turn each key into a value that is never null and a flag that says it was.
-
-    Plain equality on the pair is null-safe equality on the key, and as both are plain
-    columns the shuffle that removes duplicates also serves the join.
-    """
-    flags = dict(zip(_null_flags(keys), (quoted(k).isNull() for k in keys)))
-    filled = {k: F.coalesce(quoted(k), _filler(schema[k].dataType)) for k in keys}
-    rest = [quoted(c) for c in df.columns if c not in keys]
-    return df.select(
-        *(value.alias(name) for name, value in {**filled, **flags}.items()), *rest
-    )
-
-
-def _filler(data_type: T.DataType) -> Column:
-    """Any one value of the type."""
-    if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-        return F.lit("1970-01-01").cast(data_type)
-    if isinstance(data_type, (T.StringType, T.BinaryType)):
-        return F.lit("").cast(data_type)
-    if isinstance(data_type, (T.NumericType, T.BooleanType)):
-        return F.lit(0).cast(data_type)
-    raise TypeError(f"cannot use a {data_type.simpleString()} column as a key")
-
-
-def _require_unique(df: DataFrame, keys: Sequence[str]) -> None:
-    repeated = (
-        df.groupBy(*map(quoted, keys))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > 1)
-        .limit(1)
-        .collect()
-    )
-    if repeated:
-        key = {k: repeated[0][k] for k in keys}
-        raise ValueError(f"the source of a merge holds key {key} more than once")
-
-
-def _row_keys(
-    keys: Sequence[str], schema: T.StructType, partition_column: str
-) -> list[str]:
-    """The keys as the table spells them; within one partition its column adds nothing."""
-    spelling = {name.lower(): name for name in schema.names}
-    unknown = [k for k in keys if k.lower() not in spelling]
-    if unknown:
-        raise ValueError(f"key columns the table does not have: {unknown}")
-    found = dict.fromkeys(spelling[k.lower()] for k in keys)
-    found.pop(partition_column, None)
-    if not found:
-        raise ValueError("a merge needs at least one key column besides the partition")
-    return list(found)
-
-
 def _in_table_terms(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Spell columns as the table does; raise on any it does not have."""
     df = spelled_like(df, schema.names)

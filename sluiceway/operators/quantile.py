@@ -30,6 +30,9 @@ _LOG_SHIFT = 745.0
 _EVEN_BINS = 1024
 # This many candidates are few enough for one task to rank.
 _FEW = 100_000
+# Candidates are worth saving once they are at most this part of all values. A bin that
+# holds a hot value is not; the next pass tells that value from its neighbours.
+_SAVE_BELOW = 10
 
 
 def is_number(value: Column) -> Column:
@@ -76,11 +79,13 @@ def exact_quantiles(
         values = values.filter(reduce(or_, candidate_for)).select(
             F.explode(F.array_compact(F.array(*quantiles))).alias("series"), "v"
         )
-    if any(b.n > few for b in unsettled.values()):
-        # Later passes read the candidates, not the whole source again.
-        checkpoint_dir(df.sparkSession)
-        values = values.checkpoint()
+    totals = {k: b.total for k, b in found.items()}
+    saved = False
     while wide := {k: b for k, b in unsettled.items() if b.n > few}:
+        if not saved and all(b.n * _SAVE_BELOW <= totals[k] for k, b in wide.items()):
+            # Later passes read the candidates, not the whole source again.
+            checkpoint_dir(df.sparkSession)
+            values, saved = _within(values, unsettled).checkpoint(), True
         share = _for_series(
             {k: (value - F.lit(b.lo)) / F.lit(b.hi - b.lo) for k, b in wide.items()}
         )
@@ -141,7 +146,7 @@ def _locate(bins: DataFrame, ranks: Mapping[int, tuple[int, Column]]) -> dict[in
     rows = (
         bins.select("*", F.inline(F.array(*each)))
         .filter((F.col("series") == F.col("of")) & F.col("rank").between(below + 1, F.col("upto")))
-        .select("k", "n", "lo", "hi", (F.col("rank") - below).alias("rank"))
+        .select("k", "n", "lo", "hi", "total", (F.col("rank") - below).alias("rank"))
         .collect()
     )
     return {row.k: row for row in rows}

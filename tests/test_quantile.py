@@ -54,3 +54,24 @@ def test_nothing_to_rank(spark):
 def test_share_must_be_positive(spark):
     with pytest.raises(ValueError):
         exact_quantiles(frame(spark, [1.0]), [("x", 0.0)])
+
+
+def test_candidates_are_saved_only_when_they_are_few(spark, monkeypatch):
+    saved = []
+    cls = type(spark.range(1))
+    original = cls.checkpoint
+
+    def checkpoint(df, *args):
+        saved.append(df.count())
+        return original(df, *args)
+
+    monkeypatch.setattr(cls, "checkpoint", checkpoint)
+    # Two thirds of the values share a first bin, a third of all are the same.
+    df = spark.range(900).selectExpr(
+        "case when id % 3 = 0 then 100.0D when id % 3 = 1 then 100 + id / 1e4 else id end as x"
+    )
+    values = [row.x for row in df.collect()]
+    assert exact_quantiles(df, [("x", 0.5)], few=5) == [brute_force(values, 0.5)]
+    assert all(n <= 90 for n in saved)
+    assert exact_quantiles(df, [("x", 0.99)], few=1) == [brute_force(values, 0.99)]
+    assert len(saved) >= 1

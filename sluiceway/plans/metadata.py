@@ -113,14 +113,27 @@ def items_frame(spark: SparkSession, items: Iterable[ItemDef]) -> DataFrame:
 def export_items(
     spark: SparkSession,
     items: Sequence[ItemDef] | None = None,
-    table: str = METADATA_TABLE,
+    table: str | None = METADATA_TABLE,
     path: str | None = None,
 ) -> None:
-    """Replace the metadata table; its database must exist. ``path`` places its files."""
-    writer = items_frame(spark, registry() if items is None else items).coalesce(1).write
+    """Replace the metadata table, whose database must exist, with the registry or ``items``.
+
+    ``path`` places its files. With ``table=None`` only the files are written; jobs then
+    read them as ``files_table(path)``.
+    """
+    defs = items_frame(spark, registry() if items is None else items).coalesce(1)
+    writer = defs.write.mode("overwrite").format("parquet")
     if path is not None:
         writer = writer.option("path", path)
-    writer.mode("overwrite").format("parquet").saveAsTable(table)
+    if table is None:
+        writer.save()
+    else:
+        writer.saveAsTable(table)
+
+
+def files_table(path: str) -> str:
+    """The name under which Spark reads Parquet files as a table, with no catalog."""
+    return f"parquet.`{path}`"
 
 
 def load_item(

@@ -6,6 +6,7 @@ from sluiceway.operators.rules import FilledRatio, MaxPercentile, ValueRatio
 from sluiceway.plans.metadata import (
     ITEM_SCHEMA,
     export_items,
+    files_table,
     items_frame,
     load_item,
     registry,
@@ -37,6 +38,13 @@ def test_export_needs_the_database(spark):
         export_items(spark, table="nowhere.item_defs")
 
 
+def test_items_as_files_without_a_catalog(spark, tmp_path):
+    path = str(tmp_path / "item files")
+    export_items(spark, table=None, path=path)
+    export_items(spark, table=None, path=path)
+    assert load_item(spark, "core", "crm_users", files_table(path)) == registry()[0]
+
+
 def test_lookup_failures(spark, table, tmp_path):
     with pytest.raises(LookupError, match="not found in .* for domain='core', itemName='x'"):
         load_item(spark, "core", "x", table)

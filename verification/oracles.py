@@ -152,6 +152,26 @@ ORACLES: dict[str, str] = {
             ("l_linenumber", "0.75", "6.0"),
         )
     ),
+    "dq_documents": """
+        WITH d AS (SELECT length(text) AS length, lang, n_chars, text FROM documents),
+        m AS (SELECT count(*)::DOUBLE AS n,
+                     count(*) FILTER (WHERE lang <> 'de' AND length(trim(text, ' ')) > 0)
+                         AS filled,
+                     count(*) FILTER (WHERE length >= 100) AS long,
+                     count(*) FILTER (WHERE lang <> 'fr' AND n_chars < 5000) AS short,
+                     quantile_disc(length, 0.5)::DOUBLE AS half,
+                     quantile_disc(length, 0.999)::DOUBLE AS top FROM d)
+        SELECT 'filled_ratio(text)>=0.5' AS rule, 'filled_ratio' AS rule_type,
+               'text' AS "column", filled / n AS observed, 0.5::DOUBLE AS threshold,
+               filled / n >= 0.5 AS ok FROM m
+        UNION ALL SELECT 'value_ratio(length gte 100.0)>=0.9', 'value_ratio', 'length',
+               long / n, 0.9, long / n >= 0.9 FROM m
+        UNION ALL SELECT 'value_ratio(n_chars lt 5000.0)>=0.25', 'value_ratio', 'n_chars',
+               short / n, 0.25, short / n >= 0.25 FROM m
+        UNION ALL SELECT 'max_percentile(length,p=0.5)<=1000.0', 'max_percentile', 'length',
+               half, 1000, half <= 1000 FROM m
+        UNION ALL SELECT 'max_percentile(length,p=0.999)<=1000000.0', 'max_percentile',
+               'length', top, 1000000, top <= 1000000 FROM m""",
     "dq_report": """
         WITH c AS (SELECT count(*)::DOUBLE AS n,
                           count(*) FILTER (WHERE c_mktsegment <> 'BUILDING') AS filled

@@ -184,6 +184,27 @@ def dq_max_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dq_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over whole texts and their lengths, one language's texts blanked."""
+    documents = given(spark, sf_dir, "documents").select(
+        F.when(F.col("lang") == "de", F.repeat(F.lit(" "), 3)).otherwise(F.col("text")).alias(
+            "text"
+        ),
+        F.length("text").alias("length"),
+        F.when(F.col("lang") != "fr", text("n_chars")).alias("n_chars"),
+    )
+    return report(
+        documents,
+        [
+            FilledRatio("text", 0.5),
+            ValueRatio("length", "gte", 100.0, 0.9),
+            ValueRatio("n_chars", "lt", 5000.0, 0.25),
+            MaxPercentile("length", 0.5, 1000.0),
+            MaxPercentile("length", 0.999, 1000000.0),
+        ],
+    )
+
+
 def _spoiled_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The jobs' transformed rows, a fifth of the emails blank and a third of the amounts NaN."""
     customer, orders = given(spark, sf_dir, "customer"), given(spark, sf_dir, "orders")
@@ -478,6 +499,7 @@ QUERIES: dict[str, Query] = {
         dq_filled_ratio,
         dq_value_ratio,
         dq_max_percentile,
+        dq_documents,
         dq_report,
         dq_gate,
         metadata_rules,

@@ -43,6 +43,18 @@ def test_composite_keys_and_unsortable_columns(spark):
     ]
 
 
+def test_keys_that_are_equal_though_written_differently(spark):
+    doubles = spark.sql(
+        "select * from values (0.0D, 1), (-0.0D, 2), (double('NaN'), 3), (sqrt(-1.0D), 4)"
+        " as t(k, t)"
+    )
+    assert sorted(r.t for r in keep_latest(doubles, ["k"], ["t"]).collect()) == [2, 4]
+    texts = spark.sql(
+        "select k collate utf8_lcase as k, t from values ('a', 1), ('A', 2), ('b', 3) as t(k, t)"
+    )
+    assert sorted(r.t for r in keep_latest(texts, ["K"], ["t"]).collect()) == [2, 3]
+
+
 def test_keys_are_required(spark):
     with pytest.raises(ValueError, match="key"):
         keep_latest(spark.range(3), [], ["id"])

@@ -43,5 +43,5 @@ def hot_keys(
         .filter(F.col("__rows") > limit)
         .drop("__rows")
     )
-    rows = hot.collect()
-    return df.sparkSession.createDataFrame(rows, hot.schema) if rows else None
+    found = hot.toArrow()
+    return df.sparkSession.createDataFrame(found, hot.schema) if found.num_rows else None

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from sluiceway.operators.rules import Rule, build_rules
 
@@ -97,17 +99,22 @@ def registry() -> list[ItemDef]:
 def items_frame(spark: SparkSession, items: Iterable[ItemDef]) -> DataFrame:
     """Item definitions as a DataFrame with nested rules."""
     rows = [
-        (
-            item.domain,
-            item.group_name,
-            item.item_name,
-            list(item.key_columns),
-            [(spec.rule_type, spec.params) for spec in item.dq_rules],
-            item.output_table,
-        )
+        {
+            "domain": item.domain,
+            "groupName": item.group_name,
+            "itemName": item.item_name,
+            "keyColumns": list(item.key_columns),
+            "dqRules": [
+                {"ruleType": spec.rule_type, "params": list(spec.params.items())}
+                for spec in item.dq_rules
+            ],
+            "outputTable": item.output_table,
+        }
         for item in items
     ]
-    return spark.createDataFrame(rows, ITEM_SCHEMA)
+    # From Arrow, Spark plans a local table and starts no Python worker.
+    table = pa.Table.from_pylist(rows, schema=to_arrow_schema(ITEM_SCHEMA))
+    return spark.createDataFrame(table, ITEM_SCHEMA)
 
 
 def export_items(

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluiceway.functions.columns import quoted
 
+_RANK = "__key_rank"
+
 
 def row_keys(
     keys: Sequence[str], schema: T.StructType, partition_column: str
@@ -26,18 +28,20 @@ def row_keys(
     return list(found)
 
 
-def require_unique(df: DataFrame, keys: Sequence[str]) -> None:
-    """Raise if any key, null or not, is on more than one row."""
-    repeated = (
-        df.groupBy(*map(quoted, keys))
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > 1)
-        .limit(1)
-        .collect()
+def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows of a ``null_safe`` frame; running it fails if a key is on more than one.
+
+    The check rides on the shuffle of the join that follows. Two rows per key are enough
+    to tell, so no more of them leave a map task.
+    """
+    by = [*keys, *null_flags(keys)]
+    rank = F.row_number().over(Window.partitionBy(*map(quoted, by)).orderBy(quoted(by[0])))
+    shown = (F.coalesce(nullable_key(k, keys).cast("string"), F.lit("null")) for k in keys)
+    repeated = F.concat(
+        F.lit("the source of a merge holds a key more than once: "), F.concat_ws(", ", *shown)
     )
-    if repeated:
-        key = {k: repeated[0][k] for k in keys}
-        raise ValueError(f"the source of a merge holds key {key} more than once")
+    first = F.when(F.col(_RANK) == 1, True).otherwise(F.raise_error(repeated).cast("boolean"))
+    return df.withColumn(_RANK, rank).filter((F.col(_RANK) <= 2) & first).drop(_RANK)
 
 
 def null_flags(keys: Sequence[str]) -> list[str]:

@@ -57,7 +57,7 @@ def merge_partition(
     """Upsert ``df`` into one partition: update matched keys, insert the rest, keep the others.
 
     With ``latest_by`` the source is first reduced to its latest row per key; without,
-    it must hold each key once. With ``stamp`` every row is filed under ``value``;
+    the merge fails, and writes nothing, if a key repeats. With ``stamp`` every row is filed under ``value``;
     without, rows of other partitions are dropped. ``hot_rows`` and ``small_rows`` only
     choose how the join runs; see ``upsert``.
     """
@@ -106,15 +106,15 @@ def upsert(
       broadcast of their few source rows, the others are joined as usual.
     """
     keys = row_keys(keys, schema, partition_column)
-    if latest_by is None:
-        require_unique(source, keys)
     data = T.StructType([f for f in schema if f.name != partition_column])
     source = null_safe(_cast(source, data), keys, data)
     join_on = [*keys, *null_flags(keys)]
 
     def one_per_key(rows: DataFrame) -> DataFrame:
-        # The source's own partition value may decide which row is latest.
-        if latest_by is not None:
+        if latest_by is None:
+            rows = require_unique(rows, keys)
+        else:
+            # The source's own partition value may decide which row is latest.
             rows = keep_latest(rows, join_on, latest_by)
         return rows.drop(partition_column)
 

@@ -157,8 +157,19 @@ def test_merge_of_keys_alone_changes_nothing_that_matches(spark, table):
 
 def test_repeated_source_key_is_refused_unless_reduced(spark, table):
     source = frame(spark, [("a", "1", "x", DAY), ("a", "2", "x", DAY)])
-    with pytest.raises(ValueError, match="'k': 'a'.*more than once"):
-        merge_partition(source, table, ["k"], DAY)
+    nulls = frame(spark, [("b", "1", "x", DAY), (None, "1", "x", DAY), (None, "1", "x", DAY)])
+    held = frame(spark, [("a", "0", "x", DAY), ("c", "0", "x", DAY)])
+    for attempt in ("first load", "merge"):
+        with pytest.raises(Exception, match="more than once: a"):
+            merge_partition(source, table, ["k"], DAY)
+        with pytest.raises(Exception, match="more than once: null"):
+            merge_partition(nulls, table, ["k"], DAY)
+        with pytest.raises(Exception, match="more than once: a"):
+            merge_partition(source, table, ["k"], DAY, hot_rows=0)
+        if attempt == "first load":
+            table.replace_partition(held)
+    assert rows(table.read(spark)) == [("a", "0", "x", DAY), ("c", "0", "x", DAY)]
+    overwrite_partition(held.filter("k = 'a'"), table, DAY)
     merge_partition(source, table, ["k"], DAY, latest_by=["v"])
     assert rows(table.read(spark)) == [("a", "2", "x", DAY)]
 

@@ -76,6 +76,13 @@ def test_merge_shuffles_each_side_once(spark, landed, no_broadcast):
     assert "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_check_for_repeated_keys_adds_no_shuffle(spark, landed, no_broadcast):
+    source, current = landed.read(spark), landed.read_partition(spark, "2024-01-01")
+    text = plan(upsert(source, current, SCHEMA, ["k"], "ds"))
+    assert text.count("Exchange hashpartitioning") == 2
+    assert len(re.findall(r"WindowGroupLimit .* 2, Partial", text)) == 1
+
+
 def test_first_load_of_a_partition_has_no_join(spark, landed):
     assert landed.read_partition(spark, "2030-01-01") is None
     text = plan(upsert(landed.read(spark), None, SCHEMA, ["k"], "ds", latest_by=["ds"]))

@@ -227,7 +227,7 @@ ORACLES: dict[str, str] = {
             ORDER BY l_shipdate DESC, l_extendedprice DESC, l_partkey DESC, l_suppkey DESC
         ) = 1""",
     "dedupe_null_keys": f"""
-        SELECT actor, event_id, score FROM ({SPOILED_EVENTS_SQL})
+        SELECT actor::VARCHAR AS actor, event_id, score FROM ({SPOILED_EVENTS_SQL})
         QUALIFY row_number() OVER (PARTITION BY actor
                                    ORDER BY score DESC NULLS LAST, event_id DESC) = 1""",
     "overwrite_one_partition": _OVERWRITTEN,
@@ -237,9 +237,10 @@ ORACLES: dict[str, str] = {
     "merge_catalog_partition": _MERGED,
     "merge_hot_key": f"""
         WITH e AS ({SPOILED_EVENTS_SQL})
-        SELECT actor, event_id, 'updated' AS label, 'run' AS tag, '{DS}' AS ds FROM e
+        SELECT actor::VARCHAR AS actor, event_id::VARCHAR AS event_id, 'updated' AS label,
+               'run' AS tag, '{DS}' AS ds FROM e
         UNION ALL
-        SELECT DISTINCT -actor - 1, NULL, 'added', 'run', '{DS}' FROM e
+        SELECT DISTINCT (-actor - 1)::VARCHAR, NULL, 'added', 'run', '{DS}' FROM e
         WHERE actor IS NOT NULL""",
     "merge_few_corrections": f"""
         SELECT event_id, event_type,

@@ -312,7 +312,7 @@ def dedupe_null_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spoiled_events(given(spark, sf_dir, "events")).select(
         "actor", "event_id", F.nanvl("score", F.lit(None)).alias("score")
     )
-    return keep_latest(events, ["actor"], ["score"])
+    return keep_latest(events, ["actor"], ["score"]).withColumn("actor", text("actor"))
 
 
 # Partitioned tables
@@ -404,7 +404,7 @@ def merge_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
         hot_rows=held.count() // 8,
         small_rows=0,
     )
-    return table.read(spark)
+    return table.read(spark).withColumns({"actor": text("actor"), "event_id": text("event_id")})
 
 
 def merge_few_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:

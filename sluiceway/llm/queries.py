@@ -8,7 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.llm.bpe import decoded, encoded, ids_digest
 from sluiceway.llm.exact_dedup import exact_groups
+from sluiceway.llm.packing import pack
 from sluiceway.llm.url_filter import Rule, host_and_path, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,11 +28,23 @@ def given(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    """The definition of a public tokenizer."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of identical texts."""
     return exact_groups(given(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of 1024 tokens."""
+    return pack(given(spark, sf_dir, "documents"), tokenizer())
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, judged; a page is labelled as the document its path ends in the number of."""
     pages = given(spark, sf_dir, "pages").select("page_id", "url")
@@ -42,7 +56,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, RULES, known)
 
 
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded again."""
+    docs = given(spark, sf_dir, "documents").select("doc_id", "text")
+    definition = tokenizer()
+    both = decoded(encoded(docs, definition), definition)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        ids_digest(F.col("ids")).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_packing": op4_packing,
     "op7_url_filter": op7_url_filter,
+    "op9_bpe": op9_bpe,
 }

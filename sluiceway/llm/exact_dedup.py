@@ -20,10 +20,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.tables import saved
+from sluiceway.llm.tables import look_up, saved
 
 SALTS = 16
-HOT_SHARE = 1000
 
 
 def sha256(text: Column) -> Column:
@@ -59,7 +58,12 @@ def exact_groups(
     groups = saved(
         contents.groupBy("digest").agg(*one_size, F.count("*").alias("contents")), "exact-groups"
     )
-    found = _look_up(rows.select("doc_id", "digest"), groups.filter("contents = 1").drop("contents"))
+    found = look_up(
+        rows.select("doc_id", "digest"),
+        groups.filter("contents = 1").drop("contents"),
+        "digest",
+        "group_size",
+    )
     clashing = groups.filter("contents > 1").select("digest")
     if not clashing.isEmpty():
         some = rows.join(clashing, "digest", "left_semi")
@@ -77,27 +81,3 @@ def exact_groups(
         "digest",
     )
 
-
-def _look_up(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Each row with its group; rows of large groups are not shuffled."""
-    total = groups.agg(F.sum("group_size")).first()[0] or 0
-    large = F.col("group_size") >= max(1, total / HOT_SHARE)
-    hot = groups.filter(large).select(
-        "digest", F.col("keep_id").alias("hot_id"), F.col("group_size").alias("hot_size")
-    )
-    rest = groups.filter(~large).withColumnRenamed("digest", "found")
-    # Rows already found get keys of their own, which no digest equals.
-    key = F.when(F.col("hot_size").isNull(), F.col("digest")).otherwise(
-        F.concat(F.lit("found "), F.monotonically_increasing_id())
-    )
-    return (
-        rows.join(F.broadcast(hot), "digest", "left")
-        .withColumn("found", key)
-        .join(rest, "found", "left")
-        .select(
-            "doc_id",
-            "digest",
-            F.when(F.col("hot_size").isNull(), F.col("keep_id")).otherwise(F.col("hot_id")).alias("keep_id"),
-            F.coalesce("hot_size", "group_size").alias("group_size"),
-        )
-    )

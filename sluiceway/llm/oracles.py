@@ -1,5 +1,21 @@
 """The queries' results in DuckDB SQL, where SQL can express them."""
 
+# Shared parts of the queries over word shingles.
+_SHINGLES = r"""
+    words AS (
+        SELECT doc_id,
+               regexp_extract_all(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[^\x20\x09-\x0D]+') AS w
+        FROM documents),
+    shingles AS (
+        SELECT DISTINCT doc_id, unnest(CASE
+            WHEN len(w) = 0 THEN []
+            WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+            ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s
+        FROM words)
+"""
+
 ORACLES = {
     "op2_exact_dedup": """
         WITH rows AS (SELECT doc_id, coalesce(text, '') AS content FROM documents)
@@ -10,4 +26,19 @@ ORACLES = {
                sha256(content) AS text_sha256
         FROM rows WINDOW same AS (PARTITION BY content)
     """,
+    "op5_jaccard_join": "WITH RECURSIVE" + _SHINGLES + """,
+    sizes AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingles USING (doc_id) GROUP BY doc_id),
+    links AS (
+        SELECT a.doc_id AS x, b.doc_id AS y
+        FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+        JOIN sizes m ON m.doc_id = a.doc_id JOIN sizes n ON n.doc_id = b.doc_id
+        GROUP BY a.doc_id, b.doc_id, m.n, n.n
+        HAVING 100 * count(*) >= 80 * (m.n + n.n - count(*))),
+    reach AS (
+        SELECT doc_id, doc_id AS to_id FROM documents
+        UNION
+        SELECT reach.doc_id, links.y FROM reach JOIN links ON links.x = reach.to_id)
+        SELECT doc_id, n AS n_shingles, min(to_id) AS component_id
+        FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
+    """,
 }

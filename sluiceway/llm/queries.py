@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm.bpe import decoded, encoded, ids_digest
 from sluiceway.llm.exact_dedup import exact_groups
+from sluiceway.llm.jaccard_join import similar_components
 from sluiceway.llm.packing import pack
 from sluiceway.llm.url_filter import Rule, host_and_path, judge_urls
 
@@ -45,6 +46,11 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(given(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of texts that are alike in their shingles."""
+    return similar_components(given(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, judged; a page is labelled as the document its path ends in the number of."""
     pages = given(spark, sf_dir, "pages").select("page_id", "url")
@@ -72,6 +78,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
     "op4_packing": op4_packing,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_url_filter": op7_url_filter,
     "op9_bpe": op9_bpe,
 }

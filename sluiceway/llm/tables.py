@@ -1,15 +1,60 @@
-"""Intermediate tables in the shared folder the session names, which outlive executors."""
+"""Intermediate tables in the shared folder, and joins that hot keys cannot overload."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from sluiceway.workspace import fresh_path
 
+HOT_SHARE = 1000
+_BUCKETS = 1 << 20
+
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet to the shared folder and read it again."""
+    """Write a frame as Parquet to the shared folder, which outlives executors, and read it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def look_up(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """``rows`` left-joined with ``table``, which has each key once and is read twice.
+
+    ``count`` says how many rows have the key. Keys with a thousandth of all rows number a
+    thousand at most: they are joined by broadcast, so no task gets all rows of such a key;
+    the rest are shuffled. Both keys are strings, and the table's columns are narrow.
+    """
+    total = table.agg(F.sum(count)).first()[0] or 0
+    large = F.col(count) >= max(1, total / HOT_SHARE)
+    names = [c for c in table.columns if c != key]
+    hot = table.filter(large).select(key, F.lit(True).alias("__hot"), *(F.col(c).alias(f"__hot_{c}") for c in names))
+    rest = table.filter(~large).select(F.col(key).alias("__key"), *(F.col(c).alias(f"__rest_{c}") for c in names))
+    # Rows already found, and those without a key, get keys of their own, which no key equals.
+    other = F.when(F.col("__hot").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(
+        F.concat(F.lit("found "), F.monotonically_increasing_id())
+    )
+    return (
+        rows.join(F.broadcast(hot), key, "left")
+        .withColumn("__key", other)
+        .join(rest, "__key", "left")
+        .select(
+            *rows.columns,
+            *(F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(f"__rest_{c}")).alias(c) for c in names),
+        )
+    )
+
+
+def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key may be in the one column of ``ids``: all that are, and few others if ids are few.
+
+    Keys are hashed into about a million buckets; those that ids fall in, at most all, are
+    broadcast. It spares a shuffle of texts that a join would then drop.
+    """
+
+    def bucket(column: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(_BUCKETS)).cast("int")
+
+    there = ids.select(bucket(ids.columns[0]).alias("__bucket")).distinct()
+    return rows.withColumn("__bucket", bucket(key)).join(F.broadcast(there), "__bucket", "left_semi").drop("__bucket")

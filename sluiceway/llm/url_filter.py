@@ -23,14 +23,13 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.tables import saved
+from sluiceway.llm.tables import look_up, saved
 
 BRANCHES = 32
 ALIKE = 2.58
 WEIGHT = 5.0
 REJECT = 0.5
 DEPTH = 4
-HOT_SHARE = 1000
 
 
 class Rule(NamedTuple):
@@ -95,7 +94,7 @@ def judge_urls(
     )
     templates = saved(_purities(_templates(shapes, branches, alike), weight), "url-templates")
     ruled = parsed.withColumn("rule", _rule(rules, F.col("host"), F.col("path")))
-    judged = _look_up(ruled, templates)
+    judged = look_up(ruled, templates, "key", "pages")
     return judged.select(
         "page_id",
         "host",
@@ -172,26 +171,3 @@ def _purities(shapes: DataFrame, weight: float) -> DataFrame:
     )
     return shapes.join(purities, ["host", "template"]).select("key", "pages", "template", "purity")
 
-
-def _look_up(pages: DataFrame, templates: DataFrame) -> DataFrame:
-    """Each page with its template; pages of frequent shapes are not shuffled.
-
-    At most ``HOT_SHARE`` shapes have that share of all pages. Only their keys, of 64
-    characters, and verdict columns are broadcast.
-    """
-    total = templates.agg(F.sum("pages")).first()[0] or 0
-    large = F.col("pages") >= max(1, total / HOT_SHARE)
-    hot = templates.filter(large).select(
-        "key", F.col("template").alias("hot_template"), F.col("purity").alias("hot_purity")
-    )
-    rest = templates.filter(~large).withColumnRenamed("key", "found").drop("pages")
-    key = F.when(F.col("hot_purity").isNull(), F.col("key")).otherwise(
-        F.concat(F.lit("found "), F.monotonically_increasing_id())
-    )
-    return (
-        pages.join(F.broadcast(hot), "key", "left")
-        .withColumn("found", key)
-        .join(rest, "found", "left")
-        .withColumn("template", F.coalesce("hot_template", "template"))
-        .withColumn("purity", F.coalesce("hot_purity", "purity"))
-    )

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterable, Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE cuts text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 1_000_000
+MEMO = 400_000
 MEMO_LENGTH = 48
 _CELLS = 1 << 18
 _NONE = 1 << 62
@@ -38,7 +37,7 @@ def _byte_characters() -> dict[str, int]:
 
 
 class ByteBpe(dict):
-    """A vocabulary with its merges; as a dict, the ids of the pieces met so far."""
+    """A vocabulary with its merges; as a dict, the ids (int32, as bytes) of the pieces met so far."""
 
     def __init__(self, definition: str):
         super().__init__()
@@ -58,7 +57,7 @@ class ByteBpe(dict):
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         self.learn([piece])
         return self.pop(piece) if len(piece) > MEMO_LENGTH else self[piece]
 
@@ -76,8 +75,8 @@ class ByteBpe(dict):
                 spelled = [p.encode("utf-8", "surrogatepass") for p in part]
                 symbols = self.merged(spelled, width)
                 live = symbols >= 0
-                flat, ends = symbols[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
-                self.update({p: tuple(flat[i:j]) for p, i, j in zip(part, [0, *ends], ends)})
+                flat, ends = symbols[live].tobytes(), (4 * np.cumsum(live.sum(axis=1))).tolist()
+                self.update({p: flat[i:j] for p, i, j in zip(part, [0, *ends], ends)})
 
     def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair of symbols; _NONE where it has none or a symbol is absent."""
@@ -142,9 +141,12 @@ class ByteBpe(dict):
             return np.empty(0, np.int32)
         if self._marked(text):
             parts = self.marks.split(text)
-            found = [(self.special[p],) if p in self.special else self.encode(p) for p in parts]
-            return np.fromiter(chain.from_iterable(found), np.int32)
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, self.pieces.findall(text))), np.int32)
+            found = [np.array([self.special[p]], np.int32) if p in self.special else self.encode(p) for p in parts]
+            return np.concatenate(found)
+        return self._joined(self.pieces.findall(text))
+
+    def _joined(self, pieces: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, pieces)), np.int32)
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text; pieces that are new to a run of texts are learnt together."""
@@ -154,9 +156,7 @@ class ByteBpe(dict):
             cut = [self.pieces.findall(t) if t and not self._marked(t) else None for t in some]
             self.learn({p for c in cut if c for p in c if len(p) <= MEMO_LENGTH})
             for text, c in zip(some, cut, strict=True):
-                yield self.encode(text) if c is None else np.fromiter(
-                    chain.from_iterable(map(self.__getitem__, c)), np.int32
-                )
+                yield self.encode(text) if c is None else self._joined(c)
 
     def _marked(self, text: str) -> bool:
         return any(mark in text for mark in self.special)

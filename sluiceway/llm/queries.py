@@ -12,6 +12,7 @@ from sluiceway.llm.bpe import decoded, encoded, ids_digest
 from sluiceway.llm.exact_dedup import exact_groups
 from sluiceway.llm.jaccard_join import similar_components
 from sluiceway.llm.packing import pack
+from sluiceway.llm.substrings import repeated_passages
 from sluiceway.llm.url_filter import Rule, host_and_path, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +42,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(given(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every passage of 50 words or more that repeats an earlier one."""
+    return repeated_passages(given(spark, sf_dir, "documents"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence of 1024 tokens."""
     return pack(given(spark, sf_dir, "documents"), tokenizer())
@@ -77,6 +83,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_url_filter": op7_url_filter,

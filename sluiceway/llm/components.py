@@ -12,11 +12,12 @@ def components(links: DataFrame) -> DataFrame:
     """Per node of ``links`` (a, b: long): node, component, its smallest reachable node.
 
     Each round orders the nodes by a hash that is new in that round, sends every node to the
-    first of itself and its neighbours, and rewrites the links accordingly. A fixed share of
-    the nodes that have links is expected to go, in a chain as well as in a star, so the rounds
-    grow as the logarithm of the nodes. Going back, each node takes the component of the node
-    it was sent to. A node's links are combined in the map tasks, whatever their number. Links
-    with a null end, loops and repeated links change nothing; no links give no rows.
+    first among itself, its neighbours and theirs, and rewrites the links accordingly. A star
+    goes in one round and of a chain a fixed share of the nodes is expected to, so the rounds
+    grow as the logarithm of the nodes at most. Going back, each node takes the component of
+    the node it was sent to. A node's links are combined in the map tasks, whatever their
+    number. Links with a null end, loops and repeated links change nothing; no links give no
+    rows.
     """
     edges = saved(links.filter("a <> b").select("a", "b").distinct(), "links")
     if edges.isEmpty():
@@ -25,12 +26,10 @@ def components(links: DataFrame) -> DataFrame:
     while not edges.isEmpty():
         order = F.lit(len(levels))
         ends = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        first = F.min(F.struct(F.xxhash64("b", order), F.col("b").alias("node")))
-        own = F.struct(F.xxhash64("node", order), F.col("node").alias("node"))
+        ends = ends.unionByName(edges.select(F.explode(F.array("a", "b")).alias("a")).select("a", F.col("a").alias("b")))
+        near = ends.groupBy(F.col("a").alias("b")).agg(F.min(F.struct(F.xxhash64("b", order), "b")).alias("first"))
         to = saved(
-            ends.groupBy(F.col("a").alias("node"))
-            .agg(first.alias("first"))
-            .select("node", F.least("first", own)["node"].alias("parent")),
+            ends.join(near, "b").groupBy(F.col("a").alias("node")).agg(F.min("first")["b"].alias("parent")),
             "parents",
         )
         levels.append(to)

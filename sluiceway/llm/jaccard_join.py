@@ -8,8 +8,8 @@
    Each key's classes are first paired with one of them only, chosen by hash.
 3. Bitmaps judge a pair: a differing bit needs a differing shingle, so the similarity is at
    most (a + b - x) / (a + b + x), x the differing bits. Of the pairs that may reach the
-   threshold, each class verifies its best to another component, on the exact sorted sets,
-   and components are joined, until no pair joins different components.
+   threshold, each class's best is verified first, on the exact sorted sets, and then those
+   of the others that still join different components.
 4. Keys whose classes are still in different components are compared in full, in tiles of a
    size band and a block: only classes of like size meet, and of these only pairs in
    different components that the bitmaps let through come out, to be verified as before.
@@ -141,18 +141,25 @@ def _with_components(pairs: DataFrame, found: DataFrame | None) -> DataFrame:
     return pairs.join(left, "a", "left").join(right, "b", "left").withColumns(ends).filter("ca <> cb")
 
 
-def _settle(pairs: DataFrame, links: DataFrame, docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """Verify pairs until none joins different components; the links, and the components."""
-    found = saved(components(links), "components")
+def _settle(
+    pairs: DataFrame, links: DataFrame, found: DataFrame | None, docs: DataFrame, least: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Verify the pairs that join different components; the links, and the components.
+
+    First each end's best pair is verified. Those of the others that then still join different
+    components are verified all.
+    """
     pairs = saved(_with_components(pairs, found).select("a", "b", "most"), "pairs")
-    while not pairs.isEmpty():
-        both = pairs.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "most")
-        best = both.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("most", "a", "b")).alias("pair"))
-        now = saved(best.select("pair.a", "pair.b").distinct(), "chosen")
+    both = pairs.select(F.explode(F.array("a", "b")).alias("end"), "a", "b", "most")
+    best = both.groupBy("end").agg(F.max_by(F.struct("a", "b"), F.struct("most", "a", "b")).alias("pair"))
+    now = saved(best.select("pair.a", "pair.b").distinct(), "chosen")
+    for _ in range(2):
+        if now.isEmpty():
+            break
         links = saved(links.unionByName(_verified(now, docs, least)), "links")
         found = saved(components(links), "components")
-        rest = pairs.join(now, ["a", "b"], "left_anti")
-        pairs = saved(_with_components(rest, found).select("a", "b", "most"), "pairs")
+        rest = _with_components(pairs.join(now, ["a", "b"], "left_anti"), found)
+        now = saved(rest.select("a", "b"), "chosen")
     return links, found
 
 
@@ -247,8 +254,9 @@ def similar_components(docs: DataFrame, *, least: int = SIMILAR) -> DataFrame:
     )
     none = keys.limit(0).select(F.col("id").alias("a"), F.col("id").alias("b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    links, found = _settle(_possible(stars, least), none, texts, least)
-    _, found = _settle(_tiles(keys.select("id", "key"), known, found, least), links, texts, least)
+    links, found = _settle(_possible(stars, least), none, None, texts, least)
+    found = components(none) if found is None else found
+    _, found = _settle(_tiles(keys.select("id", "key"), known, found, least), links, found, texts, least)
     classes = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(
         "digest", "rows", F.coalesce("component", "id").alias("component_id")
     )

@@ -148,6 +148,8 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMIL
             shift = int(np.median(there - own))
             near = there[np.abs(there - own - shift) <= (j - i) // 4]
             k, l = int(near.min()), int(near.max()) + 1
+            if l - k < least:  # tokens that recur are found at their first place only
+                l = min(len(b), k + j - i)
             p, q = np.unique(a[i:j]), np.unique(b[k:l])
             both = len(np.intersect1d(p, q, assume_unique=True))
             if 100 * both >= similar * (len(p) + len(q) - both) and l - k >= least:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from sluiceway.llm.bpe import decoded, encoded, ids_digest
 from sluiceway.llm.exact_dedup import exact_groups
 from sluiceway.llm.jaccard_join import similar_components
+from sluiceway.llm.language import document_items, fit, identify, page_items
 from sluiceway.llm.packing import pack
 from sluiceway.llm.substrings import repeated_passages
 from sluiceway.llm.url_filter import Rule, host_and_path, judge_urls
@@ -37,6 +38,16 @@ def tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return Path(public_tokenizers.path(name)).read_text(encoding="utf-8")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page and every document with its language; the texts' labels are the documents'.
+
+    Rows of documents have a doc_id and those of pages a page_id; the other is null.
+    """
+    docs = given(spark, sf_dir, "documents")
+    items = document_items(docs).unionByName(page_items(given(spark, sf_dir, "pages")), allowMissingColumns=True)
+    return identify(items, fit(docs), keys=("doc_id", "page_id"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its group of identical texts."""
     return exact_groups(given(spark, sf_dir, "documents")).withColumnRenamed("digest", "text_sha256")
@@ -82,6 +93,7 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,

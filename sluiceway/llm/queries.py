@@ -12,6 +12,7 @@ from sluiceway.llm.bpe import decoded, encoded, ids_digest
 from sluiceway.llm.exact_dedup import exact_groups
 from sluiceway.llm.jaccard_join import similar_components
 from sluiceway.llm.language import document_items, fit, identify, page_items
+from sluiceway.llm.licenses import license_notices
 from sluiceway.llm.packing import pack
 from sluiceway.llm.substrings import repeated_passages
 from sluiceway.llm.url_filter import Rule, host_and_path, judge_urls
@@ -92,6 +93,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every licence notice in every document."""
+    return license_notices(given(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -100,4 +106,5 @@ QUERIES: dict[str, Query] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op7_url_filter": op7_url_filter,
     "op9_bpe": op9_bpe,
+    "op10_license_scan": op10_license_scan,
 }

@@ -16,6 +16,8 @@ SHINGLE = 5
 _CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
+_PUNCTUATED = np.ones(256, bool)
+_PUNCTUATED[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACES = b" \t\n\v\f\r"
@@ -41,10 +43,10 @@ _UP = _powers(_BASE, _CHUNK + 1)
 _DOWN = _powers(_INVERSE, _CHUNK + 1)
 
 
-def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashes(data: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of some bytes: hash, first byte, and byte after the last."""
     raw = np.frombuffer(data, np.uint8)
-    word = ~_SPACE[raw]
+    word = ~between[raw]
     edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
     start, end = edge[::2], edge[1::2]
     if not len(start):
@@ -68,13 +70,17 @@ def _parts(data: bytes) -> Iterator[bytes]:
     yield data[at:]
 
 
-def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
-    """Each text's words in order, as uint64; a null text has none."""
+def word_hashes(texts: Iterable[str | None], *, punctuated: bool = False) -> Iterator[np.ndarray]:
+    """Each text's words in order, as uint64; a null text has none.
+
+    ``punctuated`` ends words at any ASCII character that is not a letter or digit, too.
+    """
+    between = _PUNCTUATED if punctuated else _SPACE
     held: list[bytes] = []
     size = 0
 
     def flush() -> Iterator[np.ndarray]:
-        found, start, _ = _hashes(b" ".join(held))
+        found, start, _ = _hashes(b" ".join(held), between)
         ends = np.cumsum([len(x) + 1 for x in held])
         yield from np.split(found, np.searchsorted(start, ends[:-1]))
 
@@ -84,7 +90,7 @@ def word_hashes(texts: Iterable[str | None]) -> Iterator[np.ndarray]:
             yield from flush()
             held, size = [], 0
         if len(data) >= _CHUNK:
-            yield np.concatenate([_hashes(x)[0] for x in _parts(data)])
+            yield np.concatenate([_hashes(x, between)[0] for x in _parts(data)])
             continue
         held.append(data)
         size += len(data) + 1

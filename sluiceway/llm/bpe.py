@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Fixed value: how byte-level BPE cuts text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-MEMO = 400_000
+MEMO = 200_000
 MEMO_LENGTH = 48
 _CELLS = 1 << 18
 _NONE = 1 << 62
@@ -170,12 +170,12 @@ class ByteBpe(dict):
 
 
 def _runs(texts: Iterable[str | None]) -> Iterator[list[str | None]]:
-    """The texts in runs of about four million characters."""
+    """The texts in runs of about a million characters."""
     held, size = [], 0
     for text in texts:
         held.append(text)
         size += len(text or "")
-        if size > 4_000_000:
+        if size > 1_000_000:
             yield held
             held, size = [], 0
     yield held
@@ -204,21 +204,30 @@ class _Shared:
         return self.broadcast.value
 
 
-def encoded(docs: DataFrame, definition: str, *, text: str = "text", ids: str = "ids") -> DataFrame:
+def encoded(
+    docs: DataFrame, definition: str, *, text: str = "text", ids: str = "ids", again: str | None = None
+) -> DataFrame:
     """Every row with ``ids``, an array<int> of its whole text's ids.
 
-    ``definition`` is the tokenizer's JSON. A null or empty text has no ids. Rows, also
-    repeated ones, and other columns stay; a column named ``ids`` is replaced.
+    ``again`` names a column for the text that these ids decode to; it spares a second pass.
+    ``definition`` is the tokenizer's JSON. A null or empty text has no ids, and decodes to an
+    empty one. Rows, also repeated ones, and other columns stay; columns with the names of new
+    ones are replaced.
     """
     shared = _Shared(docs.sparkSession, definition)
+    kind = "ids array<int>" + (", again string" if again else "")
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf(kind)
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = _load(shared)
         for batch in batches:
-            yield pd.Series(list(model.encode_all(batch)), dtype=object)
+            out = {"ids": list(model.encode_all(batch))}
+            if again:
+                out["again"] = [model.decode(x) for x in out["ids"]]
+            yield pd.DataFrame(out)
 
-    return docs.withColumn(ids, encode(F.col(text)))
+    both = docs.withColumn("__coded", encode(F.col(text))).withColumn(ids, F.col("__coded.ids"))
+    return (both.withColumn(again, F.col("__coded.again")) if again else both).drop("__coded")
 
 
 def decoded(docs: DataFrame, definition: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:

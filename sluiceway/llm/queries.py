@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluiceway.llm.bpe import decoded, encoded, ids_digest
+from sluiceway.llm.bpe import encoded, ids_digest
 from sluiceway.llm.exact_dedup import exact_groups
 from sluiceway.llm.jaccard_join import similar_components
 from sluiceway.llm.language import document_items, fit, identify, page_items
@@ -83,9 +83,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs = given(spark, sf_dir, "documents").select("doc_id", "text")
-    definition = tokenizer()
-    both = decoded(encoded(docs, definition), definition)
-    return both.select(
+    return encoded(docs, tokenizer(), again="decoded").select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         ids_digest(F.col("ids")).alias("ids_sha256"),

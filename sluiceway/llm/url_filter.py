@@ -148,6 +148,7 @@ def _templates(shapes: DataFrame, branches: int, alike: float) -> DataFrame:
             F.concat("node", F.lit("/" if level else ""), F.coalesce("kept", F.when(F.col("part") == "", "").otherwise("*")))
         )
         at = at.join(kept, ["host", "node", "part"], "left").withColumn("node", step).drop("kept", "part")
+        at = saved(at, "url-level")
     deeper = F.when(F.size("left") > DEPTH, "/**").otherwise("")
     return at.withColumn("template", F.concat("node", deeper)).drop("node", "left")
 

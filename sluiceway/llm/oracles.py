@@ -41,4 +41,18 @@ ORACLES = {
         SELECT doc_id, n AS n_shingles, min(to_id) AS component_id
         FROM sizes JOIN reach USING (doc_id) GROUP BY doc_id, n
     """,
+    "op8_nearest": """
+        WITH usable AS (
+            SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+            WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score
+            FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+        ranked AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score
+            FROM pairs)
+        SELECT * FROM ranked WHERE rank <= 10
+    """,
 }

@@ -13,6 +13,7 @@ from sluiceway.llm.exact_dedup import exact_groups
 from sluiceway.llm.jaccard_join import similar_components
 from sluiceway.llm.language import document_items, fit, identify, page_items
 from sluiceway.llm.licenses import license_notices
+from sluiceway.llm.nearest import nearest_neighbours
 from sluiceway.llm.packing import pack
 from sluiceway.llm.substrings import repeated_passages
 from sluiceway.llm.url_filter import Rule, host_and_path, judge_urls
@@ -80,6 +81,11 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(pages, RULES, known)
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every hundredth."""
+    return nearest_neighbours(given(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
     docs = given(spark, sf_dir, "documents").select("doc_id", "text")
@@ -103,6 +109,7 @@ QUERIES: dict[str, Query] = {
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
     "op7_url_filter": op7_url_filter,
+    "op8_nearest": op8_nearest,
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
 }

@@ -15,6 +15,7 @@ from sluiceway.llm.language import document_items, fit, identify, page_items
 from sluiceway.llm.licenses import license_notices
 from sluiceway.llm.nearest import nearest_neighbours
 from sluiceway.llm.packing import pack
+from sluiceway.llm.recurrent import score
 from sluiceway.llm.substrings import repeated_passages
 from sluiceway.llm.url_filter import Rule, host_and_path, judge_urls
 
@@ -70,6 +71,11 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(given(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the recurrent model's log-probability, and the words' alone."""
+    return score(given(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, judged; a page is labelled as the document its path ends in the number of."""
     pages = given(spark, sf_dir, "pages").select("page_id", "url")
@@ -108,6 +114,7 @@ QUERIES: dict[str, Query] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_lm_score": op6_lm_score,
     "op7_url_filter": op7_url_filter,
     "op8_nearest": op8_nearest,
     "op9_bpe": op9_bpe,

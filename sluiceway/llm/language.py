@@ -70,31 +70,52 @@ def fit(labelled: DataFrame, languages: Sequence[str] = LANGUAGES) -> np.ndarray
     return np.log(n / n.sum(axis=1, keepdims=True)).T.copy()
 
 
-def _scores(table) -> Column:
-    """Per text: tempered log-likelihood of each language, and trigrams; as one array."""
+def _softmax(scores: np.ndarray) -> np.ndarray:
+    raw = np.exp(scores - scores.max(axis=-1, keepdims=True))
+    return raw / raw.sum(axis=-1, keepdims=True)
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+def _read(table) -> Column:
+    """Per text: tempered log-likelihood of each language, posterior by these alone, trigrams."""
+
+    @F.pandas_udf("logs array<double>, alone array<double>, grams long")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            logs, grams = [], []
             for text in batch:
-                grams = trigrams(text)
-                rows.append(np.append(table.value[grams].sum(axis=0) / TEMPER, len(grams)))
-            yield pd.Series(rows, dtype=object)
+                found = trigrams(text)
+                logs.append(table.value[found].sum(axis=0) / TEMPER)
+                grams.append(len(found))
+            yield pd.DataFrame({"logs": logs, "alone": [_softmax(x) for x in logs], "grams": grams})
+
+    return read(F.col("text"))
+
 
-    return score(F.col("text"))
+def _fused(prior: list[float], weight: float) -> Column:
+    """Posterior of each language from all evidence; a null column is none."""
 
+    @F.pandas_udf("array<double>")
+    def fuse(
+        logs: pd.Series, alone: pd.Series, declared: pd.Series, suffix: pd.Series, sums: pd.Series, drawn: pd.Series, items: pd.Series
+    ) -> pd.Series:
+        none = np.zeros(len(prior))
+
+        def held(column: pd.Series) -> np.ndarray:
+            return np.stack([none if x is None else np.asarray(x, float) for x in column]).reshape(-1, len(prior))
+
+        known = items.notna().to_numpy()
+        others = held(sums) - held(alone) + weight * held(drawn)
+        on_host = others / (items.fillna(1).to_numpy(float) - 1 + weight)[:, None]
+        host = np.log(np.where(known[:, None], np.maximum(on_host, 1e-12), prior))
+        return pd.Series(list(_softmax(held(logs) + held(declared) + held(suffix) + host)), dtype=object)
 
-def _softmax(scores: list[Column]) -> list[Column]:
-    most = F.greatest(*scores)
-    raw = [F.exp(s - most) for s in scores]
-    return [r / sum(raw[1:], raw[0]) for r in raw]
+    return fuse("logs", "alone", "declared_logs", "suffix_logs", "sums", "drawn", "host_items")
 
 
 def _sums(items: DataFrame, key: str, size: int) -> DataFrame:
     """Per value of a column: its items, and the sum of each language's posterior."""
     return items.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count("*").alias("items"), F.array(*(F.sum(f"p{k}") for k in range(size))).alias("sums")
+        F.count("*").alias("items"), F.array(*(F.sum(F.col("alone")[k]) for k in range(size))).alias("sums")
     )
 
 
@@ -128,12 +149,11 @@ def identify(
         F.when(suffix != "", suffix).alias("suffix"),
         F.when(host != "", host).alias("host"),
         F.when(host != "", domain).alias("domain"),
-        _scores(shared).alias("scores"),
+        _read(shared).alias("read"),
     )
-    by_text = _softmax([F.col("scores")[k] for k in range(size)])
-    some = saved(some.withColumns({f"p{k}": p for k, p in enumerate(by_text)}), "language-evidence")
+    some = saved(some.select("*", "read.*").drop("read"), "language-evidence")
 
-    totals = some.agg(*(F.sum(f"p{k}") for k in range(size))).first()
+    totals = some.agg(*(F.sum(F.col("alone")[k]) for k in range(size))).first()
     totals = [(t or 0.0) + 1.0 for t in totals]
     prior = [t / sum(totals) for t in totals]
 
@@ -154,27 +174,21 @@ def identify(
     rows = some
     for key, values in (("declared", likelihood("declared")), ("suffix", likelihood("suffix")), ("host", hosts)):
         rows = look_up(rows, saved(values, f"language-{key}"), key, "items").drop("items")
-    known = F.col("host_items").isNotNull()
-    scores = []
-    for k in range(size):
-        others = (F.col("sums")[k] - F.col(f"p{k}") + weight * F.col("drawn")[k]) / (F.col("host_items") - 1 + weight)
-        evidence = [F.coalesce(F.col(f"{key}_logs")[k], F.lit(0.0)) for key in ("declared", "suffix")]
-        scores.append(
-            F.col("scores")[k] + evidence[0] + evidence[1] + F.when(known, F.log(others)).otherwise(math.log(prior[k]))
-        )
-    rows = rows.withColumn("posterior", F.array(*_softmax(scores)))
-    best = F.array_position("posterior", F.array_max("posterior")).cast("int")
+    rows = rows.withColumn("posterior", _fused(prior, weight))
     names = F.array(*(F.lit(x) for x in languages))
-    alone = F.array(*(F.col(f"p{k}") for k in range(size)))
+
+    def first(values: str) -> Column:
+        return F.array_position(values, F.array_max(values)).cast("int") - 1
+
     flat = -math.log(GRAMS) / TEMPER
-    grams = F.col("scores")[size]
-    rows = rows.withColumns({"best": best, "confidence": F.array_max("posterior")})
+    likely = F.get("logs", first("posterior")) > flat * F.col("grams")
+    confidence = F.array_max("posterior")
     return rows.select(
         *keys,
-        F.get(names, F.col("best") - 1).alias("language"),
-        "confidence",
-        F.get(names, F.array_position(alone, F.array_max(alone)).cast("int") - 1).alias("text_language"),
-        ((grams > 0) & (F.get("scores", F.col("best") - 1) > flat * grams) & (F.col("confidence") >= confident)).alias("kept"),
+        F.get(names, first("posterior")).alias("language"),
+        confidence.alias("confidence"),
+        F.get(names, first("alone")).alias("text_language"),
+        ((F.col("grams") > 0) & likely & (confidence >= confident)).alias("kept"),
     )
 
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.tables import likely, saved
+from sluiceway.llm.tables import likely, saved, unlikely
 from sluiceway.llm.words import SHINGLE, mix, shingles, signed, word_hashes, word_spans
 
 WORDS = 50
@@ -309,21 +309,26 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     up to the word after its last, or to the end of the text. ``n_chars``, where there is
     such a column, follows.
     """
-    schema = docs.schema
-    spans = passages.groupBy(F.col("doc_id").alias("__id")).agg(
-        F.collect_set(F.struct("start", "end")).alias("__cuts")
+    spans = saved(
+        passages.filter("doc_id is not null")
+        .groupBy(F.col("doc_id").alias("__id"))
+        .agg(F.collect_set(F.struct("start", "end")).alias("__cuts")),
+        "cuts",
     )
+    ids = spans.select("__id")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, c) for t, c in zip(text, cuts, strict=True)], dtype=object)
 
-    joined = docs.join(spans, F.col("doc_id") == F.col("__id"), "left")
-    changed = joined.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(cut("text", F.coalesce("__cuts", F.array()))))
+    joined = likely(docs, ids, "doc_id").join(spans, F.col("doc_id") == F.col("__id"), "left")
+    same = F.col("__cuts").isNull() | F.col("text").isNull()
+    changed = joined.withColumn("__text", cut("text", "__cuts"))
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(schema["n_chars"].dataType)
-        changed = changed.withColumn("n_chars", F.when(F.col("__cuts").isNull(), F.col("n_chars")).otherwise(length))
-    return changed.select(*docs.columns)
+        length = F.length("__text").cast(docs.schema["n_chars"].dataType)
+        changed = changed.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(length))
+    changed = changed.withColumn("text", F.when(same, F.col("text")).otherwise(F.col("__text")))
+    return unlikely(docs, ids, "doc_id").unionByName(changed.select(*docs.columns))
 
 
 def _cut(text: str | None, cuts) -> str | None:

@@ -53,8 +53,28 @@ def likely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     broadcast. It spares a shuffle of texts that a join would then drop.
     """
 
-    def bucket(column: str) -> Column:
-        return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(_BUCKETS)).cast("int")
+    return _bucketed(rows, key).join(_buckets(ids), "__bucket", "left_semi").drop("__bucket")
 
-    there = ids.select(bucket(ids.columns[0]).alias("__bucket")).distinct()
-    return rows.withColumn("__bucket", bucket(key)).join(F.broadcast(there), "__bucket", "left_semi").drop("__bucket")
+
+def unlikely(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows that ``likely`` leaves out; their key is not among ``ids``."""
+    return _bucketed(rows, key).join(_buckets(ids), "__bucket", "left_anti").drop("__bucket")
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is null or not in the one column of ``ids``."""
+    gone = ids.select(F.col(ids.columns[0]).alias("__gone")).distinct()
+    there = likely(rows, ids, key)
+    return unlikely(rows, ids, key).unionByName(there.join(gone, there[key] == gone["__gone"], "left_anti"))
+
+
+def _bucket(column: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(_BUCKETS)).cast("int")
+
+
+def _bucketed(rows: DataFrame, key: str) -> DataFrame:
+    return rows.withColumn("__bucket", _bucket(key))
+
+
+def _buckets(ids: DataFrame) -> DataFrame:
+    return F.broadcast(ids.select(_bucket(ids.columns[0]).alias("__bucket")).distinct())

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.components import components
-from sluiceway.llm.tables import likely, look_up, saved
+from sluiceway.llm.tables import each_group, likely, look_up, saved
 from sluiceway.llm.words import mix, shingle_set, signed, word_hashes
 
 SIMILAR = 80  # per cent
@@ -184,38 +184,48 @@ def _tiles(keys: DataFrame, classes: DataFrame, found: DataFrame, least: int) ->
         .withColumn("high", F.greatest("block", "other"))
     )
 
-    def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.reset_index(drop=True)
-        host, n = f["guest"].to_numpy() == 0, f["n"].to_numpy()
-        block, component, name = f["block"].to_numpy(), f["component"].to_numpy(), f["id"].to_numpy()
-        bits = [_words(b) for b in f["bits"]]
-        across = f["low"].iloc[0] != f["high"].iloc[0] if len(f) else False
-        out = []
-        widths: dict[int, list[int]] = {}
-        for i, b in enumerate(bits):
-            widths.setdefault(len(b), []).append(i)
-        stacks = {w: (np.array(rows), np.stack([bits[i] for i in rows])) for w, rows in widths.items()}
-        for i in np.flatnonzero(host):
-            for rows, held in stacks.values():
-                ok = (component[rows] != component[i]) & ((name[rows] > name[i]) | ~host[rows])
-                ok &= (100 * np.minimum(n[rows], n[i]) >= least * np.maximum(n[rows], n[i]))
-                if across:
-                    ok &= block[rows] != block[i]
-                if not ok.any():
-                    continue
-                most = _most(n[i], n[rows[ok]], bits[i], held[ok])
-                good = most >= least
-                out += [(min(name[i], b), max(name[i], b), m) for b, m in zip(name[rows[ok]][good].tolist(), most[good].tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["a", "b", "most"])
+    names = ["key", "band", "low", "high"]
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in each_group(frames, names):
+            yield pd.DataFrame(_tile(f, least), columns=["a", "b", "most"])
 
     return (
-        placed.groupBy("key", "band", "low", "high")
-        .applyInPandas(compare, "a long, b long, most double")
+        placed.repartition(*names)
+        .sortWithinPartitions(*names)
+        .mapInPandas(compare, "a long, b long, most double")
         .groupBy("a", "b")
         .agg(F.max("most").alias("most"))
     )
 
 
+def _tile(f: pd.DataFrame, least: int) -> list[tuple[int, int, float]]:
+    """The pairs of one tile that may be similar."""
+    host, n = f["guest"].to_numpy() == 0, f["n"].to_numpy()
+    block, component, name = f["block"].to_numpy(), f["component"].to_numpy(), f["id"].to_numpy()
+    if not host.any() or component.min() == component.max():
+        return []
+    bits = [_words(b) for b in f["bits"]]
+    across = f["low"].iloc[0] != f["high"].iloc[0]
+    widths: dict[int, list[int]] = {}
+    for i, b in enumerate(bits):
+        widths.setdefault(len(b), []).append(i)
+    stacks = [(np.array(rows), np.stack([bits[i] for i in rows])) for rows in widths.values()]
+    out = []
+    for i in np.flatnonzero(host):
+        for rows, held in stacks:
+            ok = (component[rows] != component[i]) & ((name[rows] > name[i]) | ~host[rows])
+            ok &= 100 * np.minimum(n[rows], n[i]) >= least * np.maximum(n[rows], n[i])
+            if across:
+                ok &= block[rows] != block[i]
+            if not ok.any():
+                continue
+            most = _most(n[i], n[rows[ok]], bits[i], held[ok])
+            good = most >= least
+            out += [(min(name[i], b), max(name[i], b), m) for b, m in zip(name[rows[ok]][good], most[good], strict=True)]
+    return out
+
+
 def similar_components(docs: DataFrame, *, least: int = SIMILAR) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.tables import likely, saved, unlikely
+from sluiceway.llm.tables import each_group, likely, saved, unlikely
 from sluiceway.llm.words import SHINGLE, mix, shingles, signed, word_hashes, word_spans
 
 WORDS = 50
@@ -237,25 +237,11 @@ def _among_themselves(rows: DataFrame, docs: DataFrame) -> DataFrame:
                 out.append((key, doc_id, blocks, low, signed(tokens[low : place + LEAST])))
             yield pd.DataFrame(out, columns=["key", "doc_id", "blocks", "low", "tokens"])
 
-    def compare(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["doc_id", "low"]).reset_index(drop=True)
-        ids, low, block = f["doc_id"].to_numpy(), f["low"].to_numpy(), f["block"].to_numpy()
-        held = [np.asarray(x, np.int64).view(np.uint64) for x in f["tokens"]]
-        bits = np.zeros((len(f), _SKETCH), bool)
-        for i, x in enumerate(held):
-            bits[i, (x % np.uint64(_SKETCH)).astype(np.int64)] = True
-        bits = np.packbits(bits, axis=1).view(np.uint64)
-        across = f["small"].iloc[0] != f["large"].iloc[0]
-        out = []
-        for i in range(1, len(f)):
-            # A repeat has so many shingles in common; on fewer bits they may collide.
-            common = np.bitwise_count(bits[:i] & bits[i]).sum(axis=1)
-            few = min(LEAST, int(np.bitwise_count(bits[i]).sum())) * SIMILAR / 100 * 0.85
-            for j in np.flatnonzero((common >= few) & (ids[:i] != ids[i]) & ((block[:i] != block[i]) | (not across))):
-                if found := _spans(ids[i], ids[j], low[i], low[j], held[i], held[j]):
-                    out += found
-                    break
-        return pd.DataFrame(out, columns=[x.split()[0] for x in SPANS.split(", ")])
+    names = ["key", "small", "large"]
+
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in each_group(frames, names):
+            yield pd.DataFrame(_block(f), columns=[x.split()[0] for x in SPANS.split(", ")])
 
     sizes = rows.groupBy("key").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
@@ -271,7 +257,31 @@ def _among_themselves(rows: DataFrame, docs: DataFrame) -> DataFrame:
         .withColumn("small", F.least("block", "other"))
         .withColumn("large", F.greatest("block", "other"))
     )
-    return placed.groupBy("key", "small", "large").applyInPandas(compare, SPANS)
+    return placed.repartition(*names).sortWithinPartitions(*names).mapInPandas(compare, SPANS)
+
+
+def _block(f: pd.DataFrame) -> list[tuple]:
+    """The repeats within a block of rows of one key, or between two blocks."""
+    f = f.sort_values(["doc_id", "low"])
+    ids, low, block = f["doc_id"].to_numpy(), f["low"].to_numpy(), f["block"].to_numpy()
+    if ids[0] == ids[-1]:
+        return []
+    held = [np.asarray(x, np.int64).view(np.uint64) for x in f["tokens"]]
+    bits = np.zeros((len(f), _SKETCH), bool)
+    for i, x in enumerate(held):
+        bits[i, (x % np.uint64(_SKETCH)).astype(np.int64)] = True
+    bits = np.packbits(bits, axis=1).view(np.uint64)
+    across = f["small"].iloc[0] != f["large"].iloc[0]
+    out = []
+    for i in range(1, len(f)):
+        # A repeat has so many shingles in common; on fewer bits they may collide.
+        common = np.bitwise_count(bits[:i] & bits[i]).sum(axis=1)
+        few = min(LEAST, int(np.bitwise_count(bits[i]).sum())) * SIMILAR / 100 * 0.85
+        for j in np.flatnonzero((common >= few) & (ids[:i] != ids[i]) & ((block[:i] != block[i]) | (not across))):
+            if found := _spans(ids[i], ids[j], low[i], low[j], held[i], held[j]):
+                out += found
+                break
+    return out
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:

@@ -145,8 +145,9 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMIL
             i, j = low + i, low + j
             own = np.flatnonzero(match[i:j]) + i
             there = where[own]
-            shift = int(np.median(there - own))
-            near = there[np.abs(there - own - shift) <= (j - i) // 4]
+            apart = there - own
+            shift = np.sort(apart)[len(apart) // 2]
+            near = there[np.abs(apart - shift) <= (j - i) // 4]
             k, l = int(near.min()), int(near.max()) + 1
             if l - k < least:  # tokens that recur are found at their first place only
                 l = min(len(b), k + j - i)

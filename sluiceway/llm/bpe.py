@@ -26,6 +26,7 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 MEMO = 200_000
 MEMO_LENGTH = 48
 _CELLS = 1 << 18
+_LONG = 512
 _NONE = 1 << 62
 
 
@@ -53,6 +54,7 @@ class ByteBpe(dict):
         self.products = np.array([ids[left + right] for left, right in merges], np.int32)
         keys = np.array([ids[left] << 32 | ids[right] for left, right in merges], np.int64)
         self.pair_keys, self.pair_ranks = np.unique(keys, return_index=True)
+        self.pairs = {(k >> 32, k & 0xFFFFFFFF): r for k, r in zip(self.pair_keys.tolist(), self.pair_ranks.tolist())}
         self.pieces = regex.compile(PIECES)
         marks = sorted(self.special, key=len, reverse=True)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
@@ -73,6 +75,9 @@ class ByteBpe(dict):
             for at in range(0, len(same), step):
                 part = same[at : at + step]
                 spelled = [p.encode("utf-8", "surrogatepass") for p in part]
+                if width > _LONG:  # one by one; numpy would do one row's step at a time
+                    self.update({p: self.merged_alone(b) for p, b in zip(part, spelled)})
+                    continue
                 symbols = self.merged(spelled, width)
                 live = symbols >= 0
                 flat, ends = symbols[live].tobytes(), (4 * np.cumsum(live.sum(axis=1))).tolist()
@@ -126,6 +131,43 @@ class ByteBpe(dict):
             rows = rows[tree[rows, 1] < _NONE]
         return symbols[:, :width]
 
+    def merged_alone(self, spelled: bytes) -> bytes:
+        """The ids of one long piece; the same tree as a list."""
+        symbols = self.single[np.frombuffer(spelled, np.uint8)].tolist()
+        n, pairs = len(symbols), self.pairs
+        size = 1 << n.bit_length()
+        tree = [_NONE] * (2 * size)
+        tree[size : size + n - 1] = [
+            rank * size + i if (rank := pairs.get(pair)) is not None else _NONE
+            for i, pair in enumerate(zip(symbols, symbols[1:]))
+        ]
+        for at in range(size - 1, 0, -1):
+            tree[at] = min(tree[2 * at], tree[2 * at + 1])
+
+        def put(place: int, pair: tuple[int, int] | None) -> None:
+            rank = pairs.get(pair)
+            value, at = (_NONE if rank is None else rank * size + place), place + size
+            while at and tree[at] != value:
+                tree[at] = value
+                if at > 1:
+                    value = min(value, tree[at ^ 1])
+                at >>= 1
+
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while (root := tree[1]) != _NONE:
+            at, rank = root % size, root // size
+            gone = after[at]
+            symbols[at], symbols[gone] = int(self.products[rank]), -1
+            right, left = after[gone], before[at]
+            after[at] = right
+            put(gone, None)
+            put(at, (symbols[at], symbols[right]) if right < n else None)
+            if right < n:
+                before[right] = at
+            if left >= 0:
+                put(left, (symbols[left], symbols[at]))
+        return np.array([x for x in symbols if x >= 0], np.int32).tobytes()
+
     @staticmethod
     def _set(tree: np.ndarray, rows: np.ndarray, place: np.ndarray, rank: np.ndarray, width: int) -> None:
         """Put one leaf of each row and correct the nodes above it."""

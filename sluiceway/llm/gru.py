@@ -68,8 +68,9 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+    x -= x.max(axis=1, keepdims=True)
+    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+    return x
 
 
 class _Streams:
@@ -144,7 +145,7 @@ def _window(model, before, target, begins, inside, state, learn):
             kept.append((old, z, r, new, u[:, 2 * size :]))
     flat = inside.T  # step by step
     seen, words = hidden[flat], target.T[flat]
-    group = np.minimum(words // CLASS, model.classes)
+    group = np.minimum(words // CLASS, model.classes).astype(np.int16)  # sorted by radix
     by_class = _log_softmax(seen @ model.of_class + model.class_bias)
     logs = by_class[np.arange(len(words)), group].astype(float)
     order = np.argsort(group, kind="stable")
@@ -181,14 +182,15 @@ def _window(model, before, target, begins, inside, state, learn):
             later = (d * z + gates @ model.state.T) * ~begins[:, k, None]
             d_inputs[k] = gates
             d_inputs[k, :, 2 * size :] = d_new
-        used = before.T[flat]
+        used = before.T[flat].astype(np.int16 if len(model.inputs) < 1 << 15 else np.int64)
         order = np.argsort(used, kind="stable")
         first = np.flatnonzero(np.diff(used[order], prepend=-1))
         grads["state"] = d_state
         grads["inputs"] = used[order][first], np.add.reduceat(d_inputs[flat][order], first, axis=0)
         learn({name: (g[0], g[1] / len(words)) if isinstance(g, tuple) else g / len(words) for name, g in grads.items()})
-    # A stream that ended within the window is not read again.
-    return logs[np.argsort(np.nonzero(flat)[1] * steps + np.nonzero(flat)[0], kind="stable")], h
+    by_stream = np.zeros((steps, n))
+    by_stream[flat] = logs
+    return by_stream.T[inside], h  # a stream that ended within the window is not read again
 
 
 class Adagrad:

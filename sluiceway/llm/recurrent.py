@@ -55,12 +55,12 @@ class Known(NamedTuple):
         at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
         return at, self.words[at] == words
 
-    def numbers(self, words: np.ndarray) -> np.ndarray:
-        """The words as the model's inputs."""
-        at, there = self.find(words)
+    def numbers(self, words: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """The words as the model's inputs; ``found`` is what ``find`` said of them."""
+        at, there = found or self.find(words)
         number = np.where(there, self.number[at], -1)
         other = len(self.vocabulary) + (words % np.uint64(gru.BUCKETS)).astype(np.int64)
-        return np.where(number >= 0, number, other)
+        return np.where(number >= 0, number, other).astype(np.int32)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -156,7 +156,7 @@ def train(docs: DataFrame, known: Known, rounds: int = ROUNDS) -> gru.Model:
             def flush() -> None:
                 tokens = known.numbers(np.concatenate(held))
                 sizes = np.array([len(x) for x in held])
-                gru.run(own, tokens, sizes, start=start, learn=adagrad, streams=128)
+                gru.run(own, tokens, sizes, start=start, learn=adagrad, streams=256)
 
             for frame in frames:
                 ids = frame["doc_id"].to_numpy(np.int64).view(np.uint64)
@@ -236,11 +236,17 @@ def score(docs: DataFrame, *, out: Column | None = None) -> DataFrame:
                     "n_other": total(~inside).astype(np.int64),
                     "base": total(logs),
                     "other": total(np.where(inside, 0.0, logs)),
-                    "log": gru.run(own, known.numbers(every), sizes, start=start) / math.log(10),
+                    "log": gru.run(own, known.numbers(every, (at, there)), sizes, start=start) / math.log(10),
                 }
             )[columns]
-            pairs, times = np.unique(np.rec.fromarrays([text[~there], every[~there]]), return_counts=True)
-            rare = pd.DataFrame({"row": row[pairs["f0"]], "word": signed(np.ascontiguousarray(pairs["f1"])), "times": times})
+            rare_text, rare_word = text[~there], every[~there]
+            order = np.lexsort((rare_word, rare_text))
+            rare_text, rare_word = rare_text[order], rare_word[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (rare_text[1:] != rare_text[:-1]) | (rare_word[1:] != rare_word[:-1])
+            first = np.flatnonzero(new)
+            times = np.diff(np.append(first, len(order)))
+            rare = pd.DataFrame({"row": row[rare_text[first]], "word": signed(rare_word[first]), "times": times})
             yield rare.assign(doc_id=None, held_out=False, n_tokens=0, n_known=0, n_rare=0, n_other=0, base=0.0, other=0.0, log=0.0)[columns]
 
         for frame in frames:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -17,16 +18,15 @@ from sluiceway.operators.keys import (
     require_unique,
     row_keys,
 )
-from sluiceway.operators.skew import HOT_ROWS, hot_keys
+from sluiceway.operators.sizes import SMALL_ROWS, is_small
+from sluiceway.operators.skew import HOT_ROWS, PARTS, hot_keys
 from sluiceway.operators.staging import only_partition
 from sluiceway.sources.tables import Table
-from sluiceway.workspace import checkpoint_dir
-
-# A source of at most this many rows and bytes is broadcast to a large partition.
-SMALL_ROWS = 100_000
-SMALL_BYTES = 64 << 20
 
 _MATCHED = "__in_source"
+_PART = "__part"
+# Names of helper columns, which a table must not have.
+_OWN = re.compile(r"__(in_source|part|parts|bucket|n|key_rank|null_\d+)", re.IGNORECASE)
 
 
 def overwrite_partition(df: DataFrame, table: Table, value: str) -> None:
@@ -35,6 +35,7 @@ def overwrite_partition(df: DataFrame, table: Table, value: str) -> None:
     Rows of other partitions are dropped and other partitions of the table stay. With
     no rows to write, the partition stays as it is.
     """
+    _require_value(value)
     schema = table.columns(df.sparkSession)
     df = _in_table_terms(df, schema)
     absent = [n for n in schema.names if n not in df.columns]
@@ -61,6 +62,7 @@ def merge_partition(
     without, rows of other partitions are dropped. ``hot_rows`` and ``small_rows`` only
     choose how the join runs; see ``upsert``.
     """
+    _require_value(value)
     spark = df.sparkSession
     column = table.partition_column
     schema = table.columns(spark)
@@ -96,15 +98,21 @@ def upsert(
     Null keys match null keys. A key that ``current`` holds more than once is updated in
     each of its rows.
 
-    How it runs depends on sizes that are measured first:
+    The current rows are the side that streams through the join, so a task holds one source
+    row at a time, whatever a key holds; source rows whose key is not held are found by a
+    second join with the distinct keys, on the same shuffle of the source. Sizes that are
+    measured first choose how the first join runs:
 
-    * no ``current``: no join;
-    * up to ``hot_rows`` current rows: one full outer join;
+    * no current rows: no join;
+    * up to ``hot_rows`` of them: both sides are shuffled by key;
     * more, and a source of up to ``small_rows`` rows and ``SMALL_BYTES``: the source is
       broadcast and the current rows are not shuffled at all;
-    * more, with a key that holds over ``hot_rows`` of them: the rows of such keys meet a
-      broadcast of their few source rows, the others are joined as usual.
+    * more, with keys that hold over ``hot_rows`` each: the rows of such a key are split into
+      parts, and its one source row is repeated for each of them.
     """
+    taken = [n for n in schema.names if _OWN.fullmatch(n)]
+    if taken:
+        raise ValueError(f"columns with names the merge needs for itself: {taken}")
     keys = row_keys(keys, schema, partition_column)
     data = T.StructType([f for f in schema if f.name != partition_column])
     source = null_safe(_cast(source, data), keys, data)
@@ -121,21 +129,23 @@ def upsert(
     def restored(joined: DataFrame) -> DataFrame:
         return _restore(joined, keys, data)
 
-    if current is None:
-        return restored(one_per_key(source))
+    held = 0 if current is None else current.count()
+    unique = one_per_key(source)
+    if not held:
+        return restored(unique)
 
     current = null_safe(current.drop(partition_column), keys, data)
-    held = current.count()
-    if held > hot_rows:
-        if _has_at_most(source, small_rows):
-            checkpoint_dir(source.sparkSession)
-            few = one_per_key(source).checkpoint()
-            if _bytes(few) <= SMALL_BYTES:
-                return _upsert_few(few, current, join_on, restored)
-        hot = hot_keys(current, join_on, held, hot_rows)
-        if hot is not None:
-            return _upsert_hot(source, current, F.broadcast(hot), join_on, one_per_key, restored)
-    return restored(_pair(one_per_key(source), current, join_on, "full_outer"))
+    if held > hot_rows and is_small(source, small_rows):
+        return _upsert_few(unique, current, join_on, restored)
+    hot = hot_keys(current, join_on, held, hot_rows) if held > hot_rows else None
+    if hot is None:
+        updated = _pair(unique, current, join_on, "right_outer")
+    else:
+        updated = _pair(
+            _in_every_part(unique, hot, join_on), _in_parts(current, hot, join_on), [*join_on, _PART], "right_outer"
+        )
+    added = unique.join(current.select(*map(quoted, join_on)).distinct(), join_on, "left_anti")
+    return restored(updated).unionByName(restored(added))
 
 
 def _upsert_few(
@@ -146,48 +156,28 @@ def _upsert_few(
 ) -> DataFrame:
     """Update by a broadcast of the source; add the source rows whose keys are not held."""
     updated = _pair(F.broadcast(few), current, join_on, "right_outer")
-    wanted = F.broadcast(few.select(*join_on))
-    matched = current.select(*join_on).join(wanted, join_on, "left_semi").distinct()
+    wanted = F.broadcast(few.select(*map(quoted, join_on)))
+    matched = current.select(*map(quoted, join_on)).join(wanted, join_on, "left_semi").distinct()
     added = few.join(matched, join_on, "left_anti")
     return restored(updated).unionByName(restored(added))
 
 
-def _upsert_hot(
-    source: DataFrame,
-    current: DataFrame,
-    hot: DataFrame,
-    join_on: list[str],
-    one_per_key: Callable[[DataFrame], DataFrame],
-    restored: Callable[[DataFrame], DataFrame],
-) -> DataFrame:
-    """Join ordinary keys as usual, and the rows of hot keys without a shuffle.
-
-    Hot keys all come from the current rows, and the source gives each at most one row,
-    so that side is as small as ``hot`` itself.
-    """
-    ordinary = _pair(
-        one_per_key(source.join(hot, join_on, "left_anti")),
-        current.join(hot, join_on, "left_anti"),
-        join_on,
-        "full_outer",
-    )
-    crowded = _pair(
-        F.broadcast(one_per_key(source.join(hot, join_on, "left_semi"))),
-        current.join(hot, join_on, "left_semi"),
-        join_on,
-        "right_outer",
-    )
-    return restored(ordinary).unionByName(restored(crowded))
+def _in_parts(current: DataFrame, hot: DataFrame, join_on: list[str]) -> DataFrame:
+    """The rows of hot keys dealt over the parts of their key, all others in part 0."""
+    part = F.pmod(F.monotonically_increasing_id(), F.coalesce(PARTS, F.lit(1)))
+    return current.join(hot, join_on, "left").withColumn(_PART, part).drop(PARTS)
 
 
-def _has_at_most(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most this many rows; reads no further than it must to know."""
-    # A collected limit takes partitions a few at a time; isEmpty() would run them all.
-    return not df.select(F.lit(1)).offset(rows).limit(1).collect()
+def _in_every_part(unique: DataFrame, hot: DataFrame, join_on: list[str]) -> DataFrame:
+    """Rows of hot keys once for each part, all others in part 0."""
+    parts = F.sequence(F.lit(0).cast("long"), F.coalesce(PARTS, F.lit(1)) - 1)
+    return unique.join(hot, join_on, "left").withColumn(_PART, F.explode(parts)).drop(PARTS)
 
 
-def _bytes(df: DataFrame) -> int:
-    return df.agg(F.sum(F.length(F.to_json(F.struct("*"))))).first()[0] or 0
+def _require_value(value: str) -> None:
+    """A null or empty value names Spark's default folder, which no other value may share."""
+    if not value:
+        raise ValueError("a partition needs a value that is not empty")
 
 
 def _pair(source: DataFrame, current: DataFrame, on: list[str], how: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions.columns import field_of
 from sluiceway.functions.text import double_text
-from sluiceway.operators.quantile import exact_quantiles
+from sluiceway.operators.quantile import settled_quantiles, sketch_of
 from sluiceway.operators.rules import MaxPercentile, Rule
 
 
@@ -42,43 +42,54 @@ class RuleResult:
 def report(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row per rule: ``rule, rule_type, column, observed, threshold, ok``.
 
-    All rules share a single aggregation, whose state is a few counters per task. The
-    observed quantiles of ``max_percentile`` rules are measured while the report is
-    built.
+    All rules share a single aggregation, whose state is a few counters per task and a sketch
+    for each ``max_percentile`` rule. If there is one of these, the report is measured while it
+    is built, and a second pass settles the observed quantiles.
     """
     if not rules:
         raise ValueError("no rules to report on")
-    aggregates = [rule.aggregates(df) for rule in rules]
-    quantiles = _quantiles(df, {i: rule for i, rule in enumerate(rules)})
-    return _evaluate(df, rules, aggregates, quantiles).drop("position")
-
-
-def _quantiles(df: DataFrame, rules: Mapping[int, Rule]) -> dict[int, float | None]:
-    """The observed quantile of every ``max_percentile`` rule, measured together."""
-    wanted = {
+    totals = _totals(df, rules)
+    wanted = _percentiles(df, rules)
+    quantiles: dict[int, float | None] = {}
+    if wanted:
+        totals = df.sparkSession.createDataFrame(totals.toArrow(), totals.schema)
+        quantiles = _settled(df, wanted, totals, list(wanted))
+    return _outcomes(totals, rules, quantiles).drop("position")
+
+
+def _percentiles(df: DataFrame, rules: Sequence[Rule]) -> dict[int, tuple[str, float]]:
+    """Column and share of every ``max_percentile`` rule, by its place."""
+    return {
         i: (field_of(df, rule.column).name, rule.p)
-        for i, rule in rules.items()
+        for i, rule in enumerate(rules)
         if isinstance(rule, MaxPercentile)
     }
-    if not wanted:
+
+
+def _totals(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """One row with the aggregates of all rules and the sketches of their percentiles."""
+    aggregates = [
+        expression.alias(f"{i}_{key}")
+        for i, rule in enumerate(rules)
+        for key, expression in rule.aggregates(df).items()
+    ]
+    sketches = [sketch_of(*w).alias(f"{i}_sketch") for i, w in _percentiles(df, rules).items()]
+    return df.agg(*aggregates, *sketches)
+
+
+def _settled(
+    df: DataFrame, wanted: Mapping[int, tuple[str, float]], totals: DataFrame, places: Sequence[int]
+) -> dict[int, float | None]:
+    """The exact quantiles of the rules in these places, measured together."""
+    if not places:
         return {}
-    return dict(zip(wanted, exact_quantiles(df, list(wanted.values()))))
+    sketches = totals.select(*(F.col(f"`{i}_sketch`") for i in places)).first()
+    return dict(zip(places, settled_quantiles(df, [wanted[i] for i in places], list(sketches))))
 
 
-def _evaluate(
-    df: DataFrame,
-    rules: Sequence[Rule],
-    aggregates: Sequence[dict[str, Column]],
-    quantiles: dict[int, float | None],
+def _outcomes(
+    totals: DataFrame, rules: Sequence[Rule], quantiles: Mapping[int, float | None]
 ) -> DataFrame:
-    totals = df.agg(
-        *(
-            expression.alias(f"{i}_{key}")
-            for i, expressions in enumerate(aggregates)
-            for key, expression in expressions.items()
-        )
-    )
-
     def outcome(i: int, rule: Rule) -> Column:
         def aggregate(key: str) -> Column:
             return F.col(f"`{i}_{key}`")
@@ -99,14 +110,16 @@ def _evaluate(
 
 
 def check(df: DataFrame, rules: Sequence[Rule]) -> list[RuleResult]:
-    """Evaluate the rules; a quantile is measured only for a rule that failed on it."""
+    """Evaluate the rules; a quantile is settled only for a rule that failed on it."""
     if not rules:
         return []
-    outcomes = _evaluate(df, rules, [rule.aggregates(df) for rule in rules], {})
-    rows = sorted(outcomes.collect(), key=lambda row: row.position)
+    totals = _totals(df, rules)
+    totals = df.sparkSession.createDataFrame(totals.toArrow(), totals.schema)  # one row
+    rows = sorted(_outcomes(totals, rules, {}).collect(), key=lambda row: row.position)
     results = [RuleResult(rule, row.observed, row.ok) for rule, row in zip(rules, rows)]
-    failed = {i: r.rule for i, r in enumerate(results) if not r.ok}
-    for i, quantile in _quantiles(df, failed).items():
+    wanted = _percentiles(df, rules)
+    failed = [i for i in wanted if not results[i].ok]
+    for i, quantile in _settled(df, wanted, totals, failed).items():
         results[i] = replace(results[i], observed=quantile)
     return results
 

@@ -1,38 +1,29 @@
 """Exact quantiles of numeric columns without sorting or gathering a column.
 
-Each pass counts values into bins (combined in the map tasks, so a task sends one
-row per bin it meets), then keeps only the bins that hold the wanted ranks. The first
-bins are logarithmic and need no knowledge of the range; each later pass splits what
-is left into even parts. A first bin spans under 2 percent of its values, which is
-fewer than 2 ** 48 doubles, so five later passes at most settle any distribution, and
-usually one or none is needed. All wanted quantiles share every pass, and one row for
-each reaches the driver.
+A sketch of each column, built in one aggregation that others may share, brackets the wanted
+rank. One pass then counts the values below the bracket and, inside it, either each value or,
+where it holds too many for one task to rank, even bins; tasks send one row per value or bin.
+Bins that still hold many are split further. All wanted quantiles share every pass, and one
+row for each reaches the driver. The sketch only decides where to look: the ranks are counted,
+and a bracket that should miss its rank is widened to what lies beside it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
-from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions.columns import quoted
-from sluiceway.workspace import checkpoint_dir
-
-# Bins per factor of e in the first pass: under 1,000 for values between 1 and a
-# million, and fewer than 200,000 for all doubles together.
-_LOG_BINS = 64
-# Keeps the logarithm of the smallest double, -744.4, above zero.
-_LOG_SHIFT = 745.0
-# Bins per later pass.
+
+# A rank of the sketch is off by no more than this part of all values.
+_ACCURACY = 10_000
+# Bins per pass.
 _EVEN_BINS = 1024
 # This many candidates are few enough for one task to rank.
 _FEW = 100_000
-# Candidates are worth saving once they are at most this part of all values. A bin that
-# holds a hot value is not; the next pass tells that value from its neighbours.
-_SAVE_BELOW = 10
 
 
 def is_number(value: Column) -> Column:
@@ -53,59 +44,46 @@ def exact_quantiles(
     """
     if any(not 0.0 < p <= 1.0 for _, p in wanted):
         raise ValueError("p must be in (0,1]")
-    columns = list(dict.fromkeys(column for column, _ in wanted))
-    series_of = {k: columns.index(column) for k, (column, _) in enumerate(wanted)}
-    series, value = F.col("series"), F.col("v")
+    sketch = df.agg(*(s.alias(f"{k}") for k, (c, p) in enumerate(wanted) for s in [sketch_of(c, p)]))
+    return settled_quantiles(df, wanted, list(sketch.first()), few)
+
+
+def sketch_of(column: str, p: float) -> Column:
+    """An aggregate for ``settled_quantiles``: how many numbers, and a bracket of the quantile."""
+    value = quoted(column).cast("double")
+    number = F.when(is_number(value), value)
+    beside = [max(0.0, p - 2 / _ACCURACY), min(1.0, p + 2 / _ACCURACY)]
+    ends = F.percentile_approx(number, beside, _ACCURACY)
+    return F.struct(F.count(number).alias("n"), ends[0].alias("lo"), ends[1].alias("hi"))
 
+
+def settled_quantiles(
+    df: DataFrame, wanted: Sequence[tuple[str, float]], sketches: Sequence[Row], few: int = _FEW
+) -> list[float | None]:
+    """The exact quantiles, given what ``sketch_of`` found for each."""
+    series, value = F.col("series"), F.col("v")
+    there = {k: s for k, s in enumerate(sketches) if s.n}
+    if not there:
+        return [None] * len(wanted)
     each = (
-        F.struct(F.lit(i).alias("series"), quoted(c).cast("double").alias("v"))
-        for i, c in enumerate(columns)
+        F.struct(F.lit(k).alias("series"), quoted(wanted[k][0]).cast("double").alias("v")) for k in there
     )
     values = df.select(F.inline(F.array(*each))).filter(is_number(value))
-    magnitude = F.signum(value) * (F.ln(F.abs(value)) + F.lit(_LOG_SHIFT))
-    log_bin = F.when(value == 0, 0.0).otherwise(F.rint(magnitude * F.lit(_LOG_BINS)))
-    found = _locate(
-        _bins(values, log_bin),
-        {k: (series_of[k], rank_of(p, F.col("total"))) for k, (_, p) in enumerate(wanted)},
-    )
 
-    # From here on a series is one wanted quantile: the values its rank may fall on.
-    unsettled = {k: bin_ for k, bin_ in found.items() if bin_.lo < bin_.hi}
-    if unsettled:
-        candidate_for = [
-            (series == series_of[k]) & value.between(b.lo, b.hi) for k, b in unsettled.items()
-        ]
-        quantiles = (F.when(c, F.lit(k)) for k, c in zip(unsettled, candidate_for))
-        values = values.filter(reduce(or_, candidate_for)).select(
-            F.explode(F.array_compact(F.array(*quantiles))).alias("series"), "v"
-        )
-    totals = {k: b.total for k, b in found.items()}
-    saved = False
-    while wide := {k: b for k, b in unsettled.items() if b.n > few}:
-        if not saved and all(b.n * _SAVE_BELOW <= totals[k] for k, b in wide.items()):
-            # Later passes read the candidates, not the whole source again.
-            checkpoint_dir(df.sparkSession)
-            values, saved = _within(values, unsettled).checkpoint(), True
-        share = _for_series(
-            {k: (value - F.lit(b.lo)) / F.lit(b.hi - b.lo) for k, b in wide.items()}
-        )
-        found.update(
-            _locate(
-                _bins(_within(values, wide), F.floor(share * F.lit(_EVEN_BINS))),
-                {k: (k, F.lit(b.rank)) for k, b in wide.items()},
-            )
-        )
-        unsettled = {k: found[k] for k in unsettled if found[k].lo < found[k].hi}
-    if unsettled:
-        ranked = F.row_number().over(Window.partitionBy("series").orderBy("v"))
-        rank = _for_series({k: F.lit(b.rank) for k, b in unsettled.items()})
-        picked = (
-            _within(values, unsettled)
-            .withColumn("at", ranked)
-            .filter(F.col("at") == rank)
-            .collect()
-        )
-        found.update({row.series: Row(lo=row.v) for row in picked})
+    def inside(lo: float, hi: float, n: float) -> Column:
+        if n <= few or not math.isfinite(hi - lo):
+            return value
+        return F.floor((value - F.lit(lo)) / F.lit(hi - lo) * F.lit(_EVEN_BINS)).cast("double")
+
+    side = _for_series({k: F.when(value < s.lo, -1).when(value > s.hi, 1).otherwise(0) for k, s in there.items()})
+    place = _for_series({k: inside(s.lo, s.hi, 4 / _ACCURACY * s.n) for k, s in there.items()})
+    bin_ = F.struct(side.alias("side"), F.when(side == 0, place).alias("place"))
+    ranks = {k: (k, F.lit(max(1, math.ceil(wanted[k][1] * s.n)))) for k, s in there.items()}
+    found = _locate(_bins(values, bin_), ranks)
+    while unsettled := {k: b for k, b in found.items() if b.lo < b.hi}:
+        place = _for_series({k: inside(b.lo, b.hi, b.n) for k, b in unsettled.items()})
+        bins = _bins(_within(values, unsettled), place)
+        found |= _locate(bins, {k: (k, F.lit(b.rank)) for k, b in unsettled.items()})
     return [found[k].lo if k in found else None for k in range(len(wanted))]
 
 
@@ -124,15 +102,14 @@ def _within(values: DataFrame, bins: Mapping[int, Row]) -> DataFrame:
 
 
 def _bins(values: DataFrame, bin_of: Column) -> DataFrame:
-    """Per series and bin: extent, size, values up to and including it, and in all."""
+    """Per series and bin: extent, size, values up to and including it."""
     bins = values.groupBy("series", bin_of.alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")
     )
-    # The windows run over bins, whose number is fixed, not over values.
+    # The windows run over bins, or over values where these are few.
     running = Window.partitionBy("series").orderBy("bin")
-    whole = running.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return bins.withColumns(
-        {"upto": F.sum("n").over(running), "total": F.sum("n").over(whole)}
+        {"upto": F.sum("n").over(running)}
     )
 
 
@@ -146,7 +123,7 @@ def _locate(bins: DataFrame, ranks: Mapping[int, tuple[int, Column]]) -> dict[in
     rows = (
         bins.select("*", F.inline(F.array(*each)))
         .filter((F.col("series") == F.col("of")) & F.col("rank").between(below + 1, F.col("upto")))
-        .select("k", "n", "lo", "hi", "total", (F.col("rank") - below).alias("rank"))
+        .select("k", "n", "lo", "hi", (F.col("rank") - below).alias("rank"))
         .collect()
     )
     return {row.k: row for row in rows}

@@ -20,13 +20,9 @@ from sluiceway.functions.text import double_text
 from sluiceway.operators.quantile import is_number, rank_of
 
 
-def _rows_where(condition: Column) -> Column:
-    return F.sum(F.when(condition, 1).otherwise(0))
-
-
 def _share_of_rows(condition: Column) -> Column:
     """Share of all rows, nulls included; null when there are no rows."""
-    return F.try_divide(_rows_where(condition), F.count(F.lit(1)))
+    return F.try_divide(F.count_if(condition), F.count(F.lit(1)))
 
 
 class _RatioRule:
@@ -115,8 +111,8 @@ class MaxPercentile:
             )
         value = quoted(field.name).cast("double")
         return {
-            "numbers": _rows_where(is_number(value)),
-            "within": _rows_where(is_number(value) & (value <= F.lit(self.maximum))),
+            "numbers": F.count_if(is_number(value)),
+            "within": F.count_if(is_number(value) & (value <= F.lit(self.maximum))),
         }
 
     def observed(self, aggregate: Callable[[str], Column]) -> Column:
@@ -126,10 +122,7 @@ class MaxPercentile:
         if math.isnan(self.maximum):
             return F.lit(False)
         numbers, within = aggregate("numbers"), aggregate("within")
-        # Both sums are null on empty input.
-        return F.coalesce(
-            (numbers > 0) & (within >= rank_of(self.p, numbers)), F.lit(False)
-        )
+        return (numbers > 0) & (within >= rank_of(self.p, numbers))
 
 
 Rule = FilledRatio | ValueRatio | MaxPercentile

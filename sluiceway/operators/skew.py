@@ -8,40 +8,45 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.functions.columns import quoted
+from sluiceway.operators.sizes import is_small
 
-# A key is hot above this share of all rows, so there are at most 1 / share of them.
-HOT_SHARE = 1 / 4096
-# Below this many rows a key is no burden for a single task.
+# Up to this many rows a key is no burden for a single task, whatever the other keys hold.
 HOT_ROWS = 1_000_000
-# Several times 1 / HOT_SHARE, so that a bucket of ordinary keys stays below it.
+# The column that says into how many parts a key's rows are to be split.
+PARTS = "__parts"
 _BUCKETS = 1 << 14
+_MOST_BUCKETS = 1 << 20
 
 
 def hot_keys(
     df: DataFrame, keys: Sequence[str], total: int, hot_rows: int = HOT_ROWS
 ) -> DataFrame | None:
-    """The keys with more than ``hot_rows`` of the ``total`` rows and more than ``HOT_SHARE``.
+    """The keys with more than ``hot_rows`` of the ``total`` rows, and ``PARTS`` for each.
 
     None if there are none. Hash buckets are counted first, which shuffles a few rows per
     task and not the keys; keys are counted exactly only within the buckets heavy enough
-    to hide a hot one. The result has fewer than ``1 / HOT_SHARE`` rows, so it is safe to
-    broadcast.
+    to hide a hot one. There are at most ``total / hot_rows`` such keys, so their number grows
+    with the frame: the result says that it may be broadcast only if it is small.
     """
-    limit = max(hot_rows, int(total * HOT_SHARE))
-    if total <= limit:
+    hot_rows = max(1, hot_rows)
+    if total <= hot_rows:
         return None
     columns = [quoted(k) for k in keys]
-    bucket = F.pmod(F.xxhash64(*columns), F.lit(_BUCKETS))
-    sizes = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    heavy = [row.bucket for row in sizes.filter(F.col("n") > limit).collect()]
-    if not heavy:
+    buckets = min(_MOST_BUCKETS, max(_BUCKETS, 1 << (4 * total // hot_rows).bit_length()))
+    bucket = F.pmod(F.xxhash64(*columns), F.lit(buckets))
+    sizes = df.groupBy(bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("__n"))
+    heavy = sizes.filter(F.col("__n") > hot_rows).select("__bucket")
+    if heavy.isEmpty():
         return None
     hot = (
-        df.filter(bucket.isin(heavy))
+        df.select(*columns)
+        .withColumn("__bucket", bucket)
+        .join(F.broadcast(heavy), "__bucket", "left_semi")  # at most _MOST_BUCKETS numbers
         .groupBy(*columns)
-        .agg(F.count(F.lit(1)).alias("__rows"))
-        .filter(F.col("__rows") > limit)
-        .drop("__rows")
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") > hot_rows)
+        .select(*columns, F.ceil(F.col("__n") / hot_rows).alias(PARTS))
     )
-    found = hot.toArrow()
-    return df.sparkSession.createDataFrame(found, hot.schema) if found.num_rows else None
+    if hot.isEmpty():
+        return None
+    return F.broadcast(hot) if is_small(hot) else hot

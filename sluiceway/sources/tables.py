@@ -45,15 +45,27 @@ class PathTable:
         return files.select(*map(quoted, self.schema.names))
 
     def read_partition(self, spark: SparkSession, value: str) -> DataFrame | None:
-        """One partition, or None if it does not exist. Lists only that partition's files."""
+        """One partition, or None if it does not exist. Lists only that partition's files.
+
+        Raises if they hold a column that the schema does not name, which a rewrite of the
+        partition would delete.
+        """
         data = T.StructType([f for f in self.schema if f.name != self.partition_column])
         folder = f"{_in_folder_name(self.partition_column)}={_in_folder_name(value)}"
         try:
-            files = spark.read.schema(data).parquet(f"{self.path.rstrip('/')}/{folder}")
+            path = f"{self.path.rstrip('/')}/{folder}"
+            found = spark.read.option("mergeSchema", "true").parquet(path)
         except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
+            if error.getCondition() == "PATH_NOT_FOUND":
+                return None
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
                 raise
-            return None
+            return spark.createDataFrame([], self.schema)  # a folder without files
+        known = {name.lower() for name in data.names}
+        unknown = [name for name in found.columns if name.lower() not in known]
+        if unknown:
+            raise ValueError(f"{path} has columns the table does not declare: {unknown}")
+        files = spark.read.schema(data).parquet(path)
         return files.withColumn(self.partition_column, F.lit(value))
 
     def replace_partition(self, df: DataFrame) -> None:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.operators import merge
+from sluiceway.operators import merge, sizes
 from sluiceway.operators.merge import merge_partition, overwrite_partition, upsert
 from sluiceway.sources.tables import CatalogTable, PathTable
 from tests.conftest import rows
@@ -318,16 +318,48 @@ def test_merge_equals_brute_force(spark, seed, hot_rows, small_rows):
 
 
 def test_wide_rows_are_not_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(merge, "SMALL_BYTES", 100)
+    monkeypatch.setattr(sizes, "SMALL_BYTES", 100)
+    monkeypatch.setattr(merge, "hot_keys", lambda *_: None)
     current = spark.range(50).select(F.col("id").cast("string").alias("k"), F.lit("old").alias("v"))
     source = current.filter("k < '2'").withColumn("v", F.lit("new" * 50))
     schema = T.StructType().add("k", "string").add("v", "string").add("ds", "string")
     merged = upsert(source, current, schema, ["k"], "ds", hot_rows=5, small_rows=1000)
-    assert "FullOuter" in merged._jdf.queryExecution().executedPlan().toString()
+    assert "strategy=broadcast" not in merged._jdf.queryExecution().logical().toString()
     assert merged.count() == 50
     assert merged.filter(F.length("v") > 100).count() == source.count()
 
 
-@pytest.mark.parametrize("rows_held, limit, expected", [(0, 0, True), (5, 5, True), (6, 5, False)])
-def test_row_probe(spark, rows_held, limit, expected):
-    assert merge._has_at_most(spark.range(rows_held), limit) is expected
+def test_sparse_wide_rows_are_measured_as_rows_not_as_text(spark):
+    nulls = {f"c{i}": F.lit(None).cast("double") for i in range(300)}
+    wide = spark.range(100_000).select(F.lit("k").alias("k")).withColumns(nulls)
+    n, held = sizes.measured(wide)
+    assert n == 100_000 and held > 200 << 20
+    assert not sizes.is_small(wide)
+    nested = spark.sql("select array('ab', null) a, map(1, 'x') m, named_struct('s', 'yz') s, null n")
+    assert 100 < sizes.measured(nested)[1] < 400
+    assert sizes.measured(spark.range(0)) == (0, 0)
+
+
+@pytest.mark.parametrize("value", ["", None])
+def test_an_empty_partition_value_is_refused(spark, table, value):
+    with pytest.raises(ValueError, match="partition needs a value"):
+        merge_partition(frame(spark, [("a", "1", "n", "")]), table, ["k"], value, stamp=True)
+    with pytest.raises(ValueError, match="partition needs a value"):
+        overwrite_partition(frame(spark, [("a", "1", "n", "")]), table, value)
+
+
+def test_columns_that_only_the_files_have_are_not_lost(spark, folder):
+    wider = T.StructType([*SCHEMA.fields[:-1], T.StructField("extra", T.StringType()), SCHEMA["ds"]])
+    PathTable(folder, wider).replace_partition(
+        frame(spark, [("a", "1", "n", "x", DAY)], "k string, v string, note string, extra string, ds string")
+    )
+    with pytest.raises(ValueError, match="extra"):
+        merge_partition(frame(spark, [("b", "1", "n", DAY)]), PathTable(folder, SCHEMA), ["k"], DAY)
+    assert PathTable(folder, wider).read(spark).count() == 1
+
+
+def test_helper_names_are_refused(spark):
+    schema = T.StructType().add("k", "string").add("__part", "string").add("ds", "string")
+    source = spark.createDataFrame([("a", "b")], "k string, __part string")
+    with pytest.raises(ValueError, match="__part"):
+        upsert(source, None, schema, ["k"], "ds")

@@ -1,9 +1,12 @@
 import math
 import random
+from pathlib import Path
+from urllib.parse import urlparse
 
 import pytest
+from pyspark.sql import Row
 
-from sluiceway.operators.quantile import exact_quantiles
+from sluiceway.operators.quantile import exact_quantiles, settled_quantiles
 
 SHARES = [1e-9, 0.01, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
 
@@ -56,22 +59,23 @@ def test_share_must_be_positive(spark):
         exact_quantiles(frame(spark, [1.0]), [("x", 0.0)])
 
 
-def test_candidates_are_saved_only_when_they_are_few(spark, monkeypatch):
-    saved = []
-    cls = type(spark.range(1))
-    original = cls.checkpoint
-
-    def checkpoint(df, *args):
-        saved.append(df.count())
-        return original(df, *args)
-
-    monkeypatch.setattr(cls, "checkpoint", checkpoint)
-    # Two thirds of the values share a first bin, a third of all are the same.
+def test_brackets_that_miss_and_hot_values_are_settled(spark):
+    # Two thirds of the values lie close together, a third of all are the same.
     df = spark.range(900).selectExpr(
         "case when id % 3 = 0 then 100.0D when id % 3 = 1 then 100 + id / 1e4 else id end as x"
     )
     values = [row.x for row in df.collect()]
-    assert exact_quantiles(df, [("x", 0.5)], few=5) == [brute_force(values, 0.5)]
-    assert all(n <= 90 for n in saved)
-    assert exact_quantiles(df, [("x", 0.99)], few=1) == [brute_force(values, 0.99)]
-    assert len(saved) >= 1
+    wanted = [("x", p) for p in (0.01, 0.5, 0.99, 1.0)]
+    for few in (1, 5, 100_000):
+        assert exact_quantiles(df, wanted, few=few) == [brute_force(values, p) for _, p in wanted]
+    wrong = [Row(n=900, lo=5.0, hi=6.0), Row(n=900, lo=800.0, hi=899.0)]
+    for few in (1, 100_000):
+        found = settled_quantiles(df, wanted[1:3], wrong, few=few)
+        assert found == [brute_force(values, 0.5), brute_force(values, 0.99)]
+
+
+def test_nothing_is_left_in_the_checkpoint_folder(spark, tmp_path):
+    folder = Path(urlparse(spark.sparkContext.getCheckpointDir() or str(tmp_path)).path)
+    before = sorted(folder.rglob("*"))
+    exact_quantiles(spark.range(5000).selectExpr("cast(id as double) x"), [("x", 0.5)], few=2)
+    assert sorted(folder.rglob("*")) == before

@@ -105,7 +105,7 @@ ORACLES: dict[str, str] = {
     "single_partition": f"SELECT * FROM ({_WEB}) WHERE ds = '2024-01-05'",
     "csv_roundtrip": """
         SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id,
-               strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type, props
+               ts::VARCHAR AS ts, event_type, props
         FROM events""",
     "csv_by_position": """
         SELECT o_orderkey::VARCHAR AS transaction_id, o_custkey::VARCHAR AS user_id,
@@ -251,10 +251,10 @@ ORACLES: dict[str, str] = {
         WHERE ts::DATE = DATE '2024-01-05'""",
     "web_events_job": f"""
         SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id,
-               CASE WHEN props = '{{"k": 1}}' THEN event_type ELSE 'late' END AS event_type,
+               CASE WHEN first_only THEN event_type ELSE 'late' END AS event_type,
                '{DS}' AS ds, props, true AS _ingest_ts,
-               CASE WHEN props = '{{"k": 1}}' THEN 'run-1' ELSE 'run-2' END AS _run_id
-        FROM events WHERE event_type <> 'signup' OR props <> '{{"k": 1}}'""",
+               CASE WHEN first_only THEN 'run-1' ELSE 'run-2' END AS _run_id
+        FROM (SELECT *, props = '{{"k": 1}}' AND event_type <> 'signup' AS first_only FROM events)""",
     "pos_transactions_job": f"""{_POS.replace("o_orderstatus AS currency",
         "CASE WHEN o_orderstatus <> 'O' THEN 'EUR' ELSE 'O' END AS currency")},
         '{DS}' AS ds, true AS _ingest_ts,
@@ -263,4 +263,24 @@ ORACLES: dict[str, str] = {
     "crm_users_job": f"""{_CRM}, '{DS}' AS ds, true AS _ingest_ts,
         CASE WHEN c_nationkey <> 5 THEN 'run-2' ELSE 'run-1' END AS _run_id
         FROM customer""",
+    "crm_users_catalog_job": f"""{_CRM}, '{DS}' AS ds, true AS _ingest_ts,
+        CASE WHEN c_nationkey <> 5 THEN 'run-2' ELSE 'run-1' END AS _run_id
+        FROM customer""",
+    "gate_shut_job": f"""{_CRM}, '{DS}' AS ds, true AS _ingest_ts, 'run-1' AS _run_id,
+        'DQ failed: filled_ratio(email)>=0.98' AS message
+        FROM customer""",
+    "merge_composite": f"""
+        WITH held AS (
+            SELECT l_orderkey, CASE WHEN l_returnflag <> 'R' THEN l_linenumber END AS line,
+                   l_quantity AS quantity, l_shipdate::VARCHAR AS l_shipdate
+            FROM lineitem),
+        known AS (
+            SELECT l_orderkey, line, max(-quantity) AS quantity
+            FROM held WHERE quantity > 25 GROUP BY l_orderkey, line)
+        SELECT h.l_orderkey, h.line::VARCHAR AS line, coalesce(k.quantity, h.quantity) AS quantity,
+               l_shipdate, '{DS}' AS ds
+        FROM held h LEFT JOIN known k
+          ON k.l_orderkey = h.l_orderkey AND k.line IS NOT DISTINCT FROM h.line
+        UNION ALL
+        SELECT -l_orderkey - 1, line::VARCHAR, quantity, NULL, '{DS}' FROM known""",
 }

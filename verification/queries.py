@@ -13,7 +13,7 @@ from sluiceway.context import RunContext
 from sluiceway.functions.columns import event_date
 from sluiceway.operators.dedupe import keep_latest
 from sluiceway.operators.merge import merge_partition, overwrite_partition
-from sluiceway.operators.quality import gate, report
+from sluiceway.operators.quality import QualityError, gate, report
 from sluiceway.operators.rules import FilledRatio, MaxPercentile, ValueRatio
 from sluiceway.operators.staging import only_partition, stamp_partition, with_ingestion_meta
 from sluiceway.plans.jobs import (
@@ -26,7 +26,7 @@ from sluiceway.plans.jobs import (
     Job,
     run_job,
 )
-from sluiceway.plans.metadata import ITEM_SCHEMA, RuleSpec, load_item, registry, rule_rows
+from sluiceway.plans.metadata import ITEM_SCHEMA, ItemDef, RuleSpec, load_item, registry, rule_rows
 from sluiceway.sources.csv import read_csv
 from sluiceway.sources.tables import CatalogTable, PathTable
 from sluiceway.workspace import fresh_path
@@ -103,8 +103,7 @@ def single_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = web_source(given(spark, sf_dir, "events"))
-    path = as_csv(source.withColumn("ts", F.substring("ts", 1, 19)), "events-csv")
-    return read_csv(spark, path, WEB_EVENTS_SOURCE)
+    return read_csv(spark, as_csv(source, "events-csv"), WEB_EVENTS_SOURCE)
 
 
 def csv_by_position(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,6 +386,20 @@ def merge_catalog_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(CatalogTable(name), spark, sf_dir, runs=1)
 
 
+def merge_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two key columns, null in some rows; the held rows repeat keys, the source lacks a column."""
+    lines = given(spark, sf_dir, "lineitem")
+    number = F.when(F.col("l_returnflag") != "R", F.col("l_linenumber"))
+    lines = lines.select("l_orderkey", number.alias("line"), F.col("l_quantity").alias("quantity"), "l_shipdate")
+    table = _path_table(spark, "l_orderkey bigint, line int, quantity double, l_shipdate string")
+    table.replace_partition(stamp_partition(lines.withColumn("l_shipdate", text("l_shipdate")), DS))
+    known = lines.filter("quantity > 25").select("l_orderkey", "line", (-F.col("quantity")).alias("quantity"))
+    new = known.withColumn("l_orderkey", -F.col("l_orderkey") - 1)
+    source = stamp_partition(known.unionByName(new), DS)
+    merge_partition(source, table, ["l_orderkey", "line"], DS, latest_by=["quantity"])
+    return table.read(spark).withColumn("line", text("line"))
+
+
 def merge_hot_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The held rows repeat their keys, and a fifth of them share the null key."""
     events = spoiled_events(given(spark, sf_dir, "events"))
@@ -428,6 +441,8 @@ def merge_few_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Jobs
 
+_CRM_LANDED = "user_id string, email string, country string, _ingest_ts timestamp, _run_id string"
+
 
 def _run_twice(
     spark: SparkSession, job: Job, sources: list[DataFrame], items=None
@@ -451,13 +466,52 @@ def _run_twice(
     return landed.withColumn("_ingest_ts", F.col("_ingest_ts").isNotNull())
 
 
+def crm_users_catalog_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys, rules and table from metadata alone; no path is given."""
+    table = partitioned_table(spark, _CRM_LANDED)
+    metadata = metadata_table(spark, _landing_in(table))
+    source = crm_source(given(spark, sf_dir, "customer"))
+    for i, some in enumerate((source.filter("country <> '3'"), source.filter("country <> '5'")), start=1):
+        args = {"inputPath": as_csv(some, "crm_users"), "ds": DS, "run_id": f"run-{i}"}
+        run_job(spark, CRM_USERS, args, metadata)
+    return spark.table(table).withColumn("_ingest_ts", F.col("_ingest_ts").isNotNull())
+
+
+def gate_shut_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second run whose file fails a rule: the first run's rows, and what the gate said."""
+    table = partitioned_table(spark, _CRM_LANDED)
+    metadata = metadata_table(spark, _landing_in(table))
+    source = crm_source(given(spark, sf_dir, "customer"))
+    spoiled = source.withColumn("email", F.when(F.col("country") > "1", F.col("email")))
+    said = "the gate let everything through"
+    for i, some in enumerate((source, spoiled), start=1):
+        args = {"inputPath": as_csv(some, "crm_users"), "ds": DS, "run_id": f"run-{i}"}
+        try:
+            run_job(spark, CRM_USERS, args, metadata)
+        except QualityError as error:
+            said = str(error).split(" details=")[0]
+    landed = spark.table(table).withColumn("_ingest_ts", F.col("_ingest_ts").isNotNull())
+    return landed.withColumn("message", F.lit(said))
+
+
+def _landing_in(table: str) -> list[ItemDef]:
+    return [
+        replace(item, output_table=table) if item.item_name == CRM_USERS.item_name else item
+        for item in registry()
+    ]
+
+
 def web_events_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The second run's file holds every event twice; the copy dated later wins."""
     source = web_source(given(spark, sf_dir, "events"))
-    later = source.withColumns({"ts": F.lit("2024-03-01"), "event_type": F.lit("late")})
-    second = source.unionByName(later).filter(F.col("props") != '{"k": 1}')
+    # What one file lacks the other has, so that every event lands.
+    first_only = (F.col("props") == '{"k": 1}') & (F.col("event_type") != "signup")
+    second = source.filter(~first_only)
+    later = second.withColumns({"ts": F.lit("2024-03-01"), "event_type": F.lit("late")})
     return _run_twice(
-        spark, WEB_EVENTS, [source.filter(F.col("event_type") != "signup"), second]
+        spark,
+        WEB_EVENTS,
+        [source.filter(F.col("event_type") != "signup"), second.unionByName(later)],
     )
 
 
@@ -511,10 +565,13 @@ QUERIES: dict[str, Query] = {
         merge_path_partition,
         merge_rerun,
         merge_catalog_partition,
+        merge_composite,
         merge_hot_key,
         merge_few_corrections,
         web_events_job,
         pos_transactions_job,
         crm_users_job,
+        crm_users_catalog_job,
+        gate_shut_job,
     )
 }

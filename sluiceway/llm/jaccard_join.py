@@ -37,13 +37,15 @@ SIMILAR = 80  # per cent
 BANDS = 20
 ROWS = 2
 BLOCK = 512
+_PART = 1 << 12
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64))
 _PAIR = "a long, b long, n_a long, n_b long, bits_a binary, bits_b binary"
 
 
 def _signature(held: np.ndarray) -> tuple[list[int], bytes]:
     """Keys and bitmap of a set that is not empty."""
-    least = np.array([mix(held ^ seed).min() for seed in _SEEDS]).reshape(BANDS, ROWS)
+    parts = [mix(held[None, k : k + _PART] ^ _SEEDS[:, None]).min(axis=1) for k in range(0, len(held), _PART)]
+    least = np.min(parts, axis=0).reshape(BANDS, ROWS)
     keys = mix(mix(least[:, 0] + np.arange(BANDS, dtype=np.uint64)) + least[:, 1])
     width = max(64, 1 << (2 * len(held) - 1).bit_length())
     bits = np.zeros(width, bool)
@@ -187,8 +189,10 @@ def _tiles(keys: DataFrame, classes: DataFrame, found: DataFrame, least: int) ->
     names = ["key", "band", "low", "high"]
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in each_group(frames, names):
-            yield pd.DataFrame(_tile(f, least), columns=["a", "b", "most"])
+        found = []
+        for tile in each_group(frames, names):
+            found += _tile(tile, least)
+        yield pd.DataFrame(found, columns=["a", "b", "most"])
 
     return (
         placed.repartition(*names)
@@ -199,14 +203,13 @@ def _tiles(keys: DataFrame, classes: DataFrame, found: DataFrame, least: int) ->
     )
 
 
-def _tile(f: pd.DataFrame, least: int) -> list[tuple[int, int, float]]:
+def _tile(f: dict[str, np.ndarray], least: int) -> list[tuple[int, int, float]]:
     """The pairs of one tile that may be similar."""
-    host, n = f["guest"].to_numpy() == 0, f["n"].to_numpy()
-    block, component, name = f["block"].to_numpy(), f["component"].to_numpy(), f["id"].to_numpy()
-    if not host.any() or component.min() == component.max():
+    host, n, block, component, name = f["guest"] == 0, f["n"], f["block"], f["component"], f["id"]
+    if not host.any() or (component == component[0]).all():
         return []
     bits = [_words(b) for b in f["bits"]]
-    across = f["low"].iloc[0] != f["high"].iloc[0]
+    across = f["low"][0] != f["high"][0]
     widths: dict[int, list[int]] = {}
     for i, b in enumerate(bits):
         widths.setdefault(len(b), []).append(i)

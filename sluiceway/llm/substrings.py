@@ -241,8 +241,9 @@ def _among_themselves(rows: DataFrame, docs: DataFrame) -> DataFrame:
     names = ["key", "small", "large"]
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in each_group(frames, names):
-            yield pd.DataFrame(_block(f), columns=[x.split()[0] for x in SPANS.split(", ")])
+        for block in each_group(frames, names):
+            if found := _block(block):
+                yield pd.DataFrame(found, columns=[x.split()[0] for x in SPANS.split(", ")])
 
     sizes = rows.groupBy("key").agg(
         F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
@@ -261,20 +262,20 @@ def _among_themselves(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return placed.repartition(*names).sortWithinPartitions(*names).mapInPandas(compare, SPANS)
 
 
-def _block(f: pd.DataFrame) -> list[tuple]:
+def _block(f: dict[str, np.ndarray]) -> list[tuple]:
     """The repeats within a block of rows of one key, or between two blocks."""
-    f = f.sort_values(["doc_id", "low"])
-    ids, low, block = f["doc_id"].to_numpy(), f["low"].to_numpy(), f["block"].to_numpy()
+    order = np.lexsort((f["low"], f["doc_id"]))
+    ids, low, block = (f[c][order] for c in ("doc_id", "low", "block"))
     if ids[0] == ids[-1]:
         return []
-    held = [np.asarray(x, np.int64).view(np.uint64) for x in f["tokens"]]
-    bits = np.zeros((len(f), _SKETCH), bool)
+    held = [np.asarray(x, np.int64).view(np.uint64) for x in f["tokens"][order]]
+    bits = np.zeros((len(ids), _SKETCH), bool)
     for i, x in enumerate(held):
         bits[i, (x % np.uint64(_SKETCH)).astype(np.int64)] = True
     bits = np.packbits(bits, axis=1).view(np.uint64)
-    across = f["small"].iloc[0] != f["large"].iloc[0]
+    across = f["small"][0] != f["large"][0]
     out = []
-    for i in range(1, len(f)):
+    for i in range(1, len(ids)):
         # A repeat has so many shingles in common; on fewer bits they may collide.
         common = np.bitwise_count(bits[:i] & bits[i]).sum(axis=1)
         few = min(LEAST, int(np.bitwise_count(bits[i]).sum())) * SIMILAR / 100 * 0.85

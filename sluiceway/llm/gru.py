@@ -145,7 +145,7 @@ def _window(model, before, target, begins, inside, state, learn):
             kept.append((old, z, r, new, u[:, 2 * size :]))
     flat = inside.T  # step by step
     seen, words = hidden[flat], target.T[flat]
-    group = np.minimum(words // CLASS, model.classes).astype(np.int16)  # sorted by radix
+    group = np.where(words < model.vocabulary, words // CLASS, model.classes).astype(np.int16)  # sorted by radix
     by_class = _log_softmax(seen @ model.of_class + model.class_bias)
     logs = by_class[np.arange(len(words)), group].astype(float)
     order = np.argsort(group, kind="stable")

@@ -1,0 +1,52 @@
+import corpus_pipeline
+from sluiceway.llm.queries import QUERIES, tokenizer
+from sluiceway.llm.tables import saved
+from tests.llm.helpers import DOCS, documents, edited, prose, words
+
+
+def texts():
+    passage = prose(50, 60)
+    base = prose(1, 150)
+    out = [prose(100 + i, 80) for i in range(20)]  # clean
+    out += [base, base, edited(base, 1, 140), edited(base, 2, 140)]
+    out += [prose(200 + i, 60) + " " + passage + " " + prose(300 + i, 60) for i in range(6)]
+    return [*out, None, "", "123 456"]
+
+
+def test_stages_keep_clean_documents_and_drop_the_rest(spark):
+    given = texts()
+    docs = documents(spark, given)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = saved(stage(spark, docs, ""), name)
+        assert docs.columns == [x.split()[0] for x in DOCS.split(", ")]
+        kept[name] = {r.doc_id: r.text for r in docs.collect()}
+    assert set(kept["language_id"]) == set(range(30))
+    assert set(kept["exact_dedup"]) == set(range(30)) - {20}
+    assert set(kept["near_dedup"]) == set(range(22)) - {20} | set(range(24, 30))
+    last = kept["substring_dedup"]
+    assert set(last) == set(kept["near_dedup"])
+    assert all(last[i] == given[i] for i in [*range(20), 21, 24])
+    passage = " ".join(words(prose(50, 60)))
+    assert [i for i in last if passage in last[i]] == [24]
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert {r.doc_id for r in packed} == set(last)
+
+
+def test_run_equals_its_stages_over_the_documents(spark, tmp_path):
+    documents(spark, texts()).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in rows} == set(range(22)) - {20} | set(range(24, 30))
+    assert sum(r.length for r in rows if r.start == 0) <= sum(r.length for r in rows)
+
+
+def test_empty_documents(spark):
+    docs = spark.createDataFrame([], DOCS)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+    assert docs.collect() == []
+
+
+def test_every_operator_has_a_query_and_tokenizers_are_read_where_they_are():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert '"model"' in tokenizer()

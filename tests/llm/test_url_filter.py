@@ -1,0 +1,118 @@
+import math
+import re
+from collections import defaultdict
+
+from pyspark.sql import functions as F
+
+from sluiceway.llm.queries import RULES
+from sluiceway.llm.url_filter import ALIKE, BRANCHES, DEPTH, WEIGHT, judge_urls
+
+PAGES = "page_id long, url string"
+
+
+def split(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest).group()
+    path = re.match(r"[^?#]*", rest[len(host) :], re.S).group()
+    return host.translate({c: c + 32 for c in range(65, 91)}), path
+
+
+def brute(pages, bad):
+    """Template and purity of each page, by walking the tree in plain Python."""
+    shaped = []
+    for page, url in pages:
+        host, path = split(url)
+        parts = ["*" if re.search("[0-9]", x) else x for x in path.split("/")]
+        shaped.append((host, parts, bad.get(page)))
+    node = [[] for _ in pages]
+    for level in range(DEPTH):
+        tally = defaultdict(lambda: defaultdict(lambda: [0, 0]))
+        for (host, parts, label), at in zip(shaped, node):
+            if level < len(parts):
+                t = tally[host, tuple(at)][parts[level]]
+                t[0] += label is not None
+                t[1] += bool(label)
+        for i, (host, parts, _) in enumerate(shaped):
+            if level >= len(parts):
+                continue
+            children, part = tally[host, tuple(node[i])], parts[level]
+            n, b = children[part]
+            all_n, all_b = (sum(t[k] for t in children.values()) for k in (0, 1))
+            z = 0
+            if n and all_n - n and 0 < all_b < all_n:
+                share = all_b / all_n
+                z = abs(b / n - (all_b - b) / (all_n - n)) / math.sqrt(share * (1 - share) * (1 / n + 1 / (all_n - n)))
+            kept = len(children) == 1 or (len(children) <= BRANCHES and z >= ALIKE)
+            node[i].append(part if part == "" or (kept and part != "*") else "*")
+    names = [tuple(n) + (("**",) if len(p) > DEPTH else ()) for n, (_, p, _) in zip(node, shaped)]
+
+    def tallied(keys):
+        out = defaultdict(lambda: [0, 0])
+        for key, (_, _, label) in zip(keys, shaped):
+            out[key][0] += label is not None
+            out[key][1] += bool(label)
+        return out
+
+    n, b = tallied([0] * len(shaped))[0]
+    prior = b / n if n else 0.0
+    hosts = tallied([h for h, _, _ in shaped])
+    templates = tallied([(h, t) for (h, _, _), t in zip(shaped, names)])
+    out = []
+    for (host, _, _), t in zip(shaped, names):
+        above = (hosts[host][1] + WEIGHT * prior) / (hosts[host][0] + WEIGHT)
+        n, b = templates[host, t]
+        out.append(("/".join(t), (b + WEIGHT * above) / (n + WEIGHT)))
+    return out
+
+
+def rule_of(host, path):
+    fits = [r for r in RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+    return max(fits, key=lambda r: len(r.text), default=None)
+
+
+URLS = [None, "", "no scheme", "://", "http://", "HTTP://A.Net", "http://a.net/", "x://EXAMPLE.net/en/1", "http://b.example.net/en",
+        "http://É.org/fr/ß?x://y", "http://org/fr/", "http://example.com/de/#a/b", "http://notexample.com/de/", "a://b://c/d\ne"]
+
+
+def corpus():
+    pages = list(URLS) * 2
+    for k in range(300):
+        pages.append(f"http://hot.site.com/{['spam', 'news', 'blog'][k % 3]}/item{k}/x")
+    for k in range(120):
+        pages.append(f"https://h{k % 4}.io/{'ab'[k % 2]}/{'cde'[k % 3]}/f/g{k}/h/i")
+        pages.append(f"https://wide.io/w{chr(97 + k % 26)}{chr(97 + k // 26)}/z")
+    return [(i, u) for i, u in enumerate(pages)]
+
+
+def test_judged_like_plain_python(spark):
+    pages = corpus()
+    bad = {i: (u or "").startswith("http://hot.site.com/spam") or i % 11 == 0 for i, u in pages if i % 2 == 0}
+    labels = [(i, b) for i, b in bad.items()] + [(None, True), (3, None), (10**9, True)]
+    frame = spark.createDataFrame(pages, PAGES).withColumns({"host": F.lit(1), "bad": F.lit(2), "key": F.lit("k")})
+    got = {r.page_id: r for r in judge_urls(frame.repartition(5), RULES, spark.createDataFrame(labels, "page_id long, bad boolean")).collect()}
+    assert len(got) == len(pages)
+    for (i, url), (template, purity) in zip(pages, brute(pages, bad)):
+        host, path = split(url)
+        rule, r = rule_of(host, path), got[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule.text if rule else None)
+        assert r.template == template and abs(r.purity - purity) < 1e-9
+        assert r.verdict == (rule.verdict if rule else "block" if r.purity >= 0.5 else "allow")
+    assert got[len(URLS) * 2].template == "/spam/*/x" and got[len(URLS) * 2].verdict == "block"
+
+
+def test_empty_tables_null_ids_and_repeated_rows(spark):
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    assert judge_urls(spark.createDataFrame([], PAGES), RULES, none).collect() == []
+    rows = [(1, "http://a.com/x"), (1, "http://a.com/x"), (None, "http://a.com/x"), (None, None)]
+    both = spark.createDataFrame([(1, True), (1, False)], "page_id long, bad boolean")
+    out = judge_urls(spark.createDataFrame(rows, PAGES), RULES, both).collect()
+    assert len(out) == 4 and {r.verdict for r in out if r.host} == {"block"}
+    assert {r.verdict for r in judge_urls(spark.createDataFrame(rows, PAGES), [], none).collect()} == {"allow"}
+
+
+def test_main_path_runs_no_python(spark):
+    none = spark.createDataFrame([], "page_id long, bad boolean")
+    plan = judge_urls(spark.createDataFrame([(1, "http://a.com/x")], PAGES), RULES, none)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "InPandas" not in plan

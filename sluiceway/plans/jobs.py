@@ -78,27 +78,68 @@ def csv_input(
     return read
 
 
-def _source(key: str, columns: str, **types: T.DataType) -> T.StructType:
-    """A key declared not null, then nullable columns, strings unless a type is given."""
-    schema = T.StructType().add(key, T.StringType(), nullable=False)
-    for name in columns.split():
-        schema.add(name, types.get(name, T.StringType()))
-    return schema
-
-
-def _landed(columns: str, **types: T.DataType) -> T.StructType:
-    """The landed columns in order, strings unless a type is given."""
-    schema = T.StructType()
-    for name in columns.split():
-        schema.add(name, types.get(name, T.StringType()))
-    return schema.add("_ingest_ts", T.TimestampType()).add("_run_id", T.StringType())
-
-
-CRM_USERS_SOURCE = _source("user_id", "email country created_at")
-POS_TRANSACTIONS_SOURCE = _source(
-    "transaction_id", "user_id store_id amount currency timestamp", amount=T.DoubleType()
+# The columns of the three sources and of the tables they land in.
+
+CRM_USERS_SOURCE = T.StructType(
+    [
+        T.StructField("user_id", T.StringType(), nullable=False),
+        T.StructField("email", T.StringType()),
+        T.StructField("country", T.StringType()),
+        T.StructField("created_at", T.StringType()),
+    ]
+)
+POS_TRANSACTIONS_SOURCE = T.StructType(
+    [
+        T.StructField("transaction_id", T.StringType(), nullable=False),
+        T.StructField("user_id", T.StringType()),
+        T.StructField("store_id", T.StringType()),
+        T.StructField("amount", T.DoubleType()),
+        T.StructField("currency", T.StringType()),
+        T.StructField("timestamp", T.StringType()),
+    ]
+)
+WEB_EVENTS_SOURCE = T.StructType(
+    [
+        T.StructField("event_id", T.StringType(), nullable=False),
+        T.StructField("user_id", T.StringType()),
+        T.StructField("ts", T.StringType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("props", T.StringType()),
+    ]
+)
+CRM_USERS_LANDED = T.StructType(
+    [
+        T.StructField("user_id", T.StringType()),
+        T.StructField("email", T.StringType()),
+        T.StructField("country", T.StringType()),
+        T.StructField("ds", T.StringType()),
+        T.StructField("_ingest_ts", T.TimestampType()),
+        T.StructField("_run_id", T.StringType()),
+    ]
+)
+POS_TRANSACTIONS_LANDED = T.StructType(
+    [
+        T.StructField("transaction_id", T.StringType()),
+        T.StructField("user_id", T.StringType()),
+        T.StructField("store_id", T.StringType()),
+        T.StructField("amount", T.DoubleType()),
+        T.StructField("currency", T.StringType()),
+        T.StructField("ds", T.StringType()),
+        T.StructField("_ingest_ts", T.TimestampType()),
+        T.StructField("_run_id", T.StringType()),
+    ]
+)
+WEB_EVENTS_LANDED = T.StructType(
+    [
+        T.StructField("event_id", T.StringType()),
+        T.StructField("user_id", T.StringType()),
+        T.StructField("event_type", T.StringType()),
+        T.StructField("ds", T.StringType()),
+        T.StructField("props", T.StringType()),
+        T.StructField("_ingest_ts", T.TimestampType()),
+        T.StructField("_run_id", T.StringType()),
+    ]
 )
-WEB_EVENTS_SOURCE = _source("event_id", "user_id ts event_type props")
 
 
 def _crm_users(inputs: Inputs, context: RunContext) -> DataFrame:
@@ -133,7 +174,7 @@ CRM_USERS = Job(
     item_name="crm_users",
     read_sources=csv_input("crm_users", CRM_USERS_SOURCE),
     transform=_crm_users,
-    output_schema=_landed("user_id email country ds"),
+    output_schema=CRM_USERS_LANDED,
 )
 
 POS_TRANSACTIONS = Job(
@@ -143,9 +184,7 @@ POS_TRANSACTIONS = Job(
     item_name="pos_transactions",
     read_sources=csv_input("pos_transactions", POS_TRANSACTIONS_SOURCE),
     transform=_pos_transactions,
-    output_schema=_landed(
-        "transaction_id user_id store_id amount currency ds", amount=T.DoubleType()
-    ),
+    output_schema=POS_TRANSACTIONS_LANDED,
 )
 
 WEB_EVENTS = Job(
@@ -155,7 +194,7 @@ WEB_EVENTS = Job(
     item_name="web_events",
     read_sources=csv_input("web_events", WEB_EVENTS_SOURCE),
     transform=_web_events,
-    output_schema=_landed("event_id user_id event_type ds props"),
+    output_schema=WEB_EVENTS_LANDED,
 )
 
 JOBS = {job.item_name: job for job in (CRM_USERS, POS_TRANSACTIONS, WEB_EVENTS)}

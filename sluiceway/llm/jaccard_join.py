@@ -1,7 +1,7 @@
 """Which documents' sets of word shingles have a Jaccard similarity of at least 0.8.
 
 1. Every text becomes the set of its shingles, read once. Kept of it: its size, a digest, a
-   bitmap of at least two bits per shingle (a power of two, so a larger one folds onto a
+   bitmap of at least four bits per shingle (a power of two, so a larger one folds onto a
    smaller), and ``BANDS`` keys of two min-hashes each. Documents with equal sets form a class,
    which its smallest document stands for from here on.
 2. Two sets at the threshold share a key with a probability of 1 - 0.36^BANDS, all but 1e-9.
@@ -47,7 +47,7 @@ def _signature(held: np.ndarray) -> tuple[list[int], bytes]:
     parts = [mix(held[None, k : k + _PART] ^ _SEEDS[:, None]).min(axis=1) for k in range(0, len(held), _PART)]
     least = np.min(parts, axis=0).reshape(BANDS, ROWS)
     keys = mix(mix(least[:, 0] + np.arange(BANDS, dtype=np.uint64)) + least[:, 1])
-    width = max(64, 1 << (2 * len(held) - 1).bit_length())
+    width = max(64, 1 << (4 * len(held) - 1).bit_length())
     bits = np.zeros(width, bool)
     bits[(held % np.uint64(width)).astype(np.int64)] = True
     return signed(keys).tolist(), np.packbits(bits).tobytes()
@@ -177,7 +177,8 @@ def _tiles(keys: DataFrame, classes: DataFrame, found: DataFrame, least: int) ->
     block = F.pmod(F.xxhash64("id"), F.col("blocks"))
     placed = (
         named.join(mixed, "key")
-        .join(classes.select("id", "n", "bits"), "id")
+        .join(classes.select("id", "n", "bits", "keys"), "id")
+        .withColumn("place", F.array_position("keys", F.col("key")).cast("int") - 1)
         .withColumn("guest", F.explode(F.array(F.lit(0), F.lit(1))))
         .withColumn("band", (band + F.col("guest")).cast("int"))
         .withColumn("block", block)
@@ -208,6 +209,7 @@ def _tile(f: dict[str, np.ndarray], least: int) -> list[tuple[int, int, float]]:
     host, n, block, component, name = f["guest"] == 0, f["n"], f["block"], f["component"], f["id"]
     if not host.any() or (component == component[0]).all():
         return []
+    earlier = np.stack(f["keys"])[:, : f["place"][0]]
     bits = [_words(b) for b in f["bits"]]
     across = f["low"][0] != f["high"][0]
     widths: dict[int, list[int]] = {}
@@ -221,6 +223,8 @@ def _tile(f: dict[str, np.ndarray], least: int) -> list[tuple[int, int, float]]:
             ok &= 100 * np.minimum(n[rows], n[i]) >= least * np.maximum(n[rows], n[i])
             if across:
                 ok &= block[rows] != block[i]
+            # A pair that shares several keys is compared under the first of them only.
+            ok[ok] &= (earlier[rows[ok]] != earlier[i]).all(axis=1)
             if not ok.any():
                 continue
             most = _most(n[i], n[rows[ok]], bits[i], held[ok])

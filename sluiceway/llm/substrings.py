@@ -262,6 +262,18 @@ def _among_themselves(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return placed.repartition(*names).sortWithinPartitions(*names).mapInPandas(compare, SPANS)
 
 
+def _dense(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether enough of some ``LEAST`` tokens of a in a row are in b, which is sorted.
+
+    A similar stretch has 80 per cent of its tokens in b; 70 leave room for its ends.
+    """
+    if len(a) < LEAST or len(b) < LEAST:
+        return False
+    match = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
+    total = np.concatenate(([0], np.cumsum(match)))
+    return 100 * int((total[LEAST:] - total[:-LEAST]).max()) >= (SIMILAR - 10) * LEAST
+
+
 def _block(f: dict[str, np.ndarray]) -> list[tuple]:
     """The repeats within a block of rows of one key, or between two blocks."""
     order = np.lexsort((f["low"], f["doc_id"]))
@@ -273,6 +285,7 @@ def _block(f: dict[str, np.ndarray]) -> list[tuple]:
     for i, x in enumerate(held):
         bits[i, (x % np.uint64(_SKETCH)).astype(np.int64)] = True
     bits = np.packbits(bits, axis=1).view(np.uint64)
+    in_order = [np.sort(x) for x in held]
     across = f["small"][0] != f["large"][0]
     out = []
     for i in range(1, len(ids)):
@@ -280,6 +293,8 @@ def _block(f: dict[str, np.ndarray]) -> list[tuple]:
         common = np.bitwise_count(bits[:i] & bits[i]).sum(axis=1)
         few = min(LEAST, int(np.bitwise_count(bits[i]).sum())) * SIMILAR / 100 * 0.85
         for j in np.flatnonzero((common >= few) & (ids[:i] != ids[i]) & ((block[:i] != block[i]) | (not across))):
+            if not _dense(held[i], in_order[j]):
+                continue
             if found := _spans(ids[i], ids[j], low[i], low[j], held[i], held[j]):
                 out += found
                 break

@@ -17,9 +17,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed value: how byte-level BPE cuts text into pieces before merging.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -27,6 +29,7 @@ MEMO = 200_000
 MEMO_LENGTH = 48
 _CELLS = 1 << 18
 _LONG = 512
+_ROWS = 256
 _NONE = 1 << 62
 
 
@@ -257,19 +260,26 @@ def encoded(
     ones are replaced.
     """
     shared = _Shared(docs.sparkSession, definition)
-    kind = "ids array<int>" + (", again string" if again else "")
+    new = [T.StructField(ids, T.ArrayType(T.IntegerType()))]
+    new += [T.StructField(again, T.StringType())] if again else []
+    kept = [f for f in docs.schema if f.name not in (ids, again)]
+    passed = [f.name for f in kept]
 
-    @F.pandas_udf(kind)
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _load(shared)
         for batch in batches:
-            out = {"ids": list(model.encode_all(batch))}
-            if again:
-                out["again"] = [model.decode(x) for x in out["ids"]]
-            yield pd.DataFrame(out)
-
-    both = docs.withColumn("__coded", encode(F.col(text))).withColumn(ids, F.col("__coded.ids"))
-    return (both.withColumn(again, F.col("__coded.again")) if again else both).drop("__coded")
+            for low in range(0, len(batch), _ROWS):
+                some = batch.slice(low, _ROWS)
+                found = list(model.encode_all(some.column("__text").to_pylist()))
+                ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                columns = [some.column(name) for name in passed]
+                columns.append(pa.ListArray.from_arrays(ends, np.concatenate(found)))
+                if again:
+                    columns.append(pa.array([model.decode(x) for x in found], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, [*passed, *(f.name for f in new)])
+
+    given = docs.withColumn("__text", F.col(text)).select(*passed, "__text")
+    return given.mapInArrow(encode, T.StructType([*kept, *new]))
 
 
 def decoded(docs: DataFrame, definition: str, *, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -137,31 +137,80 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMIL
     match[inside] = b[order[at[inside]]] == a[inside]
     where = np.full(len(a), -1)
     where[match] = order[at[match]]
-    out = []
+    out: list[tuple[int, int, int, int, float]] = []
+
+    def verified(i: int, j: int) -> bool:
+        """Accept the stretch if some stretch of b around its matches is like it."""
+        own = np.flatnonzero(match[i:j]) + i
+        if not len(own):
+            return False
+        there = where[own]
+        apart = there - own
+        shift = np.sort(apart)[len(apart) // 2]
+        near = there[np.abs(apart - shift) <= (j - i) // 4]
+        k, l = int(near.min()), int(near.max()) + 1
+        p = np.unique(a[i:j])
+        ends = [(k, l)]
+        if l - k < least:  # tokens that recur are found at their first place only
+            size = min(len(b), max(least, j - i))
+            ends = [(k, min(len(b), k + j - i))]
+            ends += [(x, x + least) for x in range(max(0, l - least), min(k, len(b) - least) + 1)]
+            ends += [(x, x + size) for x in {min(max(0, i + int(shift)), len(b) - size)}]
+        for k, l in ends:
+            q = np.unique(b[k:l])
+            both = len(np.intersect1d(p, q, assume_unique=True))
+            if 100 * both >= similar * (len(p) + len(q) - both) and l - k >= least:
+                out.append((i, j, k, l, both / (len(p) + len(q) - both)))
+                return True
+        return False
 
     def refine(low: int, high: int, penalties: tuple[int, ...]) -> None:
         """Accept the stretches that verify, and look into the others more strictly."""
         for i, j in _stretches(match[low:high], penalties[0], least):
-            i, j = low + i, low + j
-            own = np.flatnonzero(match[i:j]) + i
-            there = where[own]
-            apart = there - own
-            shift = np.sort(apart)[len(apart) // 2]
-            near = there[np.abs(apart - shift) <= (j - i) // 4]
-            k, l = int(near.min()), int(near.max()) + 1
-            if l - k < least:  # tokens that recur are found at their first place only
-                l = min(len(b), k + j - i)
-            p, q = np.unique(a[i:j]), np.unique(b[k:l])
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * both >= similar * (len(p) + len(q) - both) and l - k >= least:
-                out.append((i, j, k, l, both / (len(p) + len(q) - both)))
-            elif len(penalties) > 1:
-                refine(i, j, penalties[1:])
+            if not verified(low + i, low + j) and len(penalties) > 1:
+                refine(low + i, low + j, penalties[1:])
+
+    def grow(low: int, high: int) -> None:
+        """Accept stretches that need some of the tokens around their matches, the longest first."""
+        for i, j in _grown(match[low:high], least):
+            if verified(low + i, low + j):
+                grow(low, low + i)
+                grow(low + j, high)
+                return
 
     refine(0, len(a), (3, 6, 12, 1 << 30))
+    edges = [0, *(x for i, j, *_ in sorted(out) for x in (i, j)), len(a)]
+    for low, high in zip(edges[::2], edges[1::2]):
+        grow(low, high)
     return out
 
 
+def _grown(match: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """Stretches of at least ``least`` that may be like others, matches at their ends if they can be.
+
+    Of n tokens each, m of them common, m / (2 n - m) is 0.8 where 1 for a match and -8 for
+    another token add up to 0. A word more or less in the other stretch allows 4 below that, and
+    tokens that recur make as little as 1 to -4 enough. From each start the longest is taken.
+    """
+    n = len(match)
+    if n < least or 100 * int(match.sum()) < SIMILAR * least // 2:
+        return []
+    found = set()
+    left = np.arange(n)[match] if match.any() else np.empty(0, np.int64)
+    for penalty, below in ((8, 0), (8, 4), (8, 8), (6, 0), (4, 0)):
+        total = np.concatenate(([0], np.cumsum(np.where(match, 1, -penalty))))
+        best = np.maximum.accumulate(total[::-1])[::-1]  # of the ends from here on; it falls
+        end = np.searchsorted(-best, below - total, "right") - 1
+        for i in np.flatnonzero(end - np.arange(n + 1) >= least).tolist():
+            j = int(end[i])
+            inner = left[np.searchsorted(left, i) : np.searchsorted(left, j)]
+            if len(inner):
+                i = min(int(inner[0]), j - least)
+                j = max(int(inner[-1]) + 1, i + least)
+            found.add((i, j))
+    return sorted(found, key=lambda x: (x[0] - x[1], x))
+
+
 def _clusters(places: list[tuple[int, int]], least: int) -> list[list[tuple[int, int]]]:
     """Pairs of places on nearly one diagonal, none far from the one before."""
     open_: list[list[tuple[int, int]]] = []

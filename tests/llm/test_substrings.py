@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from sluiceway.llm.substrings import repeated_passages, sliding_minima, window_rows, without_repeats
+from sluiceway.llm.substrings import alike, repeated_passages, sliding_minima, window_rows, without_repeats
 from sluiceway.llm.words import shingles, word_hashes
 from tests.llm.helpers import DOCS, ODD, documents, edited, prose, words
 
@@ -89,3 +89,23 @@ def test_windows_are_those_of_the_cartesian_tree():
     tokens = [shingles(w) for w in word_hashes([prose(1, 300), "", prose(2, 49), prose(3, 50)])]
     text, key, place = window_rows(tokens)
     assert set(text.tolist()) == {0, 3} and len(key) == len(place)
+
+
+def test_a_changed_word_at_any_place_of_a_short_passage_loses_nothing():
+    def tokens(text):
+        return shingles(next(iter(word_hashes([text]))))
+
+    for size in range(50, 71):
+        passage = prose(size, size).split(" ")
+        for at in range(size):
+            other = [*passage[:at], "changed", *passage[at + 1 :]]
+            a, b = (tokens(" ".join([prose(s, 45), *x, prose(s + 1, 45)])) for s, x in ((900, other), (950, passage)))
+            p, q = set(a[45 : 41 + size].tolist()), set(b[45 : 41 + size].tolist())
+            assert len(p & q) / len(p | q) >= 0.8
+            spans = alike(a, b)
+            assert spans, (size, at)
+            held = set().union(*(range(i, j) for i, j, *_ in spans))
+            assert len(held & set(range(45, 41 + size))) >= 46 - 5, (size, at)
+            for i, j, k, l, s in spans:
+                p, q = set(a[i:j].tolist()), set(b[k:l].tolist())
+                assert min(j - i, l - k) >= 46 and s >= 0.8 and abs(s - len(p & q) / len(p | q)) < 1e-9

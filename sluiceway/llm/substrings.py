@@ -14,11 +14,15 @@
 4. Each row of a key is paired with the key's first row, by document and place. Pairs of the
    same two documents are joined to one; the shingles around their places are compared, and
    the stretches that agree are verified by the Jaccard similarity of their exact shingle sets.
-5. Rows whose key has others that are not explained so are compared with each other, in
-   blocks, by bitmaps of the shingles around them and then in the same way.
+5. A row whose starts' windows do not all lie in one found passage is not explained so. A
+   further repeat then has a shingle outside of the passages found, which another row of the key
+   must have too: a bitmap of those that two rows of a key have drops the rows without one,
+   such as those at the edges of passages. Each row that is left is compared with all rows of
+   its key, in blocks, by bitmaps of the shingles around them and then in the same way.
 
 A passage repeats if one of a document with a smaller id is like it. Every group, however
-large, costs a pair per row; the rows of step 5 are those that share two shingles by chance.
+large, costs a pair per row in step 4; in step 5 a row that is left costs a pair with each
+row of its key, as any of them may be what it repeats.
 """
 
 from __future__ import annotations
@@ -57,10 +61,15 @@ def sliding_minima(h: np.ndarray, length: int) -> np.ndarray:
 
 def window_rows(tokens: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The rows of several texts: index of the text, key, place of the first minimum."""
+    return window_runs(tokens, least)[:3]
+
+
+def window_runs(tokens: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarray, ...]:
+    """The same, and the first and last of the starts that share the key."""
     sizes = np.array([len(x) for x in tokens], np.int64)
     ends = np.cumsum(sizes)
     if not len(sizes) or ends[-1] < least:
-        return np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64)
+        return tuple(np.empty(0, t) for t in (np.int64, np.uint64, np.int64, np.int64, np.int64))
     every = np.concatenate(tokens)
     starts = np.arange(len(every) - least + 1)
     text = np.searchsorted(ends, starts, "right")
@@ -72,13 +81,16 @@ def window_rows(tokens: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarra
         new = np.ones(len(starts), bool)
         new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1]) | ~whole[:-1] | (text[1:] != text[:-1])
         run = np.flatnonzero(new & whole)
+        edges = np.append(np.flatnonzero(new | ~whole), len(starts))
+        last = edges[np.searchsorted(edges, run, "right")] - 1
         key = mix(mix(h[0][one[run]] + np.uint64(band)) + h[1][two[run]])
-        out.append((text[run], key, one[run] - (ends - sizes)[text[run]]))
+        base = (ends - sizes)[text[run]]
+        out.append((text[run], key, one[run] - base, run - base, last - base))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def _windows(docs: DataFrame, shared=None) -> DataFrame:
-    """Rows key, doc_id, place; of keys in the bitmap only, if one is given."""
+    """Rows key, doc_id, place, first, last; of keys in the bitmap only, if one is given."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -88,15 +100,16 @@ def _windows(docs: DataFrame, shared=None) -> DataFrame:
                 held.append(shingles(words))
                 size += len(words)
                 if size > 200_000 or i + 1 == len(ids):
-                    text, key, place = window_rows(held)
+                    text, key, *places = window_runs(held)
                     if shared is not None:
                         word = (key >> np.uint64(6)) & np.uint64((1 << _WORDS_LOG) - 1)
                         ok = (shared.value[word.astype(np.int64)] >> (key & np.uint64(63))) & np.uint64(1) > 0
-                        text, key, place = text[ok], key[ok], place[ok]
-                    yield pd.DataFrame({"key": signed(key), "doc_id": ids[first + text], "place": place})
+                        text, key, places = text[ok], key[ok], [x[ok] for x in places]
+                    place, low, high = places
+                    yield pd.DataFrame({"key": signed(key), "doc_id": ids[first + text], "place": place, "first": low, "last": high})
                     held, first, size = [], i + 1, 0
 
-    return docs.mapInPandas(rows, "key long, doc_id long, place long")
+    return docs.mapInPandas(rows, "key long, doc_id long, place long, first long, last long")
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
@@ -271,43 +284,81 @@ def _spans(doc_id: int, source_id: int, base: int, low: int, a: np.ndarray, b: n
     return [(doc_id, base + i, base + j + more, source_id, low + k, low + l + more, s) for i, j, k, l, s in alike(a, b)]
 
 
-def _among_themselves(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The repeats among rows (key, doc_id, place) that share a key, as SPANS."""
-    rows = saved(rows, "unexplained")
-    ids = rows.select("doc_id").distinct()
+def _unexplained(rows: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """The repeats of rows (key, doc_id, place, first, last) beyond those ``found`` (doc_id, found), as SPANS."""
+    inside = F.exists("found", lambda s: (s["start"] <= F.col("first")) & (F.col("last") + WORDS <= s["end"]))
+    marked = rows.join(found, "doc_id", "left").withColumn("open", ~F.coalesce(inside, F.lit(False)))
+    marked = saved(marked, "marked")
+    sizes = marked.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")
+    )
+    # The first document of a key has nothing to repeat.
+    sizes = sizes.filter("least < most").select("key", "least", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    marked = marked.join(sizes, "key").withColumn("open", F.col("open") & (F.col("doc_id") > F.col("least")))
+    texts = likely(docs, marked.select("doc_id").distinct(), "doc_id")
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, tokens = None, None
         for f in frames:
             out = []
-            for key, doc_id, place, blocks, text in zip(*(f[c] for c in ("key", "doc_id", "place", "blocks", "text")), strict=True):
-                if doc_id != last:
-                    last, tokens = doc_id, shingles(next(iter(word_hashes([text]))))
-                low = max(0, place - LEAST + 1)
-                out.append((key, doc_id, blocks, low, signed(tokens[low : place + LEAST])))
-            yield pd.DataFrame(out, columns=["key", "doc_id", "blocks", "low", "tokens"])
+            for row in f.itertuples(index=False):
+                if row.doc_id != last:
+                    last, tokens = row.doc_id, shingles(next(iter(word_hashes([row.text]))))
+                low = max(0, row.place - LEAST + 1)
+                fresh = np.ones(row.last + LEAST - row.first, bool)
+                for s in () if row.found is None else row.found:
+                    fresh[max(0, s["start"] - row.first) : max(0, s["end"] - SHINGLE + 1 - row.first)] = False
+                own = tokens[row.first : row.last + LEAST]
+                fresh = np.unique(own[fresh[: len(own)]]) if row.open else own[:0]
+                out.append((row.key, row.doc_id, row.first, row.last, row.open, row.blocks, low, signed(tokens[low : row.place + LEAST]), signed(fresh)))
+            yield pd.DataFrame(out, columns=["key", "doc_id", "first", "last", "open", "blocks", "low", "tokens", "fresh"])
+
+    cuts = marked.join(texts.select("doc_id", "text"), "doc_id").mapInPandas(
+        cut, "key long, doc_id long, first long, last long, open boolean, blocks long, low long, tokens array<long>, fresh array<long>"
+    )
+    cuts = saved(cuts, "cuts")
+    held = cuts.select("key", F.explode(F.array_distinct("tokens")).alias("token"))
+    twice = held.select(F.xxhash64("key", "token").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(twice))
+
+    def hopeful(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of rows and the hashes of their fresh shingles, those with one that another row has."""
+        for f in frames:
+            number = np.array([len(x) for x in f["hashes"]], np.int64)
+            hashes = np.concatenate([*f["hashes"], np.empty(0, np.int64)]).astype(np.int64).view(np.uint64)
+            word = (hashes >> np.uint64(6)) & np.uint64((1 << _WORDS_LOG) - 1)
+            ok = (shared.value[word.astype(np.int64)] >> (hashes & np.uint64(63))) & np.uint64(1) > 0
+            some = np.bincount(np.repeat(np.arange(len(f)), number), ok, len(f)) > 0
+            yield f.drop(columns="hashes")[some]
 
     names = ["key", "small", "large"]
+    hashes = F.transform("fresh", lambda t: F.xxhash64("key", t)).alias("hashes")
+    plain = ["key", "doc_id", "first", "last", "blocks", "low", "tokens"]
+    schema = "key long, doc_id long, first long, last long, blocks long, low long, tokens array<long>"
+    asking = saved(cuts.filter("open").select(*plain, hashes).mapInPandas(hopeful, schema), "unexplained")
+    asked = asking.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("asking"))
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in each_group(frames, names):
             if found := _block(block):
                 yield pd.DataFrame(found, columns=[x.split()[0] for x in SPANS.split(", ")])
 
-    sizes = rows.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
-    ).filter("least <> most")
-    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    texts = likely(docs, ids, "doc_id")
-    cuts = rows.join(sizes, "key").join(texts, "doc_id").select("key", "doc_id", "place", "blocks", "text").mapInPandas(
-        cut, "key long, doc_id long, blocks long, low long, tokens array<long>"
+    # Each block of unexplained rows of a key meets each block of all its rows.
+    at = F.xxhash64("doc_id", "low", "first")
+    one = (
+        asking.join(asked, "key")
+        .withColumn("small", F.pmod(at, F.col("asking")))
+        .withColumn("large", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .withColumn("asks", F.lit(True))
     )
-    placed = (
-        cuts.withColumn("block", F.pmod(F.xxhash64("doc_id", "low"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("small", F.least("block", "other"))
-        .withColumn("large", F.greatest("block", "other"))
+    other = (
+        cuts.select(*plain).join(asked, "key")
+        .withColumn("large", F.pmod(at, F.col("blocks")))
+        .withColumn("small", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
+        .withColumn("asks", F.lit(False))
     )
+    columns = [*names, "doc_id", "first", "last", "low", "tokens", "asks"]
+    placed = one.select(*columns).unionByName(other.select(*columns))
     return placed.repartition(*names).sortWithinPartitions(*names).mapInPandas(compare, SPANS)
 
 
@@ -324,10 +375,11 @@ def _dense(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def _block(f: dict[str, np.ndarray]) -> list[tuple]:
-    """The repeats within a block of rows of one key, or between two blocks."""
+    """The repeats by rows of one key that ask, of earlier documents' rows that do not."""
     order = np.lexsort((f["low"], f["doc_id"]))
-    ids, low, block = (f[c][order] for c in ("doc_id", "low", "block"))
-    if ids[0] == ids[-1]:
+    ids, low, asks, first, last = (f[c][order] for c in ("doc_id", "low", "asks", "first", "last"))
+    asks = asks.astype(bool)
+    if ids[0] == ids[-1] or not asks.any() or asks.all():
         return []
     held = [np.asarray(x, np.int64).view(np.uint64) for x in f["tokens"][order]]
     bits = np.zeros((len(ids), _SKETCH), bool)
@@ -335,17 +387,17 @@ def _block(f: dict[str, np.ndarray]) -> list[tuple]:
         bits[i, (x % np.uint64(_SKETCH)).astype(np.int64)] = True
     bits = np.packbits(bits, axis=1).view(np.uint64)
     in_order = [np.sort(x) for x in held]
-    across = f["small"][0] != f["large"][0]
     out = []
-    for i in range(1, len(ids)):
+    for i in np.flatnonzero(asks).tolist():
         # A repeat has so many shingles in common; on fewer bits they may collide.
         common = np.bitwise_count(bits[:i] & bits[i]).sum(axis=1)
         few = min(LEAST, int(np.bitwise_count(bits[i]).sum())) * SIMILAR / 100 * 0.85
-        for j in np.flatnonzero((common >= few) & (ids[:i] != ids[i]) & ((block[:i] != block[i]) | (not across))):
+        for j in np.flatnonzero((common >= few) & (ids[:i] != ids[i]) & ~asks[:i]).tolist():
             if not _dense(held[i], in_order[j]):
                 continue
-            if found := _spans(ids[i], ids[j], low[i], low[j], held[i], held[j]):
-                out += found
+            found = _spans(ids[i], ids[j], low[i], low[j], held[i], held[j])
+            out += found
+            if any(s[1] <= first[i] and last[i] + WORDS <= s[2] for s in found):
                 break
     return out
 
@@ -368,11 +420,9 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     pairs = saved(pairs.filter("doc_id <> source_id or place <> source_place"), "starred")
     across = pairs.filter("doc_id <> source_id").select("doc_id", "place", "source_id", "source_place")
     spans = saved(_verified(across, texts), "repeats")
-    # A row is explained if its place lies in a passage found.
+    # A row is explained if the windows of all its starts lie in a passage found.
     found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    inside = F.exists("found", lambda s: (s["start"] <= F.col("place")) & (F.col("place") < s["end"]))
-    rest = pairs.join(found, "doc_id", "left").filter(~F.coalesce(inside, F.lit(False))).select("key", "doc_id", "place")
-    more = _among_themselves(rest, texts)
+    more = _unexplained(rows.join(first.select("key"), "key"), found, texts)
     return spans.unionByName(more).groupBy("doc_id", "start", "end").agg(
         F.min(F.struct("source_id", "source_start", "source_end", "similarity")).alias("s")
     ).select("doc_id", "start", "end", "s.*")

@@ -109,3 +109,30 @@ def test_a_changed_word_at_any_place_of_a_short_passage_loses_nothing():
             for i, j, k, l, s in spans:
                 p, q = set(a[i:j].tolist()), set(b[k:l].tolist())
                 assert min(j - i, l - k) >= 46 and s >= 0.8 and abs(s - len(p & q) / len(p | q)) < 1e-9
+
+
+def test_a_variant_of_a_variant_is_found_though_both_share_its_key_with_a_third(spark):
+    first, second, third = [], [], []
+    for n in range(40):
+        w = prose(3000 + n, 60, 10**6).split(" ")
+        first.append(" ".join(w))
+        w[20] = "second"
+        second.append(" ".join(w))
+        w[40] = "third"
+        third.append(" ".join(w))
+    rows = repeated_passages(documents(spark, [*first, *second, *third])).collect()
+    got = covered(rows)
+    keys = [set(window_rows([shingles(h)])[1].tolist()) for h in word_hashes([*first, *second, *third])]
+    meet = [n for n in range(40) if keys[40 + n] & keys[80 + n]]
+    chained = [n for n in meet if keys[n] & keys[40 + n] and not keys[40 + n] & keys[80 + n] - keys[n]]
+    assert chained and [n for n in meet if 80 + n not in got] == []
+    assert all(r.source_id == r.doc_id - 40 for r in rows)
+
+
+def test_a_passage_that_overlaps_a_found_one_is_found(spark):
+    whole = [prose(4000 + n, 105, 10**6).split(" ") for n in range(10)]
+    texts = [" ".join(w[:100]) for w in whole]
+    texts += [f"{prose(4100 + n, 30)} {' '.join(w[55:])}" for n, w in enumerate(whole)]
+    texts += [" ".join(w) for w in whole]
+    got = covered(repeated_passages(documents(spark, texts)).collect())
+    assert all(got.get(20 + n) == set(range(105)) for n in range(10))

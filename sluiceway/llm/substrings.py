@@ -40,7 +40,7 @@ from sluiceway.llm.words import SHINGLE, mix, shingles, signed, word_hashes, wor
 WORDS = 50
 LEAST = WORDS - SHINGLE + 1  # tokens
 SIMILAR = 80  # per cent
-BANDS = 2
+BANDS = 10
 BLOCK = 256
 _WORDS_LOG = 20  # the bitmap has 2 ** 20 words of 64 bits
 _SEEDS = mix(np.arange(101, 101 + 2 * BANDS, dtype=np.uint64)).reshape(BANDS, 2)

@@ -136,3 +136,14 @@ def test_a_passage_that_overlaps_a_found_one_is_found(spark):
     texts += [" ".join(w) for w in whole]
     got = covered(repeated_passages(documents(spark, texts)).collect())
     assert all(got.get(20 + n) == set(range(105)) for n in range(10))
+
+
+def test_near_copies_at_the_threshold_meet_at_a_single_start():
+    texts = [prose(5000 + n, 50, 10**6).split(" ") for n in range(1000)]
+    other = [" ".join([*w[:25], "changed", *w[26:]]) for w in texts]
+    tokens = [shingles(h) for h in word_hashes([" ".join(w) for w in texts] + other)]
+    text, key, _ = window_rows(tokens)
+    keys = [set() for _ in tokens]
+    for n, k in zip(text.tolist(), key.tolist()):
+        keys[n].add(k)
+    assert [n for n in range(1000) if not keys[n] & keys[1000 + n]] == []

@@ -2,10 +2,9 @@
 
 1. The words of all training documents are counted. The most frequent, at most ``FREQUENT``,
    go to every task with their counts; the first ``VOCABULARY`` of them are the model's words.
-2. The model (see ``gru``) learns from every training document: one segment of ``SEGMENT``
-   words in each run of ``EVERY`` of them, all of a shorter text. Each task trains its own copy
-   on what it reads; the copies are averaged, weighted by words, and a second round goes on
-   from there with other segments.
+2. The model (see ``gru``) learns from all of every training document, in segments of
+   ``SEGMENT`` words. Each task trains its own copy on what it reads; the copies are averaged,
+   weighted by words.
 3. One pass over all texts scores them with the state carried from window to window, so over
    whole documents. A word outside the vocabulary gets its class's probability times its
    smoothed frequency among such words. Words that are not frequent are joined with the counts.
@@ -26,13 +25,12 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm import gru
 from sluiceway.llm.tables import saved
-from sluiceway.llm.words import mix, signed, word_hashes
+from sluiceway.llm.words import signed, word_hashes
 
 FREQUENT = 1 << 17
 VOCABULARY = 1 << 12
 SEGMENT = 128
-EVERY = 8
-ROUNDS = 2
+ROUNDS = 1
 END = np.uint64(0x1D)  # stands for the end of a text
 _FLUSH = 3_000_000
 _PIECE = 1 << 14
@@ -128,22 +126,16 @@ def know(counts: DataFrame, frequent: int = FREQUENT, vocabulary: int = VOCABULA
     return Known(words, n, number, tokens, distinct, chosen, tokens - int(chosen.sum()), distinct - int((chosen > 0).sum()))
 
 
-def _segments(words: np.ndarray, doc: int, turn: int) -> list[np.ndarray]:
-    """The parts of a text that a round learns from; they follow from the text's number."""
-    parts = [words[k : k + SEGMENT] for k in range(0, len(words), SEGMENT)]
-    out = []
-    for run in range(0, len(parts), EVERY):
-        some = parts[run : run + EVERY]
-        pick = int(mix(np.array([doc * ROUNDS + turn + run * 7919], np.uint64))[0] % np.uint64(len(some)))
-        out.append(some[pick])
-    return out
+def _segments(words: np.ndarray) -> list[np.ndarray]:
+    """The parts of a text that the model learns from: all of it."""
+    return [words[k : k + SEGMENT] for k in range(0, len(words), SEGMENT)]
 
 
 def train(docs: DataFrame, known: Known, rounds: int = ROUNDS) -> gru.Model:
     """The model learnt from all ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     model = gru.Model.first(known.vocabulary, known.other_tokens)
-    for turn in range(rounds):
+    for _ in range(rounds):
         shared = spark.sparkContext.broadcast((known, model.vector))
 
         def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,10 +151,9 @@ def train(docs: DataFrame, known: Known, rounds: int = ROUNDS) -> gru.Model:
                 gru.run(own, tokens, sizes, start=start, learn=adagrad, streams=256)
 
             for frame in frames:
-                ids = frame["doc_id"].to_numpy(np.int64).view(np.uint64)
-                for doc, words in zip(ids.tolist(), _tokens(frame["text"]), strict=True):
-                    held += _segments(words, doc % (1 << 40), turn)
-                    size += len(held[-1])
+                for words in _tokens(frame["text"]):
+                    held += _segments(words)
+                    size += len(words)
                     if size > _FLUSH // 8:
                         flush()
                         held, size, seen = [], 0, seen + size
@@ -178,7 +169,7 @@ def train(docs: DataFrame, known: Known, rounds: int = ROUNDS) -> gru.Model:
             return pd.DataFrame({"piece": f["piece"][:1], "weight": [weight.sum()], "numbers": [mean]})
 
         schema = "piece int, weight double, numbers array<float>"
-        copies = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long"), "text").mapInPandas(learn, schema)
+        copies = docs.filter("doc_id is not null").select("text").mapInPandas(learn, schema)
         # In two steps, so that no task holds the copies of all tasks.
         salted = copies.withColumn("salt", F.pmod(F.hash("weight"), F.lit(64)))
         some = salted.groupBy("piece", "salt").applyInPandas(combine, schema)

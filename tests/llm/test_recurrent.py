@@ -3,10 +3,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from sluiceway.llm import gru
-from sluiceway.llm.recurrent import score
+from sluiceway.llm import gru, recurrent
+from sluiceway.llm.recurrent import count_words, know, score, train
 from tests.llm.helpers import DOCS, ODD, documents, prose, words
 
 
@@ -89,3 +90,29 @@ def test_gradients_match_differences():
             down = gru.run(model, tokens, sizes, start=0).sum()
             flat[k] = old
             assert abs(-(up - down) / 2e-2 / 10 - dense.reshape(-1)[k]) < 2e-3, name
+
+
+def test_every_word_of_every_document_trains(spark, monkeypatch):
+    learnt = []
+    monkeypatch.setattr(recurrent.gru, "run", lambda model, tokens, sizes, **_: learnt.append((tokens, sizes)))
+    texts = [prose(i, n, 10**6) for i, n in enumerate((1, 127, 128, 300, 5000))] + [None]
+    known = know(count_words(documents(spark, texts)))
+
+    class Here:
+        """Stands for a frame of documents whose tasks run in this process."""
+
+        sparkSession = spark
+
+        def filter(self, *_):
+            return self
+
+        select = filter
+
+        def mapInPandas(self, learn, _):
+            list(learn(iter([pd.DataFrame({"doc_id": range(len(texts)), "text": texts})])))
+            return spark.createDataFrame([], "piece int, weight double, numbers array<float>")
+
+    train(Here(), known)
+    every = np.concatenate([np.append(w, recurrent.END) for w in recurrent.word_hashes(texts)])
+    assert np.bincount(np.concatenate([x for x, _ in learnt])).tolist() == np.bincount(known.numbers(every)).tolist()
+    assert all(n.max() <= recurrent.SEGMENT for _, n in learnt)

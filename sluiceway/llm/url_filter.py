@@ -3,7 +3,7 @@
 A host's paths form a tree of segments, four levels deep. Level by level, from the root:
 
 * a segment with a digit becomes a wildcard; so does every segment of a node with over
-  ``branches`` different children;
+  ``branches`` different children, where such a limit is given;
 * of the remaining children, those whose share of bad labels does not differ from the rest of
   the node's by a two-proportion test (|z| < ``alike``) merge into the wildcard.
 
@@ -59,7 +59,7 @@ def judge_urls(
     rules: Sequence[Rule],
     labels: DataFrame,
     *,
-    branches: int = BRANCHES,
+    branches: int | None = BRANCHES,
     alike: float = ALIKE,
     weight: float = WEIGHT,
     reject: float = REJECT,
@@ -68,6 +68,7 @@ def judge_urls(
 
     ``pages`` has page_id and url, ``labels`` page_id and bad (boolean). The longest rule that
     fits decides and is named; else ``rule`` is null and the template's purity decides.
+    ``branches`` None keeps all children that differ, however many siblings they have.
     Repeated pages are judged alike and count each; a page labelled both ways is bad; null
     labels and labels of other pages are ignored; a page with a null id has no label. A null
     or odd URL has an empty host and path, which make a template like any other. Without any
@@ -120,9 +121,10 @@ def _rule(rules: Sequence[Rule], host: Column, path: Column) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("struct<text:string,verdict:string>"))
 
 
-def _templates(shapes: DataFrame, branches: int, alike: float) -> DataFrame:
+def _templates(shapes: DataFrame, branches: int | None, alike: float) -> DataFrame:
     """Each shape with its template, found level by level."""
     counts = [F.sum(c).alias(c) for c in ("labelled", "bad")]
+    few = F.lit(True) if branches is None else F.col("children") <= branches
     at = shapes.withColumn("node", F.lit("")).withColumn("left", F.split("shape", "/"))
     for level in range(DEPTH):
         # A path that ends above this level takes the branch null and stays where it is.
@@ -140,7 +142,7 @@ def _templates(shapes: DataFrame, branches: int, alike: float) -> DataFrame:
         differs = F.coalesce(F.abs(F.try_divide(gap, noise)) >= alike, F.lit(False))
         kept = (
             children.join(nodes, ["host", "node"])
-            .filter((F.col("children") == 1) | ((F.col("children") <= branches) & differs))
+            .filter((F.col("children") == 1) | (few & differs))
             .filter("part <> '*'")
             .select("host", "node", "part", F.col("part").alias("kept"))
         )

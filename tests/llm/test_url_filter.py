@@ -4,7 +4,7 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
-from sluiceway.llm.queries import RULES
+from sluiceway.llm.queries import RULES, op7_url_filter
 from sluiceway.llm.url_filter import ALIKE, BRANCHES, DEPTH, WEIGHT, judge_urls
 
 PAGES = "page_id long, url string"
@@ -116,3 +116,23 @@ def test_main_path_runs_no_python(spark):
     none = spark.createDataFrame([], "page_id long, bad boolean")
     plan = judge_urls(spark.createDataFrame([(1, "http://a.com/x")], PAGES), RULES, none)._jdf.queryExecution().toString()
     assert "Python" not in plan and "InPandas" not in plan
+
+
+def queried(spark, folder, pages, bad):
+    """The query's rows by page; a page's path ends in its number, and ``bad`` are labelled so."""
+    spark.createDataFrame([(i, u) for i, u in enumerate(pages)], PAGES).write.parquet(f"{folder}/pages.parquet")
+    labels = [(i, 0 if b else 2, 0) for i, b in enumerate(bad)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return {r.page_id: r for r in op7_url_filter(spark, str(folder)).collect()}
+
+
+def test_a_bad_section_among_many_is_blocked(spark, tmp_path):
+    sections = [f"s{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60)]
+    pages, bad = [], []
+    for k, section in enumerate(sections):
+        for _ in range(10):
+            pages.append(f"http://many.io/{section}/{len(pages)}")
+            bad.append(k in (7, 50))
+    got = queried(spark, tmp_path, pages, bad)
+    assert [got[i].verdict == "block" for i in range(len(pages))] == bad
+    assert {got[i].template for i, b in enumerate(bad) if b} == {"/sha/*", "/syb/*"}

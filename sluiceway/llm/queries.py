@@ -84,7 +84,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
     numbered = pages.select("page_id", number.try_cast("bigint").alias("doc_id"))
     known = numbered.join(labels.select("doc_id", bad.alias("bad")), "doc_id").drop("doc_id")
-    return judge_urls(pages, RULES, known, branches=None)
+    return judge_urls(pages, RULES, known, branches=None, depth=None)
 
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Judge URLs by rules and, where none fits, by the templates of their host's paths.
 
-A host's paths form a tree of segments, four levels deep. Level by level, from the root:
+A host's paths form a tree of segments. Level by level, from the root, down to ``depth`` levels
+or, without that limit, until no path has segments left:
 
 * a segment with a digit becomes a wildcard; so does every segment of a node with over
   ``branches`` different children, where such a limit is given;
@@ -60,6 +61,7 @@ def judge_urls(
     labels: DataFrame,
     *,
     branches: int | None = BRANCHES,
+    depth: int | None = DEPTH,
     alike: float = ALIKE,
     weight: float = WEIGHT,
     reject: float = REJECT,
@@ -68,7 +70,7 @@ def judge_urls(
 
     ``pages`` has page_id and url, ``labels`` page_id and bad (boolean). The longest rule that
     fits decides and is named; else ``rule`` is null and the template's purity decides.
-    ``branches`` None keeps all children that differ, however many siblings they have.
+    ``depth`` None follows paths to their ends, and ``branches`` None keeps all children that differ, however many siblings they have.
     Repeated pages are judged alike and count each; a page labelled both ways is bad; null
     labels and labels of other pages are ignored; a page with a null id has no label. A null
     or odd URL has an empty host and path, which make a template like any other. Without any
@@ -93,7 +95,7 @@ def judge_urls(
         ),
         "url-shapes",
     )
-    templates = saved(_purities(_templates(shapes, branches, alike), weight), "url-templates")
+    templates = saved(_purities(_templates(shapes, branches, depth, alike), weight), "url-templates")
     ruled = parsed.withColumn("rule", _rule(rules, F.col("host"), F.col("path")))
     judged = look_up(ruled, templates, "key", "pages")
     return judged.select(
@@ -121,15 +123,15 @@ def _rule(rules: Sequence[Rule], host: Column, path: Column) -> Column:
     return F.coalesce(*fits, F.lit(None).cast("struct<text:string,verdict:string>"))
 
 
-def _templates(shapes: DataFrame, branches: int | None, alike: float) -> DataFrame:
+def _templates(shapes: DataFrame, branches: int | None, depth: int | None, alike: float) -> DataFrame:
     """Each shape with its template, found level by level."""
     counts = [F.sum(c).alias(c) for c in ("labelled", "bad")]
     few = F.lit(True) if branches is None else F.col("children") <= branches
     at = shapes.withColumn("node", F.lit("")).withColumn("left", F.split("shape", "/"))
-    for level in range(DEPTH):
-        # A path that ends above this level takes the branch null and stays where it is.
+    done, level = [], 0
+    while depth is None or level < depth:
         at = at.withColumn("part", F.get("left", F.lit(level)))
-        children = at.filter("part is not null").groupBy("host", "node", "part").agg(*counts)
+        children = at.groupBy("host", "node", "part").agg(*counts)
         nodes = children.groupBy("host", "node").agg(
             F.count("*").alias("children"),
             F.sum("labelled").alias("all_labelled"),
@@ -146,13 +148,25 @@ def _templates(shapes: DataFrame, branches: int | None, alike: float) -> DataFra
             .filter("part <> '*'")
             .select("host", "node", "part", F.col("part").alias("kept"))
         )
-        step = F.when(F.col("part").isNull(), F.col("node")).otherwise(
-            F.concat("node", F.lit("/" if level else ""), F.coalesce("kept", F.when(F.col("part") == "", "").otherwise("*")))
-        )
+        step = F.concat("node", F.lit("/" if level else ""), F.coalesce("kept", F.when(F.col("part") == "", "").otherwise("*")))
         at = at.join(kept, ["host", "node", "part"], "left").withColumn("node", step).drop("kept", "part")
+        level += 1
         at = saved(at, "url-level")
-    deeper = F.when(F.size("left") > DEPTH, "/**").otherwise("")
-    return at.withColumn("template", F.concat("node", deeper)).drop("node", "left")
+        done.append(at.filter(F.size("left") <= level))
+        at = at.filter(F.size("left") > level)
+        if depth is None:
+            # The only shape of a node is its own template from there on, whatever its length.
+            lone = at.groupBy("host", "node").agg(F.count("*").alias("shapes")).filter("shapes = 1")
+            at = saved(at.join(lone, ["host", "node"], "left"), "url-lone")
+            rest = F.array_join(F.slice("left", level + 1, F.size("left") - level), "/")
+            done.append(at.filter("shapes = 1").withColumn("node", F.concat("node", F.lit("/"), rest)).drop("shapes"))
+            at = at.filter("shapes is null").drop("shapes")
+            if at.isEmpty():
+                break
+    at = at.withColumn("node", F.concat("node", F.lit("/**")))
+    for some in done:
+        at = at.unionByName(some)
+    return at.withColumn("template", F.col("node")).drop("node", "left")
 
 
 def _purities(shapes: DataFrame, weight: float) -> DataFrame:

@@ -136,3 +136,27 @@ def test_a_bad_section_among_many_is_blocked(spark, tmp_path):
     got = queried(spark, tmp_path, pages, bad)
     assert [got[i].verdict == "block" for i in range(len(pages))] == bad
     assert {got[i].template for i, b in enumerate(bad) if b} == {"/sha/*", "/syb/*"}
+
+
+def test_paths_are_told_apart_at_any_depth(spark, tmp_path):
+    pages, bad = [], []
+    for k in range(80):
+        for section in ("spam", "docs"):
+            pages.append(f"http://deep.io/a/b/c/d/e/f/{section}/x/{len(pages)}")
+            bad.append(section == "spam")
+    got = queried(spark, tmp_path, pages, bad)
+    assert [got[i].verdict == "block" for i in range(len(pages))] == bad
+    assert {r.template for r in got.values()} == {f"/a/b/c/d/e/f/{x}/x/*" for x in ("spam", "docs")}
+
+
+def test_without_limits_like_plain_python(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "DEPTH", 30)
+    monkeypatch.setitem(globals(), "BRANCHES", 10**9)
+    pages = corpus() + [(10**6 + i, f"http://lone{i}.io/{'/'.join('abc1'[(i + j) % 4] for j in range(9 * i))}") for i in range(3)]
+    bad = {i: (u or "").startswith("http://hot.site.com/spam") or i % 11 == 0 or "/a/" in (u or "") for i, u in pages if i % 2 == 0}
+    frame = spark.createDataFrame(pages, PAGES).repartition(5)
+    out = judge_urls(frame, RULES, spark.createDataFrame(list(bad.items()), "page_id long, bad boolean"), branches=None, depth=None)
+    got = {r.page_id: r for r in out.collect()}
+    assert len(got) == len(pages)
+    for (i, url), (template, purity) in zip(pages, brute(pages, bad)):
+        assert got[i].template == template and abs(got[i].purity - purity) < 1e-9, url

@@ -14,11 +14,10 @@
 4. Each row of a key is paired with the key's first row, by document and place. Pairs of the
    same two documents are joined to one; the shingles around their places are compared, and
    the stretches that agree are verified by the Jaccard similarity of their exact shingle sets.
-5. A row whose starts' windows do not all lie in one found passage is not explained so. A
-   further repeat then has a shingle outside of the passages found, which another row of the key
-   must have too: a bitmap of those that two rows of a key have drops the rows without one,
-   such as those at the edges of passages. Each row that is left is compared with all rows of
-   its key, in blocks, by bitmaps of the shingles around them and then in the same way.
+5. A row is explained if the windows of its starts lie in passages found. A further repeat
+   has a shingle outside of these that occurs a second time, so a bitmap of such shingles drops
+   the rows without one, as at the edges of passages. Each row that is left is compared with all
+   rows of its key, in blocks, by bitmaps of the shingles around them and then in the same way.
 
 A passage repeats if one of a document with a smaller id is like it. Every group, however
 large, costs a pair per row in step 4; in step 5 a row that is left costs a pair with each
@@ -44,6 +43,7 @@ BANDS = 10
 BLOCK = 256
 _WORDS_LOG = 20  # the bitmap has 2 ** 20 words of 64 bits
 _SEEDS = mix(np.arange(101, 101 + 2 * BANDS, dtype=np.uint64)).reshape(BANDS, 2)
+_TOKENS_LOG = 22  # that of shingles has 2 ** 22
 _SKETCH = 512
 SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, similarity double"
 
@@ -89,8 +89,13 @@ def window_runs(tokens: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _windows(docs: DataFrame, shared=None) -> DataFrame:
-    """Rows key, doc_id, place, first, last; of keys in the bitmap only, if one is given."""
+def _windows(docs: DataFrame, shared=None, twice=None) -> DataFrame:
+    """Rows key, doc_id, spot; of keys in the bitmap only, if one is given.
+
+    A spot is 4096 times the place of the first minimum, 64 times what the first start is
+    before it, and how many starts follow. With ``twice``, a bitmap of shingles, docs have
+    passages ``found``, and rows without a shingle in the bitmap and out of these are left out.
+    """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -100,28 +105,53 @@ def _windows(docs: DataFrame, shared=None) -> DataFrame:
                 held.append(shingles(words))
                 size += len(words)
                 if size > 200_000 or i + 1 == len(ids):
-                    text, key, *places = window_runs(held)
+                    text, key, place, low, high = window_runs(held)
                     if shared is not None:
-                        word = (key >> np.uint64(6)) & np.uint64((1 << _WORDS_LOG) - 1)
-                        ok = (shared.value[word.astype(np.int64)] >> (key & np.uint64(63))) & np.uint64(1) > 0
-                        text, key, places = text[ok], key[ok], [x[ok] for x in places]
-                    place, low, high = places
-                    yield pd.DataFrame({"key": signed(key), "doc_id": ids[first + text], "place": place, "first": low, "last": high})
+                        ok = _has(shared.value, key, _WORDS_LOG)
+                        text, key, place, low, high = (x[ok] for x in (text, key, place, low, high))
+                    if twice is not None:
+                        fresh = _has(twice.value, np.concatenate(held), _TOKENS_LOG)
+                        base = np.cumsum([0, *map(len, held)])
+                        for at, end, spans in zip(base, base[1:], frame["found"][first : i + 1], strict=False):
+                            for s in () if spans is None else spans:
+                                fresh[at + s["start"] : min(at + s["end"] - SHINGLE + 1, end)] = False
+                        total = np.concatenate(([0], np.cumsum(fresh)))
+                        ok = total[base[text] + high + LEAST] > total[base[text] + low]
+                        text, key, place, low, high = (x[ok] for x in (text, key, place, low, high))
+                    spot = place << 12 | place - low << 6 | high - low
+                    yield pd.DataFrame({"key": signed(key), "doc_id": ids[first + text], "spot": spot})
                     held, first, size = [], i + 1, 0
 
-    return docs.mapInPandas(rows, "key long, doc_id long, place long, first long, last long")
+    return docs.mapInPandas(rows, "key long, doc_id long, spot long")
+
+
+def _tokens(docs: DataFrame) -> DataFrame:
+    """The distinct shingles of each text, as key."""
+
+    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for words in word_hashes(frame["text"]):
+                yield pd.DataFrame({"key": signed(np.unique(shingles(words)))})
+
+    return docs.mapInPandas(tokens, "key long")
 
 
-def _bitmap(keys: DataFrame) -> np.ndarray:
-    """A bit for each key's hash, 8 MB whatever their number."""
-    word = F.expr(f"shiftrightunsigned(key, 6) & {(1 << _WORDS_LOG) - 1}")
+def _twice(keys: DataFrame, log: int) -> np.ndarray:
+    """A bit for the hash of each key that is there twice: 8 bytes times 2 ** log whatever their number."""
+    keys = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    word = F.expr(f"shiftrightunsigned(key, 6) & {(1 << log) - 1}")
     bits = keys.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << _WORDS_LOG, np.uint64)
-    table = bits.toArrow()  # at most 2 ** 20 rows of two numbers
+    out = np.zeros(1 << log, np.uint64)
+    table = bits.toArrow()  # at most 2 ** log rows of two numbers
     out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def _has(bits: np.ndarray, keys: np.ndarray, log: int) -> np.ndarray:
+    word = (keys >> np.uint64(6)) & np.uint64((1 << log) - 1)
+    return (bits[word.astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
+
+
 def _stretches(match: np.ndarray, penalty: int, least: int) -> list[tuple[int, int]]:
     """Stretches of at least ``least`` in which matches, at 1, outweigh the others, at -penalty."""
     out, todo = [], [(0, len(match))]
@@ -284,81 +314,52 @@ def _spans(doc_id: int, source_id: int, base: int, low: int, a: np.ndarray, b: n
     return [(doc_id, base + i, base + j + more, source_id, low + k, low + l + more, s) for i, j, k, l, s in alike(a, b)]
 
 
-def _unexplained(rows: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
-    """The repeats of rows (key, doc_id, place, first, last) beyond those ``found`` (doc_id, found), as SPANS."""
-    inside = F.exists("found", lambda s: (s["start"] <= F.col("first")) & (F.col("last") + WORDS <= s["end"]))
-    marked = rows.join(found, "doc_id", "left").withColumn("open", ~F.coalesce(inside, F.lit(False)))
-    marked = saved(marked, "marked")
-    sizes = marked.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("doc_id").alias("least"), F.max(F.when(F.col("open"), F.col("doc_id"))).alias("most")
+def _unexplained(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The repeats by rows ``asking`` (key, doc_id, spot, n) of any of the n rows of their key, as SPANS."""
+    asked = asking.groupBy("key").agg(
+        F.ceil(F.count("*") / BLOCK).alias("asking"), F.ceil(F.max("n") / BLOCK).alias("blocks")
     )
-    # The first document of a key has nothing to repeat.
-    sizes = sizes.filter("least < most").select("key", "least", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    marked = marked.join(sizes, "key").withColumn("open", F.col("open") & (F.col("doc_id") > F.col("least")))
-    texts = likely(docs, marked.select("doc_id").distinct(), "doc_id")
+    asked = saved(asked, "asked")
+    either = asking.select("key", "doc_id", "spot", F.lit(True).alias("asks")).unionByName(rows.withColumn("asks", F.lit(False)))
+    either = saved(either.join(asked, "key"), "compared")
+    texts = likely(docs, either.select("doc_id").distinct(), "doc_id")
+    names = ["key", "small", "large"]
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, tokens = None, None
         for f in frames:
-            out = []
-            for row in f.itertuples(index=False):
-                if row.doc_id != last:
-                    last, tokens = row.doc_id, shingles(next(iter(word_hashes([row.text]))))
-                low = max(0, row.place - LEAST + 1)
-                fresh = np.ones(row.last + LEAST - row.first, bool)
-                for s in () if row.found is None else row.found:
-                    fresh[max(0, s["start"] - row.first) : max(0, s["end"] - SHINGLE + 1 - row.first)] = False
-                own = tokens[row.first : row.last + LEAST]
-                fresh = np.unique(own[fresh[: len(own)]]) if row.open else own[:0]
-                out.append((row.key, row.doc_id, row.first, row.last, row.open, row.blocks, low, signed(tokens[low : row.place + LEAST]), signed(fresh)))
-            yield pd.DataFrame(out, columns=["key", "doc_id", "first", "last", "open", "blocks", "low", "tokens", "fresh"])
-
-    cuts = marked.join(texts.select("doc_id", "text"), "doc_id").mapInPandas(
-        cut, "key long, doc_id long, first long, last long, open boolean, blocks long, low long, tokens array<long>, fresh array<long>"
-    )
-    cuts = saved(cuts, "cuts")
-    held = cuts.select("key", F.explode(F.array_distinct("tokens")).alias("token"))
-    twice = held.select(F.xxhash64("key", "token").alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(twice))
-
-    def hopeful(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Of rows and the hashes of their fresh shingles, those with one that another row has."""
-        for f in frames:
-            number = np.array([len(x) for x in f["hashes"]], np.int64)
-            hashes = np.concatenate([*f["hashes"], np.empty(0, np.int64)]).astype(np.int64).view(np.uint64)
-            word = (hashes >> np.uint64(6)) & np.uint64((1 << _WORDS_LOG) - 1)
-            ok = (shared.value[word.astype(np.int64)] >> (hashes & np.uint64(63))) & np.uint64(1) > 0
-            some = np.bincount(np.repeat(np.arange(len(f)), number), ok, len(f)) > 0
-            yield f.drop(columns="hashes")[some]
-
-    names = ["key", "small", "large"]
-    hashes = F.transform("fresh", lambda t: F.xxhash64("key", t)).alias("hashes")
-    plain = ["key", "doc_id", "first", "last", "blocks", "low", "tokens"]
-    schema = "key long, doc_id long, first long, last long, blocks long, low long, tokens array<long>"
-    asking = saved(cuts.filter("open").select(*plain, hashes).mapInPandas(hopeful, schema), "unexplained")
-    asked = asking.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("asking"))
+            place = f["spot"].to_numpy() >> 12
+            first = place - (f["spot"].to_numpy() >> 6 & 63)
+            held = []
+            for doc_id, at, text in zip(f["doc_id"], place, f["text"], strict=True):
+                if doc_id != last:
+                    last, tokens = doc_id, shingles(next(iter(word_hashes([text]))))
+                held.append(signed(tokens[max(0, at - LEAST + 1) : at + LEAST]))
+            low = np.maximum(0, place - LEAST + 1)
+            more = {"first": first, "last": first + (f["spot"].to_numpy() & 63), "low": low, "tokens": held}
+            yield f.drop(columns=["spot", "text"]).assign(**more)
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in each_group(frames, names):
             if found := _block(block):
                 yield pd.DataFrame(found, columns=[x.split()[0] for x in SPANS.split(", ")])
 
-    # Each block of unexplained rows of a key meets each block of all its rows.
-    at = F.xxhash64("doc_id", "low", "first")
-    one = (
-        asking.join(asked, "key")
-        .withColumn("small", F.pmod(at, F.col("asking")))
-        .withColumn("large", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .withColumn("asks", F.lit(True))
+    # Each block of asking rows of a key meets each block of all its rows.
+    at = F.xxhash64("doc_id", "spot")
+    own = F.when(F.col("asks"), F.pmod(at, F.col("asking"))).otherwise(F.pmod(at, F.col("blocks")))
+    others = F.when(F.col("asks"), F.col("blocks")).otherwise(F.col("asking"))
+    cuts = (
+        either.withColumn("own", own).withColumn("others", others)
+        .join(texts.select("doc_id", "text"), "doc_id")
+        .select("key", "own", "others", "asks", "doc_id", "spot", "text")
+        .mapInPandas(cut, "key long, own long, others long, asks boolean, doc_id long, first long, last long, low long, tokens array<long>")
     )
-    other = (
-        cuts.select(*plain).join(asked, "key")
-        .withColumn("large", F.pmod(at, F.col("blocks")))
-        .withColumn("small", F.explode(F.sequence(F.lit(0).cast("long"), F.col("asking") - 1)))
-        .withColumn("asks", F.lit(False))
+    placed = (
+        cuts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+        .withColumn("small", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")))
+        .withColumn("large", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")))
+        .drop("own", "others", "other")
     )
-    columns = [*names, "doc_id", "first", "last", "low", "tokens", "asks"]
-    placed = one.select(*columns).unionByName(other.select(*columns))
     return placed.repartition(*names).sortWithinPartitions(*names).mapInPandas(compare, SPANS)
 
 
@@ -412,17 +413,20 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     has the passages of each. No documents give no rows; other columns are ignored.
     """
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = _windows(texts).groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(counted))
+    context = docs.sparkSession.sparkContext
+    shared = context.broadcast(_twice(_windows(texts).select("key"), _WORDS_LOG))
     rows = saved(_windows(texts, shared), "windows")
-    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("source"), F.count("*").alias("n")).filter("n > 1")
-    pairs = rows.join(first.select("key", F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place")), "key")
-    pairs = saved(pairs.filter("doc_id <> source_id or place <> source_place"), "starred")
-    across = pairs.filter("doc_id <> source_id").select("doc_id", "place", "source_id", "source_place")
-    spans = saved(_verified(across, texts), "repeats")
-    # A row is explained if the windows of all its starts lie in a passage found.
+    first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "spot")).alias("source"), F.count("*").alias("n"))
+    first = saved(first.filter("n > 1").select("key", F.col("source.doc_id").alias("source_id"), F.col("source.spot").alias("source_spot"), "n"), "first")
+    place = [F.shiftright("spot", 12).alias("place"), F.shiftright("source_spot", 12).alias("source_place")]
+    pairs = rows.join(first, "key").filter("doc_id <> source_id").select("doc_id", "source_id", *place)
+    spans = saved(_verified(pairs, texts), "repeats")
     found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    more = _unexplained(rows.join(first.select("key"), "key"), found, texts)
+    twice = context.broadcast(_twice(_tokens(texts), _TOKENS_LOG))
+    asking = _windows(texts.join(found, "doc_id", "left"), shared, twice)
+    # The first document of a key has nothing to repeat.
+    asking = saved(asking.join(first, "key").filter("doc_id > source_id").select("key", "doc_id", "spot", "n"), "asking")
+    more = _unexplained(asking, rows, texts)
     return spans.unionByName(more).groupBy("doc_id", "start", "end").agg(
         F.min(F.struct("source_id", "source_start", "source_end", "similarity")).alias("s")
     ).select("doc_id", "start", "end", "s.*")

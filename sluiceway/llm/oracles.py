@@ -55,4 +55,46 @@ ORACLES = {
             FROM pairs)
         SELECT * FROM ranked WHERE rank <= 10
     """,
+    "op11_mix_sources": """
+        WITH RECURSIVE sized AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size
+            FROM documents),
+        sources AS (
+            SELECT source, sum(size)::HUGEINT AS source_size,
+                   [5, 2, 1][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::HUGEINT AS weight
+            FROM sized GROUP BY source),
+        -- Each round: what is left to share, and the weights that share it.
+        shared AS (
+            SELECT 0 AS round, sum(source_size)::HUGEINT AS over, sum(weight)::HUGEINT AS under,
+                   0::BIGINT AS capped, -1::BIGINT AS before
+            FROM sources
+            UNION ALL
+            SELECT s.round + 1, n.over, n.under, n.capped, s.capped
+            FROM shared s, LATERAL (
+                SELECT sum(CASE WHEN weight * s.over > 3 * source_size * s.under THEN -2 ELSE 1 END * source_size)::HUGEINT AS over,
+                       sum(weight) FILTER (weight * s.over <= 3 * source_size * s.under)::HUGEINT AS under,
+                       count(*) FILTER (weight * s.over > 3 * source_size * s.under) AS capped
+                FROM sources) n
+            WHERE s.capped <> s.before AND s.over > 0),
+        final AS (SELECT over, under FROM shared ORDER BY round DESC LIMIT 1),
+        targets AS (
+            SELECT source, source_size,
+                   CASE WHEN weight * over > 3 * source_size * under THEN 3 * source_size ELSE weight * over END AS over,
+                   CASE WHEN weight * over > 3 * source_size * under THEN 1 ELSE under END AS under,
+                   ('0x' || substr(md5('0/source/' || coalesce(source, '')), 1, 5))::HUGEINT AS place
+            FROM sources, final),
+        numbered AS (
+            SELECT *, row_number() OVER (
+                PARTITION BY source
+                ORDER BY size, md5('0/' || doc_id) NULLS FIRST, doc_id NULLS FIRST)::HUGEINT AS k
+            FROM sized),
+        found AS (
+            SELECT doc_id, size, source_size::BIGINT AS source_size, over::DOUBLE / under::DOUBLE AS target,
+                   CASE WHEN source_size > 0 THEN
+                       (k * over * 1048576 + place * under * source_size) // (1048576 * under * source_size)
+                       - ((k - 1) * over * 1048576 + place * under * source_size) // (1048576 * under * source_size)
+                   ELSE 0 END::BIGINT AS copies
+            FROM numbered n JOIN targets t ON n.source IS NOT DISTINCT FROM t.source)
+        SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM found
+    """,
 }

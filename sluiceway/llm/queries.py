@@ -13,6 +13,7 @@ from sluiceway.llm.exact_dedup import exact_groups
 from sluiceway.llm.jaccard_join import similar_components
 from sluiceway.llm.language import document_items, fit, identify, page_items
 from sluiceway.llm.licenses import license_notices
+from sluiceway.llm.mixing import drawn
 from sluiceway.llm.nearest import nearest_neighbours
 from sluiceway.llm.packing import pack
 from sluiceway.llm.recurrent import score
@@ -108,6 +109,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_notices(given(spark, sf_dir, "documents"))
 
 
+def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words of it that the mix takes."""
+    rows = drawn(given(spark, sf_dir, "documents"), keep=["doc_id"])
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return rows.select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -119,4 +127,5 @@ QUERIES: dict[str, Query] = {
     "op8_nearest": op8_nearest,
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
+    "op11_mix_sources": op11_mix_sources,
 }

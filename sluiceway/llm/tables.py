@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.workspace import fresh_path
@@ -106,3 +106,35 @@ def each_group(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict
         held = {c: v[edges[-1] :] for c, v in now.items()}
     if held is not None and len(held[keys[0]]) > 1:
         yield held
+
+
+def numbered(rows: DataFrame, order: list[Column], group: list[str] | None = None) -> DataFrame:
+    """``rows`` with ``number``, their place from 0 within their group in a total order.
+
+    ``order`` begins with the columns of ``group``. One shuffle by range puts the rows in order,
+    whatever a group holds; rows that are equal in it are dealt by a number of their own. A
+    row's place is then that in its partition and the rows of its group in partitions before,
+    of which there are as many counts as partitions and groups at most. Nulls are equal.
+    """
+    group = group or []
+    # Numbers of one partition follow one another, so their bits are mixed to spread equal rows.
+    spread = rows.withColumn("__tie", F.xxhash64(F.monotonically_increasing_id()))
+    order = [*order, F.col("__tie")]
+    placed = spread.repartitionByRange(*order).sortWithinPartitions(*order).drop("__tie")
+    placed = saved(placed.withColumn("__at", F.monotonically_increasing_id()), "in-order")
+    part = F.shiftright("__at", 33)
+    starts = placed.groupBy(part.alias("__part"), *group).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    if group:
+        before = Window.partitionBy(*group).orderBy("__part")
+    else:  # a row for each partition
+        before = Window.partitionBy(F.lit(0)).orderBy("__part")
+    earlier = F.coalesce(F.sum("__n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = starts.select(
+        F.col("__part").alias("__in"),
+        *(F.col(c).alias(f"__of_{c}") for c in group),
+        (earlier - F.col("__first")).alias("__shift"),
+    )
+    same = part == F.col("__in")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
+    return placed.join(starts, same).select(*rows.columns, (F.col("__at") + F.col("__shift")).alias("number"))

@@ -1,0 +1,111 @@
+from collections import Counter
+from fractions import Fraction
+
+import pytest
+from pyspark.sql import functions as F
+
+from sluiceway.llm.mixing import drawn, mixed, word_count
+from sluiceway.llm.tables import numbered
+from tests.llm.helpers import DOCS, ODD, WORD, prose
+
+
+def targets(sizes, weights=(5, 2, 1), limit=3):
+    """Targets by source, as fractions, source by source in plain Python."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [None] * (None in sizes)
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    out, left, rest = {}, Fraction(sum(sizes.values())), set(order)
+    while rest and left:
+        share = left / sum(weight[s] for s in rest)
+        above = {s for s in rest if weight[s] * share > limit * sizes[s]}
+        if not above:
+            return out | {s: weight[s] * share for s in rest}
+        out |= {s: Fraction(limit * sizes[s]) for s in above}
+        left, rest = left - sum(out[s] for s in above), rest - above
+    return out | dict.fromkeys(rest, Fraction(0))
+
+
+def held(rows, sizes_of, limit=3):
+    """Every property that the mix must have."""
+    sizes, largest, taken = Counter(), Counter(), Counter()
+    for r in rows:
+        assert r.size == sizes_of(r)
+        sizes[r.source] += r.size
+        largest[r.source] = max(largest[r.source], r.size)
+        taken[r.source] += r.size * r.copies
+        assert 0 <= r.copies <= limit
+    want = targets(dict(sizes))
+    for r in rows:
+        assert r.source_size == sizes[r.source]
+        assert r.target == pytest.approx(float(want[r.source]), rel=1e-12)
+        # All documents of a source have the same expected copies.
+        if sizes[r.source]:
+            assert abs(r.copies - want[r.source] / sizes[r.source]) < 1
+    for s in sizes:
+        assert abs(taken[s] - want[s]) <= largest[s], s
+    return want
+
+
+def docs_of(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, 0) for i, t, s in rows], DOCS)
+
+
+def test_words_are_counted_as_given(spark):
+    texts = [*ODD, "a\x0bb\x0cc\rd", "  x", " ", "a\x1fb"]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").select("i", word_count(F.col("text")).alias("n"))
+    assert {r.i: r.n for r in got.collect()} == {i: len(WORD.findall(t or "")) for i, t in enumerate(texts)}
+
+
+def test_targets_copies_and_limits(spark):
+    rows = []
+    for s, (name, n) in enumerate([("a", 3), ("b", 40), ("c", 200), ("é", 9), ("z", 2), (None, 30), ("", 1), ("\U0001f600", 25), ("￮", 6)]):
+        rows += [(1000 * s + i, prose(i, 1 + (i * 37 + s) % 90), name) for i in range(n)]
+    rows += [(9000 + i, t, "odd") for i, t in enumerate(ODD)]
+    rows += [(9100, "", "blank"), (9101, None, "blank")]
+    docs = docs_of(spark, rows)
+    text = {i: t for i, t, _ in rows}
+    got = drawn(docs).collect()
+    assert sorted(r.doc_id for r in got) == sorted(text)
+    want = held(got, lambda r: len(WORD.findall(text[r.doc_id] or "")))
+    sizes = {r.source: r.source_size for r in got}
+    assert any(want[s] == 3 * n and n for s, n in sizes.items())  # some stop at their limit
+    assert sum(want.values()) == sum(sizes.values())
+    again = drawn(docs.repartition(7, "text")).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert sorted(map(str, got)) != sorted(map(str, drawn(docs, seed=1).collect()))
+
+
+def test_repeated_rows_null_ids_and_clashing_columns(spark):
+    rows = [(7, "one two three", "a")] * 30 + [(None, "x y", "a")] * 20 + [(8, "z", "b")] * 3
+    docs = docs_of(spark, rows).withColumns({"size": F.lit("?"), "number": F.lit("n"), "part": F.lit(1), "copies": F.lit(9)})
+    out = drawn(docs)
+    assert sorted(out.columns) == sorted([*docs.columns, "source_size", "target"])
+    got = out.collect()
+    held(got, lambda r: len(WORD.findall(r.text)))
+    assert len(got) == 53 and {r.number for r in got} == {"n"}
+    assert sorted(map(str, got)) == sorted(map(str, drawn(docs.repartition(5)).collect()))
+
+
+def test_the_mix_holds_each_document_as_often_as_drawn(spark):
+    docs = docs_of(spark, [(i, prose(i, 5 + i % 7), "ab"[i % 5 == 0]) for i in range(100)])
+    copies = {r.doc_id: r.copies for r in drawn(docs).collect()}
+    out = mixed(docs).collect()
+    assert Counter(r.doc_id for r in out) == Counter({i: n for i, n in copies.items() if n})
+    assert sorted((r.doc_id, r.copy) for r in out) == sorted((i, k) for i, n in copies.items() for k in range(1, n + 1))
+    assert all(r.text == prose(r.doc_id, 5 + r.doc_id % 7) for r in out)
+
+
+def test_empty_table(spark):
+    assert drawn(spark.createDataFrame([], DOCS)).collect() == []
+    assert mixed(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_numbers_follow_the_order_within_groups(spark):
+    rows = [(g, v) for g in ("a", "b", None) for v in [None, 3, 1, 3, 3, 2] * 20]
+    frame = spark.createDataFrame(rows, "g string, v int").repartition(6)
+    order = [F.col("g").asc_nulls_last(), F.col("v").asc_nulls_first()]
+    got = numbered(frame, order, ["g"]).collect()
+    for g in ("a", "b", None):
+        found = sorted((r.number, r.v) for r in got if r.g == g)
+        assert [n for n, _ in found] == list(range(120))
+        assert [v for _, v in found] == [None] * 20 + [1] * 20 + [2] * 20 + [3] * 60
+    assert sorted(r.number for r in numbered(frame, order).collect()) == list(range(360))

@@ -17,6 +17,7 @@ from sluiceway.llm.mixing import drawn
 from sluiceway.llm.nearest import nearest_neighbours
 from sluiceway.llm.packing import pack
 from sluiceway.llm.recurrent import score
+from sluiceway.llm.runs import periodic_runs
 from sluiceway.llm.substrings import repeated_passages
 from sluiceway.llm.url_filter import Rule, host_and_path, judge_urls
 
@@ -116,6 +117,43 @@ def op11_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", taken, "copies")
 
 
+def with_loops(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where about every tenth text goes round in circles from some word on.
+
+    With h the CRC-32 of the decimal doc_id and g = floor(h / 10): if h % 10 = 0, word i >= a is word
+    a + (i - a) % p, where a = g % n and p = 1 + floor((n - a) / (3 + g % 8)). Other texts stay.
+    """
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, F.expr("regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)")).alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.expr("if(n > 0, cast(g % n as int), null)"))
+    rows = rows.withColumn("p", F.expr("1 + cast((n - a) div (3 + g % 8) as int)"))
+    turns = "flatten(array_repeat(slice(w, a + 1, p), cast(ceil((n - a) / p) as int)))"
+    looped = F.expr(f"array_join(concat(slice(w, 1, a), slice({turns}, 1, n - a)), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, looped).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its runs, after some have been made to repeat themselves."""
+    found = periodic_runs(with_loops(given(spark, sf_dir, "documents")))
+    # Exponents are compared as fractions.
+    best = F.expr(
+        "array_sort(runs, (x, y) -> case when x.length * y.period <> y.length * x.period"
+        " then if(x.length * y.period > y.length * x.period, -1, 1)"
+        " when x.start <> y.start then if(x.start < y.start, -1, 1)"
+        " when x.period <> y.period then if(x.period < y.period, -1, 1) else 0 end)[0]"
+    )
+    rows = found.withColumn("best", F.when(F.size("runs") > 0, best))
+    lines = F.expr(r"array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -128,4 +166,5 @@ QUERIES: dict[str, Query] = {
     "op9_bpe": op9_bpe,
     "op10_license_scan": op10_license_scan,
     "op11_mix_sources": op11_mix_sources,
+    "op12_periodic_runs": op12_periodic_runs,
 }

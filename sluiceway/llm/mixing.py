@@ -100,6 +100,8 @@ def drawn(
         F.md5(F.concat(F.lit(f"{seed}/"), F.col("doc_id").cast("string"))).alias("shuffled"),
         F.col("doc_id").alias("id"),
     )
+    # Written first: putting rows in order reads them twice, and words are to be counted once.
+    rows = saved(rows, "sized")
     order = [F.col("source").asc_nulls_last(), *(F.col(c).asc_nulls_first() for c in ("size", "shuffled", "id"))]
     placed = numbered(rows, order, ["source"]).drop("shuffled", "id")
     sizes = placed.groupBy("source").agg(F.sum("size").alias("source_size"))

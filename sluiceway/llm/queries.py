@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.llm.bpe import encoded, ids_digest
 from sluiceway.llm.exact_dedup import exact_groups
+from sluiceway.llm.hard_negatives import hard_negatives
 from sluiceway.llm.jaccard_join import similar_components
 from sluiceway.llm.language import document_items, fit, identify, page_items
 from sluiceway.llm.licenses import license_notices
@@ -154,6 +155,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hard negatives of every hundredth vector's positives; labels of every seventh are moved on by one."""
+    vectors = given(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
@@ -167,4 +175,5 @@ QUERIES: dict[str, Query] = {
     "op10_license_scan": op10_license_scan,
     "op11_mix_sources": op11_mix_sources,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_hard_negatives": op13_hard_negatives,
 }

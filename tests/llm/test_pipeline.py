@@ -48,5 +48,5 @@ def test_empty_documents(spark):
 
 
 def test_every_operator_has_a_query_and_tokenizers_are_read_where_they_are():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert '"model"' in tokenizer()

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,9 +24,11 @@ from sluiceway.operators.staging import only_partition
 from sluiceway.sources.tables import Table
 
 _MATCHED = "__in_source"
+_SIDE = "__side"
+_OVER = "__over"
 _PART = "__part"
 # Names of helper columns, which a table must not have.
-_OWN = re.compile(r"__(in_source|part|parts|bucket|n|key_rank|null_\d+)", re.IGNORECASE)
+_OWN = re.compile(r"__(in_source|side|over|part|parts|bucket|n|key_rank|null_\d+)", re.IGNORECASE)
 
 
 def overwrite_partition(df: DataFrame, table: Table, value: str) -> None:
@@ -98,13 +100,13 @@ def upsert(
     Null keys match null keys. A key that ``current`` holds more than once is updated in
     each of its rows.
 
-    The current rows are the side that streams through the join, so a task holds one source
-    row at a time, whatever a key holds; source rows whose key is not held are found by a
-    second join with the distinct keys, on the same shuffle of the source. Sizes that are
-    measured first choose how the first join runs:
+    Both sides are read and shuffled by key once, and there is no join: in a group of a key, the
+    one source row comes first, each current row after it takes its columns, and it is
+    itself kept if no current row follows. A group is a window, which spills what does not
+    fit in memory. Sizes that are measured first choose between ways to the same rows:
 
-    * no current rows: no join;
-    * up to ``hot_rows`` of them: both sides are shuffled by key;
+    * no current rows: the source as it is;
+    * up to ``hot_rows`` of them: as above;
     * more, and a source of up to ``small_rows`` rows and ``SMALL_BYTES``: the source is
       broadcast and the current rows are not shuffled at all;
     * more, with keys that hold over ``hot_rows`` each: the rows of such a key are split into
@@ -139,13 +141,43 @@ def upsert(
         return _upsert_few(unique, current, join_on, restored)
     hot = hot_keys(current, join_on, held, hot_rows) if held > hot_rows else None
     if hot is None:
-        updated = _pair(unique, current, join_on, "right_outer")
-    else:
-        updated = _pair(
-            _in_every_part(unique, hot, join_on), _in_parts(current, hot, join_on), [*join_on, _PART], "right_outer"
-        )
-    added = unique.join(current.select(*map(quoted, join_on)).distinct(), join_on, "left_anti")
-    return restored(updated).unionByName(restored(added))
+        # Partitioned as the source is, which the union keeps, so that the window shuffles nothing.
+        together = _together(unique, current.repartition(*map(quoted, join_on)))
+        return restored(_taken_over(together, unique.columns, join_on))
+    together = _together(_in_every_part(unique, hot, join_on), _in_parts(current, hot, join_on))
+    return restored(_taken_over(together, unique.columns, join_on, _PART))
+
+
+def _together(unique: DataFrame, current: DataFrame) -> DataFrame:
+    return unique.withColumn(_SIDE, F.lit(0)).unionByName(
+        current.withColumn(_SIDE, F.lit(1)), allowMissingColumns=True
+    )
+
+
+def _taken_over(
+    together: DataFrame, given: Sequence[str], join_on: list[str], part: str | None = None
+) -> DataFrame:
+    """Current rows with the columns ``given`` of the source row before them, and source rows without any after.
+
+    With ``part``, a key that lies in parts has current rows, so its source rows go.
+    """
+    group = Window.partitionBy(*map(quoted, [*join_on, *([part] if part else [])])).orderBy(_SIDE)
+    so_far = group.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    matched = F.first(_SIDE).over(so_far) == 0
+    values = {
+        name: F.when(matched, F.first(quoted(name)).over(so_far)).otherwise(quoted(name))
+        for name in given
+        if name not in join_on
+    }
+    alone = F.lead(_SIDE).over(group).isNull()
+    if part:
+        alone = alone & F.col(PARTS).isNull()
+    kept = together.select(
+        *(quoted(name) for name in together.columns if name not in values),
+        *(value.alias(name) for name, value in values.items()),
+        alone.alias(_OVER),
+    )
+    return kept.filter((F.col(_SIDE) == 1) | F.col(_OVER))
 
 
 def _upsert_few(
@@ -165,13 +197,13 @@ def _upsert_few(
 def _in_parts(current: DataFrame, hot: DataFrame, join_on: list[str]) -> DataFrame:
     """The rows of hot keys dealt over the parts of their key, all others in part 0."""
     part = F.pmod(F.monotonically_increasing_id(), F.coalesce(PARTS, F.lit(1)))
-    return current.join(hot, join_on, "left").withColumn(_PART, part).drop(PARTS)
+    return current.join(hot, join_on, "left").withColumn(_PART, part)
 
 
 def _in_every_part(unique: DataFrame, hot: DataFrame, join_on: list[str]) -> DataFrame:
     """Rows of hot keys once for each part, all others in part 0."""
     parts = F.sequence(F.lit(0).cast("long"), F.coalesce(PARTS, F.lit(1)) - 1)
-    return unique.join(hot, join_on, "left").withColumn(_PART, F.explode(parts)).drop(PARTS)
+    return unique.join(hot, join_on, "left").withColumn(_PART, F.explode(parts))
 
 
 def _require_value(value: str) -> None:

@@ -44,7 +44,7 @@ def overwrite_partition(df: DataFrame, table: Table, value: str) -> None:
     if absent:
         raise ValueError(f"columns missing from the source: {absent}")
     rows = only_partition(df, value, table.partition_column)
-    table.replace_partition(_filed_under(_cast(rows, schema), value, table, schema))
+    table.switch_partition(_filed_under(_cast(rows, schema), value, table, schema), value)
 
 
 def merge_partition(
@@ -80,7 +80,7 @@ def merge_partition(
         hot_rows=hot_rows,
         small_rows=small_rows,
     )
-    table.replace_partition(_filed_under(merged, value, table, schema))
+    table.switch_partition(_filed_under(merged, value, table, schema), value)
 
 
 def upsert(

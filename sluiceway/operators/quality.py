@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Row
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from sluiceway.functions.columns import field_of
+from sluiceway.functions.columns import field_of, quoted
 from sluiceway.functions.text import double_text
 from sluiceway.operators.quantile import settled_quantiles, sketch_of
 from sluiceway.operators.rules import MaxPercentile, Rule
+from sluiceway.workspace import fresh_path, remove
 
 
 class QualityError(RuntimeError):
@@ -68,13 +73,17 @@ def _percentiles(df: DataFrame, rules: Sequence[Rule]) -> dict[int, tuple[str, f
 
 def _totals(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """One row with the aggregates of all rules and the sketches of their percentiles."""
+    return df.agg(*_aggregates(df, rules))
+
+
+def _aggregates(df: DataFrame, rules: Sequence[Rule]) -> list[Column]:
     aggregates = [
         expression.alias(f"{i}_{key}")
         for i, rule in enumerate(rules)
         for key, expression in rule.aggregates(df).items()
     ]
     sketches = [sketch_of(*w).alias(f"{i}_sketch") for i, w in _percentiles(df, rules).items()]
-    return df.agg(*aggregates, *sketches)
+    return [*aggregates, *sketches]
 
 
 def _settled(
@@ -115,6 +124,10 @@ def check(df: DataFrame, rules: Sequence[Rule]) -> list[RuleResult]:
         return []
     totals = _totals(df, rules)
     totals = df.sparkSession.createDataFrame(totals.toArrow(), totals.schema)  # one row
+    return _results(df, rules, totals)
+
+
+def _results(df: DataFrame, rules: Sequence[Rule], totals: DataFrame) -> list[RuleResult]:
     rows = sorted(_outcomes(totals, rules, {}).collect(), key=lambda row: row.position)
     results = [RuleResult(rule, row.observed, row.ok) for rule, row in zip(rules, rows)]
     wanted = _percentiles(df, rules)
@@ -142,7 +155,58 @@ def gate(df: DataFrame, rules: Sequence[Rule], fail_fast: bool = True) -> list[R
     With ``fail_fast=False`` the results come back whatever they are.
     """
     results = check(df, rules)
+    if fail_fast:
+        _raise_failures(results)
+    return results
+
+
+def _raise_failures(results: list[RuleResult]) -> None:
     message = failure_message(results)
-    if message and fail_fast:
+    if message:
         raise QualityError(message, results)
-    return results
+
+
+def staged_check(df: DataFrame, rules: Sequence[Rule], path: str) -> tuple[DataFrame, list[RuleResult]]:
+    """Write ``df`` to ``path`` as Parquet and evaluate the rules over the rows as they pass.
+
+    Gives the rows as written, and the results; ``df`` is read once. Only a quantile that
+    failed is settled by a second pass, over the written rows.
+    """
+    untyped = {f.name: quoted(f.name).cast("string") for f in df.schema if isinstance(f.dataType, T.NullType)}
+    df = df.withColumns(untyped) if untyped else df  # Parquet has no such type
+    spark = df.sparkSession
+    if not rules:
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path), []
+    schema = _totals(df, rules).schema
+    seen = Observation()
+    df.observe(seen, *_aggregates(df, rules)).write.parquet(path)
+    row = {name: _plain(value) for name, value in seen.get.items()}
+    totals = pa.Table.from_pylist([row], schema=to_arrow_schema(schema))
+    staged = spark.read.schema(df.schema).parquet(path)
+    return staged, _results(staged, rules, spark.createDataFrame(totals, schema))
+
+
+def _plain(value):
+    return value.asDict() if isinstance(value, Row) else value
+
+
+@contextmanager
+def staged_gate(df: DataFrame, rules: Sequence[Rule]) -> Iterator[tuple[DataFrame, list[RuleResult]]]:
+    """The gate over rows that are read once: they are written aside while they are checked.
+
+    Within the context the written rows can be used; they are deleted at its end, and at once
+    if the gate is shut. They lie in the folder of ``spark.checkpoint.dir``; on a cluster that
+    names none, ``df`` itself is checked first and then read again.
+    """
+    try:
+        path = fresh_path(df.sparkSession, "staged")
+    except RuntimeError:
+        yield df, gate(df, rules)
+        return
+    try:
+        staged, results = staged_check(df, rules, path)
+        _raise_failures(results)
+        yield staged, results
+    finally:
+        remove(df.sparkSession, path)

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from sluiceway.context import RunContext
 from sluiceway.functions.columns import event_date
 from sluiceway.operators.merge import merge_partition
-from sluiceway.operators.quality import RuleResult, gate
+from sluiceway.operators.quality import RuleResult, staged_gate
 from sluiceway.operators.staging import with_ingestion_meta
 from sluiceway.plans.metadata import METADATA_TABLE, load_item
 from sluiceway.sources.csv import read_csv
@@ -49,20 +49,21 @@ class Job:
     ) -> list[RuleResult]:
         """Check the rows against the item's rules, then merge them under the run date.
 
-        Keys, rules and the output table come from metadata. ``table`` replaces the output
+        The rows are computed once: they are staged while the rules are measured, and merged
+        from there if all pass. Keys, rules and the output table come from metadata. ``table`` replaces the output
         table, for a session whose catalog does not hold it.
         """
         item = load_item(df.sparkSession, self.domain, self.item_name, metadata_table)
-        results = gate(df, item.rules())
-        merge_partition(
-            with_ingestion_meta(df, context.run_id),
-            table or CatalogTable(item.output_table, self.partition_column),
-            item.key_columns,
-            context.ds,
-            # One instant per run, so among copies in one run the latest event date wins.
-            latest_by=("_ingest_ts", self.partition_column),
-            stamp=True,
-        )
+        with staged_gate(df, item.rules()) as (staged, results):
+            merge_partition(
+                with_ingestion_meta(staged, context.run_id),
+                table or CatalogTable(item.output_table, self.partition_column),
+                item.key_columns,
+                context.ds,
+                # One instant per run, so among copies in one run the latest event date wins.
+                latest_by=("_ingest_ts", self.partition_column),
+                stamp=True,
+            )
         return results
 
 

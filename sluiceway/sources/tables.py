@@ -2,11 +2,22 @@
 
 Both read one partition and replace one partition. A replacement may be computed
 from the partition it replaces: the new files are put in place only after every task
-has finished. It is not a transaction, so a partition must have one writer at a time.
+has finished. A partition must have one writer at a time.
+
+A catalog keeps where each partition lies. There ``switch_partition`` writes the new rows to a
+folder of their own and then tells the catalog, in one step: readers see all old or all new
+rows, and a run that ends before changes nothing. The old files stay for those who still read
+them, until ``remove_unused``. Under a path the swap is not a transaction.
+
+``swap_files`` replaces single files. New ones are added in one commit, then the old ones
+are deleted, so a reader may see both in between.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+from collections.abc import Iterable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
 
@@ -21,6 +32,9 @@ from sluiceway.operators.staging import only_partition
 # The characters a partition folder name carries as %XX.
 _ESCAPED = set("\"#%'*/:=?\\{}[]^\x7f") | {chr(code) for code in range(1, 32)}
 
+# The column that says which file a row is from, and the folder of partitions that were switched.
+FILE = "__file"
+_VERSIONS = "_versions"
 _OVERWRITE_MODE = "spark.sql.sources.partitionOverwriteMode"
 
 
@@ -68,6 +82,16 @@ class PathTable:
         files = spark.read.schema(data).parquet(path)
         return files.withColumn(self.partition_column, F.lit(value))
 
+    def read_with_files(self, spark: SparkSession) -> DataFrame:
+        """All rows, with the file that each is from; none if there is no table yet."""
+        try:
+            files = spark.read.schema(self.schema).parquet(self.path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], self.schema).withColumn(FILE, F.lit(""))
+        return files.select(*map(quoted, self.schema.names), F.col("_metadata.file_path").alias(FILE))
+
     def replace_partition(self, df: DataFrame) -> None:
         (
             df.select(*map(quoted, self.schema.names))
@@ -77,6 +101,17 @@ class PathTable:
             .parquet(self.path)
         )
 
+    def switch_partition(self, df: DataFrame, value: str) -> None:
+        """Replace the partition that all rows of ``df`` belong to."""
+        self.replace_partition(df)
+
+    def swap_files(self, gone: Sequence[str], df: DataFrame) -> None:
+        """Add the rows of ``df``, which may be read from the files that are then deleted."""
+        rows = df.select(*map(quoted, self.schema.names))
+        rows.write.mode("append").partitionBy(self.partition_column).parquet(self.path)
+        _delete(df.sparkSession, gone)
+        df.sparkSession.catalog.refreshByPath(self.path)
+
 
 @dataclass(frozen=True)
 class CatalogTable:
@@ -94,6 +129,10 @@ class CatalogTable:
     def read_partition(self, spark: SparkSession, value: str) -> DataFrame | None:
         return only_partition(spark.table(self.name), value, self.partition_column)
 
+    def read_with_files(self, spark: SparkSession) -> DataFrame:
+        """All rows, with the file that each is from."""
+        return spark.table(self.name).select("*", F.col("_metadata.file_path").alias(FILE))
+
     def replace_partition(self, df: DataFrame) -> None:
         spark = df.sparkSession
         # insertInto binds by position and does not heed the writer option.
@@ -101,6 +140,100 @@ class CatalogTable:
         with _dynamic_overwrite(spark):
             ordered.write.mode("overwrite").insertInto(self.name)
 
+    def switch_partition(self, df: DataFrame, value: str) -> None:
+        """Replace the partition that all rows of ``df`` belong to, in one step of the catalog.
+
+        With no rows to write, the partition stays as it is. A table whose partitions the catalog
+        does not keep gets them replaced in place.
+        """
+        spark = df.sparkSession
+        about = _Described(spark, self.name)
+        if not about.keeps_partitions:
+            self.replace_partition(df)
+            return
+        folder = f"{about.location}/{_VERSIONS}/{uuid.uuid4().hex}"
+        columns = [c for c in spark.table(self.name).columns if c != self.partition_column]
+        df.select(*map(quoted, columns)).write.format(about.provider).save(folder)
+        if spark.read.format(about.provider).schema(df.select(*map(quoted, columns)).schema).load(folder).isEmpty():
+            _delete(spark, [folder])
+            return
+        named = {"table": self.name, "value": value, "folder": folder}
+        partition = f"PARTITION ({_name(self.partition_column)} = :value)"
+        spark.sql(f"ALTER TABLE IDENTIFIER(:table) ADD IF NOT EXISTS {partition} LOCATION :folder", args=named)
+        spark.sql(f"ALTER TABLE IDENTIFIER(:table) {partition} SET LOCATION :folder", args=named)
+        spark.catalog.refreshTable(self.name)
+
+    def remove_unused(self, spark: SparkSession, older_than: float = 7 * 24 * 3600) -> list[str]:
+        """Delete what ``switch_partition`` has left, if nothing was added for so many seconds.
+
+        These are folders of replaced versions and of runs that ended before the switch, and the first
+        places of partitions that lie elsewhere now. Gives the folders deleted.
+        """
+        about = _Described(spark, self.name)
+        used = about.partition_locations()
+        folders = [*_folders(spark, f"{about.location}/{_VERSIONS}"), *_folders(spark, about.location)]
+        first = f"{self.partition_column}=".lower()
+        limit = (time.time() - older_than) * 1000
+        gone = [
+            path
+            for path, changed in folders
+            if changed <= limit
+            and path not in used
+            and (f"/{_VERSIONS}/" in path or path.rsplit("/", 1)[1].lower().startswith(first))
+        ]
+        _delete(spark, gone)
+        return gone
+
+    def swap_files(self, gone: Sequence[str], df: DataFrame) -> None:
+        """Add the rows of ``df``, which may be read from the files that are then deleted."""
+        spark = df.sparkSession
+        ordered = df.select(*map(quoted, spark.table(self.name).columns))
+        ordered.write.mode("append").insertInto(self.name)
+        _delete(spark, gone)
+        spark.catalog.refreshTable(self.name)
+
+
+class _Described:
+    """What the catalog says about a table."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._session = spark._jsparkSession.sessionState()
+        self._catalog = self._session.catalog()
+        self._none = spark._jvm.scala.Option.empty()
+        self._table = self._session.sqlParser().parseTableIdentifier(name)
+        about = self._catalog.getTableMetadata(self._table)
+        self.keeps_partitions = about.tracksPartitionsInCatalog() and about.provider().get().lower() != "hive"
+        self.provider = about.provider().get()
+        self.location = about.location().toString().rstrip("/")
+
+    def partition_locations(self) -> set[str]:
+        found = self._catalog.listPartitions(self._table, self._none)
+        return {found.apply(i).location().toString().rstrip("/") for i in range(found.size())}
+
+
+def _name(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
+def _delete(spark: SparkSession, places: Iterable[str]) -> None:
+    """Delete files and folders named as URIs."""
+    for place in places:
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(place))
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _folders(spark: SparkSession, place: str) -> list[tuple[str, int]]:
+    """The folders in a folder, as URIs, and when each was changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(place))
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(path):
+        return []
+    return [
+        (f.getPath().toUri().toString().rstrip("/"), f.getModificationTime())
+        for f in system.listStatus(path)
+        if f.isDirectory()
+    ]
+
 
 Table = PathTable | CatalogTable
 

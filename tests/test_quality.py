@@ -1,12 +1,17 @@
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
-from sluiceway.operators.quality import QualityError, gate, report
+from sluiceway.operators import quality
+from sluiceway.operators.quality import QualityError, check, gate, report, staged_check, staged_gate
 from sluiceway.operators.rules import (
     FilledRatio,
     MaxPercentile,
     ValueRatio,
     build_rules,
 )
+from sluiceway.workspace import checkpoint_dir
 
 NAN = float("nan")
 
@@ -140,3 +145,54 @@ def test_factory_builds_each_rule():
 def test_factory_rejects(rule_type, params, message):
     with pytest.raises(ValueError, match=message):
         build_rules([(rule_type, params)])
+
+
+def test_staged_rows_are_checked_as_they_are_written(spark, frame, folder):
+    rules = [FilledRatio("s", 0.4), ValueRatio("x", "gt", 5.0, 0.4), MaxPercentile("x", 0.5, 6.0), MaxPercentile("n", 0.9, 3.0)]
+    staged, results = staged_check(frame.withColumn("void", F.lit(None)), rules, folder)
+    assert results == check(frame, rules)
+    assert [r.ok for r in results] == [True, True, True, False]
+    assert staged.columns == [*frame.columns, "void"] and staged.count() == 5
+    empty, results = staged_check(frame.limit(0), rules, f"{folder}-empty")
+    assert results == check(frame.limit(0), rules) and empty.isEmpty()
+    assert staged_check(frame, [], f"{folder}-no-rules")[1] == []
+
+
+def test_a_staged_gate_computes_its_rows_once(spark, frame):
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            computed.add(len(batch))
+            yield batch
+
+    rows = frame.mapInPandas(counted, frame.schema)
+    with staged_gate(rows, [FilledRatio("s", 0.4), MaxPercentile("x", 0.5, 6.0)]) as (staged, results):
+        files = staged.inputFiles()
+        assert all(r.ok for r in results) and staged.count() == 5 and staged.filter("n > 1").count() == 3
+    assert computed.value == 5
+    assert files and not any(Path(f.removeprefix("file://")).exists() for f in files)
+
+
+def test_a_shut_staged_gate_says_the_same_and_leaves_nothing(spark, frame):
+    rules = [FilledRatio("x", 0.61), MaxPercentile("x", 0.9, 9.0)]
+    folder = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.glob("staged-*"))
+    said = []
+    for attempt in (lambda: gate(frame, rules), lambda: staged_gate(frame, rules).__enter__()):
+        with pytest.raises(QualityError) as caught:
+            attempt()
+        said.append((str(caught.value), caught.value.results))
+    assert said[0] == said[1]
+    assert set(folder.glob("staged-*")) == before
+
+
+def test_without_a_shared_folder_the_gate_reads_the_rows_themselves(spark, frame, monkeypatch):
+    def unnamed(*_):
+        raise RuntimeError("set spark.checkpoint.dir")
+
+    monkeypatch.setattr(quality, "fresh_path", unnamed)
+    with staged_gate(frame, [FilledRatio("s", 0.4)]) as (staged, results):
+        assert staged is frame and results[0].ok
+    with pytest.raises(QualityError), staged_gate(frame, [FilledRatio("s", 0.9)]):
+        pass

@@ -4,10 +4,10 @@ Both read one partition and replace one partition. A replacement may be computed
 from the partition it replaces: the new files are put in place only after every task
 has finished. A partition must have one writer at a time.
 
-A catalog keeps where each partition lies. There ``switch_partition`` writes the new rows to a
-folder of their own and then tells the catalog, in one step: readers see all old or all new
-rows, and a run that ends before changes nothing. The old files stay for those who still read
-them, until ``remove_unused``. Under a path the swap is not a transaction.
+A catalog keeps where each partition lies. There ``switch_partitions`` writes the new rows to
+folders of their own and then tells the catalog, in one step for each: readers see all old or all
+new rows of a partition, and a run that ends before changes nothing. The old files stay for those
+who still read them, until ``remove_unused``. Under a path the swap is not a transaction.
 
 ``swap_files`` replaces single files. New ones are added in one commit, then the old ones
 are deleted, so a reader may see both in between.
@@ -30,7 +30,7 @@ from sluiceway.functions.columns import quoted
 from sluiceway.operators.staging import only_partition
 
 # The characters a partition folder name carries as %XX.
-_ESCAPED = set("\"#%'*/:=?\\{}[]^\x7f") | {chr(code) for code in range(1, 32)}
+_ESCAPED = set("\"#%'*/:=?\\{[]^\x7f") | {chr(code) for code in range(1, 32)}
 
 # The column that says which file a row is from, and the folder of partitions that were switched.
 FILE = "__file"
@@ -65,9 +65,8 @@ class PathTable:
         partition would delete.
         """
         data = T.StructType([f for f in self.schema if f.name != self.partition_column])
-        folder = f"{_in_folder_name(self.partition_column)}={_in_folder_name(value)}"
         try:
-            path = f"{self.path.rstrip('/')}/{folder}"
+            path = f"{self.path.rstrip('/')}/{self._folder(value)}"
             found = spark.read.option("mergeSchema", "true").parquet(path)
         except AnalysisException as error:
             if error.getCondition() == "PATH_NOT_FOUND":
@@ -75,10 +74,7 @@ class PathTable:
             if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
                 raise
             return spark.createDataFrame([], self.schema)  # a folder without files
-        known = {name.lower() for name in data.names}
-        unknown = [name for name in found.columns if name.lower() not in known]
-        if unknown:
-            raise ValueError(f"{path} has columns the table does not declare: {unknown}")
+        self._require_declared(found.columns, path)
         files = spark.read.schema(data).parquet(path)
         return files.withColumn(self.partition_column, F.lit(value))
 
@@ -101,8 +97,36 @@ class PathTable:
             .parquet(self.path)
         )
 
-    def switch_partition(self, df: DataFrame, value: str) -> None:
-        """Replace the partition that all rows of ``df`` belong to."""
+    def read_partitions(self, spark: SparkSession, values: Sequence[str]) -> DataFrame | None:
+        """Some partitions, or None if none of them exists. Lists only their files; see ``read_partition``."""
+        there = {name for name, _ in _folders(spark, self.path)}
+        folders = [f"{self.path.rstrip('/')}/{self._folder(value)}" for value in values]
+        folders = [folder for folder in folders if _spelled(spark, folder) in there]
+        if not folders:
+            return None
+        options = {"basePath": self.path, "mergeSchema": "true"}
+        # The types of what is found do not matter, and inference would make the partition column a date.
+        try:
+            found = spark.read.options(**options).parquet(*folders)
+        except AnalysisException as error:
+            if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
+            return None  # folders without files
+        self._require_declared(found.columns, ", ".join(folders))
+        files = spark.read.schema(self.schema).option("basePath", self.path).parquet(*folders)
+        return files.select(*map(quoted, self.schema.names))
+
+    def _folder(self, value: str) -> str:
+        return f"{_in_folder_name(self.partition_column)}={_in_folder_name(value)}"
+
+    def _require_declared(self, columns: Sequence[str], where: str) -> None:
+        known = {name.lower() for name in self.schema.names}
+        unknown = [name for name in columns if name.lower() not in known]
+        if unknown:
+            raise ValueError(f"{where} has columns the table does not declare: {unknown}")
+
+    def switch_partitions(self, df: DataFrame, values: Sequence[str]) -> None:
+        """Replace the partitions that the rows of ``df`` belong to."""
         self.replace_partition(df)
 
     def swap_files(self, gone: Sequence[str], df: DataFrame) -> None:
@@ -140,10 +164,14 @@ class CatalogTable:
         with _dynamic_overwrite(spark):
             ordered.write.mode("overwrite").insertInto(self.name)
 
-    def switch_partition(self, df: DataFrame, value: str) -> None:
-        """Replace the partition that all rows of ``df`` belong to, in one step of the catalog.
+    def read_partitions(self, spark: SparkSession, values: Sequence[str]) -> DataFrame | None:
+        """Some partitions, which a filter selects before any file is listed."""
+        return spark.table(self.name).filter(quoted(self.partition_column).isin(*values))
+
+    def switch_partitions(self, df: DataFrame, values: Sequence[str]) -> None:
+        """Replace the partitions that the rows of ``df`` belong to, each in one step of the catalog.
 
-        With no rows to write, the partition stays as it is. A table whose partitions the catalog
+        A partition without rows to write stays as it is. A table whose partitions the catalog
         does not keep gets them replaced in place.
         """
         spark = df.sparkSession
@@ -152,15 +180,18 @@ class CatalogTable:
             self.replace_partition(df)
             return
         folder = f"{about.location}/{_VERSIONS}/{uuid.uuid4().hex}"
-        columns = [c for c in spark.table(self.name).columns if c != self.partition_column]
-        df.select(*map(quoted, columns)).write.format(about.provider).save(folder)
-        if spark.read.format(about.provider).schema(df.select(*map(quoted, columns)).schema).load(folder).isEmpty():
-            _delete(spark, [folder])
-            return
-        named = {"table": self.name, "value": value, "folder": folder}
+        rows = df.select(*map(quoted, spark.table(self.name).columns))
+        rows.write.format(about.provider).partitionBy(self.partition_column).save(folder)
+        written = {place for place, _ in _folders(spark, folder)}
         partition = f"PARTITION ({_name(self.partition_column)} = :value)"
-        spark.sql(f"ALTER TABLE IDENTIFIER(:table) ADD IF NOT EXISTS {partition} LOCATION :folder", args=named)
-        spark.sql(f"ALTER TABLE IDENTIFIER(:table) {partition} SET LOCATION :folder", args=named)
+        for value in values:
+            place = f"{folder}/{_in_folder_name(self.partition_column)}={_in_folder_name(value)}"
+            if _spelled(spark, place) in written:
+                named = {"table": self.name, "value": value, "place": place}
+                spark.sql(f"ALTER TABLE IDENTIFIER(:table) ADD IF NOT EXISTS {partition} LOCATION :place", args=named)
+                spark.sql(f"ALTER TABLE IDENTIFIER(:table) {partition} SET LOCATION :place", args=named)
+        if not written:
+            _delete(spark, [_spelled(spark, folder)])
         spark.catalog.refreshTable(self.name)
 
     def remove_unused(self, spark: SparkSession, older_than: float = 7 * 24 * 3600) -> list[str]:
@@ -178,7 +209,7 @@ class CatalogTable:
             path
             for path, changed in folders
             if changed <= limit
-            and path not in used
+            and not any(place == path or place.startswith(f"{path}/") for place in used)
             and (f"/{_VERSIONS}/" in path or path.rsplit("/", 1)[1].lower().startswith(first))
         ]
         _delete(spark, gone)
@@ -197,6 +228,7 @@ class _Described:
     """What the catalog says about a table."""
 
     def __init__(self, spark: SparkSession, name: str):
+        self._spark = spark
         self._session = spark._jsparkSession.sessionState()
         self._catalog = self._session.catalog()
         self._none = spark._jvm.scala.Option.empty()
@@ -204,11 +236,11 @@ class _Described:
         about = self._catalog.getTableMetadata(self._table)
         self.keeps_partitions = about.tracksPartitionsInCatalog() and about.provider().get().lower() != "hive"
         self.provider = about.provider().get()
-        self.location = about.location().toString().rstrip("/")
+        self.location = spark._jvm.org.apache.hadoop.fs.Path(about.location()).toString()
 
     def partition_locations(self) -> set[str]:
         found = self._catalog.listPartitions(self._table, self._none)
-        return {found.apply(i).location().toString().rstrip("/") for i in range(found.size())}
+        return {_spelled(self._spark, found.apply(i).location()) for i in range(found.size())}
 
 
 def _name(column: str) -> str:
@@ -222,14 +254,21 @@ def _delete(spark: SparkSession, places: Iterable[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _spelled(spark: SparkSession, uri) -> str:
+    """A path or URI as a URI in one spelling; ``file:/`` and ``file:///`` are the same."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toUri()
+    return f"{full.getScheme()}://{full.getAuthority() or ''}{full.getRawPath()}".rstrip("/")
+
+
 def _folders(spark: SparkSession, place: str) -> list[tuple[str, int]]:
-    """The folders in a folder, as URIs, and when each was changed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI.create(place))
+    """The folders under a path, as URIs, and when each was changed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
     system = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(path):
         return []
     return [
-        (f.getPath().toUri().toString().rstrip("/"), f.getModificationTime())
+        (_spelled(spark, f.getPath().toUri()), f.getModificationTime())
         for f in system.listStatus(path)
         if f.isDirectory()
     ]

@@ -89,6 +89,8 @@ def test_partition_values_with_special_characters(spark, table):
     table.replace_partition(frame(spark, [("a", "1", "n", value), ("b", "2", "n", OTHER)]))
     merge_partition(frame(spark, [("a", "9", "m", value)]), table, ["k"], value)
     assert rows(table.read(spark)) == [("a", "9", "m", value), ("b", "2", "n", OTHER)]
+    merge_partition(frame(spark, [("c", "1", "m", value)]), table, ["k"], value)
+    assert rows(table.read(spark)) == [("a", "9", "m", value), ("b", "2", "n", OTHER), ("c", "1", "m", value)]
 
 
 def test_merge_updates_inserts_and_keeps(spark, table, tmp_path):

@@ -249,6 +249,27 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT -event_id - 1, NULL, value, '{DS}' FROM events
         WHERE ts::DATE = DATE '2024-01-05'""",
+    "merge_touched_files": f"""
+        WITH hit AS (SELECT event_id FROM events WHERE ts::DATE = DATE '2024-01-05'),
+        rewritten AS (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS files_rewritten FROM hit)
+        SELECT event_id, event_type, CASE WHEN event_id IN (FROM hit) THEN -value ELSE value END AS value,
+               '{DS}' AS ds, files_rewritten FROM events, rewritten
+        UNION ALL
+        SELECT -event_id - 1, NULL, value, '{DS}', files_rewritten FROM events, rewritten WHERE event_id IN (FROM hit)""",
+    "overwrite_predicate": f"""
+        WITH landed AS ({_LANDED}),
+        hit AS (SELECT * FROM landed WHERE event_type = 'error' AND ds BETWEEN '2024-01-03' AND '2024-01-07')
+        SELECT event_id, user_id, event_type, props, ds FROM landed
+        WHERE NOT (event_type = 'error' AND ds BETWEEN '2024-01-03' AND '2024-01-07')
+        UNION ALL
+        SELECT min(event_id), user_id, 'error', 'fresh', min(ds) FROM hit GROUP BY user_id""",
+    "merge_backfill": f"""
+        WITH landed AS ({_LANDED})
+        SELECT event_id, user_id,
+               CASE WHEN ds BETWEEN '2024-01-03' AND '2024-01-07' AND event_type <> 'view' THEN event_type ELSE 'old' END AS event_type,
+               props, 'first' AS note, ds FROM landed
+        UNION ALL
+        SELECT event_id, user_id, event_type, props, NULL, '2025-01-01' FROM landed WHERE ds = '2024-01-05'""",
     "web_events_job": f"""
         SELECT event_id::VARCHAR AS event_id, user_id::VARCHAR AS user_id,
                CASE WHEN first_only THEN event_type ELSE 'late' END AS event_type,

@@ -12,7 +12,13 @@ from pyspark.sql import types as T
 from sluiceway.context import RunContext
 from sluiceway.functions.columns import event_date
 from sluiceway.operators.dedupe import keep_latest
-from sluiceway.operators.merge import merge_partition, overwrite_partition
+from sluiceway.operators.merge import (
+    merge_into_files,
+    merge_partition,
+    merge_partitions,
+    overwrite_partition,
+    overwrite_where,
+)
 from sluiceway.operators.quality import QualityError, gate, report
 from sluiceway.operators.rules import FilledRatio, MaxPercentile, ValueRatio
 from sluiceway.operators.staging import only_partition, stamp_partition, with_ingestion_meta
@@ -28,7 +34,7 @@ from sluiceway.plans.jobs import (
 )
 from sluiceway.plans.metadata import ITEM_SCHEMA, ItemDef, RuleSpec, load_item, registry, rule_rows
 from sluiceway.sources.csv import read_csv
-from sluiceway.sources.tables import CatalogTable, PathTable
+from sluiceway.sources.tables import FILE, CatalogTable, PathTable
 from sluiceway.workspace import fresh_path
 from verification.stand_ins import (
     DS,
@@ -439,6 +445,49 @@ def merge_few_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read(spark)
 
 
+def merge_touched_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same corrections, into files by day; says how many of these were rewritten."""
+    events = given(spark, sf_dir, "events")
+    table = _path_table(spark, "event_id bigint, event_type string, value double")
+    held = events.repartition(16, F.to_date("ts")).select("event_id", "event_type", "value")
+    table.replace_partition(stamp_partition(held, DS))
+    before = _files_of(table, spark)
+    day = events.filter(F.to_date("ts") == F.lit("2024-01-05")).select("event_id", "value")
+    corrected = day.withColumn("value", -F.col("value"))
+    copied = day.withColumn("event_id", -F.col("event_id") - 1)
+    merge_into_files(stamp_partition(corrected.unionByName(copied), DS), table, ["event_id"], DS)
+    gone = before.join(_files_of(table, spark), "file", "left_anti").count()
+    return table.read(spark).withColumn("files_rewritten", F.lit(gone))
+
+
+def _files_of(table, spark: SparkSession) -> DataFrame:
+    held = table.read_with_files(spark).select(F.col(FILE).alias("file")).distinct()
+    return spark.createDataFrame(held.toArrow())  # the names as they are now
+
+
+def overwrite_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors of some days, across their partitions, give way to one row a user."""
+    landed = _landed(given(spark, sf_dir, "events"))
+    table = CatalogTable(partitioned_table(spark, _LANDED))
+    table.replace_partition(landed)
+    meets = "event_type = 'error' and ds between '2024-01-03' and '2024-01-07'"
+    users = landed.filter(meets).groupBy("user_id").agg(F.min("ds").alias("ds"), F.min("event_id").alias("event_id"))
+    fresh = users.withColumns({"event_type": F.lit("error"), "props": F.lit("fresh")})
+    overwrite_where(fresh, table, meets)
+    return table.read(spark)
+
+
+def merge_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Corrections of several days and rows of a new one, in one run over a table of all days."""
+    landed = _landed(given(spark, sf_dir, "events"))
+    table = CatalogTable(partitioned_table(spark, f"{_LANDED}, note string"))
+    table.replace_partition(landed.withColumns({"event_type": F.lit("old"), "note": F.lit("first")}))
+    some = landed.filter(F.col("ds").between("2024-01-03", "2024-01-07") & (F.col("event_type") != "view"))
+    fresh = landed.filter(F.col("ds") == "2024-01-05").withColumn("ds", F.lit("2025-01-01"))
+    merge_partitions(some.unionByName(fresh), table, ["event_id"])
+    return table.read(spark)
+
+
 # Jobs
 
 _CRM_LANDED = "user_id string, email string, country string, _ingest_ts timestamp, _run_id string"
@@ -568,6 +617,9 @@ QUERIES: dict[str, Query] = {
         merge_composite,
         merge_hot_key,
         merge_few_corrections,
+        merge_touched_files,
+        overwrite_predicate,
+        merge_backfill,
         web_events_job,
         pos_transactions_job,
         crm_users_job,

@@ -206,6 +206,9 @@ def page_items(pages: DataFrame) -> DataFrame:
 
 
 def document_items(docs: DataFrame) -> DataFrame:
-    """doc_id, text, declared, suffix and host of documents, whose source is their host."""
+    """doc_id, text, declared, suffix and host of documents, whose source is their host.
+
+    Their ``lang`` is the label that ``fit`` learns from, so it is no evidence here.
+    """
     none = F.lit(None).cast("string")
-    return docs.select("doc_id", "text", F.col("lang").alias("declared"), none.alias("suffix"), F.col("source").alias("host"))
+    return docs.select("doc_id", "text", none.alias("declared"), none.alias("suffix"), F.col("source").alias("host"))

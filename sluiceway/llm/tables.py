@@ -138,3 +138,17 @@ def numbered(rows: DataFrame, order: list[Column], group: list[str] | None = Non
     for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"__of_{c}"))
     return placed.join(starts, same).select(*rows.columns, (F.col("__at") + F.col("__shift")).alias("number"))
+
+
+def by_row(docs: DataFrame, row: str = "__row") -> DataFrame:
+    """``docs`` with a number for each row, in order of doc_id, null first.
+
+    It is the doc_id where each row has one of its own. Otherwise rows are numbered and written,
+    so that rows that share an id, or all their columns, can be told apart.
+    """
+    counts = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null")
+    if counts.isEmpty():
+        return docs.withColumn(row, F.col("doc_id").cast("long"))
+    # Rows that differ are numbered alike in every run; of equal ones it does not matter.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(*docs.columns)]
+    return numbered(docs, order).withColumnRenamed("number", row)

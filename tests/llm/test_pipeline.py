@@ -1,7 +1,15 @@
+import itertools
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+from tokenizers import Tokenizer
+
 import corpus_pipeline
 from sluiceway.llm.queries import QUERIES, tokenizer
 from sluiceway.llm.tables import saved
-from tests.llm.helpers import DOCS, documents, edited, prose, words
+from tests.llm.helpers import DOCS, documents, edited, prose, shingle_set, words
 
 
 def texts():
@@ -33,11 +41,69 @@ def test_stages_keep_clean_documents_and_drop_the_rest(spark):
     assert {r.doc_id for r in packed} == set(last)
 
 
-def test_run_equals_its_stages_over_the_documents(spark, tmp_path):
-    documents(spark, texts()).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
-    rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    assert {r.doc_id for r in rows} == set(range(22)) - {20} | set(range(24, 30))
-    assert sum(r.length for r in rows if r.start == 0) <= sum(r.length for r in rows)
+def test_stages_decide_by_row(spark):
+    """Ids that several texts share, rows that repeat, null ids, and columns of other names."""
+    given = [(5, f"only here {prose(1, 40)}"), (5, prose(2, 40)), (9, prose(2, 40)), (7, prose(3, 40)), (7, prose(3, 40))]
+    given += [(None, prose(4, 40)), (None, prose(5, 40)), (None, prose(4, 40)), (5, "12 34"), (6, prose(6, 12_000))]
+    given += [(8, prose(7, 150)), (8, edited(prose(7, 150), 1, 140)), (8, prose(8, 60))]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), i or -1, "x") for i, t in given], f"{DOCS}, row long, size string")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = saved(stage(spark, docs, ""), name)
+        assert docs.columns == [*(x.split()[0] for x in DOCS.split(", ")), "row", "size"]
+        assert all(r.row == (r.doc_id or -1) and r.size == "x" for r in docs.collect())
+    near = {prose(7, 150), edited(prose(7, 150), 1, 140)}
+    kept = sorted((r.doc_id or 0, r.text) for r in docs.collect() if r.text not in near)
+    want = [(0, prose(4, 40)), (0, prose(5, 40)), (5, given[0][1]), (6, prose(6, 12_000)), (7, prose(3, 40)), (8, prose(8, 60)), (9, prose(2, 40))]
+    assert kept == sorted(want)
+    assert docs.filter(docs.text.isin(*near)).count() == 1
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    assert sum(r.start == 0 for r in packed) == 8
+
+
+def plainly(rows):
+    """The pipeline's documents in plain Python: the (id, text) that reach packing."""
+    rows = [(i, t) for i, t in rows if re.search("[a-z]", (t or "").lower())]
+    rows = [(i, t) for i, t in rows if i == max(j for j, u in rows if u == t)]
+    groups = {i: {i} for i, _ in rows}
+    sets = {i: shingle_set(t) for i, t in rows}
+    for i, j in itertools.combinations(sets, 2):
+        if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+            joined = groups[i] | groups[j]
+            groups |= dict.fromkeys(joined, joined)
+    rows = sorted((i, t) for i, t in rows if i == min(groups[i]))
+    out, seen = [], set()
+    for i, t in rows:
+        w, gone = words(t), set()
+        for at in range(len(w) - 49):
+            if tuple(w[at : at + 50]) in seen:
+                gone |= set(range(at, at + 50))
+        seen |= {tuple(w[at : at + 50]) for at in range(len(w) - 49)}
+        out.append((i, " ".join(x for k, x in enumerate(t.split(" ")) if k not in gone) if gone else t))
+    return out
+
+
+def test_run_equals_the_pipeline_in_plain_python(spark, tmp_path):
+    given = list(enumerate(texts()))
+    documents(spark, [t for _, t in given]).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id, r.start))
+    encoder = Tokenizer.from_str(tokenizer())
+    encoder.no_truncation()
+    encoder.no_padding()
+    want = {i: [*encoder.encode(t, add_special_tokens=False).ids, 0] for i, t in plainly(given)}
+    assert {r.doc_id for r in rows} == set(want)
+    filled = Counter()
+    for i, pieces in itertools.groupby(rows, key=lambda r: r.doc_id):
+        at = 0
+        for r in pieces:
+            ids = np.array(want[i][at : at + r.length], "<u4").tobytes()
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(want[i]), zlib.crc32(ids))
+            at += r.length
+        assert at == len(want[i])
+    for _, pieces in itertools.groupby(sorted(rows, key=lambda r: (r.sequence_id, r.offset)), key=lambda r: r.sequence_id):
+        for r in pieces:
+            assert r.offset == filled[r.sequence_id]
+            filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 1024
 
 
 def test_empty_documents(spark):

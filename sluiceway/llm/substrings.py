@@ -1,5 +1,8 @@
 """Passages of fifty words and more that repeat, near-copies included.
 
+0. Texts that are wholly those of an earlier document are repeats as they are. Of the others, shingles
+   that occur twice and more are found by buckets, and put in a bitmap that goes to all tasks: only
+   windows in which 80 per cent recur can be passages, and the rest is left out from here on.
 1. The tokens of a text are its word shingles. Under a hash function, the Cartesian tree of a
    text splits it at the least hash, then each part at its own least: a node (l, c, r) stands for
    all subsequences within l..r that hold c, which share the min-hash of c. Of nodes with room
@@ -9,13 +12,12 @@
    share both minima makes one row with both as its key. ``BANDS`` such pairs are used, so
    passages at similarity s meet with a probability of 1 - (1 - s * s)^BANDS at each start,
    and exact copies always.
-3. Keys are counted. A bitmap of fixed size of those that occur twice goes to all tasks, which
-   then give out the rows of such keys only.
+3. Keys are counted, and those that occur once are left out.
 4. Each row of a key is paired with the key's first row, by document and place. Pairs of the
    same two documents are joined to one; the shingles around their places are compared, and
    the stretches that agree are verified by the Jaccard similarity of their exact shingle sets.
 5. A row is explained if the windows of its starts lie in passages found. A further repeat
-   has a shingle outside of these that occurs a second time, so a bitmap of such shingles drops
+   has a shingle outside of these that occurs a second time, so the bitmap drops
    the rows without one, as at the edges of passages. Each row that is left is compared with all
    rows of its key, in blocks, by bitmaps of the shingles around them and then in the same way.
 
@@ -26,6 +28,7 @@ row of its key, as any of them may be what it repeats.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.llm.tables import each_group, likely, saved, unlikely
+from sluiceway.llm.mixing import word_count
+from sluiceway.llm.tables import each_group, likely, look_up, saved, unlikely
 from sluiceway.llm.words import SHINGLE, mix, shingles, signed, word_hashes, word_spans
 
 WORDS = 50
@@ -41,9 +45,10 @@ LEAST = WORDS - SHINGLE + 1  # tokens
 SIMILAR = 80  # per cent
 BANDS = 10
 BLOCK = 256
-_WORDS_LOG = 20  # the bitmap has 2 ** 20 words of 64 bits
+MISSING = LEAST * (100 - SIMILAR) // 100
+_BUCKET = 1 << 20
+_MOST = 1 << 28  # bits
 _SEEDS = mix(np.arange(101, 101 + 2 * BANDS, dtype=np.uint64)).reshape(BANDS, 2)
-_TOKENS_LOG = 22  # that of shingles has 2 ** 22
 _SKETCH = 512
 SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, similarity double"
 
@@ -89,67 +94,141 @@ def window_runs(tokens: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarra
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _windows(docs: DataFrame, shared=None, twice=None) -> DataFrame:
-    """Rows key, doc_id, spot; of keys in the bitmap only, if one is given.
+class _Recurring:
+    """A set of shingles that holds all that occur twice and more, and few others.
 
-    A spot is 4096 times the place of the first minimum, 64 times what the first start is
-    before it, and how many starts follow. With ``twice``, a bitmap of shingles, docs have
-    passages ``found``, and rows without a shingle in the bitmap and out of these are left out.
+    Shingles are dealt into buckets by their upper bits, and known there by their lower 32, so
+    a shingle passes for another with odds of 1 to 4,000 at most. The bitmap has 16 bits for each that
+    recurs, up to ``_MOST`` bits; beyond that it lets more pass, which costs time and loses nothing.
     """
 
-    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            ids = frame["doc_id"].to_numpy()
-            held, first, size = [], 0, 0
-            for i, words in enumerate(word_hashes(frame["text"])):
-                held.append(shingles(words))
-                size += len(words)
-                if size > 200_000 or i + 1 == len(ids):
-                    text, key, place, low, high = window_runs(held)
-                    if shared is not None:
-                        ok = _has(shared.value, key, _WORDS_LOG)
-                        text, key, place, low, high = (x[ok] for x in (text, key, place, low, high))
-                    if twice is not None:
-                        fresh = _has(twice.value, np.concatenate(held), _TOKENS_LOG)
-                        base = np.cumsum([0, *map(len, held)])
-                        for at, end, spans in zip(base, base[1:], frame["found"][first : i + 1], strict=False):
-                            for s in () if spans is None else spans:
-                                fresh[at + s["start"] : min(at + s["end"] - SHINGLE + 1, end)] = False
-                        total = np.concatenate(([0], np.cumsum(fresh)))
-                        ok = total[base[text] + high + LEAST] > total[base[text] + low]
-                        text, key, place, low, high = (x[ok] for x in (text, key, place, low, high))
-                    spot = place << 12 | place - low << 6 | high - low
-                    yield pd.DataFrame({"key": signed(key), "doc_id": ids[first + text], "spot": spot})
-                    held, first, size = [], i + 1, 0
-
-    return docs.mapInPandas(rows, "key long, doc_id long, spot long")
+    def __init__(self, bits: np.ndarray, buckets_log: int):
+        self.bits, self.buckets_log = bits, np.uint64(buckets_log)
 
+    def has(self, tokens: np.ndarray) -> np.ndarray:
+        if not len(self.bits):
+            return np.zeros(len(tokens), bool)
+        at = mix(_bucketed(tokens, self.buckets_log)) & np.uint64(64 * len(self.bits) - 1)
+        return (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) > 0
 
-def _tokens(docs: DataFrame) -> DataFrame:
-    """The distinct shingles of each text, as key."""
 
-    def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for words in word_hashes(frame["text"]):
-                yield pd.DataFrame({"key": signed(np.unique(shingles(words)))})
+def _bucketed(tokens: np.ndarray, buckets_log: np.uint64) -> np.ndarray:
+    return (tokens >> (np.uint64(64) - buckets_log)) << np.uint64(32) | tokens & np.uint64(0xFFFFFFFF)
 
-    return docs.mapInPandas(tokens, "key long")
 
+def _recurring(docs: DataFrame) -> _Recurring:
+    """The shingles that occur more than once in all texts.
 
-def _twice(keys: DataFrame, log: int) -> np.ndarray:
-    """A bit for the hash of each key that is there twice: 8 bytes times 2 ** log whatever their number."""
-    keys = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    word = F.expr(f"shiftrightunsigned(key, 6) & {(1 << log) - 1}")
-    bits = keys.groupBy(word.alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(key & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << log, np.uint64)
-    table = bits.toArrow()  # at most 2 ** log rows of two numbers
+    A task drops copies before it deals out what it read, but for one, so that a bucket gets no
+    more than two of a shingle from each batch; there are as many buckets as million words.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    log = min(20, max(6, math.ceil(math.log2(1 + chars / 5 / _BUCKET))))
+
+    def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held, _, _ in _batches(frames, _BUCKET):
+            seen, n = np.unique(np.concatenate(held), return_counts=True)
+            seen = np.sort(np.concatenate([seen, seen[n > 1]]))
+            bucket = (seen >> np.uint64(64 - log)).astype(np.int64)
+            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(seen))
+            parts = [seen[a:b].astype(np.uint32).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+            yield pd.DataFrame({"bucket": bucket[edges[:-1]], "tokens": parts})
+
+    def recur(frame: pd.DataFrame) -> pd.DataFrame:
+        seen = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in frame["tokens"]]))
+        twice = np.unique(seen[1:][seen[1:] == seen[:-1]]).astype(np.uint64)
+        return pd.DataFrame({"key": signed(mix(np.uint64(frame["bucket"].iloc[0]) << np.uint64(32) | twice))})
+
+    found = docs.mapInPandas(deal, "bucket long, tokens binary").groupBy("bucket").applyInPandas(recur, "key long")
+    found = saved(found, "recurring")
+    n = found.count()
+    words = min(_MOST, 1 << max(10, math.ceil(math.log2(16 * n + 1)))) // 64
+    word = F.expr(f"shiftrightunsigned(key, 6) & {words - 1}")
+    bits = found.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(key & 63 as int)))").alias("bits"))
+    table = bits.toArrow()  # at most _MOST / 64 rows of two numbers
+    out = np.zeros(words, np.uint64)
     out[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    return out
+    return _Recurring(out, log)
+
+
+def _batches(frames: Iterator[pd.DataFrame], size: int) -> Iterator[tuple[list[np.ndarray], np.ndarray, pd.DataFrame]]:
+    """The shingles of some texts at a time, their places in the frame, and the frame."""
+    for frame in frames:
+        held, first, n = [], 0, 0
+        for i, words in enumerate(word_hashes(frame["text"])):
+            held.append(shingles(words))
+            n += len(words)
+            if n > size or i + 1 == len(frame):
+                yield held, np.arange(first, i + 1), frame
+                held, first, n = [], i + 1, 0
+
+
+def _windows(docs: DataFrame, recurring, *, rest: bool = False) -> DataFrame:
+    """Rows key, doc_id, spot of the windows in which at most ``MISSING`` shingles do not recur.
+
+    A passage has a stretch of ``LEAST`` shingles of which 80 per cent are in another one. So the
+    hashes are computed only around such windows. A spot is 4096 times the place of the first
+    minimum, 64 times what the first start is before it, and how many starts follow. With
+    ``rest``, docs have passages ``found``, and rows without a recurring shingle out of these are left out.
+    """
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for held, at, frame in _batches(frames, 200_000):
+            base = np.cumsum([0, *map(len, held)])
+            every = np.concatenate(held)
+            known = recurring.value.has(every)
+            stretch = _promising(~known, base)
+            if not len(stretch):
+                continue
+            text, key, place, low, high = window_runs([every[a:b] for a, b in stretch])
+            place, low, high = (x + stretch[text, 0] for x in (place, low, high))
+            if rest:
+                fresh = known.copy()
+                for start, end, spans in zip(base, base[1:], frame["found"].iloc[at], strict=False):
+                    for s in () if spans is None else spans:
+                        fresh[start + s["start"] : min(start + s["end"] - SHINGLE + 1, end)] = False
+                total = np.concatenate(([0], np.cumsum(fresh)))
+                ok = total[high + LEAST] > total[low]
+                key, place, low, high = (x[ok] for x in (key, place, low, high))
+            text = np.searchsorted(base, place, "right") - 1
+            spot = place - base[text] << 12 | place - low << 6 | high - low
+            yield pd.DataFrame({"key": signed(key), "doc_id": frame["doc_id"].to_numpy()[at][text], "spot": spot})
+
+    return docs.mapInPandas(rows, "key long, doc_id long, spot long")
 
 
-def _has(bits: np.ndarray, keys: np.ndarray, log: int) -> np.ndarray:
-    word = (keys >> np.uint64(6)) & np.uint64((1 << log) - 1)
-    return (bits[word.astype(np.int64)] >> (keys & np.uint64(63))) & np.uint64(1) > 0
+def _promising(alone: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Stretches [a, b) of whole windows of one text, in which few are ``alone``; texts begin at ``base``."""
+    n = len(alone) - LEAST + 1
+    if n < 1:
+        return np.empty((0, 2), np.int64)
+    total = np.concatenate(([0], np.cumsum(alone)))
+    start = np.flatnonzero(total[LEAST:] - total[:n] <= MISSING)
+    text = np.searchsorted(base, start, "right") - 1
+    inside = start + LEAST <= base[text + 1]
+    start, text = start[inside], text[inside]
+    new = np.ones(len(start), bool)
+    new[1:] = (start[1:] > start[:-1] + LEAST) | (text[1:] != text[:-1])
+    last = np.append(np.flatnonzero(new)[1:], len(start)) - 1
+    return np.stack([start[new], start[last] + LEAST], axis=1) if len(start) else np.empty((0, 2), np.int64)
+
+
+def _copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The repeats by texts that are wholly those of an earlier document, as SPANS, and the other texts."""
+    digest = F.sha2("text", 256)
+    rows = texts.select("doc_id", digest.alias("digest"))
+    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("source_id"), F.count("*").alias("n")).filter("n > 1")
+    found = look_up(rows, saved(groups, "copied"), "digest", "n").filter("doc_id > source_id").drop("n").distinct()
+    found = saved(found, "copies")
+    ids = found.select("doc_id")
+    there = likely(texts, ids, "doc_id").withColumn("digest", digest)
+    copied = there.join(found, ["doc_id", "digest"]).select("doc_id", "source_id", word_count(F.col("text")).alias("n"))
+    spans = copied.filter(F.col("n") >= WORDS).distinct().select(
+        "doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"),
+        "source_id", F.lit(0).cast("long").alias("source_start"), F.col("n").alias("source_end"), F.lit(1.0).alias("similarity"),
+    )
+    others = there.join(found, ["doc_id", "digest"], "left_anti").select(texts.columns)
+    return spans, unlikely(texts, ids, "doc_id").unionByName(others)
 
 
 def _stretches(match: np.ndarray, penalty: int, least: int) -> list[tuple[int, int]]:
@@ -413,21 +492,22 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     has the passages of each. No documents give no rows; other columns are ignored.
     """
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    context = docs.sparkSession.sparkContext
-    shared = context.broadcast(_twice(_windows(texts).select("key"), _WORDS_LOG))
-    rows = saved(_windows(texts, shared), "windows")
+    copies, texts = _copies(texts)
+    recurring = docs.sparkSession.sparkContext.broadcast(_recurring(texts))
+    rows = saved(_windows(texts, recurring), "windows")
     first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "spot")).alias("source"), F.count("*").alias("n"))
     first = saved(first.filter("n > 1").select("key", F.col("source.doc_id").alias("source_id"), F.col("source.spot").alias("source_spot"), "n"), "first")
     place = [F.shiftright("spot", 12).alias("place"), F.shiftright("source_spot", 12).alias("source_place")]
     pairs = rows.join(first, "key").filter("doc_id <> source_id").select("doc_id", "source_id", *place)
     spans = saved(_verified(pairs, texts), "repeats")
     found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    twice = context.broadcast(_twice(_tokens(texts), _TOKENS_LOG))
-    asking = _windows(texts.join(found, "doc_id", "left"), shared, twice)
     # The first document of a key has nothing to repeat.
+    later = saved(rows.join(first, "key").filter("doc_id > source_id").select("doc_id").distinct(), "later")
+    there = likely(texts, later, "doc_id").join(later, "doc_id", "left_semi")
+    asking = _windows(there.join(found, "doc_id", "left"), recurring, rest=True)
     asking = saved(asking.join(first, "key").filter("doc_id > source_id").select("key", "doc_id", "spot", "n"), "asking")
     more = _unexplained(asking, rows, texts)
-    return spans.unionByName(more).groupBy("doc_id", "start", "end").agg(
+    return spans.unionByName(more).unionByName(copies).groupBy("doc_id", "start", "end").agg(
         F.min(F.struct("source_id", "source_start", "source_end", "similarity")).alias("s")
     ).select("doc_id", "start", "end", "s.*")
 

@@ -16,10 +16,9 @@
 4. Each row of a key is paired with the key's first row, by document and place. Pairs of the
    same two documents are joined to one; the shingles around their places are compared, and
    the stretches that agree are verified by the Jaccard similarity of their exact shingle sets.
-5. A row is explained if the windows of its starts lie in passages found. A further repeat
-   has a shingle outside of these that occurs a second time, so the bitmap drops
-   the rows without one, as at the edges of passages. Each row that is left is compared with all
-   rows of its key, in blocks, by bitmaps of the shingles around them and then in the same way.
+5. A window is explained if the passages found hold all but ``MISSING`` of its shingles that
+   recur. Each row that is left is compared with all rows of its key, in blocks, by bitmaps of the
+   shingles around them, and what may be alike is verified in the same way.
 
 A passage repeats if one of a document with a smaller id is like it. Every group, however
 large, costs a pair per row in step 4; in step 5 a row that is left costs a pair with each
@@ -44,12 +43,13 @@ WORDS = 50
 LEAST = WORDS - SHINGLE + 1  # tokens
 SIMILAR = 80  # per cent
 BANDS = 10
-BLOCK = 256
+BLOCK = 2048
 MISSING = LEAST * (100 - SIMILAR) // 100
 _BUCKET = 1 << 20
 _MOST = 1 << 28  # bits
 _SEEDS = mix(np.arange(101, 101 + 2 * BANDS, dtype=np.uint64)).reshape(BANDS, 2)
 _SKETCH = 512
+_CANDIDATES = "doc_id long, place long, first long, last long, source_id long, source_place long, missing long"
 SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, similarity double"
 
 
@@ -169,7 +169,8 @@ def _windows(docs: DataFrame, recurring, *, rest: bool = False) -> DataFrame:
     A passage has a stretch of ``LEAST`` shingles of which 80 per cent are in another one. So the
     hashes are computed only around such windows. A spot is 4096 times the place of the first
     minimum, 64 times what the first start is before it, and how many starts follow. With
-    ``rest``, docs have passages ``found``, and rows without a recurring shingle out of these are left out.
+    ``rest``, docs have passages ``found``, and windows with at most ``MISSING`` recurring shingles out
+    of these are left out.
     """
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +189,8 @@ def _windows(docs: DataFrame, recurring, *, rest: bool = False) -> DataFrame:
                     for s in () if spans is None else spans:
                         fresh[start + s["start"] : min(start + s["end"] - SHINGLE + 1, end)] = False
                 total = np.concatenate(([0], np.cumsum(fresh)))
-                ok = total[high + LEAST] > total[low]
+                many = np.concatenate(([0], np.cumsum(total[LEAST:] - total[:-LEAST] > MISSING)))
+                ok = many[high + 1] > many[low]
                 key, place, low, high = (x[ok] for x in (key, place, low, high))
             text = np.searchsorted(base, place, "right") - 1
             spot = place - base[text] << 12 | place - low << 6 | high - low
@@ -266,19 +268,24 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMIL
         own = np.flatnonzero(match[i:j]) + i
         if not len(own):
             return False
+        p = np.unique(a[i:j])
+        if 100 * len(own) < similar * len(p):
+            return False  # as the intersection is no larger, and the union no smaller
         there = where[own]
         apart = there - own
         shift = np.sort(apart)[len(apart) // 2]
         near = there[np.abs(apart - shift) <= (j - i) // 4]
         k, l = int(near.min()), int(near.max()) + 1
-        p = np.unique(a[i:j])
         ends = [(k, l)]
         if l - k < least:  # tokens that recur are found at their first place only
             size = min(len(b), max(least, j - i))
             ends = [(k, min(len(b), k + j - i))]
             ends += [(x, x + least) for x in range(max(0, l - least), min(k, len(b) - least) + 1)]
             ends += [(x, x + size) for x in {min(max(0, i + int(shift)), len(b) - size)}]
+        inside = np.append(0, np.cumsum(np.isin(b, p))) if len(ends) > 1 else None
         for k, l in ends:
+            if inside is not None and 100 * (inside[min(l, len(b))] - inside[k]) < similar * len(p):
+                continue
             q = np.unique(b[k:l])
             both = len(np.intersect1d(p, q, assume_unique=True))
             if 100 * both >= similar * (len(p) + len(q) - both) and l - k >= least:
@@ -317,6 +324,9 @@ def _grown(match: np.ndarray, least: int) -> list[tuple[int, int]]:
     n = len(match)
     if n < least or 100 * int(match.sum()) < SIMILAR * least // 2:
         return []
+    total = np.concatenate(([0], np.cumsum(match)))
+    if 100 * int((total[least:] - total[:-least]).max()) < (SIMILAR - 10) * least:
+        return []  # tokens that recur leave room for 10 per cent
     found = set()
     left = np.arange(n)[match] if match.any() else np.empty(0, np.int64)
     for penalty, below in ((8, 0), (8, 4), (8, 8), (6, 0), (4, 0)):
@@ -393,93 +403,134 @@ def _spans(doc_id: int, source_id: int, base: int, low: int, a: np.ndarray, b: n
     return [(doc_id, base + i, base + j + more, source_id, low + k, low + l + more, s) for i, j, k, l, s in alike(a, b)]
 
 
-def _unexplained(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """The repeats by rows ``asking`` (key, doc_id, spot, n) of any of the n rows of their key, as SPANS."""
+def _bitmaps(tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A bitmap for each of some stretches of 1 to 2 * LEAST tokens."""
+    level = np.zeros((len(tokens), _SKETCH // 64), np.uint64)
+    at = (tokens % np.uint64(_SKETCH)).astype(np.int64)
+    level[np.arange(len(tokens)), at >> 6] = np.uint64(1) << (at & 63).astype(np.uint64)
+    out = np.zeros((len(start), level.shape[1]), np.uint64)
+    size = 1  # level has the bitmaps of so many tokens from each on
+    while True:
+        fits = (end - start >= size) & (end - start < 2 * size)
+        out[fits] = level[start[fits]] | level[end[fits] - size]
+        if 2 * size > min(2 * LEAST, len(tokens)):
+            return out
+        level = level[:-size] | level[size:]
+        size *= 2
+
+
+def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs of rows ``asking`` (key, doc_id, spot, n) and earlier documents' rows of their key that may be alike.
+
+    In blocks of a key's rows, bitmaps of the shingles that all windows of an asking row hold, and of those
+    that any can hold, are compared with the latter of the other row. Of windows that are alike the
+    first miss at most ``MISSING`` bits, and the second have most in common, so no pair is left out.
+    """
     asked = asking.groupBy("key").agg(
         F.ceil(F.count("*") / BLOCK).alias("asking"), F.ceil(F.max("n") / BLOCK).alias("blocks")
     )
     asked = saved(asked, "asked")
     either = asking.select("key", "doc_id", "spot", F.lit(True).alias("asks")).unionByName(rows.withColumn("asks", F.lit(False)))
-    either = saved(either.join(asked, "key"), "compared")
-    texts = likely(docs, either.select("doc_id").distinct(), "doc_id")
+    # A document has rows in proportion to its text.
+    held = either.join(asked, "key").groupBy("doc_id").agg(
+        F.collect_list(F.struct("key", "spot", "asks", "asking", "blocks")).alias("rows")
+    )
+    held = saved(held, "compared")
+    texts = likely(docs, held.select("doc_id"), "doc_id").join(held, "doc_id")
     names = ["key", "small", "large"]
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, tokens = None, None
-        for f in frames:
-            place = f["spot"].to_numpy() >> 12
-            first = place - (f["spot"].to_numpy() >> 6 & 63)
-            held = []
-            for doc_id, at, text in zip(f["doc_id"], place, f["text"], strict=True):
-                if doc_id != last:
-                    last, tokens = doc_id, shingles(next(iter(word_hashes([text]))))
-                held.append(signed(tokens[max(0, at - LEAST + 1) : at + LEAST]))
-            low = np.maximum(0, place - LEAST + 1)
-            more = {"first": first, "last": first + (f["spot"].to_numpy() & 63), "low": low, "tokens": held}
-            yield f.drop(columns=["spot", "text"]).assign(**more)
-
-    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for block in each_group(frames, names):
-            if found := _block(block):
-                yield pd.DataFrame(found, columns=[x.split()[0] for x in SPANS.split(", ")])
-
+    def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for doc_id, words, own in zip(frame["doc_id"], word_hashes(frame["text"]), frame["rows"], strict=True):
+                f, tokens = pd.DataFrame.from_records(list(own)), shingles(words)
+                f = f[f["spot"].to_numpy() >> 12 < len(tokens)]  # others are of another text with this id
+                spot = f["spot"].to_numpy()
+                place, first, asks = spot >> 12, (spot >> 12) - (spot >> 6 & 63), f["asks"].to_numpy(bool)
+                last = first + (spot & 63)
+                around = _bitmaps(tokens, np.maximum(place - LEAST + 1, 0), np.minimum(place + LEAST, len(tokens)))
+                core = _bitmaps(tokens, last[asks], first[asks] + LEAST)
+                bits = [x.tobytes() for x in around]
+                for k, x in zip(np.flatnonzero(asks).tolist(), core, strict=True):
+                    bits[k] += x.tobytes()
+                yield f.drop(columns="spot").assign(place=place, doc_id=doc_id, first=first, last=last, bits=bits)
+
+    signatures = texts.select("doc_id", "text", "rows").mapInPandas(
+        sign, "key long, asks boolean, asking long, blocks long, place long, doc_id long, first long, last long, bits binary"
+    )
     # Each block of asking rows of a key meets each block of all its rows.
-    at = F.xxhash64("doc_id", "spot")
+    at = F.xxhash64("doc_id", "place", "first")
     own = F.when(F.col("asks"), F.pmod(at, F.col("asking"))).otherwise(F.pmod(at, F.col("blocks")))
     others = F.when(F.col("asks"), F.col("blocks")).otherwise(F.col("asking"))
-    cuts = (
-        either.withColumn("own", own).withColumn("others", others)
-        .join(texts.select("doc_id", "text"), "doc_id")
-        .select("key", "own", "others", "asks", "doc_id", "spot", "text")
-        .mapInPandas(cut, "key long, own long, others long, asks boolean, doc_id long, first long, last long, low long, tokens array<long>")
-    )
     placed = (
-        cuts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("others") - 1)))
+        signatures.withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
         .withColumn("small", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")))
         .withColumn("large", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")))
-        .drop("own", "others", "other")
+        .select(*names, "asks", "doc_id", "place", "first", "last", "bits")
     )
-    return placed.repartition(*names).sortWithinPartitions(*names).mapInPandas(compare, SPANS)
-
-
-def _dense(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether enough of some ``LEAST`` tokens of a in a row are in b, which is sorted.
-
-    A similar stretch has 80 per cent of its tokens in b; 70 leave room for its ends.
-    """
-    if len(a) < LEAST or len(b) < LEAST:
-        return False
-    match = b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a
-    total = np.concatenate(([0], np.cumsum(match)))
-    return 100 * int((total[LEAST:] - total[:-LEAST]).max()) >= (SIMILAR - 10) * LEAST
 
+    columns = [x.split()[0] for x in _CANDIDATES.split(", ")]
 
-def _block(f: dict[str, np.ndarray]) -> list[tuple]:
-    """The repeats by rows of one key that ask, of earlier documents' rows that do not."""
-    order = np.lexsort((f["low"], f["doc_id"]))
-    ids, low, asks, first, last = (f[c][order] for c in ("doc_id", "low", "asks", "first", "last"))
-    asks = asks.astype(bool)
-    if ids[0] == ids[-1] or not asks.any() or asks.all():
-        return []
-    held = [np.asarray(x, np.int64).view(np.uint64) for x in f["tokens"][order]]
-    bits = np.zeros((len(ids), _SKETCH), bool)
-    for i, x in enumerate(held):
-        bits[i, (x % np.uint64(_SKETCH)).astype(np.int64)] = True
-    bits = np.packbits(bits, axis=1).view(np.uint64)
-    in_order = [np.sort(x) for x in held]
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for block in each_group(frames, names):
+            if len(found := _alike_rows(block)):
+                held.append(found)
+                n += len(found)
+            if n > 100_000:
+                yield pd.DataFrame(np.concatenate(held), columns=columns)
+                held, n = [], 0
+        if held:
+            yield pd.DataFrame(np.concatenate(held), columns=columns)
+
+    return placed.repartition(*names).sortWithinPartitions(*names).mapInPandas(compare, _CANDIDATES)
+
+
+def _alike_rows(f: dict[str, np.ndarray]) -> np.ndarray:
+    """Rows of one key that ask, each with the rows of earlier documents that lack few of its bits."""
+    asks = f["asks"].astype(bool)
+    if not asks.any() or asks.all():
+        return np.empty((0, 7), np.int64)
+    there = np.flatnonzero(~asks)
+    there = there[np.argsort(f["doc_id"][there], kind="stable")]
+    held = np.frombuffer(b"".join(f["bits"][there]), np.uint64).reshape(len(there), -1)
+    ids, place = f["doc_id"][there], f["place"][there]
     out = []
     for i in np.flatnonzero(asks).tolist():
-        # A repeat has so many shingles in common; on fewer bits they may collide.
-        common = np.bitwise_count(bits[:i] & bits[i]).sum(axis=1)
-        few = min(LEAST, int(np.bitwise_count(bits[i]).sum())) * SIMILAR / 100 * 0.85
-        for j in np.flatnonzero((common >= few) & (ids[:i] != ids[i]) & ~asks[:i]).tolist():
-            if not _dense(held[i], in_order[j]):
-                continue
-            found = _spans(ids[i], ids[j], low[i], low[j], held[i], held[j])
-            out += found
-            if any(s[1] <= first[i] and last[i] + WORDS <= s[2] for s in found):
-                break
-    return out
+        earlier = int(np.searchsorted(ids, f["doc_id"][i]))
+        around, core = np.frombuffer(f["bits"][i], np.uint64).reshape(2, -1)
+        missing = np.bitwise_count(~held[:earlier] & core).sum(axis=1)
+        common = np.bitwise_count(held[:earlier] & around).sum(axis=1)
+        # On fewer bits shingles may collide.
+        few = min(LEAST, int(np.bitwise_count(around).sum())) * SIMILAR / 100 * 0.85
+        good = np.flatnonzero((missing <= MISSING) & (common >= few))
+        if len(good):
+            own = np.array([f[c][i] for c in ("doc_id", "place", "first", "last")], np.int64)
+            out.append(np.column_stack([np.tile(own, (len(good), 1)), ids[good], place[good], missing[good]]))
+    return np.concatenate(out) if out else np.empty((0, 7), np.int64)
+
+
+def _unexplained(asking: DataFrame, rows: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """The repeats by rows ``asking`` (key, doc_id, spot, n) of any of the n rows of their key, as SPANS.
+
+    Each row that asks is verified with the row most like it; those that no passage found then holds
+    are verified with all other documents, each at the place most like it.
+    """
+    # The first row of a key has been compared before.
+    alike_rows = saved(_candidates(asking.filter("n > 2"), rows, docs), "candidates")
+    least = F.min(F.struct("missing", "source_id", "source_place")).alias("best")
+    best = alike_rows.groupBy("doc_id", "place", "first", "last").agg(least)
+    pairs = best.select("doc_id", "place", "best.source_id", "best.source_place").distinct()
+    more = saved(_verified(pairs, docs), "repeats")
+    found = spans.unionByName(more).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
+    inside = F.exists(
+        "found", lambda s: (s["start"] <= F.col("first") + MISSING) & (s["end"] >= F.col("last") + WORDS - MISSING)
+    )
+    rest = alike_rows.join(found, "doc_id", "left").filter(F.col("found").isNull() | ~inside)
+    place = F.min(F.struct("missing", "source_place"))["source_place"].alias("source_place")
+    rest = rest.groupBy("doc_id", "place", "first", "last", "source_id").agg(place).select(pairs.columns).distinct()
+    last = _verified(rest.join(pairs, pairs.columns, "left_anti"), docs)
+    return more.unionByName(saved(last, "repeats"))
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
@@ -506,7 +557,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     there = likely(texts, later, "doc_id").join(later, "doc_id", "left_semi")
     asking = _windows(there.join(found, "doc_id", "left"), recurring, rest=True)
     asking = saved(asking.join(first, "key").filter("doc_id > source_id").select("key", "doc_id", "spot", "n"), "asking")
-    more = _unexplained(asking, rows, texts)
+    more = _unexplained(asking, rows, texts, spans)
     return spans.unionByName(more).unionByName(copies).groupBy("doc_id", "start", "end").agg(
         F.min(F.struct("source_id", "source_start", "source_end", "similarity")).alias("s")
     ).select("doc_id", "start", "end", "s.*")

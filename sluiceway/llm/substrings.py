@@ -49,7 +49,7 @@ _BUCKET = 1 << 20
 _MOST = 1 << 28  # bits
 _SEEDS = mix(np.arange(101, 101 + 2 * BANDS, dtype=np.uint64)).reshape(BANDS, 2)
 _SKETCH = 512
-_CANDIDATES = "doc_id long, place long, first long, last long, source_id long, source_place long, missing long"
+_CANDIDATES = "doc_id long, place long, first long, last long, source_id long, source_place long, apart long"
 SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, similarity double"
 
 
@@ -261,6 +261,9 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMIL
     match[inside] = b[order[at[inside]]] == a[inside]
     where = np.full(len(a), -1)
     where[match] = order[at[match]]
+    before = np.full(len(b), -1)  # where each token of b was last
+    again = np.flatnonzero(b[order[1:]] == b[order[:-1]])
+    before[order[again + 1]] = order[again]
     out: list[tuple[int, int, int, int, float]] = []
 
     def verified(i: int, j: int) -> bool:
@@ -276,22 +279,32 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMIL
         shift = np.sort(apart)[len(apart) // 2]
         near = there[np.abs(apart - shift) <= (j - i) // 4]
         k, l = int(near.min()), int(near.max()) + 1
-        ends = [(k, l)]
-        if l - k < least:  # tokens that recur are found at their first place only
-            size = min(len(b), max(least, j - i))
-            ends = [(k, min(len(b), k + j - i))]
-            ends += [(x, x + least) for x in range(max(0, l - least), min(k, len(b) - least) + 1)]
-            ends += [(x, x + size) for x in {min(max(0, i + int(shift)), len(b) - size)}]
-        inside = np.append(0, np.cumsum(np.isin(b, p))) if len(ends) > 1 else None
-        for k, l in ends:
-            if inside is not None and 100 * (inside[min(l, len(b))] - inside[k]) < similar * len(p):
-                continue
-            q = np.unique(b[k:l])
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            if 100 * both >= similar * (len(p) + len(q) - both) and l - k >= least:
-                out.append((i, j, k, l, both / (len(p) + len(q) - both)))
+        if l - k >= least:
+            return accepted(i, j, p, k, l)
+        # Tokens that recur are found at their first place only, so all windows around it are tried.
+        if accepted(i, j, p, k, min(len(b), k + j - i)):
+            return True
+        x = np.arange(max(0, l - least), min(k, len(b) - least) + 1)
+        if len(x):
+            at = x[:, None] + np.arange(least)
+            first = before[at] < x[:, None]  # in its window
+            own, both = first.sum(axis=1), (first & np.isin(b, p)[at]).sum(axis=1)
+            good = np.flatnonzero(100 * both >= similar * (len(p) + own - both))
+            if len(good):
+                x, own, both = int(x[good[0]]), int(own[good[0]]), int(both[good[0]])
+                out.append((i, j, x, x + least, both / (len(p) + own - both)))
                 return True
-        return False
+        size = min(len(b), max(least, j - i))
+        low = min(max(0, i + int(shift)), len(b) - size)
+        return accepted(i, j, p, low, low + size)
+
+    def accepted(i: int, j: int, p: np.ndarray, k: int, l: int) -> bool:
+        q = np.unique(b[k:l])
+        both = len(np.intersect1d(p, q, assume_unique=True))
+        good = 100 * both >= similar * (len(p) + len(q) - both) and l - k >= least
+        if good:
+            out.append((i, j, k, l, both / (len(p) + len(q) - both)))
+        return good
 
     def refine(low: int, high: int, penalties: tuple[int, ...]) -> None:
         """Accept the stretches that verify, and look into the others more strictly."""
@@ -419,9 +432,11 @@ def _bitmaps(tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
         size *= 2
 
 
-def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame, *, best: bool) -> DataFrame:
     """Pairs of rows ``asking`` (key, doc_id, spot, n) and earlier documents' rows of their key that may be alike.
 
+    With ``best``, each asking row gets the one most like it in each block, so that pairs grow as rows do.
+
     In blocks of a key's rows, bitmaps of the shingles that all windows of an asking row hold, and of those
     that any can hold, are compared with the latter of the other row. Of windows that are alike the
     first miss at most ``MISSING`` bits, and the second have most in common, so no pair is left out.
@@ -474,7 +489,7 @@ def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
         for block in each_group(frames, names):
-            if len(found := _alike_rows(block)):
+            if len(found := _alike_rows(block, best)):
                 held.append(found)
                 n += len(found)
             if n > 100_000:
@@ -486,7 +501,7 @@ def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
     return placed.repartition(*names).sortWithinPartitions(*names).mapInPandas(compare, _CANDIDATES)
 
 
-def _alike_rows(f: dict[str, np.ndarray]) -> np.ndarray:
+def _alike_rows(f: dict[str, np.ndarray], best: bool) -> np.ndarray:
     """Rows of one key that ask, each with the rows of earlier documents that lack few of its bits."""
     asks = f["asks"].astype(bool)
     if not asks.any() or asks.all():
@@ -504,9 +519,11 @@ def _alike_rows(f: dict[str, np.ndarray]) -> np.ndarray:
         # On fewer bits shingles may collide.
         few = min(LEAST, int(np.bitwise_count(around).sum())) * SIMILAR / 100 * 0.85
         good = np.flatnonzero((missing <= MISSING) & (common >= few))
+        if best and len(good):
+            good = good[[np.argmax(common[good])]]
         if len(good):
             own = np.array([f[c][i] for c in ("doc_id", "place", "first", "last")], np.int64)
-            out.append(np.column_stack([np.tile(own, (len(good), 1)), ids[good], place[good], missing[good]]))
+            out.append(np.column_stack([np.tile(own, (len(good), 1)), ids[good], place[good], -common[good].astype(np.int64)]))
     return np.concatenate(out) if out else np.empty((0, 7), np.int64)
 
 
@@ -517,19 +534,21 @@ def _unexplained(asking: DataFrame, rows: DataFrame, docs: DataFrame, spans: Dat
     are verified with all other documents, each at the place most like it.
     """
     # The first row of a key has been compared before.
-    alike_rows = saved(_candidates(asking.filter("n > 2"), rows, docs), "candidates")
-    least = F.min(F.struct("missing", "source_id", "source_place")).alias("best")
-    best = alike_rows.groupBy("doc_id", "place", "first", "last").agg(least)
-    pairs = best.select("doc_id", "place", "best.source_id", "best.source_place").distinct()
+    asking = asking.filter("n > 2")
+    least = F.min(F.struct("apart", "source_id", "source_place")).alias("best")
+    first = _candidates(asking, rows, docs, best=True).groupBy("doc_id", "place", "first", "last").agg(least)
+    pairs = saved(first.select("doc_id", "place", "best.source_id", "best.source_place").distinct(), "best")
     more = saved(_verified(pairs, docs), "repeats")
     found = spans.unionByName(more).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
-    inside = F.exists(
-        "found", lambda s: (s["start"] <= F.col("first") + MISSING) & (s["end"] >= F.col("last") + WORDS - MISSING)
+    start = F.shiftright("spot", 12) - F.shiftright("spot", 6).bitwiseAND(F.lit(63))
+    end = start + F.col("spot").bitwiseAND(F.lit(63)) + WORDS
+    inside = F.exists("found", lambda s: (s["start"] <= start + MISSING) & (s["end"] >= end - MISSING))
+    left = asking.join(found, "doc_id", "left").filter(F.col("found").isNull() | ~inside).drop("found")
+    left = saved(left, "left")
+    rest = _candidates(left, rows, docs, best=False).groupBy("doc_id", "place", "first", "last", "source_id").agg(
+        F.min(F.struct("apart", "source_place"))["source_place"].alias("source_place")
     )
-    rest = alike_rows.join(found, "doc_id", "left").filter(F.col("found").isNull() | ~inside)
-    place = F.min(F.struct("missing", "source_place"))["source_place"].alias("source_place")
-    rest = rest.groupBy("doc_id", "place", "first", "last", "source_id").agg(place).select(pairs.columns).distinct()
-    last = _verified(rest.join(pairs, pairs.columns, "left_anti"), docs)
+    last = _verified(rest.select(pairs.columns).distinct().join(pairs, pairs.columns, "left_anti"), docs)
     return more.unionByName(saved(last, "repeats"))
 
 

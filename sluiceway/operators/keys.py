@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.functions.columns import quoted
+from sluiceway.functions.columns import is_orderable, quoted
 
 _RANK = "__key_rank"
 
@@ -69,7 +69,19 @@ def nullable_key(name: str, keys: Sequence[str]) -> Column:
 
 
 def _filler(data_type: T.DataType) -> Column:
-    """Any one value of the type."""
+    """Any one value of the type.
+
+    Inside a struct or an array nulls are values as others, in groups and in joins, so only the
+    key as a whole needs one. Maps have no order, and so cannot be keys.
+    """
+    if isinstance(data_type, T.StructType) and data_type.fields:
+        return F.struct(*(_filler(f.dataType).alias(f.name) for f in data_type)).cast(data_type)
+    if isinstance(data_type, T.ArrayType) and is_orderable(data_type):
+        return F.array().cast(data_type)
+    if isinstance(data_type, T.DayTimeIntervalType):
+        return F.expr("interval '0' second").cast(data_type)
+    if isinstance(data_type, T.YearMonthIntervalType):
+        return F.expr("interval '0' month").cast(data_type)
     if isinstance(data_type, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.lit("1970-01-01").cast(data_type)
     if isinstance(data_type, (T.StringType, T.BinaryType)):

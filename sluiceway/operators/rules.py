@@ -125,7 +125,34 @@ class MaxPercentile:
         return (numbers > 0) & (within >= rank_of(self.p, numbers))
 
 
-Rule = FilledRatio | ValueRatio | MaxPercentile
+@dataclass(frozen=True)
+class MalformedRatio:
+    """At most ``maximum`` of all rows may have a line in ``column``, as ``read_csv`` gives malformed ones."""
+
+    column: str
+    maximum: float
+    rule_type: ClassVar[str] = "malformed_ratio"
+    detail: ClassVar[str] = "observed"
+
+    @property
+    def name(self) -> str:
+        return f"malformed_ratio({self.column})<={double_text(self.maximum)}"
+
+    @property
+    def threshold(self) -> float:
+        return self.maximum
+
+    def aggregates(self, df: DataFrame) -> dict[str, Column]:
+        return {"ratio": _share_of_rows(quoted(field_of(df, self.column).name).isNotNull())}
+
+    def observed(self, aggregate: Callable[[str], Column]) -> Column:
+        return aggregate("ratio")
+
+    def passes(self, aggregate: Callable[[str], Column]) -> Column:
+        return F.coalesce(aggregate("ratio") <= F.lit(self.maximum), F.lit(False))
+
+
+Rule = FilledRatio | ValueRatio | MaxPercentile | MalformedRatio
 
 
 def build_rules(specs: Iterable[tuple[str, Mapping[str, str]]]) -> list[Rule]:
@@ -159,4 +186,6 @@ def _build_rule(rule_type: str, params: Mapping[str, str]) -> Rule:
         if not 0.0 < p <= 1.0:
             raise ValueError(f"max_percentile.p must be in (0,1], got {double_text(p)}")
         return MaxPercentile(required("column"), p, number("max"))
+    if rule_type == MalformedRatio.rule_type:
+        return MalformedRatio(required("column"), share("max"))
     raise ValueError(f"Unknown DQ rule: {rule_type}")

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import types as T
 
+from sluiceway.operators.quality import staged_check
+from sluiceway.operators.rules import build_rules
 from sluiceway.plans.jobs import CRM_USERS_SOURCE, POS_TRANSACTIONS_SOURCE
 from sluiceway.sources.csv import read_csv
 from tests.conftest import rows
@@ -65,3 +67,30 @@ def test_strict_header_rejects_other_names(spark, tmp_path):
         read_csv(spark, path, CRM_USERS_SOURCE, strict_header=True).collect()
     good = write(tmp_path, "b.csv", "user_id,email,country,created_at\nu1,a,b,c\n")
     assert read_csv(spark, good, CRM_USERS_SOURCE, strict_header=True).count() == 1
+
+
+def test_malformed_rows_are_shown_and_change_nothing_else(spark, tmp_path):
+    path = tmp_path / "broken.csv"
+    path.write_text("a,b,c\n1,2,x\n1\n3,none,y\n4,5,z,more\n,,\n")
+    schema = T.StructType.fromDDL("a int, b int, c string")
+    plain = read_csv(spark, str(path), schema)
+    shown = read_csv(spark, str(path), schema, malformed="line")
+    assert rows(shown, "a", "b", "c") == rows(plain)
+    assert sorted(r.line for r in shown.collect() if r.line) == ["1", "3,none,y", "4,5,z,more"]
+    # The same lines are malformed whatever columns are asked for.
+    for columns in (["c", "line"], ["line"]):
+        assert sorted(r.line for r in shown.select(columns).collect() if r.line) == ["1", "3,none,y", "4,5,z,more"]
+
+
+def test_a_rule_on_the_share_of_malformed_rows(spark, tmp_path, folder):
+    path = tmp_path / "broken.csv"
+    path.write_text("a,b\n1,2\n1\n3,4\n5,6\n")
+    read = read_csv(spark, str(path), T.StructType.fromDDL("a int, b int"), malformed="line")
+    rules = build_rules([("malformed_ratio", {"column": "line", "max": m}) for m in ("0.25", "0.2")])
+    _, results = staged_check(read, rules, folder)
+    assert [(r.name, r.observed, r.ok) for r in results] == [
+        ("malformed_ratio(line)<=0.25", 0.25, True), ("malformed_ratio(line)<=0.2", 0.25, False)
+    ]
+    assert not any(r.ok for r in staged_check(read.limit(0), rules, f"{folder}-empty")[1])
+    with pytest.raises(ValueError, match="must be in"):
+        build_rules([("malformed_ratio", {"column": "line", "max": "2"})])

@@ -365,3 +365,36 @@ def test_helper_names_are_refused(spark):
     source = spark.createDataFrame([("a", "b")], "k string, __part string")
     with pytest.raises(ValueError, match="__part"):
         upsert(source, None, schema, ["k"], "ds")
+
+
+@pytest.mark.parametrize(
+    "ddl, texts",
+    [
+        ("struct<a: int, b: string>", ["named_struct('a', 1, 'b', 'x')", "named_struct('a', null, 'b', 'x')", "named_struct('a', 0, 'b', '')", "null"]),
+        ("array<int>", ["array(1, 2)", "array(1, null)", "array()", "null"]),
+        ("array<struct<a: double>>", ["array(named_struct('a', 1.5D))", "array(null)", "array()", "null"]),
+        ("interval day to second", ["interval '1' day", "interval '0' second", "null"]),
+        ("interval year to month", ["interval '1' year", "interval '0' month", "null"]),
+        ("binary", ["x'00'", "x''", "null"]),
+    ],
+)
+@pytest.mark.parametrize("way", [{}, {"hot_rows": 1, "small_rows": 0}, {"hot_rows": 1}], ids=["plain", "hot", "few"])
+def test_nested_and_interval_keys(spark, ddl, texts, way):
+    """Every key is held twice but the last but one, which is new."""
+    schema = T.StructType([T.StructField("k", spark.sql(f"select cast(null as {ddl}) k").schema["k"].dataType), T.StructField("v", T.StringType()), T.StructField("ds", T.StringType())])
+
+    def keyed(some, v):
+        return spark.sql(" union all ".join(f"select cast({t} as {ddl}) k, '{v}' v" for t in some))
+
+    held = [t for i, t in enumerate(texts) if i != len(texts) - 2]
+    merged = upsert(keyed(texts, "new"), keyed(held + held, "old"), schema, ["k"], "ds", **way)
+    assert dict(merged.dtypes)["k"] == schema["k"].dataType.simpleString()
+    got = sorted((str(r.k), r.v) for r in merged.select(F.to_json(F.struct("k")).alias("k"), "v").collect()) if ddl != "binary" else sorted((str(r.k), r.v) for r in merged.collect())
+    assert len(got) == 2 * len(held) + 1 and {v for _, v in got} == {"new"}
+    assert len({k for k, _ in got}) == len(texts)
+
+
+def test_a_map_is_no_key(spark):
+    source = spark.sql("select map(1, 2) k, 'v' v")
+    with pytest.raises(TypeError, match="map<int,int>"):
+        upsert(source, source, T.StructType([*source.schema, T.StructField("ds", T.StringType())]), ["k"], "ds")

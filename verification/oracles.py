@@ -249,6 +249,20 @@ ORACLES: dict[str, str] = {
         UNION ALL
         SELECT -event_id - 1, NULL, value, '{DS}' FROM events
         WHERE ts::DATE = DATE '2024-01-05'""",
+    "csv_malformed": """
+        WITH l AS (
+            SELECT *, event_id::VARCHAR AS id, CASE WHEN event_type <> 'click' THEN user_id::VARCHAR END AS usr, ts::DATE::VARCHAR AS d
+            FROM events),
+        m AS (
+            SELECT id AS event_id, usr AS user_id,
+                   CASE WHEN event_type <> 'error' THEN event_type END AS event_type,
+                   CASE WHEN event_type <> 'error' THEN d END AS day,
+                   CASE event_type WHEN 'error' THEN id || ',' || usr
+                                   WHEN 'signup' THEN concat_ws(',', id, usr, event_type, d, 'surplus')
+                                   WHEN 'click' THEN concat_ws(',', id, 'none', event_type, d) END AS line
+            FROM l)
+        SELECT *, count(line) OVER () / count(*) OVER ()::DOUBLE AS share,
+               count(line) OVER () <= 0.01 * count(*) OVER () AS few_ok, true AS some_ok FROM m""",
     "merge_touched_files": f"""
         WITH hit AS (SELECT event_id FROM events WHERE ts::DATE = DATE '2024-01-05'),
         rewritten AS (SELECT CASE WHEN count(*) > 0 THEN 1 ELSE 0 END AS files_rewritten FROM hit)

@@ -19,8 +19,8 @@ from sluiceway.operators.merge import (
     overwrite_partition,
     overwrite_where,
 )
-from sluiceway.operators.quality import QualityError, gate, report
-from sluiceway.operators.rules import FilledRatio, MaxPercentile, ValueRatio
+from sluiceway.operators.quality import QualityError, check, gate, report
+from sluiceway.operators.rules import FilledRatio, MalformedRatio, MaxPercentile, ValueRatio
 from sluiceway.operators.staging import only_partition, stamp_partition, with_ingestion_meta
 from sluiceway.plans.jobs import (
     CRM_USERS,
@@ -144,6 +144,29 @@ def csv_missing_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def csv_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines with too few columns, too many, or a word for a number; and a rule on their share."""
+    kind = F.col("event_type")
+    fields = [text("event_id"), F.when(kind == "click", "none").otherwise(text("user_id")), kind, text(F.to_date("ts"))]
+    line = (
+        F.when(kind == "error", F.concat_ws(",", *fields[:2]))
+        .when(kind == "signup", F.concat_ws(",", *fields, F.lit("surplus")))
+        .otherwise(F.concat_ws(",", *fields))
+    )
+    # Files of text, each with a header first.
+    path = fresh_path(spark, "events-lines")
+    lines = given(spark, sf_dir, "events").select(F.to_date("ts").alias("file"), F.lit(1).alias("at"), line.alias("line"))
+    headers = lines.select("file").distinct().select("file", F.lit(0).alias("at"), F.lit("event_id,user_id,event_type,day").alias("line"))
+    every = lines.unionByName(headers).repartition("file").sortWithinPartitions("file", "at")
+    every.select("file", "line").write.partitionBy("file").text(path)
+    schema = T.StructType.fromDDL("event_id bigint, user_id bigint, event_type string, day string")
+    read = read_csv(spark, f"{path}/*", schema, malformed="line")
+    few, some = check(read, [MalformedRatio("line", 0.01), MalformedRatio("line", 1.0)])
+    return read.select(
+        *(text(c).alias(c) for c in read.columns), F.lit(few.observed).alias("share"), F.lit(few.ok).alias("few_ok"), F.lit(some.ok).alias("some_ok")
+    )
+
+
 # Quality rules
 
 
@@ -599,6 +622,7 @@ QUERIES: dict[str, Query] = {
         csv_roundtrip,
         csv_by_position,
         csv_missing_columns,
+        csv_malformed,
         dq_filled_ratio,
         dq_value_ratio,
         dq_max_percentile,

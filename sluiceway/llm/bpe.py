@@ -33,7 +33,7 @@ _ROWS = 256
 _NONE = 1 << 62
 
 
-def _byte_characters() -> dict[str, int]:
+def byte_characters() -> dict[str, int]:
     """The character that stands for each byte in the vocabulary, as byte-level BPE has it."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     others = [b for b in range(256) if b not in set(plain)]
@@ -46,7 +46,7 @@ class ByteBpe(dict):
     def __init__(self, definition: str):
         super().__init__()
         told = json.loads(definition)
-        model, byte = told["model"], _byte_characters()
+        model, byte = told["model"], byte_characters()
         spelled = {token: bytes(byte[c] for c in token) for token in model["vocab"] if all(c in byte for c in token)}
         self.special = {t["content"]: t["id"] for t in told.get("added_tokens") or ()}
         self.spelling = {i: spelled[t] for t, i in model["vocab"].items() if t in spelled}

@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import combinations_with_replacement
 
 import numpy as np
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.bpe import ByteBpe
+from sluiceway.llm.bpe import PIECES, byte_characters
 from sluiceway.llm.tables import saved
 
 WINDOW = 1024
@@ -39,18 +40,28 @@ class Tokenizer:
     """Ids as the tokenizers library has them, by the faster of two libraries.
 
     Both give the same ids. The faster one has no bound on its search in very long runs of one
-    kind, so long texts go to the other.
+    kind, so long texts go to the other, which is loaded when the first of them comes.
     """
 
     def __init__(self, definition: str):
         import tiktoken
+
+        self.definition = definition
+        told, byte = json.loads(definition), byte_characters()
+        special = {t["content"]: t["id"] for t in told.get("added_tokens") or ()}
+        ranks = {
+            bytes(byte[c] for c in token): i
+            for token, i in told["model"]["vocab"].items()
+            if i not in special.values() and all(c in byte for c in token)
+        }
+        self.fast = tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens=special)
+
+    @cached_property
+    def slow(self):
         from tokenizers import Tokenizer as Slow
 
-        model = ByteBpe(definition)
-        ranks = {spelled: i for i, spelled in model.spelling.items() if i not in model.special.values()}
-        self.fast = tiktoken.Encoding("own", pat_str=model.pieces.pattern, mergeable_ranks=ranks, special_tokens=model.special)
-        told = json.loads(definition) | {"truncation": None, "padding": None}
-        self.slow = Slow.from_str(json.dumps(told))
+        told = json.loads(self.definition) | {"truncation": None, "padding": None}
+        return Slow.from_str(json.dumps(told))
 
     def ids(self, text: str | None) -> list[int]:
         if not text:

@@ -21,7 +21,7 @@ from sluiceway.operators.keys import (
 from sluiceway.operators.sizes import SMALL_ROWS, is_small
 from sluiceway.operators.skew import HOT_ROWS, PARTS, hot_keys
 from sluiceway.operators.staging import only_partition
-from sluiceway.sources.tables import FILE, Table
+from sluiceway.sources.tables import FILE, Buckets, Table
 
 _MATCHED = "__in_source"
 _SIDE = "__side"
@@ -79,6 +79,7 @@ def merge_partition(
         latest_by=latest_by,
         hot_rows=hot_rows,
         small_rows=small_rows,
+        buckets=table.buckets(spark),
     )
     table.switch_partitions(_filed_under(merged, value, table, schema), [value])
 
@@ -223,6 +224,7 @@ def upsert(
     latest_by: Sequence[str] | None = None,
     hot_rows: int = HOT_ROWS,
     small_rows: int = SMALL_ROWS,
+    buckets: Buckets | None = None,
 ) -> DataFrame:
     """The rows of a partition after a merge, without the partition column.
 
@@ -238,6 +240,8 @@ def upsert(
 
     * no current rows: the source as it is;
     * up to ``hot_rows`` of them: as above;
+    * ``buckets`` that ``current`` lies in, by some of the keys, and no key with over ``hot_rows``: the
+      source goes to its buckets, and the current rows are not shuffled at all;
     * more, and a source of up to ``small_rows`` rows and ``SMALL_BYTES``: the source is
       broadcast and the current rows are not shuffled at all;
     * more, with keys that hold over ``hot_rows`` each: the rows of such a key are split into
@@ -267,10 +271,13 @@ def upsert(
     if not held:
         return restored(unique)
 
-    current = null_safe(current.drop(partition_column), keys, data)
+    held_rows = current.drop(partition_column)
+    current = null_safe(held_rows, keys, data)
     if held > hot_rows and is_small(source, small_rows):
         return _upsert_few(unique, current, join_on, restored)
     hot = hot_keys(current, join_on, held, hot_rows) if held > hot_rows else None
+    if hot is None and buckets and set(buckets.columns) <= set(keys):
+        return _upsert_buckets(unique, held_rows, keys, data, buckets)
     if hot is None:
         # Partitioned as the source is, which the union keeps, so that the window shuffles nothing.
         together = _together(unique, current.repartition(*map(quoted, join_on)))
@@ -325,6 +332,23 @@ def _upsert_few(
     return restored(updated).unionByName(restored(added))
 
 
+def _upsert_buckets(
+    unique: DataFrame, current: DataFrame, keys: Sequence[str], data: T.StructType, buckets: Buckets
+) -> DataFrame:
+    """Update where the current rows lie.
+
+    Only plain columns keep a bucketed scan's partitioning, so keys are as they are given here;
+    in the groups of a window null equals null.
+    """
+    given = [c for c in unique.columns if c not in [*keys, *null_flags(keys)]]
+    source = unique.select(*(nullable_key(k, keys).alias(k) for k in keys), *map(quoted, given))
+    source = source.repartition(buckets.number, *map(quoted, buckets.columns))
+    merged = _taken_over(_together(source, current), source.columns, list(keys))
+    return merged.select(
+        *((quoted(f.name) if f.name in merged.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in data)
+    )
+
+
 def _in_parts(current: DataFrame, hot: DataFrame, join_on: list[str]) -> DataFrame:
     """The rows of hot keys dealt over the parts of their key, all others in part 0."""
     part = F.pmod(F.monotonically_increasing_id(), F.coalesce(PARTS, F.lit(1)))

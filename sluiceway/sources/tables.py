@@ -20,9 +20,10 @@ import uuid
 from collections.abc import Iterable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass
+from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,6 +43,14 @@ def _in_folder_name(text: str) -> str:
     return "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in text)
 
 
+class Buckets(NamedTuple):
+    """How a table's files are divided: by a hash of ``columns``, which Spark's own shuffle shares."""
+
+    number: int
+    columns: list[str]
+    sorted_by: list[str]
+
+
 @dataclass(frozen=True)
 class PathTable:
     """Parquet files under ``path`` in one folder per partition, with a declared schema."""
@@ -53,6 +62,9 @@ class PathTable:
     def columns(self, spark: SparkSession) -> T.StructType:
         return self.schema
 
+    def buckets(self, spark: SparkSession) -> None:
+        """Buckets are kept by a catalog."""
+
     def read(self, spark: SparkSession) -> DataFrame:
         # The schema keeps the partition column a string; inference would make it a date.
         files = spark.read.schema(self.schema).parquet(self.path)
@@ -147,6 +159,9 @@ class CatalogTable:
     def columns(self, spark: SparkSession) -> T.StructType:
         return spark.table(self.name).schema
 
+    def buckets(self, spark: SparkSession) -> Buckets | None:
+        return _Described(spark, self.name).buckets
+
     def read(self, spark: SparkSession) -> DataFrame:
         return spark.table(self.name)
 
@@ -181,7 +196,11 @@ class CatalogTable:
             return
         folder = f"{about.location}/{_VERSIONS}/{uuid.uuid4().hex}"
         rows = df.select(*map(quoted, spark.table(self.name).columns))
-        rows.write.format(about.provider).partitionBy(self.partition_column).save(folder)
+        writer = rows.write.format(about.provider).partitionBy(self.partition_column)
+        if about.buckets:
+            self._save_in_buckets(spark, writer, about, folder)
+        else:
+            writer.save(folder)
         written = {place for place, _ in _folders(spark, folder)}
         partition = f"PARTITION ({_name(self.partition_column)} = :value)"
         for value in values:
@@ -194,6 +213,24 @@ class CatalogTable:
             _delete(spark, [_spelled(spark, folder)])
         spark.catalog.refreshTable(self.name)
 
+    def _save_in_buckets(
+        self, spark: SparkSession, writer: DataFrameWriter, about: _Described, folder: str
+    ) -> None:
+        """Files with their buckets' numbers, which Spark writes for a table of the catalog alone.
+
+        That table is there for as long as the write; dropping it leaves its files. One that a killed run
+        has left beside this one ends in ``_writing_`` and letters, and can be dropped.
+        """
+        other = f"{about.sibling}_writing_{uuid.uuid4().hex}`"
+        first, *more = about.buckets.columns
+        writer = writer.bucketBy(about.buckets.number, first, *more)
+        if about.buckets.sorted_by:
+            writer = writer.sortBy(*about.buckets.sorted_by)
+        try:
+            writer.option("path", folder).saveAsTable(other)
+        finally:
+            spark.sql(f"DROP TABLE IF EXISTS {other}")
+
     def remove_unused(self, spark: SparkSession, older_than: float = 7 * 24 * 3600) -> list[str]:
         """Delete what ``switch_partition`` has left, if nothing was added for so many seconds.
 
@@ -236,6 +273,14 @@ class _Described:
         about = self._catalog.getTableMetadata(self._table)
         self.keeps_partitions = about.tracksPartitionsInCatalog() and about.provider().get().lower() != "hive"
         self.provider = about.provider().get()
+        self.sibling = about.identifier().quotedString()[:-1]
+        self.buckets = None
+        if about.bucketSpec().isDefined():
+            spec = about.bucketSpec().get()
+            by, order = spec.bucketColumnNames(), spec.sortColumnNames()
+            self.buckets = Buckets(
+                spec.numBuckets(), [by.apply(i) for i in range(by.size())], [order.apply(i) for i in range(order.size())]
+            )
         self.location = spark._jvm.org.apache.hadoop.fs.Path(about.location()).toString()
 
     def partition_locations(self) -> set[str]:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluiceway.operators.dedupe import keep_latest
-from sluiceway.operators.merge import upsert
+from sluiceway.operators.merge import merge_partition, overwrite_partition, upsert
 from sluiceway.operators.quality import check, report
 from sluiceway.operators.rules import FilledRatio, MaxPercentile, ValueRatio
 from sluiceway.sources.tables import CatalogTable, PathTable
@@ -160,6 +160,55 @@ def test_rows_of_hot_keys_are_split_into_parts(spark, landed, no_broadcast):
     assert merged.count() == 400 and merged.filter("v = 'new'").count() == 400
 
 
+@pytest.fixture
+def bucketed(spark, folder):
+    spark.sql(
+        "CREATE TABLE in_buckets (k STRING, v STRING, w STRING, ds STRING) USING parquet"
+        f" PARTITIONED BY (ds) CLUSTERED BY (k) SORTED BY (k) INTO 6 BUCKETS LOCATION '{folder}'"
+    )
+    yield CatalogTable("in_buckets")
+    spark.sql("DROP TABLE in_buckets")
+
+
+@pytest.mark.parametrize("keys", [["k"], ["w", "k"]])
+def test_rows_in_buckets_are_merged_where_they_lie(spark, landed, bucketed, no_broadcast, keys):
+    day = "2024-01-01"
+    absent = F.when(F.col("k") != "4", F.col("k"))
+    overwrite_partition(landed.read(spark).withColumn("k", absent), bucketed, day)
+    source = landed.read(spark).withColumns({"k": absent, "v": F.lit("new"), "ds": F.lit(day)})
+    current = bucketed.read_partition(spark, day)
+    merged = upsert(
+        source, current, SCHEMA, keys, "ds", latest_by=["v"], buckets=bucketed.buckets(spark)
+    )
+    merged.collect()
+    text = plan(merged).split("== Initial Plan ==")[0]
+    assert "Join" not in text and "Bucketed: true" in text
+    below = text[text.index("Union") :]
+    # Of the two sides of the union the source's comes first; the other has no exchange.
+    scans = [line for line in below.splitlines() if "FileScan" in line or "Exchange" in line]
+    assert "Bucketed: true" in scans[-1] and text[: text.index("Union")].count("Exchange") == 0
+    assert sum("Exchange" in line for line in scans) == 2
+    merge_partition(source, bucketed, keys, day, latest_by=["v"])
+    got = {(r.k, r.v) for r in bucketed.read(spark).collect()}
+    assert got == {(None if k == 4 else str(k), "new") for k in range(400)}
+    assert bucketed.read(spark).count() == 400
+    # What was written lies in buckets again, one file for each, and no table is left behind.
+    files = bucketed.read(spark).select("_metadata.file_name").distinct().collect()
+    assert len({re.search(r"_(\d{5})\.", r.file_name)[1] for r in files}) == len(files) == 6
+    assert not [t.name for t in spark.catalog.listTables() if "_writing_" in t.name]
+
+
+def test_buckets_by_other_columns_or_of_hot_keys_are_shuffled(spark, landed, bucketed, no_broadcast):
+    day = "2024-01-01"
+    overwrite_partition(landed.read(spark), bucketed, day)
+    merge_partition(landed.read(spark).withColumn("v", F.lit("new")), bucketed, ["w"], day, latest_by=["k"])
+    assert {r.v for r in bucketed.read(spark).collect()} == {"new"}
+    source = bucketed.read(spark).withColumn("v", F.lit("newer"))
+    merge_partition(source, bucketed, ["k"], day, latest_by=["w"], hot_rows=0, small_rows=0)
+    assert [r.v for r in bucketed.read(spark).select("v").distinct().collect()] == ["newer"]
+    assert bucketed.read(spark).count() == 200
+
+
 def test_empty_catalog_partition_has_no_join(spark, tmp_path):
     spark.sql(
         "CREATE TABLE unheld (k STRING, v STRING, w STRING, ds STRING) USING parquet"

@@ -235,6 +235,7 @@ ORACLES: dict[str, str] = {
     "merge_path_partition": _MERGED,
     "merge_rerun": _MERGED,
     "merge_catalog_partition": _MERGED,
+    "merge_bucketed": _MERGED,
     "merge_hot_key": f"""
         WITH e AS ({SPOILED_EVENTS_SQL})
         SELECT actor::VARCHAR AS actor, event_id::VARCHAR AS event_id, 'updated' AS label,

@@ -415,6 +415,12 @@ def merge_catalog_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _merged(CatalogTable(name), spark, sf_dir, runs=1)
 
 
+def merge_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Into a table bucketed by key, whose rows are merged where they lie."""
+    name = partitioned_table(spark, f"{_LANDED}, note string", "CLUSTERED BY (event_id) INTO 8 BUCKETS")
+    return _merged(CatalogTable(name), spark, sf_dir, runs=2)
+
+
 def merge_composite(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two key columns, null in some rows; the held rows repeat keys, the source lacks a column."""
     lines = given(spark, sf_dir, "lineitem")
@@ -638,6 +644,7 @@ QUERIES: dict[str, Query] = {
         merge_path_partition,
         merge_rerun,
         merge_catalog_partition,
+        merge_bucketed,
         merge_composite,
         merge_hot_key,
         merge_few_corrections,

@@ -103,12 +103,12 @@ def metadata_table(spark: SparkSession, items: Sequence[ItemDef] | None = None)
     return name
 
 
-def partitioned_table(spark: SparkSession, ddl_columns: str) -> str:
+def partitioned_table(spark: SparkSession, ddl_columns: str, clause: str = "") -> str:
     """Create an empty catalog table partitioned by ``ds`` and return its name."""
     database(spark, "landing")
     name = f"landing.t_{uuid.uuid4().hex}"
     spark.sql(
         f"CREATE TABLE {name} ({ddl_columns}, ds STRING) USING parquet PARTITIONED BY (ds)"
-        f" LOCATION '{fresh_path(spark, 'landing')}'"
+        f" {clause} LOCATION '{fresh_path(spark, 'landing')}'"
     )
     return name

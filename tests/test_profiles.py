@@ -1,0 +1,78 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sluiceway.operators import profiles as module
+from sluiceway.operators.merge import merge_partition
+from sluiceway.operators.profiles import (
+    check_landed,
+    landed_quantiles,
+    profile_table,
+    refresh_profiles,
+)
+from sluiceway.operators.rules import MaxPercentile
+from sluiceway.sources.tables import PathTable
+
+SCHEMA = T.StructType().add("k", T.LongType()).add("x", T.DoubleType()).add("ds", T.StringType())
+SHARES = [0.001, 0.5, 0.9, 1.0]
+
+
+def brute(values, rule):
+    numbers = sorted(v for v in values if v is not None and not math.isnan(v))
+    return numbers[max(math.ceil(rule.p * len(numbers)), 1) - 1] if numbers else None
+
+
+@pytest.fixture
+def landed(spark, tmp_path):
+    draw = random.Random(5)
+    rows = [(i, draw.choice([None, math.nan, draw.gauss(0, 1), draw.gauss(50, 9), 7.0, math.inf]), f"d{i % 5}") for i in range(3000)]
+    rows += [(i, 1000.0 + i, "d7") for i in range(400)] + [(i, None, "d8") for i in range(9)] + [(1, 3.0, None)]
+    table = PathTable(str(tmp_path / "table"), SCHEMA)
+    table.replace_partition(spark.createDataFrame(rows, SCHEMA))
+    return table, profile_table(str(tmp_path / "profiles"), table), rows
+
+
+@pytest.mark.parametrize("accuracy", [8, 4096])
+def test_verdicts_and_quantiles_equal_brute_force(spark, landed, accuracy):
+    table, profiles, rows = landed
+    rules = [MaxPercentile("x", p, m) for p in SHARES for m in (-9.0, 7.0, 52.0, 1200.0)]
+    rules += [MaxPercentile("x", 0.9, math.inf), MaxPercentile("x", 0.9, math.nan)]
+    results = check_landed(spark, table, profiles, rules, accuracy)
+    exact = [brute([x for _, x, _ in rows], r) for r in rules]
+    assert [r.ok for r in results] == [e <= rule.maximum for e, rule in zip(exact, rules)]
+    assert landed_quantiles(spark, table, rules, results) == exact
+    # Some verdicts need no row, others have only the partitions counted that hold the maximum.
+    assert min(r.counted for r in results) == 0 and max(r.counted for r in results) <= 6
+
+
+def test_only_partitions_with_other_files_are_profiled_again(spark, landed, monkeypatch):
+    table, profiles, rows = landed
+    assert refresh_profiles(spark, table, profiles, ["x"]) == [None, *(f"d{k}" for k in (0, 1, 2, 3, 4, 7, 8))]
+    assert refresh_profiles(spark, table, profiles, ["X"]) == []
+    merge_partition(spark.createDataFrame([(5, -99.0, "d0")], SCHEMA), table, ["k"], "d0")
+    rule = MaxPercentile("x", 1e-9, -50.0)
+    assert check_landed(spark, table, profiles, [rule])[0].ok
+    assert refresh_profiles(spark, table, profiles, ["x"]) == []
+    assert refresh_profiles(spark, table, profiles, ["k"]) == [None, *(f"d{k}" for k in (0, 1, 2, 3, 4, 7, 8))]
+
+
+def test_a_decided_rule_reads_no_rows(spark, landed, monkeypatch):
+    table, profiles, _ = landed
+    refresh_profiles(spark, table, profiles, ["x"])
+    monkeypatch.setattr(module, "_of", lambda *_: pytest.fail("rows are read"))
+    rules = [MaxPercentile("x", 0.5, 70.0), MaxPercentile("x", 0.9, -1.0), MaxPercentile("x", 1.0, math.inf)]
+    assert [r.ok for r in check_landed(spark, table, profiles, rules)] == [True, False, True]
+
+
+def test_empty_table_and_columns_without_numbers(spark, tmp_path):
+    table = PathTable(str(tmp_path / "table"), SCHEMA)
+    profiles = profile_table(str(tmp_path / "profiles"), table)
+    table.replace_partition(spark.createDataFrame([(1, None, "d")], SCHEMA))
+    result = check_landed(spark, table, profiles, [MaxPercentile("x", 0.5, 1.0)])[0]
+    assert (result.ok, result.numbers, result.low) == (False, 0, None)
+    assert landed_quantiles(spark, table, [MaxPercentile("x", 0.5, 1.0)], [result]) == [None]
+    with pytest.raises(TypeError):
+        refresh_profiles(spark, table, profiles, ["ds"])

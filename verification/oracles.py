@@ -152,6 +152,24 @@ ORACLES: dict[str, str] = {
             ("l_linenumber", "0.75", "6.0"),
         )
     ),
+    "dq_landed_percentiles": f"""
+        WITH l AS (SELECT CASE WHEN ts::DATE = DATE '2024-01-05' THEN score + 1000 ELSE score END AS score,
+                          actor::DOUBLE AS actor, ts::DATE AS d FROM ({SPOILED_EVENTS_SQL})),
+        m AS (SELECT count(DISTINCT d)::INTEGER AS profiled, max((d = DATE '2024-01-05')::INTEGER) AS again FROM l)"""
+    + " UNION ALL ".join(
+        f"""
+        SELECT 'max_percentile({column},p={p})<={shown}' AS rule, quantile_disc({column}, {p}) <= {top} AS ok,
+               count({column}) AS numbers, quantile_disc({column}, {p})::DOUBLE AS observed,
+               true AS bracketed, any_value(profiled) AS profiled, any_value(again) AS again
+        FROM l, m"""
+        for column, p, top, shown in (
+            ("score", "0.5", "40", "40.0"),
+            ("score", "0.9", "2000", "2000.0"),
+            ("score", "0.25", "1", "1.0"),
+            ("score", "1.0", "100", "100.0"),
+            ("actor", "0.75", "1e9", "1.0E9"),
+        )
+    ),
     "dq_documents": """
         WITH d AS (SELECT length(text) AS length, lang, n_chars, text FROM documents),
         m AS (SELECT count(*)::DOUBLE AS n,

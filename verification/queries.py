@@ -19,6 +19,12 @@ from sluiceway.operators.merge import (
     overwrite_partition,
     overwrite_where,
 )
+from sluiceway.operators.profiles import (
+    check_landed,
+    landed_quantiles,
+    profile_table,
+    refresh_profiles,
+)
 from sluiceway.operators.quality import QualityError, check, gate, report
 from sluiceway.operators.rules import FilledRatio, MalformedRatio, MaxPercentile, ValueRatio
 from sluiceway.operators.staging import only_partition, stamp_partition, with_ingestion_meta
@@ -212,6 +218,34 @@ def dq_max_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dq_landed_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules over all days of a table, from their profiles; one day is corrected and profiled again."""
+    events = spoiled_events(given(spark, sf_dir, "events"))
+    day = text(F.to_date("ts"))
+    table = _path_table(spark, "event_id bigint, score double, actor bigint")
+    table.replace_partition(events.select("event_id", "score", "actor", day.alias("ds")))
+    profiles = profile_table(fresh_path(spark, "profiles"), table)
+    profiled = len(refresh_profiles(spark, table, profiles, ["score", "actor"]))
+    corrected = table.read(spark).filter("ds = '2024-01-05'").withColumn("score", F.col("score") + 1000.0)
+    merge_partition(corrected, table, ["event_id"], "2024-01-05")
+    rules = [
+        MaxPercentile("score", 0.5, 40.0),
+        MaxPercentile("score", 0.9, 2000.0),
+        MaxPercentile("score", 0.25, 1.0),
+        MaxPercentile("score", 1.0, 100.0),
+        MaxPercentile("actor", 0.75, 1e9),
+    ]
+    again = len(refresh_profiles(spark, table, profiles, ["score", "actor"]))
+    results = check_landed(spark, table, profiles, rules)
+    exact = landed_quantiles(spark, table, rules, results)
+    rows = [
+        (r.rule.name, r.ok, r.numbers, q, r.low <= q <= r.high, profiled, again)
+        for r, q in zip(results, exact)
+    ]
+    names = "rule string, ok boolean, numbers long, observed double, bracketed boolean, profiled int, again int"
+    return spark.createDataFrame(rows, names)
+
+
 def dq_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules over whole texts and their lengths, one language's texts blanked."""
     documents = given(spark, sf_dir, "documents").select(
@@ -632,6 +666,7 @@ QUERIES: dict[str, Query] = {
         dq_filled_ratio,
         dq_value_ratio,
         dq_max_percentile,
+        dq_landed_percentiles,
         dq_documents,
         dq_report,
         dq_gate,

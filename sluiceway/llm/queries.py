@@ -92,7 +92,7 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest vectors of every hundredth."""
-    return nearest_neighbours(given(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return nearest_neighbours(given(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).drop("query_row")
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

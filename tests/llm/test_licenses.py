@@ -51,6 +51,40 @@ def test_two_notices_of_one_kind_and_repeated_rows(spark):
     assert sorted((r.doc_id or 0, r.start, r.end) for r in out) == [(0, 0, 5), (1, 0, 5), (1, 0, 5), (1, 45, 50)]
 
 
+def test_adjacent_notices_are_given_each(spark):
+    texts, want = [], []
+    for name, template in TEMPLATES.items():
+        long = len(plain_words(template))
+        cut = template.split(" ")
+        less = " ".join(["x", *cut[1:]]) if len(sets(plain_words(template))) > 5 else template
+        skip = int(less != template)
+        for k, row in enumerate([template] * 9, start=1):
+            if k in (2, 9):
+                texts.append(" ".join([row] * k))
+                want.append((name, [(i * long, (i + 1) * long) for i in range(k)]))
+        # The first lacks a word, which the second has.
+        texts.append(f"{less} {template}")
+        want.append((name, [(skip, long), (long, 2 * long)]))
+    found = {}
+    for r in license_notices(documents(spark, texts).repartition(4)).collect():
+        found.setdefault((r.doc_id, r.template), []).append((r.start, r.end))
+    for i, (name, places) in enumerate(want):
+        assert sorted(found[i, name]) == places, (name, texts[i][:100])
+
+
+def test_a_template_that_repeats_itself_and_parts_in_another_order(spark):
+    chorus = "one two three four five six one two three four five six seven eight nine ten"
+    halves = [prose(1, 30), prose(2, 30)]
+    templates = {"chorus": chorus, "halves": " ".join(halves)}
+    third, rest = " ".join(halves[0].split(" ")[:20]), " ".join(halves[0].split(" ")[20:])
+    # The last has no 80 per cent between repeats, but over the whole of it.
+    texts = [chorus, f"{chorus} {chorus}", " ".join(halves[::-1]), f"{halves[1]} {third} {third} {rest}"]
+    found = license_notices(documents(spark, texts), templates).collect()
+    assert sorted((r.doc_id, r.template, r.start, r.end) for r in found) == [
+        (0, "chorus", 0, 16), (1, "chorus", 0, 16), (1, "chorus", 16, 32), (2, "halves", 0, 60), (3, "halves", 0, 80)
+    ]
+
+
 def test_empty_table_and_no_templates(spark):
     assert license_notices(spark.createDataFrame([], DOCS)).collect() == []
     assert license_notices(documents(spark, ODD), {"none": " "}).collect() == []

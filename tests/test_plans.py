@@ -7,7 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sluiceway.operators.dedupe import keep_latest
-from sluiceway.operators.merge import merge_partition, overwrite_partition, upsert
+from sluiceway.operators.merge import (
+    merge_into_files,
+    merge_partition,
+    merge_partitions,
+    overwrite_partition,
+    overwrite_where,
+    upsert,
+)
 from sluiceway.operators.quality import check, report
 from sluiceway.operators.rules import FilledRatio, MaxPercentile, ValueRatio
 from sluiceway.sources.tables import CatalogTable, PathTable
@@ -209,6 +216,20 @@ def test_buckets_by_other_columns_or_of_hot_keys_are_shuffled(spark, landed, buc
     assert bucketed.read(spark).count() == 200
 
 
+def test_other_merges_keep_buckets(spark, landed, bucketed):
+    bucketed.replace_partition(landed.read(spark))
+    fresh = [("0", "new", "w", "2024-01-01"), ("1", "new", "w", "2024-01-02"), ("x", "new", "w", "2024-01-03")]
+    source = spark.createDataFrame(fresh, SCHEMA)
+    assert merge_partitions(source, bucketed, ["k"]) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert merge_into_files(spark.createDataFrame([("2", "newer", "w", "2024-01-01")], SCHEMA), bucketed, ["k"], "2024-01-01")
+    assert overwrite_where(spark.createDataFrame([("y", "v", "w", "2024-01-02")], SCHEMA), bucketed, "k in ('3', 'y')")
+    got = {r.k: r.v for r in bucketed.read(spark).collect()}
+    want = {str(k): "v" for k in range(400) if k != 3} | {"0": "new", "1": "new", "x": "new", "2": "newer", "y": "v"}
+    assert got == want and bucketed.read(spark).count() == len(want)
+    # Buckets are pruned by key, which finds rows only in the files where the shuffle would put them.
+    assert [bucketed.read(spark).filter(F.col("k") == k).count() for k in ("0", "2", "17", "x", "y", "3")] == [1, 1, 1, 1, 1, 0]
+
+
 def test_empty_catalog_partition_has_no_join(spark, tmp_path):
     spark.sql(
         "CREATE TABLE unheld (k STRING, v STRING, w STRING, ds STRING) USING parquet"

@@ -63,16 +63,41 @@ class Model:
         return model
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _bounded(weights: np.ndarray, bias: np.ndarray) -> bool:
+    """Whether exponentials of the logits fit a float as they are, whatever the state, which is within -1 and 1."""
+    reach = np.abs(weights).sum(axis=-2)
+    return float((bias + reach).max(initial=0)) < 80 and float((bias - reach).max(axis=-1).min(initial=0)) > -80
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x -= x.max(axis=1, keepdims=True)
-    x -= np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _softmax(x: np.ndarray, at: np.ndarray, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The logarithm of each row's probability of its column ``at``; x becomes exponentials, and their sums follow."""
+    if not bounded:
+        x -= x.max(axis=1, keepdims=True)
+    own = np.take(x.reshape(-1), np.arange(0, x.size, x.shape[1]) + at)
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], x.dtype)
+    return own - np.log(total), total
+
+
+def _gradient(x: np.ndarray, total: np.ndarray, at: np.ndarray, share: np.float32) -> np.ndarray:
+    """Of ``share`` of the negative logarithm, by the row before the softmax, from what ``_softmax`` has made; in place."""
+    x *= (share / total)[:, None]
+    x.reshape(-1)[np.arange(0, x.size, x.shape[1]) + at] -= share
     return x
 
 
+def _group_sums(rows: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The sums of groups of rows that begin at ``first``; as reduceat, which is slow on many small groups."""
+    out, n = np.take(rows, first, axis=0), np.diff(np.append(first, len(rows)))
+    for g in np.flatnonzero(n > 8).tolist():
+        np.add.reduce(rows[first[g] : first[g] + n[g]], axis=0, out=out[g])
+    some = np.flatnonzero(n <= 8)
+    for k in range(1, 8):
+        some = some[n[some] > k]
+        out[some] += np.take(rows, first[some] + k, axis=0)
+    return out
+
+
 class _Streams:
     """Documents dealt to streams of like length, the longest stream first."""
 
@@ -118,78 +143,129 @@ def run(
     before[laid.begins] = start
     total = np.zeros(len(sizes))
     state = np.zeros((len(laid.length), model.hidden), np.float32)
-    for t in range(0, int(laid.length.max(initial=0)), steps):
+    outputs, t, longest = None if learn else _outputs(model), 0, int(laid.length.max(initial=0))
+    while t < longest:
         active = int(np.searchsorted(-laid.length, -t))
-        at = laid.first[:active, None] + t + np.arange(steps)
-        inside = t + np.arange(steps) < laid.length[:active, None]
+        # Without gradients it does not matter where windows end, so those of few streams are longer.
+        now = steps if learn else min(max(steps, streams * steps // active), longest - t)
+        at = laid.first[:active, None] + t + np.arange(now)
+        inside = t + np.arange(now) < laid.length[:active, None]
         at = np.where(inside, at, 0)
-        logs, state[:active] = _window(model, before[at], target[at], laid.begins[at], inside, state[:active], learn)
+        logs, state[:active] = _window(model, before[at], target[at], laid.begins[at], inside, state[:active], learn, outputs)
         total += np.bincount(laid.doc[at[inside]], logs, len(sizes))
+        t += now
     return total
 
 
-def _window(model, before, target, begins, inside, state, learn):
-    """One window of all active streams: the words' log-probabilities, and the last state."""
+def _outputs(model: Model) -> tuple[np.ndarray, np.ndarray, bool, bool]:
+    """The weights of classes and of words, with the bias as those of an input that is 1, and whether they are bounded."""
+    of_class = np.concatenate([model.of_class, model.class_bias[None]])
+    of_word = np.concatenate([model.of_word, model.word_bias[:, None]], axis=1)
+    return of_class, of_word, _bounded(model.of_class, model.class_bias), _bounded(model.of_word, model.word_bias)
+
+
+def _window(model, before, target, begins, inside, state, learn, outputs=None):
+    """One window of all active streams: the words' log-probabilities, and the last state.
+
+    What does not need the step before is done for all steps, and all classes, at once.
+    """
     n, steps = before.shape
     h, size = state, model.hidden
     hidden = np.empty((steps, n, size), np.float32)
-    kept = []
+    # A sigmoid of x is half of 1 + tanh(x / 2).
+    half = np.repeat(np.array([0.5, 1], np.float32), (2 * size, size))
+    before = np.ascontiguousarray(before.T)
+    inputs = np.take(model.inputs, before, axis=0)
+    inputs *= half
+    by_state = model.state * half
+    going = (~begins.T)[:, :, None].astype(np.float32)
+    if learn:
+        olds, us, news = (np.empty_like(hidden) for _ in range(3))
     for k in range(steps):
-        old = h * ~begins[:, k, None]
-        a, u = model.inputs[before[:, k]], old @ model.state
-        gates = _sigmoid(a[:, : 2 * size] + u[:, : 2 * size])
-        z, r = gates[:, :size], gates[:, size:]
-        new = np.tanh(a[:, 2 * size :] + r * u[:, 2 * size :])
-        h = hidden[k] = new + z * (old - new)
+        old = h * going[k]
+        u = old @ by_state
+        gate, wide = inputs[k], 2 * size
+        first = gate[:, wide:].copy()
+        gate += u
+        np.tanh(gate, out=gate)
+        gate += np.float32(1)
+        gate *= np.float32(0.5)
+        new = u[:, wide:] * gate[:, size:wide]
+        new += first
+        np.tanh(new, out=new)
         if learn:
-            kept.append((old, z, r, new, u[:, 2 * size :]))
-    flat = inside.T  # step by step
-    seen, words = hidden[flat], target.T[flat]
+            olds[k], us[k], news[k] = old, u[:, wide:], new
+        old -= new
+        old *= gate[:, :size]
+        h = np.add(old, new, out=hidden[k])
+    h = h.copy()
+    flat, whole = inside.T, bool(inside.all())
+    seen, words = (hidden.reshape(-1, size), target.T.reshape(-1)) if whole else (hidden[flat], target.T[flat])
     group = np.where(words < model.vocabulary, words // CLASS, model.classes).astype(np.int16)  # sorted by radix
-    by_class = _log_softmax(seen @ model.of_class + model.class_bias)
-    logs = by_class[np.arange(len(words)), group].astype(float)
     order = np.argsort(group, kind="stable")
-    edges = np.searchsorted(group[order], np.arange(model.classes + 1))
-    if learn:
-        d_class = np.exp(by_class)
-        d_class[np.arange(len(words)), group] -= 1
-        d_seen = d_class @ model.of_class.T
-        grads: dict[str, object] = {"of_class": seen.T @ d_class, "class_bias": d_class.sum(axis=0)}
-        grads["of_word"], grads["word_bias"] = np.zeros_like(model.of_word), np.zeros_like(model.word_bias)
-    for c in range(model.classes):
-        rows = order[edges[c] : edges[c + 1]]
-        if not len(rows):
-            continue
-        inner = _log_softmax(seen[rows] @ model.of_word[c] + model.word_bias[c])
-        place = words[rows] - c * CLASS
-        logs[rows] += inner[np.arange(len(rows)), place]
-        if learn:
-            d_word = np.exp(inner)
-            d_word[np.arange(len(rows)), place] -= 1
-            d_seen[rows] += d_word @ model.of_word[c].T
-            grads["of_word"][c], grads["word_bias"][c] = seen[rows].T @ d_word, d_word.sum(axis=0)
+    words, group = words[order], group[order]
+    ordered = np.ones((len(words), size + 1), np.float32)
+    ordered[:, :size] = np.take(seen, order, axis=0)
+    seen = ordered
+    edges = [0, *np.cumsum(np.bincount(group, minlength=model.classes)[: model.classes]).tolist()]
+    of_class, of_word, class_bounded, word_bounded = outputs or _outputs(model)
+    by_class = seen @ of_class
+    found, total = _softmax(by_class, group, class_bounded)
+    logs = found.astype(float)
+    some = [(c, slice(low, high)) for c, (low, high) in enumerate(zip(edges, edges[1:])) if low < high]
+    place = words[: edges[-1]] % CLASS
+    inner = np.empty((edges[-1], CLASS), np.float32)
+    for c, rows in some:
+        np.matmul(seen[rows], of_word[c], out=inner[rows])
+    found, inner_total = _softmax(inner, place, word_bounded)
+    logs[: edges[-1]] += found
     if learn and len(words):
-        d_hidden = np.zeros((steps, n, size), np.float32)
-        d_hidden[flat] = d_seen
-        d_inputs = np.empty((steps, n, 3 * size), np.float32)
-        d_state, later = np.zeros_like(model.state), np.zeros((n, size), np.float32)
+        share = np.float32(1 / len(words))
+        d_class = _gradient(by_class, total, group, share)
+        d_sorted = d_class @ model.of_class.T
+        by_weight = seen.T @ d_class
+        grads: dict[str, object] = {"of_class": by_weight[:size], "class_bias": by_weight[size]}
+        by_weight, d_inner = np.zeros_like(of_word), np.empty((edges[-1], size), np.float32)
+        _gradient(inner, inner_total, place, share)
+        for c, rows in some:
+            np.matmul(inner[rows], model.of_word[c].T, out=d_inner[rows])
+            np.matmul(seen[rows].T, inner[rows], out=by_weight[c])
+        grads["of_word"], grads["word_bias"] = by_weight[:, :size], by_weight[:, size]
+        d_sorted[: edges[-1]] += d_inner
+        d_seen = np.empty_like(d_sorted)
+        d_seen[order] = d_sorted
+        if whole:
+            d_hidden = d_seen.reshape(steps, n, size)
+        else:
+            d_hidden = np.zeros((steps, n, size), np.float32)
+            d_hidden[flat] = d_seen
+        z, r = inputs[:, :, :size], inputs[:, :, size : 2 * size]
+        d_gates, d_news = np.empty((steps, n, 3 * size), np.float32), np.empty_like(d_hidden)
+        later = np.zeros((n, size), np.float32)
         for k in range(steps - 1, -1, -1):
-            old, z, r, new, u = kept[k]
-            d = d_hidden[k] + later
-            d_new = d * (1 - z) * (1 - new * new)
-            gates = np.concatenate([d * (old - new) * z * (1 - z), d_new * u * r * (1 - r), d_new * r], axis=1)
-            d_state += old.T @ gates
-            later = (d * z + gates @ model.state.T) * ~begins[:, k, None]
-            d_inputs[k] = gates
-            d_inputs[k, :, 2 * size :] = d_new
-        used = before.T[flat].astype(np.int16 if len(model.inputs) < 1 << 15 else np.int64)
-        order = np.argsort(used, kind="stable")
-        first = np.flatnonzero(np.diff(used[order], prepend=-1))
-        grads["state"] = d_state
-        grads["inputs"] = used[order][first], np.add.reduceat(d_inputs[flat][order], first, axis=0)
-        learn({name: (g[0], g[1] / len(words)) if isinstance(g, tuple) else g / len(words) for name, g in grads.items()})
+            d, gates = np.add(d_hidden[k], later), d_gates[k]
+            by_z = d * z[k]
+            d_new = np.multiply(d - by_z, 1 - news[k] * news[k], out=d_news[k])
+            by_r = d_new * r[k]
+            np.multiply((olds[k] - news[k]) * (1 - z[k]), by_z, out=gates[:, :size])
+            np.multiply(us[k] * (1 - r[k]), by_r, out=gates[:, size : 2 * size])
+            gates[:, 2 * size :] = by_r
+            later = gates @ model.state.T
+            later += by_z
+            later *= going[k]
+        grads["state"] = olds.reshape(-1, size).T @ d_gates.reshape(-1, 3 * size)
+        d_gates[:, :, 2 * size :] = d_news
+        at = np.flatnonzero(flat)
+        used = before.reshape(-1)[at].astype(np.int16 if len(model.inputs) < 1 << 15 else np.int64)
+        turn = np.argsort(used, kind="stable")
+        used, d_inputs = used[turn], np.take(d_gates.reshape(-1, 3 * size), at[turn], axis=0)
+        first = np.flatnonzero(np.diff(used, prepend=-1))
+        grads["inputs"] = used[first], _group_sums(d_inputs, first)
+        learn(grads)
+    by_step = np.empty(len(words))
+    by_step[order] = logs
     by_stream = np.zeros((steps, n))
-    by_stream[flat] = logs
+    by_stream[flat] = by_step
     return by_stream.T[inside], h  # a stream that ended within the window is not read again
 
 
@@ -206,8 +282,17 @@ class Adagrad:
             held, seen = getattr(self.model, name), getattr(self.seen, name)
             if isinstance(g, tuple):
                 rows, g = g
-                seen[rows] += g * g
-                held[rows] -= self.rate * g / np.sqrt(seen[rows])
+                now = np.take(seen, rows, axis=0)
+                now += g * g
+                seen[rows] = now
+                held[rows] -= self._step(g, np.sqrt(now, out=now))
             else:
-                seen += g * g
-                held -= self.rate * g / np.sqrt(seen)
+                root = g * g
+                seen += root
+                held -= self._step(g, np.sqrt(seen, out=root))
+
+    def _step(self, g: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """In place of the root."""
+        np.divide(g, root, out=root)
+        root *= root.dtype.type(self.rate)
+        return root

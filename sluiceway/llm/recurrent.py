@@ -34,6 +34,7 @@ ROUNDS = 1
 END = np.uint64(0x1D)  # stands for the end of a text
 _FLUSH = 3_000_000
 _PIECE = 1 << 14
+_LOWER_BITS = np.uint64(46)
 
 
 class Known(NamedTuple):
@@ -47,11 +48,22 @@ class Known(NamedTuple):
     vocabulary: np.ndarray  # the counts of its words
     other_tokens: int
     other_distinct: int
+    starts: np.ndarray  # how many of the frequent words are less than each value of the upper bits
 
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the words are among the frequent ones, and whether they are."""
-        at = np.minimum(np.searchsorted(self.words, words), len(self.words) - 1)
-        return at, self.words[at] == words
+        """Where the words are among the frequent ones, and whether they are.
+
+        Words are hashes, so few share their upper bits, and from the first of these it is a step or two.
+        """
+        last = len(self.words) - 1
+        at = np.minimum(np.take(self.starts, (words >> _LOWER_BITS).astype(np.int64)), last)
+        held = np.take(self.words, at)
+        less = np.flatnonzero((held < words) & (at < last))
+        while len(less):
+            at[less] += 1
+            held[less] = now = self.words[at[less]]
+            less = less[(now < words[less]) & (at[less] < last)]
+        return at, held == words
 
     def numbers(self, words: np.ndarray, found: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """The words as the model's inputs; ``found`` is what ``find`` said of them."""
@@ -123,7 +135,8 @@ def know(counts: DataFrame, frequent: int = FREQUENT, vocabulary: int = VOCABULA
     number = np.full(len(words), -1)
     number[rank] = np.arange(len(rank))
     chosen = n[rank]
-    return Known(words, n, number, tokens, distinct, chosen, tokens - int(chosen.sum()), distinct - int((chosen > 0).sum()))
+    starts = np.searchsorted(words >> _LOWER_BITS, np.arange(1 << 64 - int(_LOWER_BITS), dtype=np.uint64))
+    return Known(words, n, number, tokens, distinct, chosen, tokens - int(chosen.sum()), distinct - int((chosen > 0).sum()), starts)
 
 
 def _segments(words: np.ndarray) -> list[np.ndarray]:

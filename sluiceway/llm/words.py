@@ -38,7 +38,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))[_LOWER]
 _UP = _powers(_BASE, _CHUNK + 1)
 _DOWN = _powers(_INVERSE, _CHUNK + 1)
 
@@ -46,13 +46,16 @@ _DOWN = _powers(_INVERSE, _CHUNK + 1)
 def _hashes(data: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The words of some bytes: hash, first byte, and byte after the last."""
     raw = np.frombuffer(data, np.uint8)
-    word = ~between[raw]
-    edge = np.flatnonzero(np.diff(np.concatenate(([False], word, [False])).view(np.int8)))
+    word = np.zeros(len(raw) + 2, bool)
+    np.take(~between, raw, out=word[1:-1], mode="clip")
+    edge = np.flatnonzero(word[1:] != word[:-1])
     start, end = edge[::2], edge[1::2]
     if not len(start):
         return np.empty(0, np.uint64), start, end
     up, down = (_UP, _DOWN) if len(raw) < len(_UP) else (_powers(_BASE, len(raw)), _powers(_INVERSE, len(raw)))
-    total = np.cumsum(_BYTE[_LOWER[raw]] * up[: len(raw)], dtype=np.uint64)
+    total = np.take(_BYTE, raw)
+    total *= up[: len(raw)]
+    np.cumsum(total, out=total)
     upto = total[end - 1]
     before = np.where(start > 0, total[start - 1], np.uint64(0))
     return mix((upto - before) * down[start] + (end - start).astype(np.uint64)), start, end

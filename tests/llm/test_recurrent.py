@@ -116,3 +116,53 @@ def test_every_word_of_every_document_trains(spark, monkeypatch):
     every = np.concatenate([np.append(w, recurrent.END) for w in recurrent.word_hashes(texts)])
     assert np.bincount(np.concatenate([x for x, _ in learnt])).tolist() == np.bincount(known.numbers(every)).tolist()
     assert all(n.max() <= recurrent.SEGMENT for _, n in learnt)
+
+
+def plain_log(model, tokens):
+    """The log-probability of one document, a word at a time, in double precision."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    by = {k: getattr(model, k).astype(float) for k in ("inputs", "state", "of_class", "class_bias", "of_word", "word_bias")}
+    softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+    h, before, total, size = np.zeros(model.hidden), 0, 0.0, model.hidden
+    for t in tokens:
+        a, u = by["inputs"][before], h @ by["state"]
+        z, r = np.split(sigmoid(a[: 2 * size] + u[: 2 * size]), 2)
+        h = (1 - z) * np.tanh(a[2 * size :] + r * u[2 * size :]) + z * h
+        c = min(int(t) // gru.CLASS, model.classes) if t < model.vocabulary else model.classes
+        total += softmax(h @ by["of_class"] + by["class_bias"])[c]
+        if c < model.classes:
+            total += softmax(h @ by["of_word"][c] + by["word_bias"][c])[t % gru.CLASS]
+        before = t
+    return total
+
+
+def test_scores_equal_plain_ones_however_large_the_logits():
+    rnd = np.random.default_rng(4)
+    for scale in (0.2, 1, 40):
+        model = gru.Model.first(np.arange(200, 0, -1), 30, hidden=8)
+        padded = model.word_bias < -1e3
+        model.vector[...] += rnd.normal(0, scale, model.vector.shape).astype(np.float32)
+        model.word_bias[padded] = -1e4
+        sizes = np.array([3, 700, 1, 40])
+        tokens = rnd.integers(0, 230, sizes.sum())
+        want = [plain_log(model, x) for x in np.split(tokens, np.cumsum(sizes)[:-1])]
+        assert np.allclose(gru.run(model, tokens, sizes, start=0), want, rtol=1e-3)
+
+
+def test_exponentials_are_taken_for_all_classes_of_a_window_at_once(monkeypatch):
+    made, real = [], gru.np.exp
+    monkeypatch.setattr(gru.np, "exp", lambda x, *a, **b: (made.append(x.shape), real(x, *a, **b))[1])
+    tokens, n = np.random.default_rng(5).integers(0, 64 * gru.CLASS, 1024), 64
+    for learn in (None, lambda grads: None):
+        made.clear()
+        gru.run(gru.Model.first(np.ones(64 * gru.CLASS), 9), tokens, np.full(n, 1024 // n), start=0, learn=learn)
+        assert len(made) <= 2
+
+
+def test_frequent_words_are_found_as_by_binary_search(spark):
+    known = know(count_words(documents(spark, [prose(i, 400, 3000) for i in range(9)])))
+    rnd = np.random.default_rng(6)
+    words = np.concatenate([known.words, known.words + np.uint64(1), rnd.integers(0, 2**64, 5000, np.uint64), [np.uint64(0), np.uint64(2**64 - 1)]])
+    at, there = known.find(words)
+    assert (at == np.minimum(np.searchsorted(known.words, words), len(known.words) - 1)).all()
+    assert there.tolist() == np.isin(words, known.words).tolist()

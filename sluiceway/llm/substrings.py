@@ -119,20 +119,32 @@ def _bucketed(tokens: np.ndarray, buckets_log: np.uint64) -> np.ndarray:
 def _recurring(docs: DataFrame) -> _Recurring:
     """The shingles that occur more than once in all texts.
 
-    A task drops copies before it deals out what it read, but for one, so that a bucket gets no
-    more than two of a shingle from each batch; there are as many buckets as million words.
+    A task drops copies before it deals out a million words, but for one, so that a bucket gets no
+    more than two of a shingle from these; there are as many buckets as million words.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     log = min(20, max(6, math.ceil(math.log2(1 + chars / 5 / _BUCKET))))
 
+    def dealt(held: list[np.ndarray]) -> pd.DataFrame:
+        seen = np.sort(np.concatenate(held))
+        again = seen[1:] == seen[:-1]  # of what is there more than twice, two stay
+        seen = seen[np.concatenate(([True, True], ~(again[1:] & again[:-1])))[: len(seen)]]
+        bucket = (seen >> np.uint64(64 - log)).astype(np.int64)
+        edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(seen))
+        parts = [seen[a:b].astype(np.uint32).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
+        return pd.DataFrame({"bucket": bucket[edges[:-1]], "tokens": parts})
+
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for held, _, _ in _batches(frames, _BUCKET):
-            seen, n = np.unique(np.concatenate(held), return_counts=True)
-            seen = np.sort(np.concatenate([seen, seen[n > 1]]))
-            bucket = (seen >> np.uint64(64 - log)).astype(np.int64)
-            edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(seen))
-            parts = [seen[a:b].astype(np.uint32).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-            yield pd.DataFrame({"bucket": bucket[edges[:-1]], "tokens": parts})
+        held, n = [], 0
+        for frame in frames:
+            for words in word_hashes(frame["text"]):
+                held.append(shingles(words))
+                n += len(words)
+                if n > _BUCKET:
+                    yield dealt(held)
+                    held, n = [], 0
+        if n:
+            yield dealt(held)
 
     def recur(frame: pd.DataFrame) -> pd.DataFrame:
         seen = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in frame["tokens"]]))

@@ -3,23 +3,44 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluiceway.workspace import fresh_path
 
 HOT_SHARE = 1000
 _BUCKETS = 1 << 20
+_BATCH = "4m"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python at about ``_BATCH`` at a time, where the session names no bound of its own.
+
+    Spark counts rows alone, 10,000 to a batch, whatever their texts hold; each task has a batch several
+    times, in the executor's native memory and in Python.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is not None:
+        yield
+        return
+    spark.conf.set(_BATCH_BYTES, _BATCH)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_BATCH_BYTES)
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write a frame as Parquet to the shared folder, which outlives executors, and read it."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 SHINGLE = 5
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18  # bytes; arrays of 8 for each stay in a cache, and workers small
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 _PUNCTUATED = np.ones(256, bool)
@@ -62,11 +62,11 @@ def _hashes(data: bytes, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.n
 
 
 def _parts(data: bytes) -> Iterator[bytes]:
-    """A text in parts of about a megabyte, cut at white space."""
+    """A text in parts of about ``_CHUNK``, cut at white space."""
     at = 0
     while len(data) - at > _CHUNK:
         cuts = [p for s in _SPACES if (p := data.rfind(bytes([s]), at, at + _CHUNK)) > at]
-        if not cuts:  # a word of over a megabyte: up to its end
+        if not cuts:  # a word longer than that: up to its end
             cuts = [min((p for s in _SPACES if (p := data.find(bytes([s]), at + 1)) > 0), default=len(data))]
         yield data[at : max(cuts)]
         at = max(cuts)

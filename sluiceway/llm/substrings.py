@@ -49,6 +49,7 @@ _BUCKET = 1 << 20
 _MOST = 1 << 28  # bits
 _SEEDS = mix(np.arange(101, 101 + 2 * BANDS, dtype=np.uint64)).reshape(BANDS, 2)
 _SKETCH = 512
+_PART = 1 << 18  # tokens of stretches looked at together
 _CANDIDATES = "doc_id long, place long, first long, last long, source_id long, source_place long, missing long"
 SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, similarity double"
 
@@ -237,7 +238,8 @@ def _copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = found.select("doc_id")
     there = likely(texts, ids, "doc_id").withColumn("digest", digest)
     copied = there.join(found, ["doc_id", "digest"]).select("doc_id", "source_id", word_count(F.col("text")).alias("n"))
-    spans = copied.filter(F.col("n") >= WORDS).distinct().select(
+    # Saved, or Spark would count the words of all texts to filter them before the join.
+    spans = saved(copied.distinct(), "whole").filter(F.col("n") >= WORDS).select(
         "doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("end"),
         "source_id", F.lit(0).cast("long").alias("source_start"), F.col("n").alias("source_end"), F.lit(1.0).alias("similarity"),
     )
@@ -264,58 +266,119 @@ def _stretches(match: np.ndarray, penalty: int, least: int) -> list[tuple[int, i
     return out
 
 
+def _previous(tokens: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Where each token was last, or -1; ``order`` sorts them and keeps equal ones in place."""
+    out = np.full(len(tokens), -1)
+    again = np.flatnonzero(tokens[order[1:]] == tokens[order[:-1]])
+    out[order[again + 1]] = order[again]
+    return out
+
+
+def _fewest(previous: np.ndarray, size: int) -> int:
+    """The fewest distinct tokens in ``size`` in a row."""
+    n = len(previous) - size + 1
+    if n < 1:
+        return 0
+    if previous.max() < 0:
+        return size
+    # A token counts as a repeat in the windows from where it was last back to the first that holds it.
+    at = np.flatnonzero(previous >= 0)
+    low, high = np.maximum(at - size + 1, 0), np.minimum(previous[at], n - 1)
+    inside = low <= high
+    steps = np.bincount(low[inside], minlength=n + 1) - np.bincount(high[inside] + 1, minlength=n + 1)
+    return size - int(np.cumsum(steps[:n]).max())
+
+
 def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMILAR) -> list[tuple[int, int, int, int, float]]:
     """Stretches [i, j) of tokens a that are like [k, l) of b: (i, j, k, l, similarity)."""
+    if len(a) < least or len(b) < least:
+        return []
     order = np.argsort(b, kind="stable")
-    at = np.searchsorted(b[order], a)
-    inside = at < len(b)
-    match = np.zeros(len(a), bool)
-    match[inside] = b[order[at[inside]]] == a[inside]
-    where = np.full(len(a), -1)
-    where[match] = order[at[match]]
-    before = np.full(len(b), -1)  # where each token of b was last
-    again = np.flatnonzero(b[order[1:]] == b[order[:-1]])
-    before[order[again + 1]] = order[again]
+    ordered = b[order]
+    at = np.searchsorted(ordered, a)
+    at[at == len(b)] = 0
+    match = ordered[at] == a
+    where = np.where(match, order[at], len(b))  # the first place in b, past its end if there is none
+    before = _previous(b, order)
+    same = np.arange(len(b))  # the first place of each token of b
+    if before.max() >= 0:
+        same[order] = order[np.searchsorted(ordered, ordered)]
+    earlier = _previous(a, np.argsort(a, kind="stable"))
+    fewest = _fewest(before, least)
+    held = np.zeros(len(b) + 1, bool)
     out: list[tuple[int, int, int, int, float]] = []
 
+    def possible(spans: np.ndarray) -> np.ndarray:
+        """Of stretches, rows (i, j) of a, those but the ones that ``verified`` rejects at once, many at a time."""
+        low, high = int(spans[:, 0].min()), int(spans[:, 1].max())
+        at = np.arange(low, high)
+        inside = (at >= spans[:, :1]) & (at < spans[:, 1:])
+        own = inside & match[low:high]
+        inside &= earlier[low:high] < spans[:, :1]
+        p, both = inside.sum(axis=1), (inside & own).sum(axis=1)
+        # A stretch of b has all common tokens at most, and ``fewest`` tokens at least.
+        good = np.flatnonzero((both > 0) & (100 * both >= similar * (p + np.maximum(fewest, both) - both)))
+        if not len(good):
+            return spans[:0]
+        own, p, spans = own[good], p[good], spans[good]
+        there = where[low:high]
+        apart = there - at
+        ordered = np.sort(np.where(own, apart, len(a) + len(b)), axis=1)
+        shift = ordered[np.arange(len(own)), own.sum(axis=1) // 2]
+        near = own & (np.abs(apart - shift[:, None]) <= (spans[:, 1:] - spans[:, :1]) // 4)
+        k, l = np.where(near, there, len(b)).min(axis=1), np.where(near, there, -1).max(axis=1) + 1
+        begin, end = int(k.min()), int(l.max())
+        held = np.zeros((len(own), len(b) + 1), bool)
+        row, column = np.nonzero(own)
+        held[row, there[column]] = True
+        at = np.arange(begin, end)
+        first = (before[begin:end] < k[:, None]) & (at >= k[:, None]) & (at < l[:, None])
+        q, both = first.sum(axis=1), (first & held[:, same[begin:end]]).sum(axis=1)
+        return spans[(l - k < least) | (100 * both >= similar * (p + q - both))]
+
     def verified(i: int, j: int) -> bool:
         """Accept the stretch if some stretch of b around its matches is like it."""
         own = np.flatnonzero(match[i:j]) + i
-        if not len(own):
-            return False
-        p = np.unique(a[i:j])
-        if 100 * len(own) < similar * len(p):
+        p = int(np.count_nonzero(earlier[i:j] < i))
+        if not len(own) or 100 * len(own) < similar * p:
             return False  # as the intersection is no larger, and the union no smaller
         there = where[own]
         apart = there - own
-        shift = np.sort(apart)[len(apart) // 2]
+        shift = int(np.sort(apart)[len(apart) // 2])
         near = there[np.abs(apart - shift) <= (j - i) // 4]
         k, l = int(near.min()), int(near.max()) + 1
+        held[:] = False
+        held[there] = True
         if l - k >= least:
             return accepted(i, j, p, k, l)
         # Tokens that recur are found at their first place only, so all windows around it are tried.
         if accepted(i, j, p, k, min(len(b), k + j - i)):
             return True
-        x = np.arange(max(0, l - least), min(k, len(b) - least) + 1)
-        if len(x):
+        low, high = max(0, l - least), min(k, len(b) - least)
+        if low <= high:
+            x = np.arange(low, high + 1)
             at = x[:, None] + np.arange(least)
             first = before[at] < x[:, None]  # in its window
-            own, both = first.sum(axis=1), (first & np.isin(b, p)[at]).sum(axis=1)
-            good = np.flatnonzero(100 * both >= similar * (len(p) + own - both))
+            own, both = first.sum(axis=1), (first & held[same[at]]).sum(axis=1)
+            good = np.flatnonzero(100 * both >= similar * (p + own - both))
             if len(good):
                 x, own, both = int(x[good[0]]), int(own[good[0]]), int(both[good[0]])
-                out.append((i, j, x, x + least, both / (len(p) + own - both)))
+                out.append((i, j, x, x + least, both / (p + own - both)))
                 return True
         size = min(len(b), max(least, j - i))
-        low = min(max(0, i + int(shift)), len(b) - size)
+        low = min(max(0, i + shift), len(b) - size)
         return accepted(i, j, p, low, low + size)
 
-    def accepted(i: int, j: int, p: np.ndarray, k: int, l: int) -> bool:
-        q = np.unique(b[k:l])
-        both = len(np.intersect1d(p, q, assume_unique=True))
-        good = 100 * both >= similar * (len(p) + len(q) - both) and l - k >= least
+    def accepted(i: int, j: int, p: int, k: int, l: int) -> bool:
+        """Of a stretch with p distinct tokens, those of b ``held``, and a stretch of b."""
+        if l - k < least:
+            return False
+        first = before[k:l] < k
+        q = int(np.count_nonzero(first))
+        both = int(np.count_nonzero(first & held[same[k:l]]))
+        good = 100 * both >= similar * (p + q - both)
         if good:
-            out.append((i, j, k, l, both / (len(p) + len(q) - both)))
+            out.append((i, j, k, l, both / (p + q - both)))
         return good
 
     def refine(low: int, high: int, penalties: tuple[int, ...]) -> None:
@@ -326,11 +389,14 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMIL
 
     def grow(low: int, high: int) -> None:
         """Accept stretches that need some of the tokens around their matches, the longest first."""
-        for i, j in _grown(match[low:high], least):
-            if verified(low + i, low + j):
-                grow(low, low + i)
-                grow(low + j, high)
-                return
+        spans = _grown(match[low:high], least)
+        size = max(1, min(64, _PART // (len(a) + len(b))))
+        for at in range(0, len(spans), size):
+            for i, j in possible(spans[at : at + size] + low).tolist():
+                if verified(i, j):
+                    grow(low, i)
+                    grow(j, high)
+                    return
 
     refine(0, len(a), (3, 6, 12, 1 << 30))
     edges = [0, *(x for i, j, *_ in sorted(out) for x in (i, j)), len(a)]
@@ -339,33 +405,37 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMIL
     return out
 
 
-def _grown(match: np.ndarray, least: int) -> list[tuple[int, int]]:
+def _grown(match: np.ndarray, least: int) -> np.ndarray:
     """Stretches of at least ``least`` that may be like others, matches at their ends if they can be.
 
     Of n tokens each, m of them common, m / (2 n - m) is 0.8 where 1 for a match and -8 for
     another token add up to 0. A word more or less in the other stretch allows 4 below that, and
     tokens that recur make as little as 1 to -4 enough. From each start the longest is taken.
+    They are rows (start, end), the longest first.
     """
-    n = len(match)
-    if n < least or 100 * int(match.sum()) < SIMILAR * least // 2:
-        return []
+    n, none = len(match), np.empty((0, 2), np.int64)
+    if n < least or 100 * int(np.count_nonzero(match)) < SIMILAR * least // 2:
+        return none
     total = np.concatenate(([0], np.cumsum(match)))
     if 100 * int((total[least:] - total[:-least]).max()) < (SIMILAR - 10) * least:
-        return []  # tokens that recur leave room for 10 per cent
-    found = set()
-    left = np.arange(n)[match] if match.any() else np.empty(0, np.int64)
-    for penalty, below in ((8, 0), (8, 4), (8, 8), (6, 0), (4, 0)):
-        total = np.concatenate(([0], np.cumsum(np.where(match, 1, -penalty))))
-        best = np.maximum.accumulate(total[::-1])[::-1]  # of the ends from here on; it falls
-        end = np.searchsorted(-best, below - total, "right") - 1
-        for i in np.flatnonzero(end - np.arange(n + 1) >= least).tolist():
-            j = int(end[i])
-            inner = left[np.searchsorted(left, i) : np.searchsorted(left, j)]
-            if len(inner):
-                i = min(int(inner[0]), j - least)
-                j = max(int(inner[-1]) + 1, i + least)
-            found.add((i, j))
-    return sorted(found, key=lambda x: (x[0] - x[1], x))
+        return none  # tokens that recur leave room for 10 per cent
+    left = np.flatnonzero(match)
+    found = []
+    for penalty, belows in ((8, (0, 4, 8)), (6, (0,)), (4, (0,))):
+        score = np.concatenate(([0], np.cumsum(np.where(match, 1, -penalty))))
+        best = np.maximum.accumulate(score[::-1])[::-1]  # of the ends from here on; it falls
+        for below in belows:
+            end = np.searchsorted(-best, below - score, "right") - 1
+            i = np.flatnonzero(end - np.arange(n + 1) >= least)
+            j = end[i]
+            some = total[j] > total[i]
+            first, last = left[total[i[some]]], left[total[j[some]] - 1]
+            i[some] = np.minimum(first, j[some] - least)
+            j[some] = np.maximum(last + 1, i[some] + least)
+            found.append(i * (n + 1) + j)
+    i, j = np.divmod(np.unique(np.concatenate(found)), n + 1)
+    longest = np.argsort(i - j, kind="stable")
+    return np.stack([i[longest], j[longest]], axis=1)
 
 
 def _clusters(places: list[tuple[int, int]], least: int) -> list[list[tuple[int, int]]]:
@@ -384,10 +454,14 @@ def _clusters(places: list[tuple[int, int]], least: int) -> list[list[tuple[int,
     return done + open_
 
 
-def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """The repeats among pairs (doc_id, place, source_id, source_place), as SPANS."""
+def _by_documents(pairs: DataFrame) -> DataFrame:
+    """The places of pairs (doc_id, place, source_id, source_place), a row for two documents."""
     grouped = pairs.groupBy("doc_id", "source_id").agg(F.collect_list(F.struct("place", "source_place")).alias("places"))
-    grouped = saved(grouped, "pairs")
+    return saved(grouped, "pairs")
+
+
+def _verified(grouped: DataFrame, docs: DataFrame) -> DataFrame:
+    """The repeats among pairs ``_by_documents``, as SPANS."""
     ids = grouped.select(F.explode(F.array("doc_id", "source_id")).alias("id")).distinct()
     texts = saved(likely(docs, ids, "doc_id").join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
@@ -395,10 +469,10 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         last, tokens = None, None
         for f in frames:
             out = []
-            for doc_id, source_id, places, text in zip(f["doc_id"], f["source_id"], f["places"], f["source_text"], strict=True):
+            for doc_id, source_id, own, there, text in zip(*(f[c] for c in ("doc_id", "source_id", "place", "source_place", "source_text")), strict=True):
                 if source_id != last:
                     last, tokens = source_id, shingles(next(iter(word_hashes([text]))))
-                for c in _clusters([(p["place"], p["source_place"]) for p in places], LEAST):
+                for c in _clusters(list(zip(own.tolist(), there.tolist(), strict=True)), LEAST):
                     low = max(0, min(b for _, b in c) - LEAST)
                     high = max(b for _, b in c) + LEAST
                     out.append((doc_id, source_id, min(a for a, _ in c), max(a for a, _ in c), low, signed(tokens[low:high])))
@@ -416,7 +490,7 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SPANS.split(", ")])
 
     source = texts.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source_text"))
-    pieces = grouped.join(source, "source_id").select("doc_id", "source_id", "places", "source_text").mapInPandas(
+    pieces = grouped.join(source, "source_id").select("doc_id", "source_id", "places.place", "places.source_place", "source_text").mapInPandas(
         cut, "doc_id long, source_id long, first long, last long, low long, tokens array<long>"
     )
     return pieces.join(texts.select("doc_id", "text"), "doc_id").mapInPandas(compare, SPANS)
@@ -466,20 +540,33 @@ def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
 
     def sign(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for doc_id, words, own in zip(frame["doc_id"], word_hashes(frame["text"]), frame["rows"], strict=True):
-                f, tokens = pd.DataFrame.from_records(list(own)), shingles(words)
-                f = f[f["spot"].to_numpy() >> 12 < len(tokens)]  # others are of another text with this id
-                spot = f["spot"].to_numpy()
-                place, first, asks = spot >> 12, (spot >> 12) - (spot >> 6 & 63), f["asks"].to_numpy(bool)
-                last = first + (spot & 63)
-                around = _bitmaps(tokens, np.maximum(place - LEAST + 1, 0), np.minimum(place + LEAST, len(tokens)))
-                core = _bitmaps(tokens, last[asks], first[asks] + LEAST)
-                bits = [x.tobytes() for x in around]
-                for k, x in zip(np.flatnonzero(asks).tolist(), core, strict=True):
-                    bits[k] += x.tobytes()
-                yield f.drop(columns="spot").assign(place=place, doc_id=doc_id, first=first, last=last, bits=bits)
-
-    signatures = texts.select("doc_id", "text", "rows").mapInPandas(
+            out, n = [], 0
+            for at, words in enumerate(word_hashes(frame["text"])):
+                out.append(signed_rows(frame["doc_id"].iloc[at], shingles(words), *(frame[c].iloc[at] for c in fields)))
+                n += len(out[-1])
+                if n > 10_000:
+                    yield pd.concat(out, ignore_index=True)
+                    out, n = [], 0
+            if n:
+                yield pd.concat(out, ignore_index=True)
+
+    def signed_rows(doc_id: int, tokens: np.ndarray, key, spot, asks, asking, blocks) -> pd.DataFrame:
+        inside = spot >> 12 < len(tokens)  # others are of another text with this id
+        key, spot, asks, asking, blocks = (np.asarray(x)[inside] for x in (key, spot, asks, asking, blocks))
+        asks = asks.astype(bool)
+        place, first = spot >> 12, (spot >> 12) - (spot >> 6 & 63)
+        last = first + (spot & 63)
+        around = _bitmaps(tokens, np.maximum(place - LEAST + 1, 0), np.minimum(place + LEAST, len(tokens)))
+        core = _bitmaps(tokens, last[asks], first[asks] + LEAST)
+        bits = [x.tobytes() for x in around]
+        for k, x in zip(np.flatnonzero(asks).tolist(), core, strict=True):
+            bits[k] += x.tobytes()
+        return pd.DataFrame(
+            {"key": key, "asks": asks, "asking": asking, "blocks": blocks, "place": place, "doc_id": doc_id, "first": first, "last": last, "bits": bits}
+        )
+
+    fields = ["key", "spot", "asks", "asking", "blocks"]
+    signatures = texts.select("doc_id", "text", *(f"rows.{c}" for c in fields)).mapInPandas(
         sign, "key long, asks boolean, asking long, blocks long, place long, doc_id long, first long, last long, bits binary"
     )
     # Each block of asking rows of a key meets each block of all its rows.
@@ -546,7 +633,7 @@ def _unexplained(asking: DataFrame, rows: DataFrame, docs: DataFrame, spans: Dat
     least = F.min(F.struct("missing", "source_id", "source_place")).alias("best")
     best = alike_rows.groupBy("doc_id", "place", "first", "last").agg(least)
     pairs = best.select("doc_id", "place", "best.source_id", "best.source_place").distinct()
-    more = saved(_verified(pairs, docs), "repeats")
+    more = saved(_verified(_by_documents(pairs), docs), "repeats")
     found = spans.unionByName(more).groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     inside = F.exists(
         "found", lambda s: (s["start"] <= F.col("first") + MISSING) & (s["end"] >= F.col("last") + WORDS - MISSING)
@@ -554,7 +641,7 @@ def _unexplained(asking: DataFrame, rows: DataFrame, docs: DataFrame, spans: Dat
     rest = alike_rows.join(found, "doc_id", "left").filter(F.col("found").isNull() | ~inside)
     place = F.min(F.struct("missing", "source_place"))["source_place"].alias("source_place")
     rest = rest.groupBy("doc_id", "place", "first", "last", "source_id").agg(place).select(pairs.columns).distinct()
-    last = _verified(rest.join(pairs, pairs.columns, "left_anti"), docs)
+    last = _verified(_by_documents(rest.join(pairs, pairs.columns, "left_anti")), docs)
     return more.unionByName(saved(last, "repeats"))
 
 
@@ -574,11 +661,13 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     first = rows.groupBy("key").agg(F.min(F.struct("doc_id", "spot")).alias("source"), F.count("*").alias("n"))
     first = saved(first.filter("n > 1").select("key", F.col("source.doc_id").alias("source_id"), F.col("source.spot").alias("source_spot"), "n"), "first")
     place = [F.shiftright("spot", 12).alias("place"), F.shiftright("source_spot", 12).alias("source_place")]
-    pairs = rows.join(first, "key").filter("doc_id <> source_id").select("doc_id", "source_id", *place)
+    # A key is there once, so a hash table of them spares a sort of the rows.
+    first = first.hint("shuffle_hash")
+    pairs = _by_documents(rows.join(first, "key").filter("doc_id <> source_id").select("doc_id", "source_id", *place))
     spans = saved(_verified(pairs, texts), "repeats")
     found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     # The first document of a key has nothing to repeat.
-    later = saved(rows.join(first, "key").filter("doc_id > source_id").select("doc_id").distinct(), "later")
+    later = saved(pairs.filter("doc_id > source_id").select("doc_id").distinct(), "later")
     there = likely(texts, later, "doc_id").join(later, "doc_id", "left_semi")
     asking = _windows(there.join(found, "doc_id", "left"), recurring, rest=True)
     asking = saved(asking.join(first, "key").filter("doc_id > source_id").select("key", "doc_id", "spot", "n"), "asking")

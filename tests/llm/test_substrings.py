@@ -1,3 +1,5 @@
+import sys
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -147,3 +149,21 @@ def test_near_copies_at_the_threshold_meet_at_a_single_start():
     for n, k in zip(text.tolist(), key.tolist()):
         keys[n].add(k)
     assert [n for n in range(1000) if not keys[n] & keys[1000 + n]] == []
+
+
+def test_stretches_that_fail_are_not_looked_at_one_by_one():
+    a = np.random.default_rng(3).permutation(10**6)[:180].astype(np.uint64)
+    b = a.copy()
+    b[4::7] += np.uint64(10**7)  # 0.75 alike
+    calls = 0
+
+    def count(frame, event, arg):
+        nonlocal calls
+        calls += event == "call"
+
+    sys.setprofile(count)
+    try:
+        found = alike(a, b)
+    finally:
+        sys.setprofile(None)
+    assert found == [] and calls < 1500

@@ -126,14 +126,18 @@ def _recurring(docs: DataFrame) -> _Recurring:
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     log = min(20, max(6, math.ceil(math.log2(1 + chars / 5 / _BUCKET))))
 
+    least = np.arange(1 << log, dtype=np.uint64) << np.uint64(64 - log)  # token of each bucket
+
     def dealt(held: list[np.ndarray]) -> pd.DataFrame:
-        seen = np.sort(np.concatenate(held))
+        seen = np.concatenate(held)
+        held.clear()
+        seen.sort()
         again = seen[1:] == seen[:-1]  # of what is there more than twice, two stay
         seen = seen[np.concatenate(([True, True], ~(again[1:] & again[:-1])))[: len(seen)]]
-        bucket = (seen >> np.uint64(64 - log)).astype(np.int64)
-        edges = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(seen))
-        parts = [seen[a:b].astype(np.uint32).tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-        return pd.DataFrame({"bucket": bucket[edges[:-1]], "tokens": parts})
+        edges = np.append(np.searchsorted(seen, least), len(seen))
+        bucket = np.flatnonzero(edges[1:] > edges[:-1])
+        parts = [seen[a:b].astype(np.uint32).tobytes() for a, b in zip(edges[bucket], edges[bucket + 1], strict=True)]
+        return pd.DataFrame({"bucket": bucket, "tokens": parts})
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, n = [], 0
@@ -696,14 +700,16 @@ def without_repeats(docs: DataFrame, passages: DataFrame) -> DataFrame:
     def cut(text: pd.Series, cuts: pd.Series) -> pd.Series:
         return pd.Series([_cut(t, c) for t, c in zip(text, cuts, strict=True)], dtype=object)
 
-    joined = likely(docs, ids, "doc_id").join(spans, F.col("doc_id") == F.col("__id"), "left")
-    same = F.col("__cuts").isNull() | F.col("text").isNull()
-    changed = joined.withColumn("__text", cut("text", "__cuts"))
+    own = F.col("doc_id") == F.col("__id")
+    there = likely(docs, ids, "doc_id")
+    # Saved, as texts then go to Python a few megabytes at a time, whoever writes the result.
+    text = cut("text", "__cuts").alias("text")
+    changed = there.filter("text is not null").join(spans, own).select(*(text if c == "text" else c for c in docs.columns))
+    changed = saved(changed, "cut")
     if "n_chars" in docs.columns:
-        length = F.length("__text").cast(docs.schema["n_chars"].dataType)
-        changed = changed.withColumn("n_chars", F.when(same, F.col("n_chars")).otherwise(length))
-    changed = changed.withColumn("text", F.when(same, F.col("text")).otherwise(F.col("__text")))
-    return unlikely(docs, ids, "doc_id").unionByName(changed.select(*docs.columns))
+        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    same = there.join(ids, own & F.col("text").isNotNull(), "left_anti")
+    return unlikely(docs, ids, "doc_id").unionByName(same).unionByName(changed.select(*docs.columns))
 
 
 def _cut(text: str | None, cuts) -> str | None:

@@ -167,3 +167,11 @@ def test_stretches_that_fail_are_not_looked_at_one_by_one():
     finally:
         sys.setprofile(None)
     assert found == [] and calls < 1500
+
+
+def test_cut_texts_go_to_python_before_the_result_is_written(spark):
+    docs = documents(spark, [prose(8, 80), None, prose(8, 80) + " more", prose(9, 60)])
+    out = without_repeats(docs, repeated_passages(docs))
+    assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
+    rows = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert rows == {0: (prose(8, 80), len(prose(8, 80))), 1: (None, 0), 2: ("more", 4), 3: (prose(9, 60), len(prose(9, 60)))}

@@ -16,9 +16,11 @@
 4. Each row of a key is paired with the key's first row, by document and place. Pairs of the
    same two documents are joined to one; the shingles around their places are compared, and
    the stretches that agree are verified by the Jaccard similarity of their exact shingle sets.
+   A stretch reaches over shingles that differ to more that agree, while it is similar enough.
 5. A window is explained if the passages found hold all but ``MISSING`` of its shingles that
-   recur. Each row that is left is compared with all rows of its key, in blocks, by bitmaps of the
-   shingles around them, and what may be alike is verified in the same way.
+   recur. Starts that are left are compared with all rows of their key, in blocks, by bitmaps and then
+   by the shingles around them, and what may be alike is verified in the same way. Rows of one document
+   that hold the same shingles, as in a periodic text, are compared once.
 
 A passage repeats if one of a document with a smaller id is like it. Every group, however
 large, costs a pair per row in step 4; in step 5 a row that is left costs a pair with each
@@ -32,23 +34,32 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluiceway.llm.mixing import word_count
-from sluiceway.llm.tables import each_group, likely, look_up, saved, unlikely
+from sluiceway.llm.tables import likely, look_up, saved, unlikely, whole_groups
 from sluiceway.llm.words import SHINGLE, mix, shingles, signed, word_hashes, word_spans
 
 WORDS = 50
 LEAST = WORDS - SHINGLE + 1  # tokens
 SIMILAR = 80  # per cent
 BANDS = 10
+WIDE = 2 * LEAST  # tokens around places with the first row of a key
 BLOCK = 2048
 MISSING = LEAST * (100 - SIMILAR) // 100
 _BUCKET = 1 << 20
 _MOST = 1 << 28  # bits
 _SEEDS = mix(np.arange(101, 101 + 2 * BANDS, dtype=np.uint64)).reshape(BANDS, 2)
 _SKETCH = 512
+_REACH = 2 * LEAST - 1
+_AT = np.arange(_REACH)
+_ROWS = 20_000  # rows compared at a time,
+_PAIRS = 1 << 14  # pairs of them,
+_ASKING = 256  # and rows that ask
+_POWERS = mix(np.arange(1, _REACH + 1, dtype=np.uint64)) | np.uint64(1)
+_TOKEN, _AGAIN, _EVER = 0x3FFF, 0x4000, 0x8000
 _PART = 1 << 18  # tokens of stretches looked at together
 _CANDIDATES = "doc_id long, place long, first long, last long, source_id long, source_place long, missing long"
 SPANS = "doc_id long, start long, end long, source_id long, source_start long, source_end long, similarity double"
@@ -205,10 +216,8 @@ def _windows(docs: DataFrame, recurring, *, rest: bool = False) -> DataFrame:
                 for start, end, spans in zip(base, base[1:], frame["found"].iloc[at], strict=False):
                     for s in () if spans is None else spans:
                         fresh[start + s["start"] : min(start + s["end"] - SHINGLE + 1, end)] = False
-                total = np.concatenate(([0], np.cumsum(fresh)))
-                many = np.concatenate(([0], np.cumsum(total[LEAST:] - total[:-LEAST] > MISSING)))
-                ok = many[high + 1] > many[low]
-                key, place, low, high = (x[ok] for x in (key, place, low, high))
+                run, low, high = _within(low, high, _unheld(fresh))
+                key, place = key[run], place[run]
             text = np.searchsorted(base, place, "right") - 1
             spot = place - base[text] << 12 | place - low << 6 | high - low
             yield pd.DataFrame({"key": signed(key), "doc_id": frame["doc_id"].to_numpy()[at][text], "spot": spot})
@@ -232,6 +241,26 @@ def _promising(alone: np.ndarray, base: np.ndarray) -> np.ndarray:
     return np.stack([start[new], start[last] + LEAST], axis=1) if len(start) else np.empty((0, 2), np.int64)
 
 
+def _unheld(fresh: np.ndarray) -> np.ndarray:
+    """Stretches [a, b] of starts whose windows have more than ``MISSING`` fresh tokens."""
+    total = np.concatenate(([0], np.cumsum(fresh)))
+    many = np.concatenate(([False], total[LEAST:] - total[:-LEAST] > MISSING, [False]))
+    edge = np.flatnonzero(many[1:] != many[:-1])
+    return np.stack([edge[::2], edge[1::2] - 1], axis=1)
+
+
+def _within(low: np.ndarray, high: np.ndarray, stretches: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The parts of runs [low, high] that lie in some of the stretches: their run, first and last.
+
+    The fewer starts a row has, the more tokens all of its windows hold, and the fewer others are like these.
+    """
+    first = np.searchsorted(stretches[:, 1], low)
+    count = np.maximum(np.searchsorted(stretches[:, 0], high, "right") - first, 0)
+    run = np.repeat(np.arange(len(low)), count)
+    at = np.arange(len(run)) - np.repeat(np.cumsum(count) - count, count) + first[run]
+    return run, np.maximum(low[run], stretches[at, 0]), np.minimum(high[run], stretches[at, 1])
+
+
 def _copies(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The repeats by texts that are wholly those of an earlier document, as SPANS, and the other texts."""
     digest = F.sha2("text", 256)
@@ -402,11 +431,38 @@ def alike(a: np.ndarray, b: np.ndarray, least: int = LEAST, similar: int = SIMIL
                     grow(j, high)
                     return
 
+    def wider(span: tuple[int, int, int, int, float], front: bool) -> tuple[int, int, int, int, float]:
+        """The stretch with what follows, or is in front, as far as windows of ``least`` tokens have common ones but for a fifth."""
+        i, j, k, l, _ = span
+        if front:
+            starts = np.arange(i - 1, -1, -1)
+            lacks = lacking[np.minimum(starts + least, len(a))] - lacking[starts]
+        else:
+            starts = np.arange(j + 1, len(a) + 1)
+            lacks = lacking[starts] - lacking[starts - least]
+        far = np.flatnonzero(lacks > least * (100 - similar) // 100)
+        n = int(far[0]) if len(far) else len(starts)
+        new = (match[i - n : i][::-1] if front else match[j : j + n]).copy()
+        new[:-1] &= ~new[1:]  # the last tokens of runs of common ones
+        for more in (np.flatnonzero(new) + 1)[::-1].tolist():
+            low, high = (i - more, j) if front else (i, j + more)
+            there = int(where[low if front else high - 1])
+            if abs((there - k) - (low - i) if front else (there + 1 - l) - (high - j)) > least:
+                continue
+            begin, end = (there, l) if front else (k, there + 1)
+            own = match[low:high]
+            held[:] = False
+            held[where[low:high][own]] = True
+            if accepted(low, high, int(np.count_nonzero(earlier[low:high] < low)), begin, end):
+                return out.pop()
+        return span
+
     refine(0, len(a), (3, 6, 12, 1 << 30))
     edges = [0, *(x for i, j, *_ in sorted(out) for x in (i, j)), len(a)]
     for low, high in zip(edges[::2], edges[1::2]):
         grow(low, high)
-    return out
+    lacking = np.concatenate(([0], np.cumsum(~match)))
+    return [wider(wider(x, False), True) for x in out.copy()]
 
 
 def _grown(match: np.ndarray, least: int) -> np.ndarray:
@@ -464,8 +520,12 @@ def _by_documents(pairs: DataFrame) -> DataFrame:
     return saved(grouped, "pairs")
 
 
-def _verified(grouped: DataFrame, docs: DataFrame) -> DataFrame:
-    """The repeats among pairs ``_by_documents``, as SPANS."""
+def _verified(grouped: DataFrame, docs: DataFrame, around: tuple[int, ...] = (LEAST, WIDE)) -> DataFrame:
+    """The repeats among pairs ``_by_documents``, as SPANS.
+
+    The tokens up to so many before and behind their places are compared: few show what is alike at a place by
+    itself, more what is alike with the help of what lies beside it.
+    """
     ids = grouped.select(F.explode(F.array("doc_id", "source_id")).alias("id")).distinct()
     texts = saved(likely(docs, ids, "doc_id").join(ids, F.col("doc_id") == F.col("id"), "left_semi"), "texts")
 
@@ -477,25 +537,27 @@ def _verified(grouped: DataFrame, docs: DataFrame) -> DataFrame:
                 if source_id != last:
                     last, tokens = source_id, shingles(next(iter(word_hashes([text]))))
                 for c in _clusters(list(zip(own.tolist(), there.tolist(), strict=True)), LEAST):
-                    low = max(0, min(b for _, b in c) - LEAST)
-                    high = max(b for _, b in c) + LEAST
-                    out.append((doc_id, source_id, min(a for a, _ in c), max(a for a, _ in c), low, signed(tokens[low:high])))
-            yield pd.DataFrame(out, columns=["doc_id", "source_id", "first", "last", "low", "tokens"])
+                    low, high = min(b for _, b in c), max(b for _, b in c)
+                    held = signed(tokens[max(0, low - max(around)) : high + max(around)])
+                    out.append((doc_id, source_id, min(a for a, _ in c), max(a for a, _ in c), low, high, held))
+            yield pd.DataFrame(out, columns=["doc_id", "source_id", "first", "last", "low", "high", "tokens"])
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, tokens = None, None
         for f in frames:
             out = []
-            for doc_id, source_id, first, end, low, held, text in zip(*(f[c] for c in ("doc_id", "source_id", "first", "last", "low", "tokens", "text")), strict=True):
+            for doc_id, source_id, first, end, low, high, held, text in zip(*(f[c] for c in ("doc_id", "source_id", "first", "last", "low", "high", "tokens", "text")), strict=True):
                 if doc_id != last:
                     last, tokens = doc_id, shingles(next(iter(word_hashes([text]))))
-                base = max(0, first - LEAST)
-                out += _spans(doc_id, source_id, base, low, tokens[base : end + LEAST], np.asarray(held, np.int64).view(np.uint64))
+                held, begin = np.asarray(held, np.int64).view(np.uint64), max(0, low - max(around))
+                for n in around:
+                    own, there = max(0, first - n), max(0, low - n)
+                    out += _spans(doc_id, source_id, own, there, tokens[own : end + n], held[there - begin : high + n - begin])
             yield pd.DataFrame(out, columns=[x.split()[0] for x in SPANS.split(", ")])
 
     source = texts.select(F.col("doc_id").alias("source_id"), F.col("text").alias("source_text"))
     pieces = grouped.join(source, "source_id").select("doc_id", "source_id", "places.place", "places.source_place", "source_text").mapInPandas(
-        cut, "doc_id long, source_id long, first long, last long, low long, tokens array<long>"
+        cut, "doc_id long, source_id long, first long, last long, low long, high long, tokens array<long>"
     )
     return pieces.join(texts.select("doc_id", "text"), "doc_id").mapInPandas(compare, SPANS)
 
@@ -506,28 +568,67 @@ def _spans(doc_id: int, source_id: int, base: int, low: int, a: np.ndarray, b: n
     return [(doc_id, base + i, base + j + more, source_id, low + k, low + l + more, s) for i, j, k, l, s in alike(a, b)]
 
 
-def _bitmaps(tokens: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A bitmap for each of some stretches of 1 to 2 * LEAST tokens."""
-    level = np.zeros((len(tokens), _SKETCH // 64), np.uint64)
-    at = (tokens % np.uint64(_SKETCH)).astype(np.int64)
-    level[np.arange(len(tokens)), at >> 6] = np.uint64(1) << (at & 63).astype(np.uint64)
-    out = np.zeros((len(start), level.shape[1]), np.uint64)
-    size = 1  # level has the bitmaps of so many tokens from each on
-    while True:
-        fits = (end - start >= size) & (end - start < 2 * size)
-        out[fits] = level[start[fits]] | level[end[fits] - size]
-        if 2 * size > min(2 * LEAST, len(tokens)):
-            return out
-        level = level[:-size] | level[size:]
-        size *= 2
+def _around(tokens: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Of each place, the ``_REACH`` tokens that windows with it can hold, as 16 bits each.
+
+    14 bits are the token's. ``_AGAIN`` says that the row had the token before, ``_EVER`` that each stretch of
+    ``LEAST`` tokens of the row has it (the first of them is marked), and both that the text has no such place.
+    """
+    previous = _previous(tokens, np.argsort(tokens, kind="stable"))
+    again = np.flatnonzero(previous >= 0)
+    back, ahead = (np.full(len(tokens) + _REACH - 1, _REACH, np.uint8) for _ in range(2))  # to the same token
+    apart = np.minimum(again - previous[again], _REACH).astype(np.uint8)
+    back[again + LEAST - 1] = apart
+    ahead[previous[again] + LEAST - 1] = apart
+    padded = np.full(len(tokens) + _REACH - 1, _AGAIN | _EVER, np.uint16)
+    padded[LEAST - 1 : LEAST - 1 + len(tokens)] = tokens & np.uint64(_TOKEN)
+    out = sliding_window_view(padded, _REACH)[place]
+    out[sliding_window_view(back, _REACH)[place] <= _AT.astype(np.uint8)] |= _AGAIN
+    low = np.maximum(LEAST - 1 - place, 0)
+    high = np.minimum(len(tokens) + LEAST - 1 - place, _REACH)
+    first = (out < _AGAIN) & (_AT < low[:, None] + LEAST)
+    out[first & (_AT >= high[:, None] - LEAST)] |= _EVER
+    if len(apart) and apart.min() <= LEAST:
+        row, column = np.nonzero(first & (out < _AGAIN) & (sliding_window_view(ahead, _REACH)[place] <= LEAST))
+        now = column
+        while len(row):
+            now = now + ahead[place[row] + now]
+            inside = now >= high[row] - LEAST
+            out[row[inside], column[inside]] |= _EVER
+            near = ~inside & (ahead[place[row] + now] <= LEAST)
+            row, column, now = row[near], column[near], now[near]
+    return out
+
+
+def _signed(doc_id: int, tokens: np.ndarray, key, spot, asks, asking, blocks) -> pd.DataFrame:
+    """A document's rows with the tokens around them; of those that do not ask and are the same, the first."""
+    inside = spot >> 12 < len(tokens)  # others are of another text with this id
+    key, spot, asks, asking, blocks = (np.asarray(x)[inside] for x in (key, spot, asks, asking, blocks))
+    asks = asks.astype(bool)
+    place, first = spot >> 12, (spot >> 12) - (spot >> 6 & 63)
+    last = first + (spot & 63)
+    at, inverse = np.unique(place, return_inverse=True)
+    around = _around(tokens, at)
+    same = _content(around)[inverse]
+    order = np.lexsort((place, same, key, asks))
+    new = np.ones(len(order), bool)
+    new[1:] = asks[order[1:]] | (key[order[1:]] != key[order[:-1]]) | (same[order[1:]] != same[order[:-1]])
+    some = order[new]
+    held = [x.tobytes() for x in around]
+    columns = {"key": key, "asks": asks, "asking": asking, "blocks": blocks, "place": place, "first": first, "last": last, "same": signed(same)}
+    return pd.DataFrame({"doc_id": doc_id, **{c: x[some] for c, x in columns.items()}, "around": [held[k] for k in inverse[some].tolist()]})
+
+
+def _content(around: np.ndarray) -> np.ndarray:
+    """A hash of each row of tokens."""
+    return mix((around.astype(np.uint64) * _POWERS).sum(axis=1, dtype=np.uint64))
 
 
 def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs of rows ``asking`` (key, doc_id, spot, n) and earlier documents' rows of their key that may be alike.
 
-    In blocks of a key's rows, bitmaps of the shingles that all windows of an asking row hold, and of those
-    that any can hold, are compared with the latter of the other row. Of windows that are alike the
-    first miss at most ``MISSING`` bits, and the second have most in common, so no pair is left out.
+    Blocks of a key's rows meet, each row with the tokens around its place. Of windows that are alike the
+    first miss at most ``MISSING`` tokens, and the second have most in common, so no pair is left out.
     """
     asked = asking.groupBy("key").agg(
         F.ceil(F.count("*") / BLOCK).alias("asking"), F.ceil(F.max("n") / BLOCK).alias("blocks")
@@ -546,7 +647,7 @@ def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
         for frame in frames:
             out, n = [], 0
             for at, words in enumerate(word_hashes(frame["text"])):
-                out.append(signed_rows(frame["doc_id"].iloc[at], shingles(words), *(frame[c].iloc[at] for c in fields)))
+                out.append(_signed(frame["doc_id"].iloc[at], shingles(words), *(frame[c].iloc[at] for c in fields)))
                 n += len(out[-1])
                 if n > 10_000:
                     yield pd.concat(out, ignore_index=True)
@@ -554,24 +655,9 @@ def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
             if n:
                 yield pd.concat(out, ignore_index=True)
 
-    def signed_rows(doc_id: int, tokens: np.ndarray, key, spot, asks, asking, blocks) -> pd.DataFrame:
-        inside = spot >> 12 < len(tokens)  # others are of another text with this id
-        key, spot, asks, asking, blocks = (np.asarray(x)[inside] for x in (key, spot, asks, asking, blocks))
-        asks = asks.astype(bool)
-        place, first = spot >> 12, (spot >> 12) - (spot >> 6 & 63)
-        last = first + (spot & 63)
-        around = _bitmaps(tokens, np.maximum(place - LEAST + 1, 0), np.minimum(place + LEAST, len(tokens)))
-        core = _bitmaps(tokens, last[asks], first[asks] + LEAST)
-        bits = [x.tobytes() for x in around]
-        for k, x in zip(np.flatnonzero(asks).tolist(), core, strict=True):
-            bits[k] += x.tobytes()
-        return pd.DataFrame(
-            {"key": key, "asks": asks, "asking": asking, "blocks": blocks, "place": place, "doc_id": doc_id, "first": first, "last": last, "bits": bits}
-        )
-
     fields = ["key", "spot", "asks", "asking", "blocks"]
     signatures = texts.select("doc_id", "text", *(f"rows.{c}" for c in fields)).mapInPandas(
-        sign, "key long, asks boolean, asking long, blocks long, place long, doc_id long, first long, last long, bits binary"
+        sign, "doc_id long, key long, asks boolean, asking long, blocks long, place long, first long, last long, same long, around binary"
     )
     # Each block of asking rows of a key meets each block of all its rows.
     at = F.xxhash64("doc_id", "place", "first")
@@ -582,48 +668,124 @@ def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), others - 1)))
         .withColumn("small", F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")))
         .withColumn("large", F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")))
-        .select(*names, "asks", "doc_id", "place", "first", "last", "bits")
+        .select(*names, "asks", "doc_id", "place", "first", "last", "same", "around")
     )
 
     columns = [x.split()[0] for x in _CANDIDATES.split(", ")]
 
     def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, n = [], 0
-        for block in each_group(frames, names):
-            if len(found := _alike_rows(block)):
-                held.append(found)
-                n += len(found)
-            if n > 100_000:
-                yield pd.DataFrame(np.concatenate(held), columns=columns)
-                held, n = [], 0
-        if held:
-            yield pd.DataFrame(np.concatenate(held), columns=columns)
+        for blocks, group in whole_groups(frames, names, _ROWS):
+            for found in _alike_rows(blocks, group):
+                yield pd.DataFrame(found, columns=columns)
 
     return placed.repartition(*names).sortWithinPartitions(*names).mapInPandas(compare, _CANDIDATES)
 
 
-def _alike_rows(f: dict[str, np.ndarray]) -> np.ndarray:
-    """Rows of one key that ask, each with the rows of earlier documents that lack few of its bits."""
+def _alike_rows(f: dict[str, np.ndarray], group: np.ndarray) -> Iterator[np.ndarray]:
+    """Rows that ask, each with the rows of earlier documents of its group that may be alike.
+
+    Bitmaps tell most of the others apart; of the rest, the tokens decide. Groups are numbered in order.
+    """
     asks = f["asks"].astype(bool)
-    if not asks.any() or asks.all():
-        return np.empty((0, 7), np.int64)
-    there = np.flatnonzero(~asks)
-    there = there[np.argsort(f["doc_id"][there], kind="stable")]
-    held = np.frombuffer(b"".join(f["bits"][there]), np.uint64).reshape(len(there), -1)
-    ids, place = f["doc_id"][there], f["place"][there]
-    out = []
-    for i in np.flatnonzero(asks).tolist():
-        earlier = int(np.searchsorted(ids, f["doc_id"][i]))
-        around, core = np.frombuffer(f["bits"][i], np.uint64).reshape(2, -1)
-        missing = np.bitwise_count(~held[:earlier] & core).sum(axis=1)
-        common = np.bitwise_count(held[:earlier] & around).sum(axis=1)
-        # On fewer bits shingles may collide.
-        few = min(LEAST, int(np.bitwise_count(around).sum())) * SIMILAR / 100 * 0.85
-        good = np.flatnonzero((missing <= MISSING) & (common >= few))
-        if len(good):
-            own = np.array([f[c][i] for c in ("doc_id", "place", "first", "last")], np.int64)
-            out.append(np.column_stack([np.tile(own, (len(good), 1)), ids[good], place[good], missing[good]]))
-    return np.concatenate(out) if out else np.empty((0, 7), np.int64)
+    tokens = np.frombuffer(b"".join(f["around"]), np.uint16).reshape(-1, _REACH)
+    # Rows in order of group and document, those that ask before the others of their document.
+    order = np.lexsort((~asks, f["doc_id"], group))
+    there, own = order[~asks[order]], order[asks[order]]
+    end = np.cumsum(~asks[order])[asks[order]]
+    start = np.searchsorted(group[there], group[own])
+    own, start, end = (x[end > start] for x in (own, start, end))
+    if not len(own):
+        return
+    # Rows that ask the same are compared once: each but the first is a copy of the one that ``one`` names.
+    begin, until = (f[c] - f["place"] + LEAST - 1 for c in ("first", "last"))
+    question = np.stack([group[own], f["doc_id"][own], f["same"][own], begin[own], until[own]])
+    alike = np.lexsort(question[::-1])
+    new = np.ones(len(own), bool)
+    new[1:] = (question[:, alike[1:]] != question[:, alike[:-1]]).any(axis=0)
+    copies, edges = own[alike], np.append(np.flatnonzero(new), len(own))
+    own, start, end = (x[alike[new]] for x in (own, start, end))
+    begin, until = begin[own], until[own]
+    held, around = _sketches(tokens[there]), _sketches(tokens[own])
+    core = (_AT >= until[:, None]) & (_AT < begin[:, None] + LEAST)
+    core = _sketches(np.where(core, tokens[own], _AGAIN | _EVER))
+    # On fewer bits shingles may collide.
+    few = np.minimum(LEAST, np.bitwise_count(around).sum(axis=1)) * SIMILAR / 100 * 0.85
+    total = np.concatenate(([0], np.cumsum(end - start)))
+    low = 0
+    while low < len(own):
+        high = max(low + 1, min(low + _ASKING, int(np.searchsorted(total, total[low] + _PAIRS, "right")) - 1))
+        for at in range(0, int(total[high] - total[low]), _PAIRS):
+            pair = np.arange(total[low] + at, min(total[high], total[low] + at + _PAIRS))
+            x = np.searchsorted(total, pair, "right") - 1
+            y = start[x] + pair - total[x]
+            near = np.bitwise_count(~held[y] & core[x]).sum(axis=1) <= MISSING
+            near[near] = np.bitwise_count(held[y[near]] & around[x[near]]).sum(axis=1) >= few[x[near]]
+            x, y = x[near], y[near]
+            if not len(x):
+                continue
+            missing, score = _compared(tokens[own[low:high]], x - low, tokens[there[y]], begin[x], until[x])
+            good = (missing <= MISSING) & (score >= 0)
+            x, y, missing = x[good], there[y[good]], missing[good]
+            if not len(x):
+                continue
+            # Of each other document the place most like it.
+            best = np.lexsort((f["place"][y], missing, f["doc_id"][y], x))
+            x, y, missing = x[best], y[best], missing[best]
+            new = np.ones(len(x), bool)
+            new[1:] = (x[1:] != x[:-1]) | (f["doc_id"][y[1:]] != f["doc_id"][y[:-1]])
+            x, y, missing = x[new], y[new], missing[new]
+            count = edges[x + 1] - edges[x]
+            each = copies[np.repeat(edges[x], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)]
+            y, missing = np.repeat(y, count), np.repeat(missing, count)
+            yield np.column_stack([*(f[c][each] for c in ("doc_id", "place", "first", "last")), f["doc_id"][y], f["place"][y], missing])
+        low = high
+
+
+def _sketches(rows: np.ndarray) -> np.ndarray:
+    """A bitmap of the tokens of each row ``_around``."""
+    out = np.zeros((len(rows), _SKETCH + 1), bool)
+    out[np.arange(len(rows))[:, None], np.where(rows >= _AGAIN | _EVER, _SKETCH, rows & (_SKETCH - 1))] = True
+    return np.packbits(out[:, :_SKETCH], axis=1).view(np.uint64)
+
+
+def _compared(asking: np.ndarray, x: np.ndarray, rows: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs of row x of ``asking`` and one of ``rows``, both ``_around``: tokens lacking, and a bound on likeness.
+
+    Lacking are those of the window of ``asking`` with the fewest such, of windows that begin at first to last.
+    The bound is under 0 only if no stretch of the one is like one of the other: stretches of ``LEAST`` tokens and
+    more are alike if 4 times the tokens that one of them lacks are not more than the common ones.
+    """
+    mine = asking < _AGAIN | _EVER
+    token = np.where(mine, asking & _TOKEN, _TOKEN + 1)
+    where = np.full((len(asking), _TOKEN + 2), _REACH, np.uint8)
+    np.put_along_axis(where, token, _AT.astype(np.uint8)[None], axis=1)
+    where[:, -1] = _REACH
+    there = np.zeros((len(rows), _REACH + 1), bool)
+    column = where[x[:, None], np.where(rows < _AGAIN | _EVER, rows & _TOKEN, _TOKEN + 1)]
+    np.put_along_axis(there, column.astype(np.int64), True, axis=1)
+    there[:, _REACH] = False
+    hit = np.take_along_axis(there, np.take_along_axis(where, token, axis=1).astype(np.int64)[x], axis=1)
+    lacks = np.zeros((len(rows), _REACH + 1), np.int16)
+    np.cumsum(~hit & (asking & _AGAIN == 0)[x], axis=1, out=lacks[:, 1:])
+    lacks = lacks[:, LEAST:] - lacks[:, :-LEAST]
+    lacks[(_AT[:LEAST] < first[:, None]) | (_AT[:LEAST] > last[:, None])] = _REACH
+    return lacks.min(axis=1), _likeness(asking[x], hit) + _likeness(rows, column < _REACH)
+
+
+def _likeness(rows: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """At least the tokens that some stretch of ``LEAST`` and more of a row shares, less 8 times those it does not.
+
+    Common tokens count wherever they are, others only the first time. All stretches have the tokens that are
+    marked so, and no more distinct ones than the row.
+    """
+    new = rows & _AGAIN == 0
+    step = np.where(hit, np.int8(1), np.where(new, np.int8(-8), np.int8(0)))
+    step[rows >= _AGAIN | _EVER] = -_REACH - 1
+    score = np.zeros((len(rows), _REACH + 1), np.int16)
+    np.cumsum(step, axis=1, out=score[:, 1:])
+    best = (score[:, LEAST:] - np.minimum.accumulate(score[:, :-LEAST], axis=1)).max(axis=1)
+    ever = ~hit & new & (rows >= _EVER)
+    return np.minimum(best, np.count_nonzero(hit & new, axis=1) - 8 * np.count_nonzero(ever, axis=1))
 
 
 def _unexplained(asking: DataFrame, rows: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -668,7 +830,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # A key is there once, so a hash table of them spares a sort of the rows.
     first = first.hint("shuffle_hash")
     pairs = _by_documents(rows.join(first, "key").filter("doc_id <> source_id").select("doc_id", "source_id", *place))
-    spans = saved(_verified(pairs, texts), "repeats")
+    spans = saved(_verified(pairs, texts, (WIDE,)), "repeats")
     found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     # The first document of a key has nothing to repeat.
     later = saved(pairs.filter("doc_id > source_id").select("doc_id").distinct(), "later")

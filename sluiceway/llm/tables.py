@@ -129,6 +129,37 @@ def each_group(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[dict
         yield held
 
 
+def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str], size: int) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """The columns of whole groups of a partition sorted by integer ``keys``, ``size`` rows and more at a time.
+
+    With them go the groups' numbers from 0, for each row.
+    """
+
+    def numbers(now: dict[str, np.ndarray]) -> np.ndarray:
+        new = np.zeros(len(now[keys[0]]), bool)
+        for key in keys:
+            new[1:] |= now[key][1:] != now[key][:-1]
+        return np.cumsum(new)
+
+    held: list[dict[str, np.ndarray]] = []
+    n = 0
+    for frame in frames:
+        if frame.empty:
+            continue
+        held.append({c: frame[c].to_numpy() for c in frame.columns})
+        n += len(frame)
+        if n < size or all(held[0][k][0] == held[-1][k][-1] for k in keys):
+            continue
+        now = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+        group = numbers(now)
+        cut = int(np.searchsorted(group, group[-1]))
+        yield {c: v[:cut] for c, v in now.items()}, group[:cut]
+        held, n = [{c: v[cut:] for c, v in now.items()}], len(group) - cut
+    if held:
+        now = {c: np.concatenate([x[c] for x in held]) for c in held[0]}
+        yield now, numbers(now)
+
+
 def numbered(rows: DataFrame, order: list[Column], group: list[str] | None = None) -> DataFrame:
     """``rows`` with ``number``, their place from 0 within their group in a total order.
 

@@ -3,8 +3,20 @@ import sys
 import numpy as np
 from pyspark.sql import functions as F
 
-from sluiceway.llm.substrings import alike, repeated_passages, sliding_minima, window_rows, without_repeats
-from sluiceway.llm.words import shingles, word_hashes
+from sluiceway.llm.substrings import (
+    _alike_rows,
+    _around,
+    _compared,
+    _signed,
+    _unheld,
+    _within,
+    alike,
+    repeated_passages,
+    sliding_minima,
+    window_rows,
+    without_repeats,
+)
+from sluiceway.llm.words import mix, shingles, word_hashes
 from tests.llm.helpers import DOCS, ODD, documents, edited, prose, words
 
 
@@ -175,3 +187,64 @@ def test_cut_texts_go_to_python_before_the_result_is_written(spark):
     assert "Python" not in out._jdf.queryExecution().executedPlan().toString()
     rows = {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
     assert rows == {0: (prose(8, 80), len(prose(8, 80))), 1: (None, 0), 2: ("more", 4), 3: (prose(9, 60), len(prose(9, 60)))}
+
+
+def _rows(tokens, place=45):
+    return _around(tokens, np.array([place]))
+
+
+def test_rows_whose_stretches_are_alike_are_never_told_apart():
+    r = np.random.default_rng(5)
+    found = 0
+    for n in range(600):
+        a = mix(r.integers(0, (40, 200, 10**9)[n % 3], 91).astype(np.uint64))
+        if n % 4 == 0:
+            a = np.tile(a[:31], 3)[:91]
+        b = a.copy()
+        for at in r.integers(0, 91, r.integers(0, 4)):
+            b[at : at + 5] = mix(r.integers(10**10, 10**12, len(b[at : at + 5])).astype(np.uint64))
+        _, bound = _compared(_rows(a), np.array([0]), _rows(b), np.array([0]), np.array([45]))
+        found += bool(alike(a, b))
+        assert bound[0] >= 0 or not alike(a, b)
+    assert found > 100
+
+
+def test_rows_of_another_period_are_told_apart_by_their_tokens():
+    a = np.tile(mix(np.arange(31, dtype=np.uint64)), 3)[:91]
+    b = np.tile(mix(np.concatenate([np.arange(26), np.arange(100, 105)]).astype(np.uint64)), 3)[:91]
+    missing, bound = _compared(_rows(a), np.array([0]), _rows(b), np.array([0]), np.array([45]))
+    assert missing[0] <= 9 and bound[0] < 0 and alike(a, b) == []
+
+
+def test_only_starts_that_no_passage_explains_ask():
+    fresh = np.zeros(200, bool)
+    fresh[[*range(20, 31), *range(150, 161)]] = True
+    stretches = _unheld(fresh)
+    assert all(fresh[s : s + 46].sum() > 9 for a, b in stretches for s in (a, b))
+    run, low, high = _within(np.array([10, 60, 100]), np.array([50, 90, 140]), stretches)
+    assert set(run.tolist()) == {0, 2} and (low <= high).all()
+    for s in range(155):
+        inside = [k for k, x, y in zip(run, low, high) if x <= s <= y]
+        assert inside == [k for k, x, y in ((0, 10, 50), (1, 60, 90), (2, 100, 140)) if x <= s <= y and fresh[s : s + 46].sum() > 9]
+
+
+def test_a_stretch_reaches_over_a_changed_word_to_more_common_ones():
+    a = np.random.default_rng(6).permutation(10**6)[:120].astype(np.uint64)
+    b = a.copy()
+    b[90:95] += np.uint64(10**7)  # a changed word, and then 7 common shingles, fewer than 3 for each changed one
+    b[102:] += np.uint64(10**7)
+    assert [(i, j) for i, j, *_ in alike(a, b)] == [(0, 102)]
+
+
+def test_a_periodic_text_is_compared_once_for_each_document():
+    def rows(doc_id, tokens, asks):
+        place = np.arange(45, len(tokens) - 46, 31)
+        n = len(place)
+        return _signed(doc_id, tokens, np.ones(n, np.int64), place << 12, np.full(n, asks), np.ones(n, int), np.ones(n, int))
+
+    tokens = np.tile(mix(np.arange(31, dtype=np.uint64)), 40)
+    first, second = rows(1, tokens, False), rows(2, tokens, True)
+    assert len(first) == 1 and len(second) > 30
+    f = {c: np.concatenate([first[c], second[c]]) for c in first}
+    found = np.concatenate(list(_alike_rows(f, np.zeros(len(f["key"]), int))))
+    assert len(found) == len(second) and set(found[:, 4].tolist()) == {1} and set(found[:, 5].tolist()) == {45}

@@ -1,7 +1,7 @@
 """Passages of fifty words and more that repeat, near-copies included.
 
 0. Texts that are wholly those of an earlier document are repeats as they are. Of the others, shingles
-   that occur twice and more are found by buckets, and put in a bitmap that goes to all tasks: only
+   that two texts and more have are found by buckets, and put in a bitmap that goes to all tasks: only
    windows in which 80 per cent recur can be passages, and the rest is left out from here on.
 1. The tokens of a text are its word shingles. Under a hash function, the Cartesian tree of a
    text splits it at the least hash, then each part at its own least: a node (l, c, r) stands for
@@ -55,6 +55,7 @@ _SEEDS = mix(np.arange(101, 101 + 2 * BANDS, dtype=np.uint64)).reshape(BANDS, 2)
 _SKETCH = 512
 _REACH = 2 * LEAST - 1
 _AT = np.arange(_REACH)
+_NONE = np.int16(-(1 << 14))  # a score that nothing reaches
 _ROWS = 20_000  # rows compared at a time,
 _PAIRS = 1 << 14  # pairs of them,
 _ASKING = 256  # and rows that ask
@@ -107,7 +108,7 @@ def window_runs(tokens: list[np.ndarray], least: int = LEAST) -> tuple[np.ndarra
 
 
 class _Recurring:
-    """A set of shingles that holds all that occur twice and more, and few others.
+    """A set of shingles that holds all that two texts and more have, and few others.
 
     Shingles are dealt into buckets by their upper bits, and known there by their lower 32, so
     a shingle passes for another with odds of 1 to 4,000 at most. The bitmap has 16 bits for each that
@@ -129,9 +130,9 @@ def _bucketed(tokens: np.ndarray, buckets_log: np.uint64) -> np.ndarray:
 
 
 def _recurring(docs: DataFrame) -> _Recurring:
-    """The shingles that occur more than once in all texts.
+    """The shingles that more than one text has.
 
-    A task drops copies before it deals out a million words, but for one, so that a bucket gets no
+    What a text repeats within itself no other needs to have. A task drops copies before it deals out a million words, but for one, so that a bucket gets no
     more than two of a shingle from these; there are as many buckets as million words.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -154,8 +155,8 @@ def _recurring(docs: DataFrame) -> _Recurring:
         held, n = [], 0
         for frame in frames:
             for words in word_hashes(frame["text"]):
-                held.append(shingles(words))
-                n += len(words)
+                held.append(np.unique(shingles(words)))
+                n += len(held[-1])
                 if n > _BUCKET:
                     yield dealt(held)
                     held, n = [], 0
@@ -634,7 +635,8 @@ def _candidates(asking: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFram
         F.ceil(F.count("*") / BLOCK).alias("asking"), F.ceil(F.max("n") / BLOCK).alias("blocks")
     )
     asked = saved(asked, "asked")
-    either = asking.select("key", "doc_id", "spot", F.lit(True).alias("asks")).unionByName(rows.withColumn("asks", F.lit(False)))
+    there = likely(rows, asked.select("key"), "key").withColumn("asks", F.lit(False))
+    either = asking.select("key", "doc_id", "spot", F.lit(True).alias("asks")).unionByName(there)
     # A document has rows in proportion to its text.
     held = either.join(asked, "key").groupBy("doc_id").agg(
         F.collect_list(F.struct("key", "spot", "asks", "asking", "blocks")).alias("rows")
@@ -765,27 +767,61 @@ def _compared(asking: np.ndarray, x: np.ndarray, rows: np.ndarray, first: np.nda
     np.put_along_axis(there, column.astype(np.int64), True, axis=1)
     there[:, _REACH] = False
     hit = np.take_along_axis(there, np.take_along_axis(where, token, axis=1).astype(np.int64)[x], axis=1)
-    lacks = np.zeros((len(rows), _REACH + 1), np.int16)
-    np.cumsum(~hit & (asking & _AGAIN == 0)[x], axis=1, out=lacks[:, 1:])
-    lacks = lacks[:, LEAST:] - lacks[:, :-LEAST]
+    lacks = _lacking(asking[x], hit)
+    held = _lacking(rows, column < _REACH).min(axis=1)
+    score, half = _likeness(asking[x], hit, last + MISSING, first + LEAST - MISSING)
+    other, other_half = _likeness(rows, column < _REACH)
+    # Neither stretch has more common tokens than the other, and each lacks as many as some window of it.
+    score = np.minimum(score + other, np.minimum(half - 4 * held, other_half - 4 * lacks.min(axis=1)))
     lacks[(_AT[:LEAST] < first[:, None]) | (_AT[:LEAST] > last[:, None])] = _REACH
-    return lacks.min(axis=1), _likeness(asking[x], hit) + _likeness(rows, column < _REACH)
+    return lacks.min(axis=1), score
 
 
-def _likeness(rows: np.ndarray, hit: np.ndarray) -> np.ndarray:
-    """At least the tokens that some stretch of ``LEAST`` and more of a row shares, less 8 times those it does not.
+def _lacking(rows: np.ndarray, hit: np.ndarray) -> np.ndarray:
+    """Of each window of ``LEAST`` tokens, no more than the distinct ones it does not share."""
+    total = np.zeros((len(rows), _REACH + 1), np.int16)
+    np.cumsum(~hit & (rows & _AGAIN == 0), axis=1, out=total[:, 1:])
+    lacks = total[:, LEAST:] - total[:, :-LEAST]
+    outside = np.zeros((len(rows), _REACH + 1), np.int16)
+    np.cumsum(rows >= _AGAIN | _EVER, axis=1, out=outside[:, 1:])
+    lacks[outside[:, LEAST:] > outside[:, :-LEAST]] = _REACH
+    return lacks
 
-    Common tokens count wherever they are, others only the first time. All stretches have the tokens that are
-    marked so, and no more distinct ones than the row.
+
+def _likeness(rows: np.ndarray, hit: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> list[np.ndarray]:
+    """No less than the tokens that any stretch of ``LEAST`` and more of a row shares, less 8, and 4, times those it does not.
+
+    With ``first`` and ``last``, stretches that begin at ``first`` or before and end at ``last`` or after, at
+    common tokens where they are longer than ``LEAST``: others explain no window that asks. Common tokens
+    count wherever they are, others only the first time. All stretches have the tokens that are marked so,
+    and no more distinct ones than the row.
     """
     new = rows & _AGAIN == 0
-    step = np.where(hit, np.int8(1), np.where(new, np.int8(-8), np.int8(0)))
-    step[rows >= _AGAIN | _EVER] = -_REACH - 1
-    score = np.zeros((len(rows), _REACH + 1), np.int16)
-    np.cumsum(step, axis=1, out=score[:, 1:])
-    best = (score[:, LEAST:] - np.minimum.accumulate(score[:, :-LEAST], axis=1)).max(axis=1)
-    ever = ~hit & new & (rows >= _EVER)
-    return np.minimum(best, np.count_nonzero(hit & new, axis=1) - 8 * np.count_nonzero(ever, axis=1))
+    pads = rows >= _AGAIN | _EVER
+    common = np.count_nonzero(hit & new, axis=1)
+    ever = np.count_nonzero(~hit & new & (rows >= _EVER), axis=1)
+    if first is not None:
+        starts, ends = _AT[:LEAST] <= first[:, None], _AT[:LEAST] >= last[:, None] - LEAST
+        whole, begins, closes = starts & ends, hit[:, :LEAST], hit[:, LEAST - 1 :]
+        # One that lacks a token at an end, where the next at the other is common, is no passage: that beside it is.
+        whole[:, :-1] &= begins[:, :-1] | ~hit[:, LEAST:]
+        whole[:, 1:] &= closes[:, 1:] | ~hit[:, : LEAST - 1]
+        starts, ends = starts & begins, ends & closes
+    out = []
+    for times in (8, 4):
+        step = np.where(hit, np.int8(1), np.where(new, np.int8(-times), np.int8(0)))
+        step[pads] = -_REACH - 1
+        score = np.zeros((len(rows), _REACH + 1), np.int16)
+        np.cumsum(step, axis=1, out=score[:, 1:])
+        low, high = score[:, :-LEAST], score[:, LEAST:]
+        if first is None:
+            best = (high - np.minimum.accumulate(low, axis=1)).max(axis=1)
+        else:
+            least = np.where(whole, high - low, _NONE).max(axis=1)
+            low, high = np.where(starts, low, -_NONE), np.where(ends, high, _NONE)
+            best = np.maximum(least, (high - np.minimum.accumulate(low, axis=1)).max(axis=1))
+        out.append(np.minimum(best, common - times * ever))
+    return out
 
 
 def _unexplained(asking: DataFrame, rows: DataFrame, docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -830,7 +866,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     # A key is there once, so a hash table of them spares a sort of the rows.
     first = first.hint("shuffle_hash")
     pairs = _by_documents(rows.join(first, "key").filter("doc_id <> source_id").select("doc_id", "source_id", *place))
-    spans = saved(_verified(pairs, texts, (WIDE,)), "repeats")
+    spans = saved(_verified(pairs, texts, (LEAST,)), "repeats")
     found = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "end")).alias("found"))
     # The first document of a key has nothing to repeat.
     later = saved(pairs.filter("doc_id > source_id").select("doc_id").distinct(), "later")

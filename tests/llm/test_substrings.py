@@ -7,6 +7,7 @@ from sluiceway.llm.substrings import (
     _alike_rows,
     _around,
     _compared,
+    _recurring,
     _signed,
     _unheld,
     _within,
@@ -248,3 +249,10 @@ def test_a_periodic_text_is_compared_once_for_each_document():
     f = {c: np.concatenate([first[c], second[c]]) for c in first}
     found = np.concatenate(list(_alike_rows(f, np.zeros(len(f["key"]), int))))
     assert len(found) == len(second) and set(found[:, 4].tolist()) == {1} and set(found[:, 5].tolist()) == {45}
+
+
+def test_what_a_text_repeats_within_itself_does_not_recur(spark):
+    texts = [prose(1, 60) + " " + prose(1, 60), prose(2, 60), prose(2, 60) + " more"]
+    recurring = _recurring(documents(spark, texts))
+    own, shared, _ = (shingles(h) for h in word_hashes(texts))
+    assert recurring.has(own).mean() < 0.5 and recurring.has(shared).all()
